@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from ladderline.llm.chat import op5_chat_format
 from ladderline.llm.quality import op10_quality_rules
 
 QUERIES = {
+    "op5_chat_format": op5_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
