@@ -1,59 +1,72 @@
 """Quality rules by distribution divergence (DataFrame functions only).
 
-Each language has a reference made from all its documents: how its characters divide into
-classes, and how often its most common words come. A document is held against the reference of
-its language by the Jensen-Shannon distance (base 2, between 0 and 1) of both histograms. Texts
-below a minimum length have noisy histograms, so the guards leave the distances without a vote.
-
-Cases: a null text has no words and fails the base rules; a null ``lang`` is a language of its
-own; repeated rows are judged one by one; an empty table gives an empty result; columns with
-clashing names are not read (only ``doc_id``, ``text`` and ``lang`` are).
+Each language has a reference made from all its documents: how their characters divide into classes,
+and how often the language's most common words come. A document is held against the reference of its
+language by the Jensen-Shannon distance (base 2, between 0 and 1) of both histograms. Texts below a
+minimum length have noisy histograms, so guards leave the distances without a vote.
+
+The texts are read once: what is counted in them is stored, a short row per document, and both the
+references and the verdicts are made from those rows.
+
+Cases: a null text has no words and fails the base rules; a null ``lang`` is a language of its own;
+a language without a word list is held against its character classes only; repeated rows are judged
+one by one; an empty table gives an empty result; columns other than ``doc_id``, ``text`` and ``lang``
+are not read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import table, words
+from ladderline.llm.common import stored, table, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
 CLASSES = ("upper", "lower", "digit", "space", "symbol", "other")
+#: Common words of a language, as they stand in texts.
+COMMON_WORDS = {
+    "de": "der die und in den von zu das mit sich des auf für ist im dem".split(),
+    "en": "the of and to in a is that it for as with was on be by".split(),
+    "es": "de la que el en y a los se del las un por con no una".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans par".split(),
+}
 
 
 @dataclass(frozen=True)
 class Rules:
     min_words: int = 50
-    max_repeat_share: float = 0.5
-    #: A language's reference holds its ``common_words`` most frequent words and "any other".
-    common_words: int = 16
+    max_repeat_percent: int = 50
+    common_words: Mapping[str, Sequence[str]] = field(default_factory=lambda: COMMON_WORDS)
     #: Distances vote from these lengths on.
     min_chars_for_classes: int = 200
     min_words_for_common: int = 50
     max_class_distance: float = 0.27
-    max_word_distance: float = 0.45
+    max_word_distance: float = 0.40
 
 
-def without(text: Column, pattern: str) -> Column:
-    return F.regexp_replace(text, pattern, "")
+def let(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once: a lambda's variable is, an expression used twice isn't."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def repeat_words(w: Column) -> Column:
     """Words that lie in a 3-word window which the text has twice or more.
 
     Windows are compared by 64-bit hash. Sorting (hash, position) brings equal windows together, so
-    the cost is n log n; the sort runs only where distinct and total counts of windows differ.
+    the cost is n log n; the sort runs only where a text has fewer distinct windows than windows.
     """
     hashes = F.transform(
         F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))),
         lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)),
     )
-    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def positions(o: Column) -> Column:
         alike = lambda e, j: F.coalesce(F.get(o, j)["h"] == e["h"], F.lit(False))
@@ -64,47 +77,69 @@ def repeat_words(w: Column) -> Column:
         steps = F.transform(p, lambda x, k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), x - F.get(p, k - 1))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-    # let() by a one-element array: a lambda variable is computed once, a repeated expression is not
-    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-    many = let(ordered, lambda o: let(positions(o), covered))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(many).cast("long")
+    def many(h: Column) -> Column:
+        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return let(ordered, lambda o: let(positions(o), covered))
 
+    count = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(many(h))
+    return let(hashes, count).cast("long")
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of each document; ``w`` holds its words."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text.alias("t"))
-    d = d.withColumn("w", words(F.col("t")))
-    t = F.col("t")
-    n = F.length(t)
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    return d.select(
+
+def word_counts(w: Column, lists: Mapping[str, Sequence[str]]) -> Column:
+    """How often each listed word of the row's ``lang`` comes, then all other words; null without a list."""
+    every = sorted({x for words_ in lists.values() for x in words_})
+
+    def counts(hits: Column, listed: Sequence[str]) -> Column:
+        each = F.transform(F.lit(list(listed)), lambda c: F.size(F.filter(hits, lambda x: x == c)).cast("long"))
+        return let(each, lambda e: F.concat(e, F.array(F.size(w) - total(e))))
+
+    def by_lang(hits: Column) -> Column:
+        out = F.lit(None).cast("array<bigint>")
+        for lang, listed in lists.items():
+            out = F.when(F.col("lang") == lang, counts(hits, listed)).otherwise(out)
+        return out
+
+    return let(F.filter(w, lambda x: x.isin(every)), by_lang)
+
+
+def measured(docs: DataFrame, rules: Rules) -> DataFrame:
+    """One short row per document with all that the rules count in its text."""
+    d = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("t"))
+    # "rest" is what neither letters nor separators leave: short, so counting in it costs little
+    d = d.withColumns({"w": words(F.col("t")), "rest": F.regexp_replace("t", "[\\p{L}\\x20\\x09-\\x0D]+", "")})
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    symbols = F.length("rest") - F.length(F.regexp_replace("rest", "[#*$%&|<>]+", ""))
+    digits = F.length("rest") - F.length(F.regexp_replace("rest", "\\p{Nd}+", ""))
+    upper = F.length("t") - F.length(F.regexp_replace("t", "\\p{Lu}+", ""))
+    d = d.select(
         "doc_id",
         "lang",
-        "w",
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-        n.cast("long").alias("n_chars"),
-        (n - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        (n - F.length(without(t, "\\p{Lu}+"))).cast("long").alias("n_upper"),
-        (n - F.length(without(t, "\\p{L}+"))).cast("long").alias("n_letters"),
-        (n - F.length(without(t, "\\p{Nd}+"))).cast("long").alias("n_digits"),
+        F.size("w").alias("n_words"),
+        F.length(F.array_join("w", "")).alias("word_chars"),
+        F.length("t").alias("n_chars"),
+        F.length("rest").alias("n_rest"),
+        symbols.alias("n_symbols"),
+        digits.alias("n_digits"),
+        upper.alias("n_upper"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
+        repeat_words(F.col("w")).alias("n_repeat_words"),
+        word_counts(F.col("w"), rules.common_words).alias("word_counts"),
     )
-
-
-def class_counts() -> Column:
-    """In the order of CLASSES, from the columns of :func:`measured`."""
-    c = F.col
-    other = c("word_chars") - c("n_letters") - c("n_digits") - c("n_symbols")
-    return F.array(
-        c("n_upper"), c("n_letters") - c("n_upper"), c("n_digits"), c("n_chars") - c("word_chars"), c("n_symbols"), other
+    c = {x: F.col(x).cast("long") for x in ("n_words", "word_chars", "n_chars", "n_rest", "n_symbols", "n_digits", "n_upper", "n_dup_lines")}
+    classes = F.array(
+        c["n_upper"],
+        c["word_chars"] - c["n_rest"] - c["n_upper"],
+        c["n_digits"],
+        c["n_chars"] - c["word_chars"],
+        c["n_symbols"],
+        c["n_rest"] - c["n_symbols"] - c["n_digits"],
     )
+    keep = ("n_words", "word_chars", "n_chars", "n_symbols", "n_dup_lines")
+    return d.select("doc_id", "lang", *[c[x].alias(x) for x in keep], "n_repeat_words", classes.alias("class_counts"), "word_counts")
 
 
 def shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
+    return let(total(counts), lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -114,64 +149,25 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def references(docs: DataFrame, rules: Rules) -> DataFrame:
-    """One row per language: class_ref, common (words), word_ref (their shares, then the rest's).
-
-    Both aggregates combine on the map side; the rows that leave them are languages.
-    """
-    t = F.coalesce(F.col("text"), F.lit(""))
-    n = F.length(t)
-    d = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), t.alias("text"))
-    counted = d.select(
-        "lang",
-        F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-        F.size(words(t)).cast("long").alias("n_words"),
-        n.cast("long").alias("n_chars"),
-        (n - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (n - F.length(without(t, "\\p{Lu}+"))).cast("long").alias("n_upper"),
-        (n - F.length(without(t, "\\p{L}+"))).cast("long").alias("n_letters"),
-        (n - F.length(without(t, "\\p{Nd}+"))).cast("long").alias("n_digits"),
-    )
-    names = [c for c in counted.columns if c != "lang"]
-    classes = (
-        counted.groupBy("lang")
-        .agg(*[F.sum(c).alias(c) for c in names])
-        .select("lang", "n_words", shares(class_counts()).alias("class_ref"))
-    )
-    by_word = d.select("lang", F.explode(words(t)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    # a rank filter: each task keeps its best few per language before anything is shuffled
-    ranked = by_word.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    top = (
-        ranked.where(F.col("r") <= rules.common_words)
-        .groupBy("lang")
-        .agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
-    )
-    counts = F.transform("top", lambda x: x["n"])
-    rest = F.col("n_words") - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return (
-        classes.join(top, "lang", "left")
-        .withColumn("common", F.coalesce(F.transform("top", lambda x: x["word"]), F.array().cast("array<string>")))
-        .withColumn("word_ref", shares(F.coalesce(F.concat(counts, F.array(rest)), F.array(F.lit(0).cast("long")))))
-        .select("lang", "class_ref", "common", "word_ref")
+def references(rows: DataFrame, rules: Rules) -> DataFrame:
+    """A row per language: class_ref and word_ref, the shares over all its documents."""
+    longest = 1 + max((len(x) for x in rules.common_words.values()), default=0)
+    at = lambda c, i: F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0))
+    sums = rows.groupBy("lang").agg(
+        F.array(*[at("class_counts", i) for i in range(len(CLASSES))]).alias("c"),
+        F.array(*[at("word_counts", i) for i in range(longest)]).alias("w"),
     )
+    return sums.select("lang", shares(F.col("c")).alias("class_ref"), shares(F.col("w")).alias("word_ref"))
 
 
 def score_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per document: its counts, both distances, ``base_failed`` and ``kept``."""
-    d = measured(docs).withColumn("n_repeat_words", repeat_words(F.col("w")))
-    ref = F.broadcast(references(docs, rules))  # one row per language
-    d = d.join(ref, "lang", "left")
-    found = F.filter("w", lambda x: F.array_contains(F.col("common"), x))
-    hits = F.col("hits")
-    counts = F.transform("common", lambda c: F.size(F.filter(hits, lambda x: x == c)).cast("long"))
-    d = d.withColumn("hits", found).withColumn(
-        "word_hist", F.concat(counts, F.array(F.col("n_words") - F.size(hits).cast("long")))
-    )
-    d = d.withColumn("class_distance", js_distance(shares(class_counts()), F.col("class_ref")))
-    d = d.withColumn("word_distance", js_distance(shares(F.col("word_hist")), F.col("word_ref")))
-    base = (F.col("n_words") < rules.min_words) | (
-        F.col("n_repeat_words") > F.lit(rules.max_repeat_share) * F.col("n_words")
-    )
+    rows = stored(measured(docs, rules), "quality")
+    d = rows.join(F.broadcast(references(rows, rules)), "lang")  # a row per language
+    ref = F.slice("word_ref", F.lit(1), F.size("word_counts"))
+    d = d.withColumn("class_distance", F.round(js_distance(shares(F.col("class_counts")), F.col("class_ref")), 6))
+    d = d.withColumn("word_distance", F.round(js_distance(shares(F.col("word_counts")), ref), 6))
+    base = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     odd = (
         (F.col("n_chars") >= rules.min_chars_for_classes) & (F.col("class_distance") > rules.max_class_distance)
     ) | ((F.col("n_words") >= rules.min_words_for_common) & (F.col("word_distance") > rules.max_word_distance))
@@ -182,8 +178,8 @@ def score_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        F.round("class_distance", 6).alias("class_distance"),
-        F.round("word_distance", 6).alias("word_distance"),
+        "class_distance",
+        "word_distance",
         base.alias("base_failed"),
         (~base & ~F.coalesce(odd, F.lit(False))).alias("kept"),
     )
