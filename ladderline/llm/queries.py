@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ladderline.llm.chat import op5_chat_format
 from ladderline.llm.mixing import op8_mixing
+from ladderline.llm.near_dedup import op7_near_dedup
 from ladderline.llm.packing import op2_packing
 from ladderline.llm.quality import op10_quality_rules
 from ladderline.llm.token_orc import op3_token_orc
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_token_orc": op3_token_orc,
     "op5_chat_format": op5_chat_format,
+    "op7_near_dedup": op7_near_dedup,
     "op8_mixing": op8_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
