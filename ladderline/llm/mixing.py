@@ -24,11 +24,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import stored, table
+from ladderline.llm.common import stored, table, words
 
 BLOCK_WORDS = 64
 SHARD_WORDS = 500_000
@@ -149,14 +149,33 @@ def mix(
     stride = F.col("stride")
     both = both.withColumn("stride", _coprime(n))
     block_no = F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))
-
-    def words_in(b):
-        inside = F.least(F.col("at") + F.col("size"), (b + 1) * block) - F.greatest(F.col("at"), b * block)
-        return F.when(F.pmod(b * stride + offset, n) < F.pmod(quota, n), inside).otherwise(F.lit(0).cast("long"))
-
-    extra = F.aggregate(block_no, F.lit(0).cast("long"), lambda a, b: a + words_in(b))
-    taken = F.when(F.col("size") > 0, F.floor(quota / n) * F.col("size") + extra).otherwise(F.lit(0))
-    return both.select("doc_id", placed["source"], "size", "source_size", "target", taken.cast("long").alias("taken"))
+    chosen = F.filter(block_no, lambda b: F.pmod(b * stride + offset, n) < F.pmod(quota, n))
+
+    def words_in(b: Column) -> Column:
+        start = F.greatest(F.col("at"), b * block) - F.col("at")
+        stop = F.least(F.col("at") + F.col("size"), (b + 1) * block) - F.col("at")
+        return F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"))
+
+    some = F.col("size") > 0
+    both = both.withColumn("spans", F.when(some, F.transform(chosen, words_in)).otherwise(F.array()))
+    both = both.withColumn("times", F.when(some, F.floor(quota / n)).otherwise(F.lit(0)).cast("long"))
+    extra = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    taken = (F.col("times") * F.col("size") + extra).cast("long").alias("taken")
+    return both.select("doc_id", placed["source"], "size", "source_size", "target", taken, "times", "spans")
+
+
+def mixed_documents(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``docs`` as the plan of :func:`mix` takes them: ``times`` whole copies of each, and one with the
+    words of its chosen blocks. Rows that share a doc_id follow one of its plans."""
+    per_id = plan.groupBy(F.col("doc_id").alias("id_")).agg(F.first("times").alias("times_"), F.first("spans").alias("spans_"))
+    both = docs.join(per_id, docs["doc_id"].eqNullSafe(per_id["id_"]))
+    whole = F.when(F.col("times_") > 0, F.array_repeat(F.col("text"), F.col("times_").cast("int"))).otherwise(F.array())
+    parts = F.flatten(F.transform("spans_", lambda s: F.slice(words(F.col("text")), s["start"] + 1, s["stop"] - s["start"])))
+    extra = F.when(F.size("spans_") > 0, F.array(F.array_join(parts, " "))).otherwise(F.array())
+    out = both.withColumn("text", F.explode(F.concat(whole, extra)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 #: Fixed primes; the first that does not divide n is a stride through all residues mod n.

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from ladderline.llm.chat import op5_chat_format
 from ladderline.llm.mixing import op8_mixing
 from ladderline.llm.near_dedup import op7_near_dedup
 from ladderline.llm.packing import op2_packing
 from ladderline.llm.quality import op10_quality_rules
+from ladderline.llm.substring_dedup import op9_substring_dedup
 from ladderline.llm.token_orc import op3_token_orc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op2_packing": op2_packing,
     "op3_token_orc": op3_token_orc,
     "op5_chat_format": op5_chat_format,
     "op7_near_dedup": op7_near_dedup,
     "op8_mixing": op8_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
