@@ -8,7 +8,7 @@ a text are gathered from the ids of its pieces with numpy. Cuts are exact:
   before a space that has a non-space on both sides. Nothing else of its pattern holds a space
   together with something before it, and no lookahead crosses such a place.
 
-The memory of pieces lives as long as the Python worker and is emptied at ``max_pieces``.
+The memory of pieces lives as long as the Python worker; at ``max_pieces`` those that came only once are forgotten.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ import pyarrow.compute as pc
 
 #: A space that is not between two non-spaces (white space as Python or Unicode sees it).
 _LOOSE = "^ | $|[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] | [\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: Punctuation that ends a word and is no part of its tokens, and a word before it (not a letter that
+#: becomes a letter and a mark when lowered).
+_TAIL, _LETTER_END = ".,;:!?", "[^\\PL\\x{130}]$"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Distinct pieces that go to the tokenizer at once, and bytes of text that are worked on at once.
 _AT_ONCE, _SLICE_BYTES = 4096, 8 << 20
@@ -39,6 +43,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.space_prefix, self.end_id, self.max_pieces = space_prefix, end_id, max_pieces
+        normal = self.tokenizer.normalizer
+        #: Texts may be lowered first (A-Z), which joins many pieces, if the tokenizer does so itself.
+        self.lowers = normal is not None and normal.normalize_str("AZ") == "az"
         self._clear()
 
     def _clear(self) -> None:
@@ -46,29 +53,72 @@ class Encoder:
         self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self.flat = np.array([self.end_id], dtype=np.uint32)  # number 0 is the end id
         self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.seen = np.ones(1, np.int64)  # in how many slices of text
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _trim(self) -> None:
+        """Keep only pieces that came again since the last time (nothing, if that is most of them)."""
+        keep = self.seen > 1
+        keep[0] = True
+        if 2 * keep.sum() > self.max_pieces:
+            self._clear()
+            return
+        number, kept = (np.cumsum(keep) - 1).tolist(), keep.tolist()
+        self.known = tuple({p: number[n] for p, n in known.items() if kept[n]} for known in self.known)
+        length = self.lengths[keep]
+        start = np.cumsum(length) - length
+        self.flat = self._gather(np.flatnonzero(keep))
+        self.starts, self.lengths, self.seen = start, length, np.ones(len(length), np.int64)
 
     def _numbers(self, pieces: pa.Array, spaced: bool) -> np.ndarray:
         """The number of each distinct piece; encodes those that are new."""
         known, values = self.known[spaced], pieces.to_pylist()
-        new = [p for p in values if p not in known]
-        if new:
-            first = len(self.lengths)
-            known.update(zip(new, range(first, first + len(new))))
-            flat, lengths = [], []
-            for i in range(0, len(new), _AT_ONCE):
-                part = new[i : i + _AT_ONCE]
+        numbers = np.fromiter(map(known.get, values, repeat(-1)), np.int64, len(values))
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            new = pieces.take(pa.array(fresh))
+            base = pc.utf8_rtrim(new, _TAIL)
+            two = pc.and_(pc.not_equal(base, new), pc.match_substring_regex(base, _LETTER_END))
+            two = two.to_numpy(zero_copy_only=False)
+            if two.any():  # a word and its punctuation: each is encoded once
+                some = pa.array(two)
+                a = self._distinct(base.filter(some), spaced)
+                b = self._distinct(pc.replace_substring_regex(new.filter(some), f"(?s)^.*[^{_TAIL}]", ""), False)
+                both = np.stack([a, b], 1)
+                self._add(known, [values[k] for k in fresh[two].tolist()], self._gather(both.ravel()), self.lengths[both].sum(1))
+            one = [values[k] for k in fresh[~two].tolist()]
+            for i in range(0, len(one), _AT_ONCE):
+                part = one[i : i + _AT_ONCE]
                 e = self.tokenizer.encode(
                     [" " + p for p in part] if spaced else part, is_pretokenized=True, add_special_tokens=False
                 )
-                flat.append(np.array(e.ids, dtype=np.uint32))
                 word = np.array(e.word_ids, dtype=np.int64)
-                lengths.append(np.bincount(word, minlength=len(part)) if len(word) else np.zeros(len(part), np.int64))
-            length = np.concatenate(lengths).astype(np.int64)
+                self._add(known, part, np.array(e.ids, dtype=np.uint32), np.bincount(word, minlength=len(part)))
+            numbers[fresh] = np.fromiter(map(known.get, (values[k] for k in fresh.tolist())), np.int64, len(fresh))
+            self._settle()
+        self.seen[numbers] += 1
+        return numbers
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        length = self.lengths[numbers]
+        start = np.cumsum(length) - length
+        return self.flat[np.arange(length.sum()) + np.repeat(self.starts[numbers] - start, length)]
+
+    def _add(self, known: dict[str, int], pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Number new pieces; :meth:`_settle` puts their ids where they can be gathered."""
+        first = len(self.lengths) + sum(len(x[1]) for x in self.waiting)
+        known.update(zip(pieces, range(first, first + len(pieces))))
+        self.waiting.append((ids, lengths.astype(np.int64)))
+
+    def _settle(self) -> None:
+        if self.waiting:
+            length = np.concatenate([x[1] for x in self.waiting])
             start = len(self.flat) + np.cumsum(length) - length
-            self.flat = np.concatenate([self.flat, *flat])
+            self.flat = np.concatenate([self.flat, *(x[0] for x in self.waiting)])
             self.starts = np.concatenate([self.starts, start])
             self.lengths = np.concatenate([self.lengths, length])
-        return np.fromiter((known[p] for p in values), np.int64, len(values))
+            self.seen = np.concatenate([self.seen, np.zeros(len(length), np.int64)])
+            self.waiting = []
 
     def _distinct(self, pieces: pa.Array, spaced: bool) -> np.ndarray:
         if not len(pieces):
@@ -78,6 +128,8 @@ class Encoder:
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all pieces, and how many each text has."""
+        if self.lowers:  # but for texts that may hold special tokens, which are found as they stand
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.split_pattern(texts, " ")
         counts = np.diff(split.offsets.to_numpy())
         pieces = split.flatten()
@@ -105,18 +157,16 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         for part in self._slices(texts):
             if len(self.lengths) > self.max_pieces:
-                self._clear()
+                self._trim()
             if self.space_prefix and pc.any(loose := pc.match_substring_regex(part, _LOOSE)).as_py():
                 numbers, counts = self._mixed(part, loose.to_numpy(zero_copy_only=False))
             else:
                 numbers, counts = self._pieces(part)
             ends = np.cumsum(counts)
             numbers = np.insert(numbers, ends, 0)
-            length = self.lengths[numbers]
-            total = np.concatenate([[0], np.cumsum(length)])
-            at = np.arange(total[-1]) + np.repeat(self.starts[numbers] - total[:-1], length)
+            total = np.concatenate([[0], np.cumsum(self.lengths[numbers])])
             bounds = total[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
-            yield len(part), self.flat[at], np.diff(bounds)
+            yield len(part), self._gather(numbers), np.diff(bounds)
 
     def _mixed(self, part: pa.Array, loose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts with loose spaces are cut by the general pattern, the others as usual."""
