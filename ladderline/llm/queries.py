@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from ladderline.llm.chat import op5_chat_format
+from ladderline.llm.langid import op6_language_id
 from ladderline.llm.mixing import op8_mixing
 from ladderline.llm.near_dedup import op7_near_dedup
 from ladderline.llm.packing import op2_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_token_orc": op3_token_orc,
     "op5_chat_format": op5_chat_format,
+    "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
