@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from ladderline.llm.ann import op4_ann
 from ladderline.llm.chat import op5_chat_format
 from ladderline.llm.langid import op6_language_id
 from ladderline.llm.mixing import op8_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op2_packing": op2_packing,
     "op3_token_orc": op3_token_orc,
+    "op4_ann": op4_ann,
     "op5_chat_format": op5_chat_format,
     "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
