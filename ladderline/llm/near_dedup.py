@@ -11,13 +11,14 @@ Hot values. A list of up to ``list_most`` classes gives all its pairs. A longer
 passage that many documents share, or to a large group of near copies. If at least half of a class's
 retained values have short lists, every partner of it shares over two thirds of those (a partner
 lacks at most 15 % of its set) and is found through them. What is left are classes made mostly of hot
-values. Their lists are keyed by three consecutive retained values, which documents share only if they
-agree over that whole stretch of hash values. Long lists of this kind give a star about their smallest
-member, and after the links so far are joined into components, all pairs of members in different
-components: none of them is dropped, and within a component no further link can change the result.
+values, and only links between two of them are still open. Most share a passage and have too many
+shingles of their own to link at all; those go by an exact bound. The others form groups by runs of
+three consecutive retained values. Each member is held against its group's center; members outside
+the center's component are then held against all members in other components, inside a join that
+gives only links. Within a component no further link can change the result.
 
 A partner at the threshold is missed only if none of 32 sampled values (16 in a half-hot class) is
-shared: odds below 1e-8.
+shared, odds below 1e-8, or, between two hot classes, no run of three connects their group.
 
 Cases: null and empty texts have the empty set and are linked with nothing; a text of fewer than five
 words has its whole sequence as its one shingle; a null doc_id is linked with nothing and kept;
@@ -145,6 +146,66 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int, name:
     return d.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
+def _similar(percent: int) -> Column:
+    """Of rows with sets sa and sb: do they reach the threshold?"""
+    common = F.size(F.array_intersect("sa", "sb"))
+    return (100 + percent) * common >= percent * (F.size("sa") + F.size("sb"))
+
+
+def _able_to_link(docs: DataFrame, some: DataFrame, percent: int, words: int, rounds: int = 3) -> DataFrame:
+    """Of ``some`` (rep, n, sketch) those that may link with each other, with their full sets and
+    ``alone``, how many of their shingles no other has. These can't be in an intersection and are in
+    every union, so who has too many of them has no partner here and goes; that makes more shingles
+    lonely, so it is done again."""
+    ids = some.select(F.col("rep").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    live = full_sets(texts, words).withColumnRenamed("doc_id", "rep").join(some, "rep")
+    live = stored(live, "hot-sets")
+    for _ in range(rounds):
+        lone = live.select("rep", F.explode("shingles").alias("v")).groupBy("v").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
+        lone = lone.where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+        live = live.drop("alone").join(lone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("long")))
+        live = stored(live.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), "hot-live")
+    return live
+
+
+def _hot_groups(live: DataFrame) -> DataFrame:
+    """``live`` with g, its group: all that three consecutive retained values connect; and the group's
+    center, the member with the fewest shingles of its own (a copy that the others were made from)."""
+    triple = lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", i + 1), F.get("sketch", i + 2))
+    keys = F.transform(F.sequence(F.lit(0), F.greatest(F.size("sketch") - 3, F.lit(0))), triple)
+    keyed = live.select("rep", F.explode(F.array_distinct(keys)).alias("t"))
+    first = keyed.groupBy("t").agg(F.min("rep").alias("a"), F.count("*").alias("f")).where("f > 1")
+    group = components(keyed.join(first, "t").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
+    rows = live.join(group.withColumnRenamed("node", "rep"), "rep").withColumnRenamed("component", "g")
+    center = rows.groupBy("g").agg(F.min_by("rep", F.struct(F.col("alone") / F.col("n"), "rep")).alias("center"))
+    return stored(rows.join(center, "g").select("g", "center", "rep", "n", "alone", "shingles"), "hot-groups")
+
+
+def _star_links(grouped: DataFrame, percent: int) -> DataFrame:
+    """Links of the members of each group with its center."""
+    center = grouped.where("rep = center").select("g", F.col("rep").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na"))
+    rest = grouped.where("rep <> center").select("g", F.col("rep").alias("b"), F.col("shingles").alias("sb"), "n")
+    return rest.join(center, "g").where(_alike_in_size(F.col("n"), F.col("na"), percent) & _similar(percent)).select("a", "b")
+
+
+def _straggler_links(grouped: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between members in different components, of each group's members outside its center's
+    component with all its members. The bounds and the check on full sets are part of the join, so
+    nothing but links comes out of it."""
+    of = grouped.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    main = of.where("rep = center").select("g", F.col("c").alias("cc"))
+    of = of.join(main, "g").select("g", "rep", "n", "alone", "shingles", "c", (F.col("c") != F.col("cc")).alias("astray"))
+    of = stored(of, "hot-members")
+    x = of.where("astray").select("g", *[F.col(k).alias(f"{k}_x") for k in ("rep", "n", "alone", "c")], F.col("shingles").alias("sa"))
+    y = of.select("g", *[F.col(k).alias(f"{k}_y") for k in ("rep", "n", "alone", "c", "astray")], F.col("shingles").alias("sb"))
+    once = ~F.col("astray_y") | (F.col("rep_x") < F.col("rep_y"))
+    fits = lambda p, q: 100 * (F.col(f"n_{p}") - F.col(f"alone_{p}")) >= percent * (F.col(f"n_{p}") + F.col(f"alone_{q}"))
+    near = _alike_in_size(F.col("n_x"), F.col("n_y"), percent) & fits("x", "y") & fits("y", "x")
+    met = x.join(y, "g").where((F.col("c_x") != F.col("c_y")) & once & near & _similar(percent))
+    return met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 85,
@@ -165,37 +226,20 @@ def near_duplicates(
     listed = exploded.join(lengths, "v")
     listed = stored(listed, "lists")
 
-    hot = listed.where(F.col("f") > list_most).groupBy("rep").agg(F.count("*").alias("hot"))
-    mostly_hot = reps.join(hot, "rep").where(2 * F.col("hot") > F.size("sketch"))
-    triple = lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", i + 1), F.get("sketch", i + 2))
-    keys = F.transform(F.sequence(F.lit(0), F.greatest(F.size("sketch") - 3, F.lit(0))), triple)
-    triples = mostly_hot.select("rep", "n", F.explode(F.array_distinct(keys)).alias("t"))
-    size = triples.groupBy("t").agg(F.count("*").alias("f"), F.min("rep").alias("center"))
-    triples = stored(triples.join(size.where("f > 1"), "t"), "triples")
-    long_lists = triples.where(F.col("f") > list_most)
-
-    pairs = (
-        _list_pairs(listed.where(F.col("f") <= list_most), "v", percent)
-        .unionByName(_list_pairs(triples.where(F.col("f") <= list_most), "t", percent))
-        .unionByName(long_lists.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")))
-        .distinct()
-    )
+    pairs = _list_pairs(listed.where(F.col("f") <= list_most), "v", percent).distinct()
     pairs = stored(_estimated(pairs, reps, percent, k, slack), "pairs")
     links = stored(_verified(pairs, docs, percent, words, "first"), "links")
     labels = components(links)
 
-    if not long_lists.isEmpty():
-        own = long_lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        own = own.select("t", "rep", "n", "center", F.coalesce("component", "rep").alias("c"))
-        of_center = own.where("rep = center").select("t", F.col("c").alias("cc"))
-        own = stored(own.join(of_center, "t").select("t", "rep", "n", "c", "cc"), "long-lists")
-        astray = own.where("c <> cc").select("t", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-        met = astray.join(own, "t").where((F.col("c") != F.col("cx")) & _alike_in_size(F.col("n"), F.col("nx"), percent))
-        across = met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-        across = stored(_estimated(across, reps, percent, k, slack), "across")
-        if not across.isEmpty():
-            links = stored(links.unionByName(_verified(across, docs, percent, words, "second")), "all-links")
-            labels = components(links)
+    hot = listed.where(F.col("f") > list_most).groupBy("rep").agg(F.count("*").alias("hot"))
+    mostly_hot = reps.join(hot, "rep").where(2 * F.col("hot") > F.size("sketch")).select("rep", "n", "sketch")
+    live = _able_to_link(docs, mostly_hot, percent, words)
+    if not live.isEmpty():
+        grouped = _hot_groups(live)
+        more = stored(_star_links(grouped, percent), "star-links")
+        labels = components(links.unionByName(more))
+        links = links.unionByName(more).unionByName(_straggler_links(grouped, labels, percent))
+        labels = components(stored(links, "all-links"))
 
     labels = stored(labels, "components")
     of_class = reps.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
