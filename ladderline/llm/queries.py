@@ -12,9 +12,11 @@ from ladderline.llm.packing import op2_packing
 from ladderline.llm.quality import op10_quality_rules
 from ladderline.llm.substring_dedup import op9_substring_dedup
 from ladderline.llm.token_orc import op3_token_orc
+from ladderline.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_token_orc": op3_token_orc,
     "op4_ann": op4_ann,

@@ -34,10 +34,13 @@ from ladderline.llm.hashing import mixed, slices
 from ladderline.llm.langid import code_points
 from ladderline.llm.linear import Ftrl
 
-BITS = 20
 STEMS = (4, 5, 6)
-PER_CLASS = 2000
+PER_CLASS = 1500
 MOST_VOTERS = 200
+#: Least likelihood-ratio statistic of a feature that the classifier looks at.
+LEAST_G = 16.0
+#: Features (sorted hashes), their weights, bias.
+Model = tuple[np.ndarray, np.ndarray, float]
 SEED = 13
 
 
@@ -57,7 +60,7 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
 
     def hashed(take: np.ndarray, kind: int) -> np.ndarray:
         h = mixed((sums[where + take] - sums[where]) ^ (np.uint64(kind) << np.uint64(56)))
-        return (h >> np.uint64(64 - BITS)).astype(np.int32)
+        return (h >> np.uint64(1)).view(np.int64)
 
     kinds = [(hashed(length, 1), None)] + [(hashed(np.minimum(length, n), n), length >= n) for n in STEMS]
     bounds = np.searchsorted(first, np.append(0, np.cumsum(counts)))
@@ -128,16 +131,16 @@ def _gathered(docs: DataFrame) -> DataFrame:
         for b in batches:
             at = 0
             for texts in slices(b.column(1)):
-                found = pa.array(list(features(texts)), pa.list_(pa.int32()))
+                found = pa.array(list(features(texts)), pa.list_(pa.int64()))
                 votes = pa.array(shapes(texts).tolist(), pa.list_(pa.bool_()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), found, votes], names=["label", "at", "shape"])
                 at += len(texts)
 
-    return docs.select("label", "text").mapInArrow(run, "label int, at array<int>, shape array<boolean>")
+    return docs.select("label", "text").mapInArrow(run, "label int, at array<long>, shape array<boolean>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = SEED) -> tuple[np.ndarray, float] | None:
-    """Feature weights and bias from the rows of ``docs`` that may be learned from."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = SEED) -> Model | None:
+    """Features, weights and bias from the rows of ``docs`` that may be learned from."""
     label = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     ids = docs.select("doc_id").join(label, "doc_id", "left").select("doc_id", F.coalesce("label", F.lit(-1)).alias("label"))
     ids = stored(ids, "label-ids")
@@ -153,50 +156,54 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
     if not ((y == 0).any() and (y == 1).any()):
         return None
     sets = [np.asarray(x, np.int64) for x in rows["at"]]
-    df = [np.bincount(np.concatenate([s for s, k in zip(sets, y) if k == c]), minlength=1 << BITS) for c in (0, 1)]
+    shape = np.array(rows["shape"].tolist(), float).reshape(len(rows), -1)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    keys, which = np.unique(np.concatenate(sets), return_inverse=True)
+    df = [np.bincount(which[y[owner] == c], minlength=len(keys)) for c in (0, 1)]
     n = [(y == c).sum() for c in (0, 1)]
     # lexicon voters: much likelier in toxic documents, and hardly ever in clean ones
     p1, p0 = (df[1] + 0.1) / (n[1] + 0.2), (df[0] + 0.1) / (n[0] + 0.2)
     gain = df[1] * np.log(p1 / p0)
-    able = np.flatnonzero((df[1] >= max(3, 0.005 * n[1])) & (p1 > 8 * p0))
+    # "g": the shares in both classes differ by more than chance makes of that many features
+    mean = np.maximum((df[0] + df[1]) / (n[0] + n[1]), 1e-12)
+    g = sum(2 * d * np.log(np.maximum(d, 1e-9) / (m * mean)) for d, m in zip(df, n) if m)
+    able = np.flatnonzero((g > LEAST_G) & (p1 > 8 * p0))
     voters = able[np.argsort(-gain[able], kind="stable")][:MOST_VOTERS]
-    place = np.full(1 << BITS, -1)
+    place = np.full(len(keys), -1)
     place[voters] = np.arange(len(voters))
     votes = np.zeros((len(sets), len(voters) + 4))
-    for k, s in enumerate(sets):
-        hit = place[s]
-        votes[k, hit[hit >= 0]] = 1
-    votes[:, len(voters) : len(voters) + 3] = np.array(rows["shape"].tolist(), float)
+    hit = place[which] >= 0
+    votes[owner[hit], place[which][hit]] = 1
+    votes[:, len(voters) : len(voters) + 3] = shape
     votes[:, -1] = ~votes[:, : len(voters)].any(axis=1)
     _, posterior = fit_label_model(votes, y)
-    # features that few documents have say little of other documents
-    common = np.flatnonzero(np.bincount(np.concatenate(sets), minlength=1 << BITS) >= max(3, 0.001 * len(sets)))
-    useful = common[np.abs(np.log(p1[common] / p0[common])) > 2.0]
-    slot = np.full(1 << BITS, -1)
+    useful = np.flatnonzero(g > LEAST_G)
+    slot = np.full(len(keys), -1)
     slot[useful] = np.arange(len(useful))
     model = Ftrl(len(useful), 2, alpha=0.3, beta=1.0, l1=1.0, l2=0.05)
-    data = [(at := slot[s][slot[s] >= 0], np.ones(len(at))) for s in sets]
+    at = slot[which]
+    ends = np.cumsum([len(x) for x in sets])
+    data = [(x := a[a >= 0], np.ones(len(x))) for a in np.split(at, ends[:-1])]
     w = model.fit(data, np.stack([1 - posterior, posterior], 1), epochs=4, seed=seed)
     d = w[:, 1] - w[:, 0]
-    out = np.zeros(1 << BITS, np.float32)
-    out[useful] = d[:-1]
-    return out, float(d[-1])
+    some = np.flatnonzero(d[:-1])
+    return keys[useful][some], d[:-1][some], float(d[-1])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
-    """doc_id, score of every document."""
-    weights, bias = model or (np.zeros(1 << BITS, np.float32), -40.0)
-    at = np.flatnonzero(weights)
-    shared = docs.sparkSession.sparkContext.broadcast((at, weights[at], bias))
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, score of every document. The model has no more features than its sample."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or (np.zeros(0, np.int64), np.zeros(0), -40.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, b0 = shared.value
-        w = np.zeros(1 << BITS, np.float32)
-        w[keys] = values
+        keys, weights, bias = shared.value
+        keys, weights = np.append(keys, np.iinfo(np.int64).max), np.append(weights, 0.0)
         for b in batches:
             at = 0
             for texts in slices(b.column(1)):
-                z = np.array([float(w[f].sum()) for f in features(texts)]) + b0
+                z = np.full(len(texts), bias)
+                for i, f in enumerate(features(texts)):
+                    k = np.searchsorted(keys, f)
+                    z[i] += weights[k[keys[k] == f]].sum()
                 p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(p)], names=["doc_id", "score"])
                 at += len(texts)
