@@ -60,3 +60,12 @@ def words(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 4, is 2. A null id counts as held out: it is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
+
+
+def in_small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """``df``, whose session hands Python at most ``rows`` rows at once: bounds a worker's memory by some
+    texts instead of 10,000 of them."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

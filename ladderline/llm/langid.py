@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import held_out, table
+from ladderline.llm.common import held_out, in_small_batches, table
 from ladderline.llm.hashing import slices
 from ladderline.llm.linear import Ftrl, softmax, temperature
 
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
                 )
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

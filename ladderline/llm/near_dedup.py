@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import stored, table
+from ladderline.llm.common import in_small_batches, stored, table
 from ladderline.llm.hashing import shingles_by_text, slices
 
 SHINGLE_WORDS = 5
@@ -68,7 +68,7 @@ def sketches(docs: DataFrame, k: int = SKETCH_SIZE, words: int = SHINGLE_WORDS)
                 )
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -86,7 +86,7 @@ def full_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                 )
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def _alike_in_size(n: Column, m: Column, percent: int) -> Column:

@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import table
+from ladderline.llm.common import in_small_batches, table
 from ladderline.llm.tokens import encoder
 
 CAPACITY = 2048
-BATCH_TOKENS = 4_000_000
+BATCH_TOKENS = 1_500_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -176,7 +176,7 @@ def pack_documents(
         if ids:
             yield _emit(ids, parts, number, capacity)[0]
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, SCHEMA)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:

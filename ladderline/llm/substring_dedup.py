@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import stored, table
+from ladderline.llm.common import in_small_batches, stored, table
 from ladderline.llm.hashing import shingle_hashes, slices, word_hashes
 
 K = 5
@@ -79,7 +79,7 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
                     [pa.array(np.concatenate(x)) for x in (owner, value, place)], names=["doc_id", "seed", "i"]
                 )
 
-    some = docs.where("doc_id is not null").select("doc_id", "text")
+    some = in_small_batches(docs.where("doc_id is not null").select("doc_id", "text"))
     return some.mapInArrow(run, "doc_id long, seed long, i int")
 
 

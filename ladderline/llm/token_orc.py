@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import scratch, table
+from ladderline.llm.common import in_small_batches, scratch, table
 from ladderline.llm.tokens import encoder
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
@@ -60,7 +60,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, space_prefix: bool,
                 )
                 at, held = at + n, held + int(ends[-1])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = in_small_batches(docs.select("doc_id", "text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 

@@ -29,7 +29,7 @@ _LOOSE = "^ | $|[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\
 _TAIL, _LETTER_END = ".,;:!?", "[^\\PL\\x{130}]$"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Distinct pieces that go to the tokenizer at once, and bytes of text that are worked on at once.
-_AT_ONCE, _SLICE_BYTES = 4096, 8 << 20
+_AT_ONCE, _SLICE_BYTES = 4096, 4 << 20
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
@@ -37,7 +37,7 @@ _ENCODERS: dict[tuple, Encoder] = {}
 class Encoder:
     """``encode`` gives the ids of an Arrow string array, each text closed by ``end_id``."""
 
-    def __init__(self, path: str, space_prefix: bool, end_id: int, max_pieces: int = 500_000):
+    def __init__(self, path: str, space_prefix: bool, end_id: int, max_pieces: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import held_out, stored, table
+from ladderline.llm.common import held_out, in_small_batches, stored, table
 from ladderline.llm.hashing import mixed, slices
 from ladderline.llm.langid import code_points
 from ladderline.llm.linear import Ftrl
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(p)], names=["doc_id", "score"])
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
