@@ -1,10 +1,639 @@
-"""The contest queries by name, and the SQL that each must agree with."""
+"""The contest queries by name, and the SQL that each must agree with.
+
+Queries without SQL (walks through ratings, models, streams) are tested against brute force.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ladderline.functions import clean, confidence, is_pro
+from ladderline.operators import asof, elo, metrics, profile, records, rosters, teams
+from ladderline.plans import dataset, models, serving
+from ladderline.plans import views as v
+from ladderline.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+CONTESTS = """contests AS (SELECT o_orderkey match_id, o_orderdate start_time, o_custkey % 25 radiant_team_id,
+ (o_custkey % 25 + 1 + o_orderkey % 24) % 25 dire_team_id, o_totalprice > 200000 radiant_win,
+ CASE o_orderpriority WHEN '1-URGENT' THEN 'premium' WHEN '2-HIGH' THEN 'professional' ELSE 'amateur' END league_tier,
+ o_orderpriority league_id FROM orders)"""
+TEAMS = """tc AS (SELECT match_id, start_time, radiant_team_id team_id, dire_team_id opponent_id, true is_radiant, radiant_win won FROM contests
+ UNION ALL SELECT match_id, start_time, dire_team_id, radiant_team_id, false, NOT radiant_win FROM contests)"""
+VERSIONS = """versions AS (SELECT date_trunc('quarter', o_orderdate)::TIMESTAMP released_at,
+ row_number() OVER (ORDER BY date_trunc('quarter', o_orderdate)::TIMESTAMP) patch_id FROM (SELECT DISTINCT date_trunc('quarter', o_orderdate)::TIMESTAMP o_orderdate FROM orders)),
+ versioned AS (SELECT c.*, x.patch_id, x.released_at FROM contests c ASOF LEFT JOIN versions x ON c.start_time >= x.released_at)"""
+CHILDREN = """children AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) rn FROM lineitem)"""
+PLAYERS = """players AS (SELECT match_id, start_time, CASE WHEN rn % 2 = 1 THEN radiant_team_id ELSE dire_team_id END team_id, rn % 2 = 1 is_radiant, rn,
+ l_suppkey account_id, l_quantity kills FROM children JOIN contests ON l_orderkey = match_id)"""
+PICKS = """picks AS (SELECT match_id, start_time, patch_id, CASE WHEN rn % 2 = 1 THEN radiant_team_id ELSE dire_team_id END team_id, rn ord, l_partkey hero_id,
+ l_returnflag <> 'R' is_pick, CASE WHEN rn % 2 = 1 THEN radiant_win ELSE NOT radiant_win END won FROM children JOIN versioned ON l_orderkey = match_id)"""
+SIDES = """sides AS (SELECT match_id, start_time, team_id, list_sort(list_distinct(list(account_id))) lineup FROM players GROUP BY ALL)"""
+FORECASTS = """f AS (SELECT match_id, start_time, league_tier, 0.5::DOUBLE + (radiant_team_id - dire_team_id) / 60::DOUBLE p, radiant_win won FROM contests)"""
+BY_TEAM = "PARTITION BY team_id ORDER BY start_time, match_id"
+LOSS = """avg(CASE WHEN (p >= 0.5) = won THEN 1.0 ELSE 0.0 END)::DOUBLE"""
+LOG = """avg(-(CASE WHEN won THEN ln(p) ELSE ln(1 - p) END))"""
+BRIER = """avg(pow(p - (CASE WHEN won THEN 1 ELSE 0 END), 2))"""
+
+
+def query(oracle: str | None = None, *ctes: str):
+    """Register a function under its name, with its SQL over the named views."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + oracle
+        return f
+
+    return add
+
+
+def r6(*names: str):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# Point-in-time features
+
+
+@query("SELECT * FROM tc", CONTESTS, TEAMS)
+def team_centric(spark, d):
+    return teams.team_centric(v.contests(spark, d))
+
+
+@query(f"SELECT match_id, team_id, round(avg(won::INT) OVER ({BY_TEAM} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) recent_winrate FROM tc", CONTESTS, TEAMS)
+def recent_form5(spark, d):
+    return teams.team_centric(v.contests(spark, d)).select("match_id", "team_id", F.round(teams.recent_winrate(), 6).alias("recent_winrate"))
+
+
+@query(f"SELECT match_id, team_id, round(date_diff('microsecond', lag(start_time) OVER ({BY_TEAM}), start_time) / 86400000000::DOUBLE, 6) days_since_last_match, date_diff('microsecond', lag(start_time) OVER ({BY_TEAM}), start_time) <= 0 back_to_back FROM tc", CONTESTS, TEAMS)
+def rest_days(spark, d):
+    rows = teams.team_centric(v.contests(spark, d)).withColumn("rest", teams.rest_days())
+    return rows.select("match_id", "team_id", F.round("rest", 6).alias("days_since_last_match"), (F.col("rest") <= 0).alias("back_to_back"))
+
+
+@query(f"SELECT match_id, team_id, count(*) OVER ({BY_TEAM} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) matches_played_before FROM tc", CONTESTS, TEAMS)
+def played_before(spark, d):
+    return teams.team_centric(v.contests(spark, d)).select("match_id", "team_id", teams.played_before().alias("matches_played_before"))
+
+
+@query("SELECT match_id, start_time, radiant_team_id, dire_team_id, radiant_win, league_id, league_tier FROM contests WHERE league_tier IN ('premium', 'professional')", CONTESTS)
+def pro_matches(spark, d):
+    return v.pro_contests(spark, d)
+
+
+@query(f"SELECT match_id, team_id, round(avg(won::INT) OVER ({BY_TEAM} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) winrate FROM tc", CONTESTS, TEAMS)
+def winrate_alltime(spark, d):
+    return teams.team_centric(v.contests(spark, d)).select("match_id", "team_id", F.round(teams.winrate_before(), 6).alias("winrate"))
+
+
+@query(
+    f"""SELECT match_id, team_id, round(avg(won::INT) OVER ({BY_TEAM} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) recent_winrate_10,
+ round(avg(won::INT) OVER ({BY_TEAM} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) recent_winrate_20,
+ count(*) OVER ({BY_TEAM} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) < 20 insufficient_history FROM tc""",
+    CONTESTS, TEAMS,
+)
+def form_10_20(spark, d):
+    n = F.count(F.lit(1)).over(teams.by_team().rowsBetween(-20, -1))
+    return teams.team_centric(v.contests(spark, d)).select(
+        "match_id", "team_id", F.round(teams.recent_winrate(10), 6).alias("recent_winrate_10"),
+        F.round(teams.recent_winrate(20), 6).alias("recent_winrate_20"), (n < 20).alias("insufficient_history"),
+    )
+
+
+@query(
+    f"""SELECT match_id, team_id, round(coalesce(list_reduce(list_prepend(0.5::DOUBLE, list(won::INT::DOUBLE) OVER ({BY_TEAM} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+ lambda a, x: 0.3 * x + 0.7 * a), 0.5), 6) ema FROM tc""",
+    CONTESTS, TEAMS,
+)
+def ema_form(spark, d):
+    return teams.team_centric(v.contests(spark, d)).select("match_id", "team_id", F.round(teams.ema_form(), 6).alias("ema"))
+
+
+@query(
+    """SELECT match_id, n meetings, round(CASE WHEN radiant_team_id = lo THEN s ELSE 1 - s END, 6) radiant_share FROM (
+ SELECT *, count(*) OVER w n, avg(lo_won::INT) OVER w s FROM (SELECT *, least(radiant_team_id, dire_team_id) lo, greatest(radiant_team_id, dire_team_id) hi,
+ (CASE WHEN radiant_win THEN radiant_team_id ELSE dire_team_id END) = least(radiant_team_id, dire_team_id) lo_won FROM contests)
+ WINDOW w AS (PARTITION BY lo, hi ORDER BY start_time, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+    CONTESTS,
+)
+def h2h(spark, d):
+    return teams.head_to_head(v.contests(spark, d)).select("match_id", "meetings", F.round("radiant_share", 6).alias("radiant_share"))
+
+
+@query(
+    """SELECT match_id, n meetings, round(CASE WHEN radiant_team_id = lo THEN s ELSE 1 - s END, 6) radiant_share FROM (
+ SELECT *, count(*) OVER w n, avg(lo_won::INT) OVER w s FROM (SELECT *, least(radiant_team_id, dire_team_id) lo, greatest(radiant_team_id, dire_team_id) hi,
+ date_diff('day', DATE '1970-01-01', start_time::DATE) dd,
+ (CASE WHEN radiant_win THEN radiant_team_id ELSE dire_team_id END) = least(radiant_team_id, dire_team_id) lo_won FROM contests)
+ WINDOW w AS (PARTITION BY lo, hi ORDER BY dd RANGE BETWEEN 730 PRECEDING AND 1 PRECEDING))""",
+    CONTESTS,
+)
+def h2h_2y(spark, d):
+    return teams.head_to_head(v.contests(spark, d), 2).select("match_id", "meetings", F.round("radiant_share", 6).alias("radiant_share"))
+
+
+# Versions and intervals
+
+
+@query("SELECT match_id, patch_id, released_at FROM versioned", CONTESTS, VERSIONS)
+def patch_asof(spark, d):
+    return v.versioned(spark, d).select("match_id", "patch_id", "released_at")
+
+
+@query("SELECT match_id, date_diff('day', released_at::DATE, start_time::DATE)::INT patch_age FROM versioned", CONTESTS, VERSIONS)
+def patch_age(spark, d):
+    age = F.date_diff(F.col("start_time").cast("date"), F.col("released_at").cast("date"))
+    return v.versioned(spark, d).select("match_id", age.alias("patch_age"))
+
+
+@query(
+    """SELECT match_id, team_id, count(*) OVER w patch_matches, round(coalesce(avg(won::INT) OVER w, avg(won::INT) OVER t), 6) patch_winrate
+ FROM (SELECT tc.*, patch_id FROM tc JOIN versioned USING (match_id))
+ WINDOW w AS (PARTITION BY team_id, patch_id ORDER BY start_time, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+ t AS (PARTITION BY team_id ORDER BY start_time, match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""",
+    CONTESTS, TEAMS, VERSIONS,
+)
+def patch_winrate(spark, d):
+    return teams.by_version(v.versioned(spark, d)).select("match_id", "team_id", "patch_matches", F.round("patch_winrate", 6).alias("patch_winrate"))
+
+
+@query(
+    """SELECT match_id, team_id, max(o) other_match FROM (SELECT a.match_id, a.team_id, b.match_id o, row_number() OVER (PARTITION BY a.match_id, a.team_id ORDER BY b.start_time DESC, b.match_id DESC) k
+ FROM tc a LEFT JOIN tc b ON a.team_id = b.team_id AND b.start_time < a.start_time) WHERE k = 1 GROUP BY 1, 2""",
+    CONTESTS, TEAMS,
+)
+def last_match_asof(spark, d):
+    long = teams.team_centric(v.contests(spark, d)).select("match_id", "team_id", "start_time")
+    past = long.select("team_id", F.struct("start_time", "match_id").alias("at"), "start_time", F.col("match_id").alias("other_match"))
+    latest = past.groupBy("team_id", "start_time").agg(F.max_by("other_match", "at").alias("other_match"))
+    return asof.last_before(long, latest, "team_id", "start_time", "start_time", "other_match").select("match_id", "team_id", "other_match")
+
+
+# Validation and records
+
+
+@query(
+    """SELECT match_id, unnest(x).field field, unnest(x).problem problem, unnest(x).severity severity FROM (SELECT match_id, list_filter([
+ CASE WHEN radiant_win IS NULL THEN {'field': 'radiant_win', 'problem': 'missing', 'severity': 'error'} END,
+ CASE WHEN radiant_team_id = dire_team_id THEN {'field': 'teams', 'problem': 'same team on both sides', 'severity': 'error'} END,
+ CASE WHEN start_time < TIMESTAMP '2011-01-01' OR start_time > TIMESTAMP '2000-01-01' THEN {'field': 'start_time', 'problem': 'out of range', 'severity': 'error'} END,
+ CASE WHEN duration <= 0 THEN {'field': 'duration', 'problem': 'not positive', 'severity': 'error'} END,
+ CASE WHEN radiant_team_id IS NULL OR dire_team_id IS NULL THEN {'field': 'teams', 'problem': 'a team is missing', 'severity': 'warning'} END,
+ CASE WHEN league_tier NOT IN ('premium', 'professional') THEN {'field': 'league_tier', 'problem': 'not professional', 'severity': 'warning'} END,
+ CASE WHEN patch_id IS NULL THEN {'field': 'patch_id', 'problem': 'missing', 'severity': 'warning'} END], lambda z: z IS NOT NULL) x
+ FROM (SELECT match_id, start_time, radiant_win, nullif(radiant_team_id, 7) radiant_team_id, CASE WHEN match_id % 50 = 0 THEN nullif(radiant_team_id, 7) ELSE dire_team_id END dire_team_id,
+ match_id % 100 - 3 duration, league_tier, CASE WHEN match_id % 9 <> 0 THEN patch_id END patch_id FROM versioned))""",
+    CONTESTS, VERSIONS,
+)
+def validation_issues(spark, d):
+    return records.validation_issues(_with_faults(spark, d), F.lit("2000-01-01").cast("timestamp_ntz"))
+
+
+def _with_faults(spark, d):
+    m, r = v.versioned(spark, d), F.nullif("radiant_team_id", F.lit(7))
+    return m.withColumns(
+        {
+            "dire_team_id": F.when(F.col("match_id") % 50 == 0, r).otherwise(F.col("dire_team_id")),
+            "radiant_team_id": r,
+            "duration": F.col("match_id") % 100 - 3,
+            "patch_id": F.when(F.col("match_id") % 9 != 0, F.col("patch_id")),
+        }
+    )
+
+
+@query(
+    """SELECT match_id FROM (SELECT match_id, start_time, nullif(radiant_team_id, 7) r, CASE WHEN match_id % 50 = 0 THEN nullif(radiant_team_id, 7) ELSE dire_team_id END e, match_id % 100 - 3 n FROM versioned)
+ WHERE r = e OR start_time < TIMESTAMP '2011-01-01' OR start_time > TIMESTAMP '2030-01-01' OR n <= 0""",
+    CONTESTS, VERSIONS,
+)
+def blocking_matches(spark, d):
+    rows = _with_faults(spark, d)
+    good = records.accepted(rows, F.lit("2030-01-01").cast("timestamp_ntz")).select("match_id")
+    return rows.select("match_id").join(good, "match_id", "left_anti")
+
+
+@query("SELECT l_orderkey, l_linenumber, occurrence FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY rn)::INT occurrence FROM children) WHERE occurrence > 1", CHILDREN)
+def batch_duplicates(spark, d):
+    return records.repeats(v.children(spark, d), ["l_orderkey", "l_linenumber"], ["rn"]).select("l_orderkey", "l_linenumber", "occurrence")
+
+
+@query(r"SELECT c_custkey, nullif(trim(c_mktsegment), '') a, nullif(regexp_replace(' ' || chr(9) || c_name || chr(10) || ' ', '^\s+|\s+$', '', 'g'), '') b, nullif(trim('  '), '') c FROM customer")
+def clean_strings(spark, d):
+    c = v.table(spark, d, "customer")
+    padded = F.concat(F.lit(" \t"), F.col("c_name"), F.lit("\n "))
+    return c.select("c_custkey", clean(F.col("c_mktsegment")).alias("a"), clean(padded).alias("b"), clean(F.lit("  ")).alias("c"))
+
+
+@query("SELECT DISTINCT 'feed' source, event_type endpoint, sha256(props) content_hash FROM events")
+def raw_dedup(spark, d):
+    batch = v.raw_records(spark, d)
+    return records.raw_appended(batch.limit(0), batch).select("source", "endpoint", "content_hash")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, max_by(l_partkey, rn) l_partkey, max_by(l_quantity, rn) l_quantity FROM children GROUP BY 1, 2""",
+    CHILDREN,
+)
+def upsert_last_wins(spark, d):
+    batch = v.children(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "rn")
+    new = records.collapsed(batch, ["l_orderkey", "l_linenumber"], F.col("rn")).drop("rn")
+    return records.merged(new.limit(0), new, ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    """SELECT coalesce(o.match_id, n.match_id) match_id, CASE WHEN o.match_id IS NOT NULL THEN o.start_time ELSE n.start_time END start_time,
+ CASE WHEN n.match_id IS NOT NULL THEN n.radiant_win ELSE o.radiant_win END radiant_win
+ FROM (SELECT * FROM contests WHERE match_id % 3 <> 0) o FULL JOIN (SELECT match_id, start_time + INTERVAL 1 DAY start_time, NOT radiant_win radiant_win FROM contests WHERE match_id % 2 = 0) n ON o.match_id = n.match_id""",
+    CONTESTS,
+)
+def keep_first_columns(spark, d):
+    m = v.contests(spark, d).select("match_id", "start_time", "radiant_win")
+    new = m.where("match_id % 2 = 0").select("match_id", (F.col("start_time") + F.expr("interval 1 day")).alias("start_time"), (~F.col("radiant_win")).alias("radiant_win"))
+    return records.merged(m.where("match_id % 3 <> 0"), new, ["match_id"], keep_first=["start_time"])
+
+
+@query("SELECT max(start_time) + INTERVAL 1 MICROSECOND checkpoint, count(*) n FROM contests", CONTESTS)
+def latest_checkpoint(spark, d):
+    return v.contests(spark, d).agg((F.max("start_time") + F.expr("interval 1 microsecond")).alias("checkpoint"), F.count("*").alias("n"))
+
+
+@query("SELECT match_id, start_time FROM contests ORDER BY start_time, match_id LIMIT 100", CONTESTS)
+def earliest_n(spark, d):
+    return records.earliest(v.contests(spark, d), 100).select("match_id", "start_time")
+
+
+@query("SELECT DISTINCT l_orderkey match_id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45)")
+def fk_rejects(spark, d):
+    known = v.table(spark, d, "part").where("p_size <= 45")
+    rows = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.col("l_partkey").alias("hero_id"))
+    return records.rejected_by_reference(rows, "hero_id", known, "p_partkey", "match_id")
+
+
+@query("SELECT 'primary key' \"check\", count(*) n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) HAVING count(*) > 0 UNION ALL SELECT 'foreign key l_orderkey', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') HAVING count(*) > 0")
+def constraint_checks(spark, d):
+    o = v.table(spark, d, "orders").where("o_orderstatus <> 'F'")
+    return records.violations(v.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey"], {"l_orderkey": (o, "o_orderkey")})
+
+
+@query("SELECT event_id, endpoint, k FROM (SELECT event_id, event_type endpoint, json_extract_string(props, '$.k')::BIGINT k FROM events)")
+def json_extract(spark, d):
+    k = F.from_json("body", "k bigint")["k"]
+    return v.raw_records(spark, d).select(F.col("position").alias("event_id"), "endpoint", k.alias("k"))
+
+
+@query("SELECT doc_id, sha256(text) content_hash FROM documents")
+def content_hashes(spark, d):
+    from ladderline.functions import content_hash
+
+    return v.table(spark, d, "documents").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT match_id, CASE WHEN start_time < TIMESTAMP '1998-01-01' THEN 'train' WHEN start_time < TIMESTAMP '2000-01-01' THEN 'validation' ELSE 'test' END part FROM contests", CONTESTS)
+def time_split(spark, d):
+    ts = lambda x: F.lit(x).cast("timestamp_ntz")
+    return v.contests(spark, d).select("match_id", dataset.time_split(F.col("start_time"), ts("1998-01-01"), ts("2000-01-01")).alias("part"))
+
+
+@query(f"SELECT team_id, count(*) matches, round(avg(won::INT), 6) winrate, max(start_time) last_match FROM tc WHERE start_time < TIMESTAMP '1999-01-01' GROUP BY 1", CONTESTS, TEAMS)
+def replay_cutoff(spark, d):
+    rows = teams.team_centric(v.contests(spark, d)).where(F.col("start_time") < F.lit("1999-01-01").cast("timestamp_ntz"))
+    return rows.groupBy("team_id").agg(F.count("*").alias("matches"), F.round(F.avg(teams.won()), 6).alias("winrate"), F.max("start_time").alias("last_match"))
+
+
+# Children, lineups, drafts
+
+
+@query("SELECT match_id, rn, team_id, is_radiant, account_id, kills, (row_number() OVER (PARTITION BY match_id, is_radiant ORDER BY rn) - 1 + CASE WHEN is_radiant THEN 0 ELSE 128 END)::INT slot FROM players", CONTESTS, CHILDREN, PLAYERS)
+def slots(spark, d):
+    w = W.partitionBy("match_id", "is_radiant").orderBy("rn")
+    slot = F.row_number().over(w) - 1 + F.when(F.col("is_radiant"), 0).otherwise(128)
+    return v.players(spark, d).select("match_id", "rn", "team_id", "is_radiant", "account_id", "kills", slot.alias("slot"))
+
+
+@query("SELECT match_id, ord, team_id, hero_id, is_pick, patch_id FROM picks", CONTESTS, VERSIONS, CHILDREN, PICKS)
+def picks_bans(spark, d):
+    return v.picks(spark, d).select("match_id", "ord", "team_id", "hero_id", "is_pick", "patch_id")
+
+
+@query("SELECT match_id, team_id, array_to_string(lineup, '-') roster_key, len(lineup)::INT accounts FROM sides", CONTESTS, CHILDREN, PLAYERS, SIDES)
+def roster_key(spark, d):
+    s = rosters.lineups(v.players(spark, d))
+    return s.select("match_id", "team_id", F.array_join(F.col("lineup").cast("array<string>"), "-").alias("roster_key"), F.size("lineup").alias("accounts"))
+
+
+@query(
+    f"""SELECT match_id, team_id, count(*) OVER (PARTITION BY team_id, lineup ORDER BY start_time, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) roster_matches,
+ date_diff('day', last_value(c IGNORE NULLS) OVER ({BY_TEAM} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DATE, start_time::DATE)::INT days_since_change
+ FROM (SELECT *, CASE WHEN lag(lineup) OVER ({BY_TEAM}) = lineup THEN NULL ELSE start_time END c FROM sides)""",
+    CONTESTS, CHILDREN, PLAYERS, SIDES,
+)
+def roster_tenure(spark, d):
+    return rosters.roster_tenure(rosters.lineups(v.players(spark, d)))
+
+
+@query(
+    f"""SELECT match_id, team_id, CASE WHEN n > 0 THEN len(list_filter(lineup, lambda x: NOT list_contains(past, x)))::INT END stand_ins,
+ CASE WHEN n > 0 THEN len(list_filter(lineup, lambda x: NOT list_contains(past, x))) > 0 END has_stand_in
+ FROM (SELECT *, flatten(list(lineup) OVER ({BY_TEAM} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) past, count(*) OVER ({BY_TEAM} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) n FROM sides)""",
+    CONTESTS, CHILDREN, PLAYERS, SIDES,
+)
+def stand_in(spark, d):
+    return rosters.stand_ins(rosters.lineups(v.players(spark, d)))
+
+
+ROSTERS = f"""team AS (SELECT *, max(no) OVER (PARTITION BY team_id) last_no FROM (SELECT *, row_number() OVER ({BY_TEAM}) no FROM (SELECT DISTINCT match_id, start_time, team_id FROM players))),
+ member AS (SELECT DISTINCT team_id, account_id, start_time, no, last_no FROM players JOIN team USING (match_id, start_time, team_id)),
+ period AS (SELECT *, sum(o) OVER (PARTITION BY team_id, account_id ORDER BY no) g FROM (SELECT *, CASE WHEN no - lag(no) OVER (PARTITION BY team_id, account_id ORDER BY no) <= 4 THEN 0 ELSE 1 END o FROM member)),
+ roster AS (SELECT team_id, account_id, min(start_time) valid_from, CASE WHEN max(no) + 3 < max(last_no) THEN max(start_time) END valid_to, count(*) matches FROM period GROUP BY team_id, account_id, g)"""
+
+
+@query("SELECT * FROM roster", CONTESTS, CHILDREN, PLAYERS, ROSTERS)
+def roster_periods(spark, d):
+    return rosters.roster_periods(v.players(spark, d))
+
+
+@query("SELECT team_id, count(*) members FROM roster WHERE valid_from <= TIMESTAMP '1998-06-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1998-06-01') GROUP BY 1", CONTESTS, CHILDREN, PLAYERS, ROSTERS)
+def roster_at_date(spark, d):
+    at = F.lit("1998-06-01").cast("timestamp_ntz")
+    return rosters.roster_at(rosters.roster_periods(v.players(spark, d)), at).groupBy("team_id").agg(F.count("*").alias("members"))
+
+
+@query("SELECT team_id, account_id, valid_from FROM (SELECT *, lag(coalesce(valid_to, TIMESTAMP '9999-12-31')) OVER (PARTITION BY team_id, account_id ORDER BY valid_from, valid_to NULLS LAST) b FROM roster) WHERE b > valid_from", CONTESTS, CHILDREN, PLAYERS, ROSTERS)
+def period_overlap(spark, d):
+    return rosters.overlaps(rosters.roster_periods(v.players(spark, d))).select("team_id", "account_id", "valid_from")
+
+
+@query(
+    """SELECT from_team, from_match, team_id, match_id, shared FROM (SELECT from_team, from_match, team_id, match_id, count(*) shared, max(n) n FROM (
+ SELECT team_id, match_id, n, lag(team_id) OVER w from_team, lag(match_id) OVER w from_match FROM (SELECT match_id, start_time, team_id, len(lineup) n, unnest(lineup) a FROM sides)
+ WINDOW w AS (PARTITION BY a ORDER BY start_time, match_id, team_id)) WHERE from_team <> team_id AND from_match <> match_id GROUP BY 1, 2, 3, 4) WHERE shared > 0.8 * n""",
+    CONTESTS, CHILDREN, PLAYERS, SIDES,
+)
+def lineup_overlap(spark, d):
+    return rosters.shared_lineups(rosters.lineups(v.players(spark, d)))
+
+
+@query(
+    """SELECT match_id, team_id, round(avg(c), 6) mean_career FROM (SELECT DISTINCT match_id, team_id, account_id FROM players)
+ JOIN (SELECT match_id, account_id, count(*) OVER (PARTITION BY account_id ORDER BY start_time, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) c
+ FROM (SELECT DISTINCT match_id, start_time, account_id FROM players)) USING (match_id, account_id) GROUP BY 1, 2""",
+    CONTESTS, CHILDREN, PLAYERS,
+)
+def player_experience(spark, d):
+    return rosters.player_experience(v.players(spark, d)).select("match_id", "team_id", F.round("mean_career", 6).alias("mean_career"))
+
+
+@query(
+    f"""SELECT match_id, team_id, coalesce(len(list_distinct(flatten(list(heroes) OVER ({BY_TEAM} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)))), 0)::INT hero_pool
+ FROM (SELECT match_id, start_time, team_id, list_distinct(list(hero_id)) heroes FROM picks WHERE is_pick GROUP BY ALL)""",
+    CONTESTS, VERSIONS, CHILDREN, PICKS,
+)
+def hero_pool(spark, d):
+    return rosters.hero_pool(v.picks(spark, d))
+
+
+@query("SELECT hero_id, patch_id, count(*) picks, round(avg(won::INT), 6) winrate FROM picks WHERE is_pick GROUP BY 1, 2", CONTESTS, VERSIONS, CHILDREN, PICKS)
+def hero_patch_winrate(spark, d):
+    return rosters.hero_winrates(v.picks(spark, d)).select("hero_id", "patch_id", "picks", F.round("winrate", 6).alias("winrate"))
+
+
+@query(
+    """SELECT match_id, team_id, round(avg(coalesce(r, 0.5)), 6) draft_strength FROM (SELECT match_id, team_id, avg(won::INT) OVER (PARTITION BY hero_id, patch_id
+ ORDER BY date_diff('day', DATE '1970-01-01', start_time::DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) r FROM picks WHERE is_pick) GROUP BY 1, 2""",
+    CONTESTS, VERSIONS, CHILDREN, PICKS,
+)
+def draft_strength(spark, d):
+    return rosters.draft_strength(v.picks(spark, d)).select("match_id", "team_id", F.round("draft_strength", 6).alias("draft_strength"))
+
+
+@query(
+    f"""SELECT match_id, team_id, team_id = f picks_first, round(avg((team_id = f)::INT) OVER ({BY_TEAM} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 12) first_pick_share
+ FROM (SELECT DISTINCT match_id, start_time, team_id, f FROM picks JOIN (SELECT match_id, min_by(team_id, ord) f FROM picks WHERE is_pick GROUP BY 1) USING (match_id))""",
+    CONTESTS, VERSIONS, CHILDREN, PICKS,
+)
+def draft_order(spark, d):
+    return rosters.first_picks(v.picks(spark, d)).select("match_id", "team_id", "picks_first", F.round("first_pick_share", 12).alias("first_pick_share"))
+
+
+# Metrics and profiles
+
+
+@query(f"SELECT round({LOSS}, 6) accuracy, round({LOG}, 6) log_loss, round({BRIER}, 6) brier, count(*) n FROM f", CONTESTS, FORECASTS)
+def forecast_metrics(spark, d):
+    return metrics.summary(v.forecasts(spark, d)).select(*r6("accuracy", "log_loss", "brier"), "n")
+
+
+@query(f"SELECT league_tier, y, round({LOSS}, 6) accuracy, round({LOG}, 6) log_loss, round({BRIER}, 6) brier, count(*) n FROM (SELECT *, year(start_time)::INT y FROM f) GROUP BY GROUPING SETS ((league_tier), (y), ())", CONTESTS, FORECASTS)
+def metrics_by_slice(spark, d):
+    rows = v.forecasts(spark, d).withColumn("y", F.year("start_time"))
+    return metrics.sliced(rows, "league_tier", "y").select("league_tier", "y", *r6("accuracy", "log_loss", "brier"), "n")
+
+
+@query("SELECT least(floor(p * 10), 9)::INT bin, round(avg(p), 6) mean_p, round(avg(won::INT), 6) share_won, count(*) n FROM f GROUP BY 1", CONTESTS, FORECASTS)
+def calibration_bins(spark, d):
+    return metrics.calibration(v.forecasts(spark, d)).select("bin", *r6("mean_p", "share_won"), "n")
+
+
+@query(
+    """SELECT round((sum(CASE WHEN won THEN r END) - sum(won::INT) * (sum(won::INT) + 1) / 2.0) / (sum(won::INT)::DOUBLE * (count(*) - sum(won::INT))), 6) roc_auc
+ FROM (SELECT won, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 r FROM f)""",
+    CONTESTS, FORECASTS,
+)
+def roc_auc(spark, d):
+    return metrics.roc_auc(v.forecasts(spark, d)).select(*r6("roc_auc"))
+
+
+@query("SELECT round(t / (t + f)::DOUBLE, 6) \"precision\", round(t / (t + n)::DOUBLE, 6) recall, round(2 * t / (2 * t + f + n)::DOUBLE, 6) f1 FROM (SELECT sum((p >= 0.5 AND won)::INT) t, sum((p >= 0.5 AND NOT won)::INT) f, sum((p < 0.5 AND won)::INT) n FROM f)", CONTESTS, FORECASTS)
+def precision_recall(spark, d):
+    return metrics.confusion(v.forecasts(spark, d)).select(*r6("precision", "recall", "f1"))
+
+
+@query("SELECT CASE WHEN abs(p - 0.5) < 0.07 THEN 'low' WHEN abs(p - 0.5) < 0.20 THEN 'medium' ELSE 'high' END confidence, count(*) n FROM f GROUP BY 1", CONTESTS, FORECASTS)
+def confidence_buckets(spark, d):
+    return v.forecasts(spark, d).groupBy(confidence(F.col("p")).alias("confidence")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT year(start_time)::INT \"year\", count(*) n, count(DISTINCT radiant_team_id) teams, round(avg(radiant_win::INT), 6) radiant_share FROM contests GROUP BY 1", CONTESTS)
+def coverage_year(spark, d):
+    return _rounded(profile.coverage(v.contests(spark, d), F.year("start_time"), "year"))
+
+
+@query("SELECT patch_id, count(*) n, count(DISTINCT radiant_team_id) teams, round(avg(radiant_win::INT), 6) radiant_share FROM versioned GROUP BY 1", CONTESTS, VERSIONS)
+def coverage_patch(spark, d):
+    return _rounded(profile.coverage(v.versioned(spark, d), F.col("patch_id"), "patch_id"))
+
+
+@query("SELECT league_id, count(*) n, count(DISTINCT radiant_team_id) teams, round(avg(radiant_win::INT), 6) radiant_share FROM contests GROUP BY 1", CONTESTS)
+def coverage_league(spark, d):
+    return _rounded(profile.coverage(v.contests(spark, d), F.col("league_id"), "league_id"))
+
+
+def _rounded(df):
+    return df.withColumn("radiant_share", F.round("radiant_share", 6))
+
+
+@query("SELECT count(*) matches, sum((league_tier IS NULL)::INT)::BIGINT without_tier, sum((patch_id IS NULL)::INT)::BIGINT without_patch, sum((match_id NOT IN (SELECT l_orderkey FROM lineitem))::INT)::BIGINT without_players, sum((match_id NOT IN (SELECT l_orderkey FROM lineitem))::INT)::BIGINT without_draft FROM versioned", CONTESTS, VERSIONS)
+def missing_counters(spark, d):
+    return profile.missing_counters(v.versioned(spark, d), v.players(spark, d), v.picks(spark, d))
+
+
+@query(f"SELECT 'recent_winrate' \"column\", round(avg((r IS NULL)::INT), 6) fraction FROM (SELECT avg(won::INT) OVER ({BY_TEAM} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) r FROM tc) UNION ALL SELECT 'team_id', 0.0", CONTESTS, TEAMS)
+def null_fractions(spark, d):
+    rows = teams.form_features(v.contests(spark, d)).select("team_id", "recent_winrate")
+    return profile.null_fractions(rows).select("column", F.round("fraction", 6).alias("fraction"))
+
+
+@query("SELECT radiant_win, count(*) n, round(count(*) / sum(count(*)) OVER (), 6) share FROM contests GROUP BY 1", CONTESTS)
+def class_balance(spark, d):
+    return profile.class_balance(v.contests(spark, d), "radiant_win").withColumn("share", F.round("share", 6))
+
+
+@query("SELECT 'o_totalprice' \"column\", count(o_totalprice) n, round(avg(o_totalprice), 4) mean, round(stddev_samp(o_totalprice), 4) std, min(o_totalprice) \"min\", round(quantile_cont(o_totalprice, 0.25), 4) p25, round(quantile_cont(o_totalprice, 0.5), 4) p50, round(quantile_cont(o_totalprice, 0.75), 4) p75, max(o_totalprice) \"max\" FROM orders")
+def describe(spark, d):
+    out = profile.describe(v.table(spark, d, "orders"), "o_totalprice")
+    return out.select("column", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std")], "min", *[F.round(c, 4).alias(c) for c in ("p25", "p50", "p75")], "max")
+
+
+@query("SELECT date_trunc('year', start_time)::TIMESTAMP \"year\", count(*) n FROM contests WHERE league_tier IN ('premium', 'professional') GROUP BY 1", CONTESTS)
+def pro_per_year(spark, d):
+    m = v.contests(spark, d).where(is_pro(F.col("league_tier")))
+    return m.groupBy(F.date_trunc("year", "start_time").cast("timestamp_ntz").alias("year")).agg(F.count("*").alias("n")).orderBy("year")
+
+
+@query(f"SELECT match_id, team_id, r IS NULL recent_winrate_is_missing, t IS NULL days_since_last_match_is_missing, coalesce(league_tier, 'unknown') league_tier, CASE (match_id % 4) WHEN 0 THEN 'bo1' WHEN 1 THEN 'bo3' WHEN 2 THEN 'bo5' ELSE 'unknown' END bo_type FROM (SELECT tc.*, league_tier, avg(won::INT) OVER (PARTITION BY team_id ORDER BY tc.start_time, tc.match_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) r, lag(tc.start_time) OVER (PARTITION BY team_id ORDER BY tc.start_time, tc.match_id) t FROM tc JOIN contests USING (match_id))", CONTESTS, TEAMS)
+def context_and_missing(spark, d):
+    from ladderline.functions import missing_flags
+
+    rows = teams.form_features(v.contests(spark, d)).join(v.contests(spark, d).select("match_id", "league_tier"), "match_id")
+    kinds = F.create_map(*[F.lit(x) for kv in {0: "bo1", 1: "bo3", 2: "bo5"}.items() for x in kv])
+    bo = F.coalesce(F.try_element_at(kinds, (F.col("match_id") % 4).cast("int")), F.lit("unknown"))
+    return rows.select("match_id", "team_id", *missing_flags("recent_winrate", "days_since_last_match"), F.coalesce("league_tier", F.lit("unknown")).alias("league_tier"), bo.alias("bo_type"))
+
+
+# Ratings and what is built on them: each step depends on the last, which SQL can't tell in reasonable time
+
+
+def _pro_ratings(spark, d):
+    return elo.rated(v.pro_contests(spark, d))
+
+
+@query()
+def elo_fold(spark, d):
+    return _pro_ratings(spark, d)
+
+
+@query("SELECT count(DISTINCT t) teams, (count(DISTINCT t) * 1000)::DOUBLE total FROM (SELECT unnest([radiant_team_id, dire_team_id]) t FROM contests WHERE league_tier IN ('premium', 'professional'))", CONTESTS)
+def elo_conservation(spark, d):
+    now = elo.current_ratings(elo.rating_log(_pro_ratings(spark, d)))
+    return now.agg(F.count("*").alias("teams"), F.round(F.sum("rating"), 3).alias("total"))
+
+
+@query()
+def current_ratings(spark, d):
+    return elo.current_ratings(elo.rating_log(_pro_ratings(spark, d)))
+
+
+@query()
+def elo_delta5(spark, d):
+    return elo.elo_trend(elo.rating_log(_pro_ratings(spark, d)))
+
+
+@query()
+def glicko2(spark, d):
+    return elo.glicko2(v.pro_contests(spark, d))
+
+
+@query()
+def feature_set_0(spark, d):
+    return dataset.feature_set_0(v.pro_contests(spark, d))
+
+
+@query()
+def match_features_long(spark, d):
+    return dataset.long_features(dataset.feature_set_0(v.pro_contests(spark, d)))
+
+
+@query()
+def backtest_records(spark, d):
+    return models.backtest(v.pro_contests(spark, d))
+
+
+@query()
+def backtest_metrics(spark, d):
+    return metrics.summary(models.backtest(v.pro_contests(spark, d)))
+
+
+@query()
+def metric_bootstrap(spark, d):
+    return metrics.bootstrap(v.forecasts(spark, d))
+
+
+@query()
+def opp_adjusted(spark, d):
+    return models.opponent_adjusted(v.pro_contests(spark, d))
+
+
+@query()
+def vs_top20(spark, d):
+    return models.against_top(v.pro_contests(spark, d))
+
+
+@query()
+def rating_asof(spark, d):
+    log = elo.rating_log(_pro_ratings(spark, d)).groupBy("team_id", "start_time").agg(F.max_by("rating_after", "match_id").alias("rating"))
+    long = teams.team_centric(v.contests(spark, d)).select("match_id", "team_id", "start_time")
+    return asof.last_before(long, log, "team_id", "start_time", "start_time", "rating")
+
+
+@query()
+def sanity_fit(spark, d):
+    return models.sanity_fit(dataset.feature_set_0(v.pro_contests(spark, d)))
+
+
+@query()
+def model_line_up(spark, d):
+    return models.line_up(dataset.feature_set_0(v.pro_contests(spark, d)))
+
+
+@query()
+def rolling_retrain(spark, d):
+    return models.rolling_retrain(dataset.feature_set_0(v.pro_contests(spark, d)), every_days=730)
+
+
+@query()
+def calibrated_forecasts(spark, d):
+    return models.calibrated(models.backtest(v.pro_contests(spark, d)), "1998-01-01", "2000-01-01")
+
+
+@query()
+def form_series(spark, d):
+    return serving.form_series(v.pro_contests(spark, d), 3)
+
+
+@query()
+def predictions(spark, d):
+    return serving.predict(v.pro_contests(spark, d), "2000-01-01")
+
+
+# Streams: the same results from micro-batches
+
+
+@query("SELECT DISTINCT 'feed' source, event_type endpoint, sha256(props) content_hash FROM events")
+def stream_raw_dedup(spark, d):
+    return streams.deduplicated(spark, f"{d}/events.parquet")
+
+
+@query("SELECT user_id, max_by(event_type, event_id) event_type, max_by(value, event_id) value, min_by(ts, event_id) first_seen FROM events GROUP BY 1")
+def stream_merge(spark, d):
+    return streams.merged_stream(spark, f"{d}/events.parquet")
+
+
+@query()
+def stream_elo(spark, d):
+    return streams.rated_stream(spark, f"{d}/orders.parquet")
