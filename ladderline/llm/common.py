@@ -69,3 +69,10 @@ def in_small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
+
+
+def having(rows: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """The rows whose ``key`` is in ``ids`` (distinct). Up to ``most`` ids are broadcast, so the rows stay
+    where they are; beyond that both sides are shuffled."""
+    small = ids.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(ids) if small else ids, key, "left_semi")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import in_small_batches, stored, table
+from ladderline.llm.common import having, in_small_batches, stored, table
 from ladderline.llm.hashing import shingles_by_text, slices
 
 SHINGLE_WORDS = 5
@@ -136,7 +136,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, k: int, slack: f
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int, name: str) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    some = having(docs.select("doc_id", "text"), ids, "doc_id")
     sets = stored(full_sets(some, words), f"{name}-sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
@@ -158,7 +158,7 @@ def _able_to_link(docs: DataFrame, some: DataFrame, percent: int, words: int, ro
     every union, so who has too many of them has no partner here and goes; that makes more shingles
     lonely, so it is done again."""
     ids = some.select(F.col("rep").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts = having(docs.select("doc_id", "text"), ids, "doc_id")
     live = full_sets(texts, words).withColumnRenamed("doc_id", "rep").join(some, "rep")
     live = stored(live, "hot-sets")
     for _ in range(rounds):

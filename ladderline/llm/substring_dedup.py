@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import in_small_batches, stored, table
+from ladderline.llm.common import having, in_small_batches, stored, table
 from ladderline.llm.hashing import shingle_hashes, slices, word_hashes
 
 K = 5
@@ -266,7 +266,7 @@ def passages(
     have it, in part or whole, before this one), similarity (the least of its stretches)."""
     found = stored(_chained(matches(docs, k, window), k, FLANK), "chains")
     ids = found.select(F.explode(F.array("doc_id", "owner")).alias("doc_id")).distinct()
-    text = stored(word_table(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")), "words")
+    text = stored(word_table(having(docs.select("doc_id", "text"), ids, "doc_id")), "words")
     part = lambda at, n: F.expr(f"substring(words, 4 * {at} + 1, 4 * {n})")
     own = found.join(text, "doc_id").withColumn("wa", part("a", "na")).drop("words", "na")
     both = own.join(text.withColumnRenamed("doc_id", "owner"), "owner").withColumn("wb", part("b", "nb")).drop("words", "nb")
