@@ -159,3 +159,13 @@ def op5_chat_format(spark, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+#: DuckDB SQL with the same result as :func:`op5_chat_format`.
+ORACLE = r"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
+ UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)),
+ e AS (SELECT *, 22 + length(role) + length(role) - length(replace(role, chr(92), '')) + len(regexp_extract_all(role, '</?s>|\[/?INST\]'))
+ + length(text) + length(text) - length(replace(text, chr(92), '')) + len(regexp_extract_all(text, '</?s>|\[/?INST\]')) n FROM r)
+ SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) turns_sha256,
+ coalesce(length(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant')), 0)::BIGINT loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) loss_sha256, sum(n)::BIGINT formatted_chars FROM e GROUP BY conv_id"""

@@ -255,3 +255,15 @@ def near_duplicates(
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL with the same result as :func:`op7_near_dedup`: all pairs that share a shingle.
+ORACLE = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+ sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+ ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END s FROM d),
+ each AS (SELECT doc_id, len(s) n, unnest(s) x FROM sets),
+ pairs AS (SELECT a.doc_id p, b.doc_id q, max(a.n) n, max(b.n) m, count(*) k FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ links AS (SELECT p, q FROM pairs WHERE 100 * k >= 85 * (n + m - k)),
+ sym AS (SELECT p, q FROM links UNION ALL SELECT q, p FROM links),
+ reach AS (SELECT doc_id a, doc_id b FROM sets UNION SELECT r.a, l.q FROM reach r JOIN sym l ON r.b = l.p)
+ SELECT doc_id, len(s)::BIGINT n_shingles, c component_id, doc_id = c kept FROM sets JOIN (SELECT a, min(b) c FROM reach GROUP BY 1) ON doc_id = a"""

@@ -187,3 +187,35 @@ def score_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"))
+
+
+def oracle(rules: Rules = Rules()) -> str:
+    """DuckDB SQL with the same result as :func:`op10_quality_rules`."""
+    lists = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(x) for x in w)}]" for lang, w in rules.common_words.items())
+    n = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
+    part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+
+    def distance(p: str, q: str) -> str:
+        a, b = f"{p}[i]", f"{q}[i]"
+        return f"round(sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: ({part(a, b)} + {part(b, a)}) / 2)), 0)), 6)"
+
+    share = lambda x: f"list_transform({x}, lambda z: CASE WHEN list_sum({x}) > 0 THEN z / list_sum({x})::DOUBLE ELSE 0 END)"
+    ref = lambda x, out: f"{out} AS (SELECT lang, {share('c')} r FROM (SELECT lang, list(n ORDER BY i) c FROM (SELECT lang, i, sum(n) n FROM (SELECT lang, unnest({x}) n, generate_subscripts({x}, 1) i FROM e) GROUP BY 1, 2) GROUP BY 1))"
+    return rf"""WITH d AS (SELECT row_number() OVER () k, doc_id, coalesce(lang, '') lang, coalesce(text, '') t,
+ regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, CASE lang {lists} END listed,
+ list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) lines FROM documents),
+ p AS (SELECT k, unnest(w) a, generate_subscripts(w, 1) i FROM d),
+ three AS (SELECT k, i, a, lead(a) OVER (PARTITION BY k ORDER BY i) b, lead(a, 2) OVER (PARTITION BY k ORDER BY i) c FROM p),
+ many AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c) m FROM three WHERE c IS NOT NULL) WHERE m > 1),
+ covered AS (SELECT k, count(DISTINCT i + o) n FROM many, (VALUES (0), (1), (2)) v(o) GROUP BY k),
+ m AS (SELECT d.*, len(w)::BIGINT n_words, length(array_to_string(w, ''))::BIGINT word_chars, length(t)::BIGINT n_chars, ({n('[#*$%&|<>]')})::BIGINT n_symbols,
+ (len(lines) - len(list_distinct(lines)))::BIGINT n_dup_lines, coalesce(covered.n, 0)::BIGINT n_repeat_words, {n(chr(92) + 'p{Lu}')} u, {n(chr(92) + 'p{L}')} l, {n(chr(92) + 'p{Nd}')} g,
+ list_transform(listed, lambda c: len(list_filter(w, lambda x: x = c))) h FROM d LEFT JOIN covered USING (k)),
+ e AS (SELECT *, [u, l - u, g, n_chars - word_chars, n_symbols, word_chars - l - g - n_symbols] cc, CASE WHEN h IS NOT NULL THEN list_append(h, len(w) - list_sum(h)) END wc FROM m),
+ {ref('cc', 'cr')}, {ref('wc', 'wr')},
+ s AS (SELECT e.*, {share('cc')} cs, {share('wc')} ws, cr.r qc, wr.r qw FROM e JOIN cr USING (lang) LEFT JOIN wr USING (lang)),
+ f AS (SELECT *, {distance('cs', 'qc')} class_distance, CASE WHEN ws IS NOT NULL THEN {distance('ws', 'qw')} END word_distance,
+ n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words base_failed FROM s)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance, base_failed,
+ NOT base_failed AND NOT coalesce((n_chars >= {rules.min_chars_for_classes} AND class_distance > {rules.max_class_distance})
+ OR (n_words >= {rules.min_words_for_common} AND word_distance > {rules.max_word_distance}), false) kept FROM f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from ladderline.llm import chat, near_dedup
 from ladderline.llm.ann import op4_ann
 from ladderline.llm.chat import op5_chat_format
 from ladderline.llm.langid import op6_language_id
@@ -10,6 +11,7 @@ from ladderline.llm.mixing import op8_mixing
 from ladderline.llm.near_dedup import op7_near_dedup
 from ladderline.llm.packing import op2_packing
 from ladderline.llm.quality import op10_quality_rules
+from ladderline.llm.quality import oracle as quality_oracle
 from ladderline.llm.substring_dedup import op9_substring_dedup
 from ladderline.llm.token_orc import op3_token_orc
 from ladderline.llm.toxicity import op1_toxicity
@@ -27,4 +29,9 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+#: The others are beyond SQL; tests/llm hold them against brute force, round trips and held-out rows.
+ORACLES: dict[str, str] = {
+    "op5_chat_format": chat.ORACLE,
+    "op7_near_dedup": near_dedup.ORACLE,
+    "op10_quality_rules": quality_oracle(),
+}

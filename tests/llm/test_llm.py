@@ -331,3 +331,24 @@ def test_pipeline_stages_keep_the_columns(spark, docs):
     assert corpus_pipeline.STAGES[-1][1](spark, d, "").count() >= 0
 
 
+
+
+@pytest.mark.parametrize("name", ["op5_chat_format", "op7_near_dedup", "op10_quality_rules"])
+def test_agrees_with_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from ladderline.llm.queries import ORACLES, QUERIES
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables here")
+    db = duckdb.connect()
+    for t in ("documents", "conversations"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    found = db.execute(ORACLES[name])
+    columns = [c[0] for c in found.description]
+    got = [[r[c] for c in columns] for r in QUERIES[name](spark, data).collect()]
+    plain = lambda rows: sorted(repr([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
+    assert plain(got) == plain(found.fetchall())
