@@ -145,3 +145,23 @@ def test_secrets_are_not_stored(spark):
 
     raw = f.raw_frame(spark, [("leagues", {"api_key": "s", "page": 1}, [1])], NOW).first()
     assert raw.request_params == {"page": "1"} and len(raw.content_hash) == 64 and json.loads(raw.response_body) == [1]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from ladderline import cli
+
+    get, root = feed(), tmp_path / "feed"
+    (root / "matches").mkdir(parents=True)
+    rows = get("proMatches", {})
+    for name, body in {"leagues": get("leagues", {}), "page1": rows, "page2": get("proMatches", {"less_than_match_id": rows[-1]["match_id"]}), "matches/7001": get("matches/7001", {})}.items():
+        (root / f"{name}.json").write_text(json.dumps(body))
+    hero = {str(i): {"id": i, "name": "h", "localized_name": "H", "primary_attr": "str", "attack_type": "Melee", "roles": ["x"]} for i in range(1, 12)}
+    (root / "heroes.json").write_text(json.dumps(hero))
+    (root / "patches.json").write_text(json.dumps([{"name": "7.35", "date": "2023-12-01T00:00:00Z", "id": 54}]))
+    store = ["--store", str(tmp_path / "store"), "--feed", str(root)]
+    assert cli.main(["check", *store]) == 0
+    assert cli.main(["ingest", *store, "--since", "2024-01-01", "--until", "2024-03-01"]) == 0
+    assert cli.main(["dataset", *store]) == 0
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert out[0]["list"] == "VERIFIED" and out[1]["upserted"] == 14 and out[2]["rows"] == 12
+    assert Store(spark, str(tmp_path / "store")).read("match_features").count() == 24
