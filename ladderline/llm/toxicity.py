@@ -35,7 +35,7 @@ from ladderline.llm.langid import code_points
 from ladderline.llm.linear import Ftrl
 
 STEMS = (4, 5, 6)
-PER_CLASS = 1500
+PER_CLASS = 1000
 MOST_VOTERS = 200
 #: Least likelihood-ratio statistic of a feature that the classifier looks at.
 LEAST_G = 16.0
@@ -151,14 +151,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
     for x, n in counts.items():
         share = F.when(F.col("label") == x, F.lit(min(1.0, per_class / n))).otherwise(share)
     chosen = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000).distinct()
-    rows = _gathered(docs.join(F.broadcast(chosen), "doc_id")).toPandas()  # at most 3 x per_class rows, or so
+    rows = _gathered(docs.join(F.broadcast(chosen), "doc_id")).toArrow()  # at most 3 x per_class rows, or so
     y = rows["label"].to_numpy()
     if not ((y == 0).any() and (y == 1).any()):
         return None
-    sets = [np.asarray(x, np.int64) for x in rows["at"]]
-    shape = np.array(rows["shape"].tolist(), float).reshape(len(rows), -1)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    keys, which = np.unique(np.concatenate(sets), return_inverse=True)
+    lists = pa.concat_arrays(rows["at"].chunks)
+    shape = np.array(rows["shape"].to_pylist(), float)
+    owner = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    keys, which, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    often = times >= 3  # no rarer feature can tell the classes apart
+    keys, which, owner = keys[often], (np.cumsum(often) - 1)[which][often[which]], owner[often[which]]
     df = [np.bincount(which[y[owner] == c], minlength=len(keys)) for c in (0, 1)]
     n = [(y == c).sum() for c in (0, 1)]
     # lexicon voters: much likelier in toxic documents, and hardly ever in clean ones
@@ -171,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
     voters = able[np.argsort(-gain[able], kind="stable")][:MOST_VOTERS]
     place = np.full(len(keys), -1)
     place[voters] = np.arange(len(voters))
-    votes = np.zeros((len(sets), len(voters) + 4))
+    votes = np.zeros((len(y), len(voters) + 4))
     hit = place[which] >= 0
     votes[owner[hit], place[which][hit]] = 1
     votes[:, len(voters) : len(voters) + 3] = shape
@@ -182,12 +184,30 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
     slot[useful] = np.arange(len(useful))
     model = Ftrl(len(useful), 2, alpha=0.3, beta=1.0, l1=1.0, l2=0.05)
     at = slot[which]
-    ends = np.cumsum([len(x) for x in sets])
-    data = [(x := a[a >= 0], np.ones(len(x))) for a in np.split(at, ends[:-1])]
+    cuts = np.searchsorted(owner, np.arange(1, len(y)))
+    data = [(x := a[a >= 0], np.ones(len(x))) for a in np.split(at, cuts)]
     w = model.fit(data, np.stack([1 - posterior, posterior], 1), epochs=4, seed=seed)
     d = w[:, 1] - w[:, 0]
+    # the sample holds the classes in other shares than the corpus: scores are fitted to its labels,
+    # each with the weight of the rows that it stands for
+    z, known = np.array([d[x].sum() for x, _ in data]) + d[-1], y >= 0
+    weight = np.array([counts[c] / n[c] for c in y[known]])
+    a, b = _platt(z[known], y[known], weight)
     some = np.flatnonzero(d[:-1])
-    return keys[useful][some], d[:-1][some], float(d[-1])
+    return keys[useful][some], a * d[:-1][some], float(a * d[-1] + b)
+
+
+def _platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30) -> tuple[float, float]:
+    """Scale and shift of z with the least weighted log loss (Newton steps, lightly held to 1 and 0)."""
+    x, t = np.stack([z, np.ones(len(z))], 1), np.array([1.0, 0.0])
+    weight = weight / weight.mean()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ t, -40, 40)))
+        slope = x.T @ (weight * (p - y)) + (t - [1.0, 0.0])
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(2)
+        t = t - np.clip(np.linalg.solve(curve, slope), -0.5, 0.5)
+        t[0] = np.clip(t[0], 0.2, 3.0)
+    return (float(t[0]), float(t[1])) if np.isfinite(t).all() else (1.0, 0.0)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
