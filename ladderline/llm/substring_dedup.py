@@ -8,8 +8,8 @@
 3. Matches of a document with one owner are chained: ordered in both, for the best sum of seed
    weights less gap costs. A Fenwick tree over owner positions holds prefix maxima, so chaining n
    matches takes n log n.
-4. Chains are aligned word by word: gaps between seeds by edit distance, ends by extension. Chains
-   of at least ``similarity`` count, and a document's stretches that count, from any owners, are put
+4. Chains are aligned word by word: gaps between seeds by edit distance, ends by extension. A chain
+   below ``similarity`` is cut into its longest stretches that reach it. These count, and a document's stretches that count, from any owners, are put
    together; those of ``min_words`` or more are its passages.
 
 The first document with a passage keeps it. Passages repeated within one document are left alone.
@@ -162,23 +162,99 @@ def _extend(a: list[int], b: list[int]) -> tuple[int, int, int]:
             return x, y, same
 
 
+def pieces(a: list[int], b: list[int], at: list[tuple[int, int]], k: int = K) -> tuple[list[list[int]], list[int]]:
+    """Blocks of equal words along the seeds ``at``, as [start in a, end in a, start in b, end in b], and
+    the equal words in each gap between one block and the next."""
+    blocks, inside = [[at[0][0], at[0][0] + k, at[0][1], at[0][1] + k]], []
+    for x, y in at[1:]:
+        _, px, _, py = last = blocks[-1]
+        if x < px or y < py:  # overlaps the seed before it
+            step = min(x + k - px, y + k - py)
+            if step > 0 and a[px : px + step] == b[py : py + step]:
+                last[1], last[3] = px + step, py + step
+            elif step > 0:
+                blocks.append([x + k - step, x + k, y + k - step, y + k])
+                inside.append(0)
+            continue
+        while px < x and py < y and a[px] == b[py]:
+            px, py = px + 1, py + 1
+        last[1], last[3] = px, py
+        u, v = x, y
+        while u > px and v > py and a[u - 1] == b[v - 1]:
+            u, v = u - 1, v - 1
+        if u == px and v == py:
+            last[1], last[3] = x + k, y + k
+        else:
+            blocks.append([u, x + k, v, y + k])
+            inside.append(_edit_matches(a[px:u], b[py:v]))
+    return blocks, inside
+
+
+def _whole(blocks: list[list[int]], inside: list[int], a: list[int], b: list[int], low=(0, 0), high=None) -> tuple[int, int, int, int, int]:
+    """The blocks and gaps as one stretch, extended at both ends within ``low`` and ``high``."""
+    (x0, _, y0, _), (_, x1, _, y1) = blocks[0], blocks[-1]
+    high = high or (len(a), len(b))
+    back = _extend(a[low[0] : x0][::-1], b[low[1] : y0][::-1])
+    on = _extend(a[x1 : high[0]], b[y1 : high[1]])
+    same = sum(min(x[1] - x[0], x[3] - x[2]) for x in blocks) + sum(inside) + back[2] + on[2]
+    return x0 - back[0], x1 + on[0], y0 - back[1], y1 + on[1], same
+
+
 def align(a: list[int], b: list[int], at: list[tuple[int, int]], k: int = K) -> tuple[int, int, int, int, int]:
     """Align word lists along the seeds ``at``: start and end in a and in b, and equal words."""
-    (x0, y0), same = at[0], 0
-    back = _extend(a[:x0][::-1], b[:y0][::-1])
-    px, py = x0, y0
-    for x, y in at:
-        if x >= px and y >= py:
-            same += _edit_matches(a[px:x], b[py:y]) if a[px:x] != b[py:y] else x - px
-            same += k
-        else:  # overlaps the seed before it
-            step = min(x + k - px, y + k - py)
-            if step <= 0:
+    return _whole(*pieces(a, b, at, k), a, b)
+
+
+def _share(s: tuple[int, int, int, int, int]) -> float:
+    return s[4] / max(s[1] - s[0], s[3] - s[2], 1)
+
+
+def _longest(blocks: list[list[int]], inside: list[int], similarity: float) -> tuple[int, int]:
+    """First and last block of the longest run that reaches ``similarity``, each gap as long as its longer side."""
+    t = np.array(blocks)
+    size = np.minimum(t[:, 1] - t[:, 0], t[:, 3] - t[:, 2]) * (1 - similarity)
+    wide = np.maximum(t[1:, 0] - t[:-1, 1], t[1:, 2] - t[:-1, 3])
+    upto = np.cumsum(size + np.append(0, np.array(inside) - similarity * wide))  # with block q
+    before = upto - size  # before block p
+    low = np.minimum.accumulate(before)
+    first = np.searchsorted(-low, -upto - 1e-9)  # the first p from where the sum up to q isn't negative
+    q = int(np.argmax(t[:, 1] - t[first, 0]))
+    return int(first[q]), q
+
+
+def stretches(
+    a: list[int], b: list[int], at: list[tuple[int, int]], similarity: float = SIMILARITY, min_words: int = MIN_WORDS, k: int = K
+) -> list[tuple[int, int, int, int, int]]:
+    """What reaches ``similarity`` along the seeds ``at``, as :func:`align` tells it: the whole chain, or
+    else its longest such stretch and what is found so on both sides of it. Where a gap holds more words
+    of its own than a passage of ``min_words`` may and both sides are passages by themselves, it is cut."""
+    blocks, inside = pieces(a, b, at, k)
+    out, todo = [], [(0, len(blocks) - 1)]
+    while todo:
+        p, q = todo.pop()
+        # ends stay between the blocks before and after
+        low = (blocks[p - 1][1], blocks[p - 1][3]) if p else (0, 0)
+        high = (blocks[q + 1][0], blocks[q + 1][2]) if q + 1 < len(blocks) else (len(a), len(b))
+        whole = _whole(blocks[p : q + 1], inside[p:q], a, b, low, high)
+        if _share(whole) < similarity:
+            f, g = _longest(blocks[p : q + 1], inside[p:q], similarity)
+            f, g = f + p, g + p
+            if (f, g) != (p, q):
+                todo += [(x, y) for x, y in ((p, f - 1), (f, g), (g + 1, q)) if x <= y]
                 continue
-            same += step
-        px, py = x + k, y + k
-    on = _extend(a[px:], b[py:])
-    return x0 - back[0], px + on[0], y0 - back[1], py + on[1], same + back[2] + on[2]
+            low, high = (blocks[p][0], blocks[p][2]), (blocks[q][1], blocks[q][3])  # only its ends are unlike
+            out.append(_whole(blocks[p : q + 1], inside[p:q], a, b, low, high))
+            continue
+        own = lambda c: max(blocks[c + 1][0] - blocks[c][1], blocks[c + 1][2] - blocks[c][3]) - inside[c]
+        for c in sorted((c for c in range(p, q) if own(c) > (1 - similarity) * min_words), key=own, reverse=True):
+            left = _whole(blocks[p : c + 1], inside[p:c], a, b, low, (blocks[c + 1][0], blocks[c + 1][2]))
+            right = _whole(blocks[c + 1 : q + 1], inside[c + 1 : q], a, b, (blocks[c][1], blocks[c][3]), high)
+            if all(s[1] - s[0] >= min_words and _share(s) >= similarity for s in (left, right)):
+                todo += [(p, c), (c + 1, q)]
+                break
+        else:
+            out.append(whole)
+    return sorted(out)
 
 
 def _chained(rows: DataFrame, k: int, flank: int) -> DataFrame:
@@ -238,7 +314,7 @@ def word_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary")
 
 
-def _aligned(rows: DataFrame, k: int, similarity: float) -> DataFrame:
+def _aligned(rows: DataFrame, k: int, similarity: float, min_words: int) -> DataFrame:
     schema = "doc_id long, owner long, start int, stop int, same int, similarity double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +322,8 @@ def _aligned(rows: DataFrame, k: int, similarity: float) -> DataFrame:
             out: list[list] = [[] for _ in range(6)]
             for doc, owner, a, xs, ys, wa, wb in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "owner", "a", "xs", "ys", "wa", "wb"))):
                 la, lb = np.frombuffer(wa, "<u4").tolist(), np.frombuffer(wb, "<u4").tolist()
-                x0, x1, y0, y1, same = align(la, lb, list(zip(xs, ys)), k)
-                share = same / max(x1 - x0, y1 - y0, 1)
-                if share >= similarity:
-                    for c, v in zip(out, (doc, owner, a + x0, a + x1, same, share)):
+                for s in stretches(la, lb, list(zip(xs, ys)), similarity, min_words, k):
+                    for c, v in zip(out, (doc, owner, a + s[0], a + s[1], s[4], _share(s))):
                         c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
@@ -270,7 +344,7 @@ def passages(
     part = lambda at, n: F.expr(f"substring(words, 4 * {at} + 1, 4 * {n})")
     own = found.join(text, "doc_id").withColumn("wa", part("a", "na")).drop("words", "na")
     both = own.join(text.withColumnRenamed("doc_id", "owner"), "owner").withColumn("wb", part("b", "nb")).drop("words", "nb")
-    spans = _aligned(both.select("doc_id", "owner", "a", "xs", "ys", "wa", "wb"), k, similarity)
+    spans = _aligned(both.select("doc_id", "owner", "a", "xs", "ys", "wa", "wb"), k, similarity, min_words)
     # a document's stretches in order; one that begins where those before it have ended, or nearly, goes on
     span = F.sort_array(F.collect_list(F.struct("start", "stop", "owner", "similarity")))
     empty = F.array().cast("array<struct<start:int,stop:int,owners:array<bigint>,similarity:double>>")

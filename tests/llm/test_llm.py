@@ -113,6 +113,26 @@ def test_chains_are_best_and_alignment_counts():
     assert substring_dedup.winnowed(shingle_hashes(np.arange(30, dtype=np.uint64), 5), 4).size
 
 
+@pytest.mark.parametrize("passage,own", [(100, 100), (60, 40), (300, 100)])
+def test_two_shared_passages_with_own_text_between(spark, passage, own):
+    rng = random.Random(passage)
+    head, foot = prose(rng, passage), prose(rng, passage)
+    df = spark.createDataFrame([(i, f"{head} {prose(rng, own)} {foot}") for i in (1, 2)], "doc_id long, text string")
+    found = substring_dedup.passages(df).orderBy("start").collect()
+    want = [(0, passage), (passage + own, passage)]
+    assert [r.doc_id for r in found] == [2, 2]
+    assert all(abs(r.start - s) <= 2 and abs(r.n_words - n) <= 2 for r, (s, n) in zip(found, want))
+
+
+def test_stretches_of_a_chain():
+    a = list(range(1000, 1100))
+    b = [*a[:30], *range(12), *a[30:60], *range(50), *a[60:]]
+    at = [(i, i) for i in range(0, 26, 5)] + [(i, i + 12) for i in range(30, 56, 5)] + [(i, i + 62) for i in range(60, 96, 5)]
+    # 30 + 30 words with 12 put in reach 0.8, all together don't
+    assert substring_dedup.stretches(a, b, at) == [(0, 60, 0, 72, 60), (60, 100, 122, 162, 40)]
+    assert substring_dedup.stretches(a, a, [(i, i) for i in range(0, 96, 5)]) == [(0, 100, 0, 100, 100)]
+
+
 @pytest.mark.parametrize("name, space_prefix", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_ids_are_the_tokenizers_own(name, space_prefix):
     import public_tokenizers
