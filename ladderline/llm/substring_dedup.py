@@ -1,9 +1,10 @@
 """Substring dedup by collinear chaining: fuzzy passages that an earlier document already has.
 
-1. Seeds: runs of five words, thinned by winnowing (the smallest hash of every ``window`` runs), so
-   any stretch of ``window + 4`` words that two documents share holds a seed of both.
+1. Seeds: all runs of five words, so a fuzzy passage has seeds wherever five words in a row are equal.
+   With a ``window`` over 1 they are thinned by winnowing (the smallest hash of every ``window`` runs);
+   only a stretch of ``window + 4`` equal words is then sure of a seed.
 2. Each seed's first occurrence (smallest doc_id, then position) owns it; every other occurrence is
-   joined to it. That is one match per occurrence however often a passage comes, never a pair of
+   held against it. That is one match per occurrence however often a passage comes, never a pair of
    every two documents that share it.
 3. Matches of a document with one owner are chained: ordered in both, for the best sum of seed
    weights less gap costs. A Fenwick tree over owner positions holds prefix maxima, so chaining n
@@ -28,13 +29,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ladderline.llm.common import having, in_small_batches, stored, table
 from ladderline.llm.hashing import shingle_hashes, slices, word_hashes
 
 K = 5
-WINDOW = 16
+WINDOW = 1
 MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Cost of a word between two seeds of a chain, on either side; a seed weighs K.
@@ -42,11 +44,15 @@ GAP_COST = 0.1
 #: Words beyond a chain's ends that alignment may look at, and the longest gap that is bridged when
 #: stretches are put together.
 FLANK, BRIDGE = 32, 3
+#: Bytes of text that a worker hashes at once.
+_SLICE = 1 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def winnowed(s: np.ndarray, window: int) -> np.ndarray:
     """Positions that hold the smallest hash of some ``window`` consecutive ones (of all, if fewer)."""
+    if window == 1:
+        return np.arange(len(s))
     if len(s) <= window:
         return np.flatnonzero(s == s.min()) if len(s) else np.zeros(0, np.int64)
     n = len(s) - window + 1
@@ -65,7 +71,7 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, at = b.column(0).to_numpy(zero_copy_only=False), 0
-            for texts in slices(b.column(1)):
+            for texts in slices(b.column(1), _SLICE):
                 h, counts = word_hashes(texts)
                 owner, value, place = [], [], []
                 for d, e, n in zip(ids[at : at + len(texts)].tolist(), np.cumsum(counts).tolist(), counts.tolist()):
@@ -85,10 +91,10 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
 
 def matches(docs: DataFrame, k: int, window: int) -> DataFrame:
     """doc_id, owner, i, j: each occurrence of a seed with the seed's first one in another document."""
-    s = seeds(docs, k, window)
-    first = s.groupBy("seed").agg(F.min(F.struct("doc_id", "i")).alias("f"), F.max("doc_id").alias("last"))
-    first = first.where("f.doc_id < last").select("seed", F.col("f.doc_id").alias("owner"), F.col("f.i").alias("j"))
-    return s.join(first, "seed").where("doc_id <> owner").select("doc_id", "owner", "i", "j")
+    # one shuffle and sort for both the first ones and the rest; a running frame holds no state per seed
+    upto = W.partitionBy("seed").orderBy("doc_id", "i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    first = {"owner": F.first("doc_id").over(upto), "j": F.first("i").over(upto)}
+    return seeds(docs, k, window).withColumns(first).where("doc_id <> owner").select("doc_id", "owner", "i", "j")
 
 
 def chains(i: np.ndarray, j: np.ndarray, k: int = K, gap: float = GAP_COST) -> list[np.ndarray]:
@@ -303,7 +309,7 @@ def word_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for texts in slices(b.column(1)):
+            for texts in slices(b.column(1), _SLICE):
                 h, counts = word_hashes(texts)
                 ends = np.concatenate([[0], np.cumsum(counts)]) * 4
                 data = (h >> np.uint64(32)).astype("<u4").tobytes()

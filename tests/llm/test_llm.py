@@ -124,6 +124,21 @@ def test_two_shared_passages_with_own_text_between(spark, passage, own):
     assert all(abs(r.start - s) <= 2 and abs(r.n_words - n) <= 2 for r, (s, n) in zip(found, want))
 
 
+@pytest.mark.parametrize("every", [6, 7, 8])
+def test_fuzzy_passages_are_found(spark, every):
+    rng = random.Random(every)
+    rows, share = [], []
+    for i in range(40):  # 60 words, one changed in so many
+        one, at = prose(rng, 60).split(), rng.randrange(every)
+        two = [f"zz{i}x{x}" if x % every == at else w for x, w in enumerate(one)]
+        share.append(sum(x == y for x, y in zip(one, two)) / 60)
+        rows += [(d, f"{prose(rng, 60)} {' '.join(w)} {prose(rng, 60)}") for d, w in ((i, one), (100 + i, two))]
+    assert min(share) >= substring_dedup.SIMILARITY
+    found = {r.doc_id: r for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(found) == list(range(100, 140))
+    assert all(r.start >= 55 and 50 <= r.n_words <= 65 and r.source_ids == [d - 100] for d, r in found.items())
+
+
 def test_stretches_of_a_chain():
     a = list(range(1000, 1100))
     b = [*a[:30], *range(12), *a[30:60], *range(50), *a[60:]]
