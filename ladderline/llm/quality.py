@@ -1,15 +1,16 @@
 """Quality rules by distribution divergence (DataFrame functions only).
 
 Each language has a reference made from all its documents: how their characters divide into classes,
-and how often the language's most common words come. A document is held against the reference of its
+and how often the language's common words come. Four languages have lists of common words; any other
+value of ``lang``, null too, has the words that come most often in its own documents. A document is held against the reference of its
 language by the Jensen-Shannon distance (base 2, between 0 and 1) of both histograms. Texts below a
 minimum length have noisy histograms, so guards leave the distances without a vote.
 
-The texts are read once: what is counted in them is stored, a short row per document, and both the
+Texts of listed languages are read once, others twice, to count their words first: what is counted in them is stored, a short row per document, and both the
 references and the verdicts are made from those rows.
 
 Cases: a null text has no words and fails the base rules; a null ``lang`` is a language of its own;
-a language without a word list is held against its character classes only; repeated rows are judged
+repeated rows are judged
 one by one; an empty table gives an empty result; columns other than ``doc_id``, ``text`` and ``lang``
 are not read.
 """
@@ -20,6 +21,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ladderline.llm.common import stored, table, words
@@ -46,6 +48,10 @@ class Rules:
     min_words_for_common: int = 50
     max_class_distance: float = 0.27
     max_word_distance: float = 0.40
+    #: For a language without a list: how many of its most frequent words count, and the distance from
+    #: which on a document is odd.
+    derived_words: int = 16
+    max_derived_distance: float = 0.45
 
 
 def let(value: Column, f) -> Column:
@@ -85,26 +91,46 @@ def repeat_words(w: Column) -> Column:
     return let(hashes, count).cast("long")
 
 
-def word_counts(w: Column, lists: Mapping[str, Sequence[str]]) -> Column:
-    """How often each listed word of the row's ``lang`` comes, then all other words; null without a list."""
+def derived_words(docs: DataFrame, rules: Rules) -> DataFrame:
+    """lang and ``common``, its most frequent words, for each ``lang`` without a list.
+
+    Words are counted before anything is shuffled, and each task ranks its own before the last one does.
+    """
+    d = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").where(~F.col("lang").isin(list(rules.common_words)))
+    by_word = d.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    ranked = by_word.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    top = ranked.where(F.col("r") <= rules.derived_words).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word"))).alias("top"))
+    return top.select("lang", F.transform("top", lambda x: x["word"]).alias("common"))
+
+
+def word_counts(w: Column, lists: Mapping[str, Sequence[str]], common: Column | None = None) -> Column:
+    """How often each listed word of the row's ``lang`` comes, then all other words. Without a list the
+    words are those of ``common``, if given; null without any."""
     every = sorted({x for words_ in lists.values() for x in words_})
 
-    def counts(hits: Column, listed: Sequence[str]) -> Column:
-        each = F.transform(F.lit(list(listed)), lambda c: F.size(F.filter(hits, lambda x: x == c)).cast("long"))
+    def counts(hits: Column, listed: Column) -> Column:
+        each = F.transform(listed, lambda c: F.size(F.filter(hits, lambda x: x == c)).cast("long"))
         return let(each, lambda e: F.concat(e, F.array(F.size(w) - total(e))))
 
     def by_lang(hits: Column) -> Column:
         out = F.lit(None).cast("array<bigint>")
         for lang, listed in lists.items():
-            out = F.when(F.col("lang") == lang, counts(hits, listed)).otherwise(out)
+            out = F.when(F.col("lang") == lang, counts(hits, F.lit(list(listed)))).otherwise(out)
         return out
 
-    return let(F.filter(w, lambda x: x.isin(every)), by_lang)
+    listed = let(F.filter(w, lambda x: x.isin(every)), by_lang)
+    if common is None:
+        return listed
+    own = let(F.filter(w, lambda x: F.array_contains(common, x)), lambda hits: counts(hits, common))
+    return F.when(common.isNull(), listed).otherwise(own)
 
 
 def measured(docs: DataFrame, rules: Rules) -> DataFrame:
     """One short row per document with all that the rules count in its text."""
     d = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("t"))
+    others = not docs.where(~F.coalesce("lang", F.lit("")).isin(list(rules.common_words))).select("lang").isEmpty()
+    if others:  # a row per language
+        d = d.join(F.broadcast(stored(derived_words(docs, rules), "common-words")), "lang", "left")
     # "rest" is what neither letters nor separators leave: short, so counting in it costs little
     d = d.withColumns({"w": words(F.col("t")), "rest": F.regexp_replace("t", "[\\p{L}\\x20\\x09-\\x0D]+", "")})
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
@@ -123,7 +149,7 @@ def measured(docs: DataFrame, rules: Rules) -> DataFrame:
         upper.alias("n_upper"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
         repeat_words(F.col("w")).alias("n_repeat_words"),
-        word_counts(F.col("w"), rules.common_words).alias("word_counts"),
+        word_counts(F.col("w"), rules.common_words, F.col("common") if others else None).alias("word_counts"),
     )
     c = {x: F.col(x).cast("long") for x in ("n_words", "word_chars", "n_chars", "n_rest", "n_symbols", "n_digits", "n_upper", "n_dup_lines")}
     classes = F.array(
@@ -151,7 +177,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 def references(rows: DataFrame, rules: Rules) -> DataFrame:
     """A row per language: class_ref and word_ref, the shares over all its documents."""
-    longest = 1 + max((len(x) for x in rules.common_words.values()), default=0)
+    longest = 1 + max([rules.derived_words, *(len(x) for x in rules.common_words.values())])
     at = lambda c, i: F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0))
     sums = rows.groupBy("lang").agg(
         F.array(*[at("class_counts", i) for i in range(len(CLASSES))]).alias("c"),
@@ -168,9 +194,10 @@ def score_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     d = d.withColumn("class_distance", F.round(js_distance(shares(F.col("class_counts")), F.col("class_ref")), 6))
     d = d.withColumn("word_distance", F.round(js_distance(shares(F.col("word_counts")), ref), 6))
     base = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
+    most = F.when(F.col("lang").isin(list(rules.common_words)), rules.max_word_distance).otherwise(rules.max_derived_distance)
     odd = (
         (F.col("n_chars") >= rules.min_chars_for_classes) & (F.col("class_distance") > rules.max_class_distance)
-    ) | ((F.col("n_words") >= rules.min_words_for_common) & (F.col("word_distance") > rules.max_word_distance))
+    ) | ((F.col("n_words") >= rules.min_words_for_common) & (F.col("word_distance") > most))
     return d.select(
         "doc_id",
         "n_words",

@@ -265,6 +265,19 @@ def test_quality_counts(odd, none, docs, texts):
     assert quality.score_quality(none).count() == 0 and len(got) == len(ODD) + len(texts)
 
 
+@pytest.mark.parametrize("lang", [None, "it"])
+def test_languages_without_a_list_have_a_word_check(spark, lang):
+    rng = random.Random(6)
+    common = "il che non per una del con sono alla dei nel gli questa anche come più".split()
+    usual = [" ".join(rng.choice(common) if rng.random() < 0.5 else prose(rng, 1) for _ in range(120)) for _ in range(40)]
+    rows = [(i, t, lang) for i, t in enumerate([*usual, prose(rng, 120)])]
+    rows.append((41, f"the {usual[0]}", "en"))  # a listed language keeps its own words
+    got = {r.doc_id: r for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept and got[i].word_distance < 0.3 for i in range(40))
+    assert not got[40].base_failed and got[40].word_distance > 0.45 and not got[40].kept
+    assert len(got) == 42 and got[41].word_distance == 0
+
+
 def test_repeats_against_brute_force(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 25)))) for i in range(200)]
