@@ -2,8 +2,8 @@
 
 Overlong documents are first cut into full windows. The rests go, longest first, into the open
 window with the tightest room, which a segment tree over remaining capacities finds in log(capacity)
-steps. Windows that are still not full are then topped up by cutting the emptiest of them, and the
-one that is left over is laid out as windows whose lengths are powers of two, which need no padding.
+steps. Windows stay as best fit leaves them, but for the emptiest one of a batch: it is laid out as
+windows whose lengths are powers of two, which need no padding.
 
 Documents are packed in the tasks that tokenize them, a bounded number of tokens at a time, so
 nothing is shuffled and memory doesn't grow with the input. A window's number holds the task's
@@ -81,45 +81,22 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack(lengths: Iterable[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces (document, start, length). At most ``capacity`` ids each; every id once.
-
-    All but those of a length that is a power of two are full.
-    """
-    full, rests = [], []
+    """Windows of pieces (document, start, length). At most ``capacity`` ids each; every id once."""
+    out, rests = [], []
     for d, n in enumerate(lengths):
         cut = n - n % capacity
-        full += [[(d, s, capacity)] for s in range(0, cut, capacity)]
+        out += [[(d, s, capacity)] for s in range(0, cut, capacity)]
         if n % capacity:
             rests.append((d, cut, n % capacity))
     windows = [[rests[i] for i in w] for w in best_fit_decreasing([r[2] for r in rests], capacity)]
     used = [sum(p[2] for p in w) for w in windows]
-    full += [w for w, u in zip(windows, used) if u == capacity]
-    open_ = sorted((k for k, u in enumerate(used) if u < capacity), key=lambda k: -used[k])
-    supply: list[tuple[int, int, int]] = []  # pieces of windows that were given up
-    i, j = 0, len(open_) - 1
-    while i < j or (i == j and supply):
-        need, w = capacity - used[open_[i]], windows[open_[i]]
-        while need:
-            if not supply:
-                if j <= i:
-                    break
-                supply, j = windows[open_[j]], j - 1
-            d, s, n = supply.pop()
-            take = min(n, need)
-            w.append((d, s, take))
-            need -= take
-            if n > take:
-                supply.append((d, s + take, n - take))
-        used[open_[i]] = capacity - need
-        if need:
-            break
-        full.append(w)
-        i += 1
-    rest = windows[open_[i]] if i <= j else []
-    rest = [*rest, *supply]
-    left = sum(p[2] for p in rest)
+    emptiest = min(range(len(windows)), key=used.__getitem__, default=None)
+    rest, left = [], 0
+    if emptiest is not None and used[emptiest] < capacity:
+        rest, left = windows.pop(emptiest), used[emptiest]
+    out += windows
     while left:
-        size = min(capacity, 1 << (left.bit_length() - 1))
+        size = 1 << (left.bit_length() - 1)
         w, need = [], size
         while need:
             d, s, n = rest.pop()
@@ -128,9 +105,9 @@ def pack(lengths: Iterable[int], capacity: int = CAPACITY) -> list[list[tuple[in
             need -= take
             if n > take:
                 rest.append((d, s + take, n - take))
-        full.append(w)
+        out.append(w)
         left -= size
-    return full
+    return out
 
 
 def _emit(ids: list, parts: list[np.ndarray], first: int, capacity: int) -> tuple[pa.RecordBatch, int]:
