@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
+    Where it is unset, a temporary folder is made and set on a local master only; elsewhere that's an error.
     """
     sc = spark.sparkContext
     here = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         return here
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     here = tempfile.mkdtemp(prefix="ladderline-")
     sc.setCheckpointDir(here)
     return sc._jsc.sc().getCheckpointDir().get()
@@ -45,10 +47,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files that the write needed go with its end.
+    """
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
+    path, clean = scratch(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before) if before is not None else spark.conf.unset(clean)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,3 +86,22 @@ def having(rows: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) ->
     where they are; beyond that both sides are shuffled."""
     small = ids.limit(most + 1).count() <= most
     return rows.join(F.broadcast(ids) if small else ids, key, "left_semi")
+
+
+def with_row_ids(docs: DataFrame, id_: str = "doc_id") -> DataFrame:
+    """(id, row): ``row`` is the whole row as a struct, whatever its columns are called; ``id`` is its
+    ``doc_id`` where no other row has that. Rows without one, and rows that share one, get negative ids
+    by their doc_id and text, so that only equal ones are still alike.
+    """
+    rows = docs.select(F.struct("*").alias("row"))
+    key = F.col("row")[id_].cast("long")
+    again = rows.groupBy(key.alias("again")).agg(F.count("*").alias("n")).where("n > 1 or again is null").select("again")
+    again = stored(again, "shared-ids")
+    own = -1 - F.shiftrightunsigned(F.xxhash64(key, F.col("row")["text"]), 2)
+    if again.isEmpty():
+        return rows.select(key.alias("id"), "row")
+    small = again.limit(1_000_001).count() <= 1_000_000
+    both = rows.join(F.broadcast(again) if small else again, key.eqNullSafe(F.col("again")), "left").select(
+        F.when(key.isNull() | F.col("again").isNotNull(), own).otherwise(key).alias("id"), "row"
+    )
+    return both

@@ -1,42 +1,46 @@
 """Substring dedup by collinear chaining: fuzzy passages that an earlier document already has.
 
 1. Seeds: all runs of five words, so a fuzzy passage has seeds wherever five words in a row are equal.
-   With a ``window`` over 1 they are thinned by winnowing (the smallest hash of every ``window`` runs);
-   only a stretch of ``window + 4`` equal words is then sure of a seed.
 2. Each seed's first occurrence (smallest doc_id, then position) owns it; every other occurrence is
-   held against it. That is one match per occurrence however often a passage comes, never a pair of
+   matched with it. That is one match per occurrence however often a passage comes, never a pair of
    every two documents that share it.
-3. Matches of a document with one owner are chained: ordered in both, for the best sum of seed
-   weights less gap costs. A Fenwick tree over owner positions holds prefix maxima, so chaining n
-   matches takes n log n.
-4. Chains are aligned word by word: gaps between seeds by edit distance, ends by extension. A chain
-   below ``similarity`` is cut into its longest stretches that reach it. These count, and a document's stretches that count, from any owners, are put
-   together; those of ``min_words`` or more are its passages.
+3. Matches on one diagonal in a row are runs. A document's runs with one owner are chained: ordered in
+   both, for the best sum of run weights less gap costs. A Fenwick tree over owner positions holds
+   prefix maxima, so chaining n runs takes n log n.
+4. Chains are aligned word by word: gaps between runs by edit distance, ends by extension. A chain
+   below ``similarity`` is cut into its longest stretches that reach it. These count, and a document's
+   stretches that count, from any owners, are put together; those of ``min_words`` or more are its
+   passages.
 
 The first document with a passage keeps it. Passages repeated within one document are left alone.
 
-Cases: null and empty texts, and texts below five words, have no seeds; rows with a null doc_id take
-no part; rows with the same doc_id count as one document and are not matched with each other; an
-empty table gives an empty result; further columns are ignored.
+How seeds travel. Documents are taken in flushes of about ``flush_seeds`` seeds. A flush sorts its
+seeds and sends only the first occurrence of each, packed into one row per bucket of hashes: 7 bytes
+of hash, about a byte of position, and a document number per run. So a seed that a third of all
+documents share reaches its bucket once per flush, and no task reads more of it. A bucket finds the
+owners and answers every flush with its matches; other occurrences stay with their flush and take
+the owner from the answer. Buckets number as many as the corpus has ``bucket_seeds``. For larger
+inputs raise both with the executors' memory (about 60 bytes a seed): rows of few seeds pack badly.
+
+Cases: null and empty texts, and texts below five words, have no seeds; rows with a null doc_id, and
+rows that share one, are documents of their own, those with equal text one document; an empty table
+gives an empty result; further columns, whatever their names, are ignored or carried along.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import having, in_small_batches, stored, table
+from ladderline.llm.common import having, in_small_batches, stored, table, with_row_ids
 from ladderline.llm.hashing import shingle_hashes, slices, word_hashes
 
 K = 5
-WINDOW = 1
 MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Cost of a word between two seeds of a chain, on either side; a seed weighs K.
@@ -44,92 +48,255 @@ GAP_COST = 0.1
 #: Words beyond a chain's ends that alignment may look at, and the longest gap that is bridged when
 #: stretches are put together.
 FLANK, BRIDGE = 32, 3
+FLUSH_SEEDS, BUCKET_SEEDS = 2_000_000, 1_500_000
 #: Bytes of text that a worker hashes at once.
 _SLICE = 1 << 20
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def winnowed(s: np.ndarray, window: int) -> np.ndarray:
-    """Positions that hold the smallest hash of some ``window`` consecutive ones (of all, if fewer)."""
-    if window == 1:
-        return np.arange(len(s))
-    if len(s) <= window:
-        return np.flatnonzero(s == s.min()) if len(s) else np.zeros(0, np.int64)
-    n = len(s) - window + 1
-    low = s[:n].copy()
-    for i in range(1, window):
-        np.minimum(low, s[i : i + n], out=low)
-    chosen = np.zeros(len(s), bool)
-    for i in range(window):
-        chosen[i : i + n] |= s[i : i + n] == low
-    return np.flatnonzero(chosen)
-
-
-def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """doc_id, seed, i (word position)."""
+#: What a row of seeds holds: the first occurrences of a flush for a bucket, the other occurrences of
+#: a flush, the matches that a bucket found for a flush, and owners for the other occurrences.
+_FIRST, _OTHER, _MATCH, _OWNER = range(4)
+_PARTS = 6
+_ROWS = "key int, flush long, kind int, " + ", ".join(f"p{i} binary" for i in range(_PARTS))
+_LOW = np.uint64((1 << 56) - 1)
+
+
+def _positions(run_start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending numbers of each run as steps, in planes of their bytes (1, 1 and 2 of 4), which pack well."""
+    step = np.diff(at, prepend=0)
+    step[run_start] = at[run_start]
+    b = step.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return b[:, 0], b[:, 1], b[:, 2:]
+
+
+def _from_positions(counts: np.ndarray, low: np.ndarray, mid: np.ndarray, high: np.ndarray) -> np.ndarray:
+    b = np.zeros((len(low), 4), np.uint8)
+    b[:, 0], b[:, 1], b[:, 2:] = low, mid, high.reshape(-1, 2)
+    total = np.cumsum(b.view("<u4").ravel().astype(np.int64))
+    starts = np.cumsum(counts) - counts
+    return total - np.repeat(total[starts] - b.view("<u4").ravel()[starts], counts)
+
+
+def _rows(key, flush, kind: int, bounds: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
+    """One row for each stretch of the parts; part i is cut at ``bounds[i]``."""
+    n = len(bounds[0]) - 1
+    cols = [pa.array(np.broadcast_to(np.asarray(key, np.int32), n)), pa.array(np.broadcast_to(np.asarray(flush, np.int64), n))]
+    cols.append(pa.array(np.full(n, kind, np.int32)))
+    for at, part in zip(bounds, parts):
+        part = np.ascontiguousarray(part)
+        width = part.dtype.itemsize * int(np.prod(part.shape[1:], dtype=np.int64))
+        cols.append(pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((at * width).astype(np.int64)), pa.py_buffer(part)]).cast(pa.binary()))
+    cols += [pa.nulls(n, pa.binary())] * (_PARTS - len(parts))
+    return pa.RecordBatch.from_arrays(cols, names=["key", "flush", "kind", *(f"p{i}" for i in range(_PARTS))])
+
+
+def _runs(*same: np.ndarray) -> np.ndarray:
+    """Where a run of rows with equal values begins."""
+    n = len(same[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.any([x[1:] != x[:-1] for x in same], axis=0)
+    return np.flatnonzero(new)
+
+
+def _flush(docs: list, seeds: list, places: list, flush: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    doc, seed, at = (np.concatenate(x) for x in (docs, seeds, places))
+    order = np.lexsort((at, doc))  # documents need not come in order
+    doc, seed, at = doc[order], seed[order], at[order]
+    by = np.argsort(seed, kind="stable")
+    head = np.ones(len(by), bool)
+    head[1:] = seed[by][1:] != seed[by][:-1]
+    shared = np.zeros(len(by), bool)
+    shared[:-1] |= ~head[1:]
+    others = by[~head]
+    if len(others):
+        first = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))][~head]
+        yield _rows(flush % buckets, flush, _OTHER, [np.array([0, len(others)])] * 5, [seed[others], doc[others], at[others], doc[first], at[first]])
+    flag = np.zeros(len(by), np.uint8)
+    flag[by[shared & head]] = 1
+    firsts = np.sort(by[head])  # in order of documents and places
+    bucket = (seed[firsts] % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, firsts = bucket[order], firsts[order]
+    doc, seed, at, flag = doc[firsts], seed[firsts], at[firsts], flag[firsts]
+    rows = _runs(bucket)
+    run = _runs(bucket, doc)
+    low, mid, high = _positions(run, at)
+    counts = np.diff(np.append(run, len(doc))).astype("<u4")
+    bounds, run_bounds = np.append(rows, len(doc)), np.append(np.searchsorted(run, rows), len(run))
+    runs = np.empty((len(run), 12), np.uint8)
+    runs[:, :8], runs[:, 8:] = doc[run].astype("<i8").view(np.uint8).reshape(-1, 8), counts.view(np.uint8).reshape(-1, 4)
+    yield _rows(
+        bucket[rows].astype(np.int32), flush, _FIRST, [bounds, run_bounds, *[bounds] * 4],
+        [seed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7], runs, low, mid, high, flag],
+    )
+
+
+def seeds(docs: DataFrame, buckets: int, k: int = K, flush_seeds: int = FLUSH_SEEDS) -> DataFrame:
+    """Packed rows (see above) of the seeds of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, seed, place, held = [], [], [], 0
+        flush = TaskContext.get().partitionId() << 32
         for b in batches:
-            ids, at = b.column(0).to_numpy(zero_copy_only=False), 0
+            ids, done = b.column(0).to_numpy(zero_copy_only=False), 0
             for texts in slices(b.column(1), _SLICE):
                 h, counts = word_hashes(texts)
-                owner, value, place = [], [], []
-                for d, e, n in zip(ids[at : at + len(texts)].tolist(), np.cumsum(counts).tolist(), counts.tolist()):
-                    s = shingle_hashes(h[e - n : e], k)
-                    p = winnowed(s, window)
-                    owner.append(np.full(len(p), d, np.int64))
-                    value.append(s[p].view(np.int64))
-                    place.append(p.astype(np.int32))
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (owner, value, place)], names=["doc_id", "seed", "i"]
-                )
-
-    some = in_small_batches(docs.where("doc_id is not null").select("doc_id", "text"))
-    return some.mapInArrow(run, "doc_id long, seed long, i int")
-
-
-def matches(docs: DataFrame, k: int, window: int) -> DataFrame:
-    """doc_id, owner, i, j: each occurrence of a seed with the seed's first one in another document."""
-    # one shuffle and sort for both the first ones and the rest; a running frame holds no state per seed
-    upto = W.partitionBy("seed").orderBy("doc_id", "i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    first = {"owner": F.first("doc_id").over(upto), "j": F.first("i").over(upto)}
-    return seeds(docs, k, window).withColumns(first).where("doc_id <> owner").select("doc_id", "owner", "i", "j")
-
-
-def chains(i: np.ndarray, j: np.ndarray, k: int = K, gap: float = GAP_COST) -> list[np.ndarray]:
-    """Best collinear chains, as indexes into the matches (sorted by i, then j); each match in one at most."""
-    n = len(i)
-    di, dj = np.diff(i), np.diff(j)
-    if n == 1 or (di.min() > 0 and dj.min() > 0 and gap * (di + dj).max() < k):
-        return [np.arange(n)]
-    order = np.unique(j)
-    rank = np.searchsorted(order, j) + 1
-    size = len(order)
-    tree: list[tuple[float, int]] = [(-1e300, -1)] * (size + 1)
-    score, back = [0.0] * n, [-1] * n
-    il, jl, rl = i.tolist(), j.tolist(), rank.tolist()
-    a = 0
-    while a < n:
-        b = a
-        while b < n and il[b] == il[a]:
-            best, r = (-1e300, -1), rl[b] - 1
-            while r:
-                if tree[r] > best:
-                    best = tree[r]
-                r &= r - 1
-            gained = best[0] - gap * (il[b] + jl[b])
-            score[b], back[b] = (k + gained, best[1]) if gained > 0 else (float(k), -1)
-            b += 1
-        for c in range(a, b):
-            entry, r = (score[c] + gap * (il[c] + jl[c]), c), rl[c]
-            while r <= size:
+                s, n = shingle_hashes(h, k), np.maximum(counts - k + 1, 0)
+                starts = np.cumsum(counts) - counts
+                within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                if len(within):
+                    doc.append(np.repeat(ids[done : done + len(texts)].astype(np.int64), n))
+                    seed.append(s[np.repeat(starts, n) + within])
+                    place.append(within.astype(np.uint32))
+                    held += len(within)
+                done += len(texts)
+                if held >= flush_seeds:
+                    yield from _flush(doc, seed, place, flush, buckets)
+                    doc, seed, place, held, flush = [], [], [], 0, flush + 1
+        if held:
+            yield from _flush(doc, seed, place, flush, buckets)
+
+    return in_small_batches(docs.select("id", "text")).mapInArrow(run, _ROWS)
+
+
+def _joined(columns: list[list], kind) -> np.ndarray:
+    return np.frombuffer(b"".join(columns), kind)
+
+
+def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a bucket's first occurrences: for each flush its matches with earlier documents, and the
+    owners of seeds that come again in the flush. Other occurrences pass through."""
+    flushes, sizes, parts = [], [], [[] for _ in range(_PARTS)]
+    for b in batches:
+        kind = b.column(2).to_numpy()
+        if (kind == _OTHER).any():
+            yield b.filter(pa.array(kind == _OTHER))
+        some = b.filter(pa.array(kind == _FIRST))
+        if len(some):
+            flushes += some.column(1).to_pylist()
+            for i, p in enumerate(parts):
+                p += some.column(3 + i).to_pylist()
+            sizes += [len(x) for x in parts[5][len(sizes) :]]
+    if not sizes:
+        return
+    seven = _joined(parts[0], np.uint8).reshape(-1, 7)
+    seed = np.zeros((len(seven), 8), np.uint8)
+    seed[:, :7] = seven
+    seed = seed.view("<u8").ravel()
+    runs = _joined(parts[1], np.uint8).reshape(-1, 12)
+    counts = runs[:, 8:].copy().view("<u4").ravel().astype(np.int64)
+    doc = np.repeat(runs[:, :8].copy().view("<i8").ravel(), counts)
+    at = _from_positions(counts, *(_joined(parts[i], np.uint8) for i in (2, 3, 4)))
+    flag = _joined(parts[5], np.uint8)
+    flush = np.repeat(np.arange(len(sizes)), sizes)
+    del parts, seven
+    by = np.argsort(seed)
+    twice = np.zeros(len(by), bool)
+    alike = seed[by][1:] == seed[by][:-1]
+    twice[1:] |= alike
+    twice[:-1] |= alike
+    some = by[twice]
+    if not len(some):
+        return
+    some = some[np.lexsort((at[some], doc[some], seed[some]))]
+    seed, doc, at, flag, flush = seed[some], doc[some], at[some], flag[some], flush[some]
+    group = np.repeat(g := _runs(seed), np.diff(np.append(g, len(seed))))
+    owner, place = doc[group], at[group]
+    # owners of seeds that come again in a flush
+    tell = np.flatnonzero((flag == 1) & ((doc != owner) | (at != place)))
+    tell = tell[np.argsort(flush[tell], kind="stable")]
+    number = np.array(flushes, np.int64)
+    if len(tell):
+        rows = _runs(number[flush[tell]])
+        yield _rows(0, number[flush[tell]][rows], _OWNER, [np.append(rows, len(tell))] * 3, [seed[tell], owner[tell], place[tell].astype("<u4")])
+    found = np.flatnonzero(doc != owner)
+    found = found[np.lexsort((at[found], doc[found], number[flush[found]]))]
+    if len(found):
+        flush, doc, at, owner = number[flush[found]], doc[found], at[found], owner[found]
+        diagonal = place[found].astype(np.int64) - at
+        rows, run = _runs(flush), _runs(flush, doc, owner, diagonal)
+        low, mid, high = _positions(run, at)
+        runs = np.empty((len(run), 24), np.uint8)
+        for x, kind, a in ((doc, "<i8", 0), (owner, "<i8", 8), (diagonal, "<i4", 16)):
+            size = np.dtype(kind).itemsize
+            runs[:, a : a + size] = x[run].astype(kind).view(np.uint8).reshape(-1, size)
+        runs[:, 20:] = np.diff(np.append(run, len(doc))).astype("<u4").view(np.uint8).reshape(-1, 4)
+        bounds, run_bounds = np.append(rows, len(doc)), np.append(np.searchsorted(run, rows), len(run))
+        yield _rows(0, flush[rows], _MATCH, [run_bounds, *[bounds] * 3], [runs, low, mid, high])
+
+
+def _matches(kinds: list[int], parts: list[list]) -> tuple[np.ndarray, ...]:
+    """doc, owner, i, j, length of the runs of a flush, in that order, from all its rows."""
+    of = lambda kind, i: [p for x, p in zip(kinds, parts[i]) if x == kind]
+    runs = _joined(of(_MATCH, 0), np.uint8).reshape(-1, 24)
+    counts = runs[:, 20:].copy().view("<u4").ravel().astype(np.int64)
+    doc, owner = (np.repeat(runs[:, a : a + 8].copy().view("<i8").ravel(), counts) for a in (0, 8))
+    i = _from_positions(counts, *(_joined(of(_MATCH, x), np.uint8) for x in (1, 2, 3)))
+    j = i + np.repeat(runs[:, 16:20].copy().view("<i4").ravel(), counts)
+    if others := of(_OTHER, 0):
+        seed, d, at = (_joined(others, "<u8") & _LOW, _joined(of(_OTHER, 1), "<i8"), _joined(of(_OTHER, 2), "<u4").astype(np.int64))
+        o, p = _joined(of(_OTHER, 3), "<i8").copy(), _joined(of(_OTHER, 4), "<u4").astype(np.int64)
+        told = _joined(of(_OWNER, 0), "<u8")
+        if len(told):
+            by = np.argsort(told)
+            told = told[by]
+            where = np.minimum(np.searchsorted(told, seed), len(told) - 1)
+            hit = told[where] == seed
+            o[hit] = _joined(of(_OWNER, 1), "<i8")[by][where[hit]]
+            p[hit] = _joined(of(_OWNER, 2), "<u4").astype(np.int64)[by][where[hit]]
+        some = o != d
+        doc, owner, i, j = (np.concatenate(x) for x in ((doc, d[some]), (owner, o[some]), (i, at[some]), (j, p[some])))
+    ids, number = np.unique(doc, return_inverse=True)
+    by = np.argsort((number.astype(np.uint64) << np.uint64(32)) | i.astype(np.uint64))
+    number, owner, i, j = number[by], owner[by], i[by], j[by]
+    if len(i):  # equal rows that are one document give each match twice
+        new = np.append(True, (np.diff(number) != 0) | (np.diff(i) != 0))
+        number, owner, i, j = number[new], owner[new], i[new], j[new]
+    begin = _runs(number, owner, i - np.arange(len(i)), j - i)
+    length = np.diff(np.append(begin, len(i)))
+    number, owner, i, j = number[begin], owner[begin], i[begin], j[begin]
+    by = np.lexsort((i, owner, number))
+    return ids[number[by]] if len(ids) else number, owner[by], i[by], j[by], length[by]
+
+
+def chains(i: np.ndarray, j: np.ndarray, n: np.ndarray, k: int = K, gap: float = GAP_COST) -> list[np.ndarray]:
+    """Best collinear chains, as indexes into the runs (sorted by i, then j); each run in one at most.
+
+    A run of n seeds weighs n * k less the cost of its n - 1 steps; the next one must begin after its
+    last seed on both sides.
+    """
+    size = len(i)
+    if size == 1:
+        return [np.arange(1)]
+    last_i, last_j = i + n - 1, j + n - 1
+    di, dj = i[1:] - last_i[:-1], j[1:] - last_j[:-1]
+    if di.min() > 0 and dj.min() > 0 and gap * (di + dj).max() < k:
+        return [np.arange(size)]
+    own = (n * k - 2 * gap * (n - 1)).tolist()
+    ends = np.unique(last_j)
+    upto, rank = np.searchsorted(ends, j).tolist(), (np.searchsorted(ends, last_j) + 1).tolist()
+    tree: list[tuple[float, int]] = [(-1e300, -1)] * (len(ends) + 1)
+    score, back = [0.0] * size, [-1] * size
+    first, begin = (i + j).tolist(), i.tolist()
+    closing, after = np.argsort(last_i, kind="stable").tolist(), (last_i + last_j).tolist()
+    stop, closed = last_i.tolist(), 0
+    for c in range(size):
+        while closed < size and stop[closing[closed]] < begin[c]:  # runs that have ended before this one
+            x = closing[closed]
+            entry, r = (score[x] + gap * after[x], x), rank[x]
+            while r <= len(ends):
                 if entry > tree[r]:
                     tree[r] = entry
                 r += r & -r
-        a = b
-    used, out = [False] * n, []
-    for c in sorted(range(n), key=lambda x: (-score[x], x)):
+            closed += 1
+        best, r = (-1e300, -1), upto[c]
+        while r:
+            if tree[r] > best:
+                best = tree[r]
+            r &= r - 1
+        gained = best[0] - gap * first[c]
+        score[c], back[c] = (own[c] + gained, best[1]) if gained > 0 else (float(own[c]), -1)
+    used, out = [False] * size, []
+    for c in sorted(range(size), key=lambda x: (-score[x], x)):
         chain = []
         while c >= 0 and not used[c]:
             used[c] = True
@@ -141,16 +308,15 @@ def chains(i: np.ndarray, j: np.ndarray, k: int = K, gap: float = GAP_COST) -> l
 
 
 def _edit_matches(a: list[int], b: list[int]) -> int:
-    """Equal words in an alignment of fewest edits."""
-    row = [(x, 0) for x in range(len(b) + 1)]
-    for y, w in enumerate(a, 1):
-        new = [(y, 0)]
-        for x, v in enumerate(b, 1):
-            same = w == v
-            d, m = row[x - 1]
-            new.append(min((d + (not same), m - same), (row[x][0] + 1, row[x][1]), (new[-1][0] + 1, new[-1][1])))
-        row = new
-    return -row[-1][1]
+    """Equal words in an alignment of fewest edits, the most of any such."""
+    edit = len(a) + len(b) + 1  # an edit costs more than all matches can make up for
+    x, steps = np.array(b), np.arange(len(b) + 1) * edit
+    row = steps.copy()
+    for w in a:
+        new = row + edit
+        new[1:] = np.minimum(new[1:], row[:-1] + np.where(x == w, -1, edit))
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(-row[-1] % edit)
 
 
 def _extend(a: list[int], b: list[int]) -> tuple[int, int, int]:
@@ -168,19 +334,16 @@ def _extend(a: list[int], b: list[int]) -> tuple[int, int, int]:
             return x, y, same
 
 
-def pieces(a: list[int], b: list[int], at: list[tuple[int, int]], k: int = K) -> tuple[list[list[int]], list[int]]:
-    """Blocks of equal words along the seeds ``at``, as [start in a, end in a, start in b, end in b], and
-    the equal words in each gap between one block and the next."""
-    blocks, inside = [[at[0][0], at[0][0] + k, at[0][1], at[0][1] + k]], []
-    for x, y in at[1:]:
+def pieces(a: list[int], b: list[int], at: list[tuple[int, int, int]]) -> tuple[list[list[int]], list[int]]:
+    """Blocks of equal words along the runs ``at`` (place in a, in b, words), as [start in a, end in a,
+    start in b, end in b], and the equal words in each gap between one block and the next."""
+    x, y, n = at[0]
+    blocks, inside = [[x, x + n, y, y + n]], []
+    for x, y, n in at[1:]:
         _, px, _, py = last = blocks[-1]
-        if x < px or y < py:  # overlaps the seed before it
-            step = min(x + k - px, y + k - py)
-            if step > 0 and a[px : px + step] == b[py : py + step]:
-                last[1], last[3] = px + step, py + step
-            elif step > 0:
-                blocks.append([x + k - step, x + k, y + k - step, y + k])
-                inside.append(0)
+        over = max(px - x, py - y, 0)  # runs may share words, never seeds
+        x, y, n = x + over, y + over, n - over
+        if n <= 0:
             continue
         while px < x and py < y and a[px] == b[py]:
             px, py = px + 1, py + 1
@@ -189,10 +352,10 @@ def pieces(a: list[int], b: list[int], at: list[tuple[int, int]], k: int = K) ->
         while u > px and v > py and a[u - 1] == b[v - 1]:
             u, v = u - 1, v - 1
         if u == px and v == py:
-            last[1], last[3] = x + k, y + k
+            last[1], last[3] = x + n, y + n
         else:
-            blocks.append([u, x + k, v, y + k])
-            inside.append(_edit_matches(a[px:u], b[py:v]))
+            blocks.append([u, x + n, v, y + n])
+            inside.append(_edit_matches(a[px:u], b[py:v]) if u > px and v > py else 0)
     return blocks, inside
 
 
@@ -206,9 +369,9 @@ def _whole(blocks: list[list[int]], inside: list[int], a: list[int], b: list[int
     return x0 - back[0], x1 + on[0], y0 - back[1], y1 + on[1], same
 
 
-def align(a: list[int], b: list[int], at: list[tuple[int, int]], k: int = K) -> tuple[int, int, int, int, int]:
-    """Align word lists along the seeds ``at``: start and end in a and in b, and equal words."""
-    return _whole(*pieces(a, b, at, k), a, b)
+def align(a: list[int], b: list[int], at: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
+    """Align word lists along the runs ``at``: start and end in a and in b, and equal words."""
+    return _whole(*pieces(a, b, at), a, b)
 
 
 def _share(s: tuple[int, int, int, int, int]) -> float:
@@ -229,12 +392,12 @@ def _longest(blocks: list[list[int]], inside: list[int], similarity: float) -> t
 
 
 def stretches(
-    a: list[int], b: list[int], at: list[tuple[int, int]], similarity: float = SIMILARITY, min_words: int = MIN_WORDS, k: int = K
+    a: list[int], b: list[int], at: list[tuple[int, int, int]], similarity: float = SIMILARITY, min_words: int = MIN_WORDS
 ) -> list[tuple[int, int, int, int, int]]:
-    """What reaches ``similarity`` along the seeds ``at``, as :func:`align` tells it: the whole chain, or
+    """What reaches ``similarity`` along the runs ``at``, as :func:`align` tells it: the whole chain, or
     else its longest such stretch and what is found so on both sides of it. Where a gap holds more words
     of its own than a passage of ``min_words`` may and both sides are passages by themselves, it is cut."""
-    blocks, inside = pieces(a, b, at, k)
+    blocks, inside = pieces(a, b, at)
     out, todo = [], [(0, len(blocks) - 1)]
     while todo:
         p, q = todo.pop()
@@ -263,48 +426,65 @@ def stretches(
     return sorted(out)
 
 
-def _chained(rows: DataFrame, k: int, flank: int) -> DataFrame:
-    """Chains: doc_id, owner, where their words begin and how many to fetch (with flanks), seeds in them."""
-    schema = "doc_id long, owner long, a int, na int, b int, nb int, xs array<int>, ys array<int>"
-    names = ["doc_id", "owner", "a", "na", "b", "nb", "xs", "ys"]
-
-    def of(doc, owner, i, j):
-        for c in chains(i, j, k):
-            ci, cj = i[c], j[c]
-            a, b = max(0, int(ci[0]) - flank), max(0, int(cj[0]) - flank)
-            yield doc, owner, a, int(ci[-1]) + k + flank - a, b, int(cj[-1]) + k + flank - b, (ci - a).tolist(), (cj - b).tolist()
+def _chained(k: int, flank: int):
+    """Of a flush's rows its chains: doc_id, owner, where their words begin and how many to fetch (with
+    flanks), and their runs (places from there on, and words)."""
+    names = ["doc_id", "owner", "a", "na", "b", "nb", "xs", "ys", "ns"]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, *[pa.list_(pa.int32())] * 3]
+
+    def of(kinds_: list[int], parts: list[list]) -> Iterator[tuple]:
+        doc, owner, i, j, n = _matches(kinds_, parts)
+        starts = _runs(doc, owner)
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)]):
+            for c in chains(i[s:e], j[s:e], n[s:e], k):
+                ci, cj, cn = i[s:e][c], j[s:e][c], n[s:e][c] + k - 1
+                a, b = max(0, int(ci[0]) - flank), max(0, int(cj[0]) - flank)
+                na, nb = int(ci[-1] + cn[-1]) + flank - a, int(cj[-1] + cn[-1]) + flank - b
+                yield int(doc[s]), int(owner[s]), a, na, b, nb, (ci - a).tolist(), (cj - b).tolist(), cn.tolist()
+
+    def batch(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for r in rows:
+            held.append(r)
+            if len(held) == 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), kinds)], names=names)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
-        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int32()), pa.list_(pa.int32())]
-
-        def emit(cols, whole):
-            cut = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
-            starts = [0, *cut.tolist()]
-            ends = [*starts[1:], len(cols[0])]
-            if not whole:
-                starts, ends = starts[:-1], ends[:-1]
-            out = [r for s, e in zip(starts, ends) for r in of(int(cols[0][s]), int(cols[1][s]), cols[2][s:e], cols[3][s:e])]
-            rest = [c[ends[-1] if ends else 0 :] for c in cols]
-            if not out:
-                return None, rest
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names=names), rest
-
+        flush, kinds_, parts = None, [], [[] for _ in range(_PARTS)]
         for b in batches:
-            cols = [np.concatenate([h, b.column(x).to_numpy(zero_copy_only=False)]) for x, h in enumerate(held)]
-            out, held = emit(cols, False) if len(cols[0]) else (None, held)
-            if out is not None:
-                yield out
-        if len(held[0]):
-            out, _ = emit(held, True)
-            if out is not None:
-                yield out
-
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "owner", "i", "j").mapInArrow(run, schema)
+            ids = b.column(1).to_numpy()
+            starts = _runs(ids)
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+                if flush is not None and ids[s] != flush:
+                    yield from batch(of(kinds_, parts))
+                    kinds_, parts = [], [[] for _ in range(_PARTS)]
+                flush = ids[s]
+                kinds_ += b.column(2).slice(s, e - s).to_pylist()
+                for i, p in enumerate(parts):
+                    p += b.column(3 + i).slice(s, e - s).to_pylist()
+        if kinds_:
+            yield from batch(of(kinds_, parts))
+
+    return run
+
+
+def chained(docs: DataFrame, k: int = K, flush_seeds: int = FLUSH_SEEDS, bucket_seeds: int = BUCKET_SEEDS) -> DataFrame:
+    """Chains of the documents (id, text) with those before them."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(size / 6.5 / bucket_seeds) + 1  # letters and a space, or so, a seed
+    buckets += 1 - buckets % 2  # odd: the hash bits that aren't sent are in the bucket's number
+    schema = "doc_id long, owner long, a int, na int, b int, nb int, xs array<int>, ys array<int>, ns array<int>"
+    by_bucket = seeds(docs, buckets, k, flush_seeds).repartitionById(buckets, "key")
+    answers = by_bucket.mapInArrow(_owners, _ROWS)
+    by_flush = answers.repartition(buckets, "flush").sortWithinPartitions("flush")
+    return by_flush.mapInArrow(_chained(k, FLANK), schema)
 
 
 def word_table(docs: DataFrame) -> DataFrame:
-    """doc_id and its words as 32-bit hashes, four bytes each, so that a stretch is a substring."""
+    """id and its words as 32-bit hashes, four bytes each, so that a stretch is a substring."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -314,21 +494,22 @@ def word_table(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(counts)]) * 4
                 data = (h >> np.uint64(32)).astype("<u4").tobytes()
                 words = pa.array([data[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), words], names=["doc_id", "words"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), words], names=["id", "words"])
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, words binary")
 
 
-def _aligned(rows: DataFrame, k: int, similarity: float, min_words: int) -> DataFrame:
+def _aligned(rows: DataFrame, similarity: float, min_words: int) -> DataFrame:
     schema = "doc_id long, owner long, start int, stop int, same int, similarity double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for doc, owner, a, xs, ys, wa, wb in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "owner", "a", "xs", "ys", "wa", "wb"))):
+            for n in range(len(batch)):  # a row at a time: a long document's lists are large
+                doc, owner, a, xs, ys, ns, wa, wb = (batch.column(c)[n].as_py() for c in ("doc_id", "owner", "a", "xs", "ys", "ns", "wa", "wb"))
                 la, lb = np.frombuffer(wa, "<u4").tolist(), np.frombuffer(wb, "<u4").tolist()
-                for s in stretches(la, lb, list(zip(xs, ys)), similarity, min_words, k):
+                for s in stretches(la, lb, list(zip(xs, ys, ns)), similarity, min_words):
                     for c, v in zip(out, (doc, owner, a + s[0], a + s[1], s[4], _share(s))):
                         c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
@@ -339,18 +520,19 @@ def _aligned(rows: DataFrame, k: int, similarity: float, min_words: int) -> Data
     return rows.mapInArrow(run, schema)
 
 
-def passages(
-    docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, k: int = K, window: int = WINDOW
-) -> DataFrame:
-    """One row per repeated passage: doc_id, start and n_words (in words), source_ids (documents that
-    have it, in part or whole, before this one), similarity (the least of its stretches)."""
-    found = stored(_chained(matches(docs, k, window), k, FLANK), "chains")
-    ids = found.select(F.explode(F.array("doc_id", "owner")).alias("doc_id")).distinct()
-    text = stored(word_table(having(docs.select("doc_id", "text"), ids, "doc_id")), "words")
+def _passages(docs: DataFrame, min_words: int, similarity: float, k: int, flush_seeds: int, bucket_seeds: int) -> DataFrame:
+    """:func:`passages` of (id, text), by id."""
+    found = stored(chained(docs, k, flush_seeds, bucket_seeds), "chains")
     part = lambda at, n: F.expr(f"substring(words, 4 * {at} + 1, 4 * {n})")
-    own = found.join(text, "doc_id").withColumn("wa", part("a", "na")).drop("words", "na")
-    both = own.join(text.withColumnRenamed("doc_id", "owner"), "owner").withColumn("wb", part("b", "nb")).drop("words", "nb")
-    spans = _aligned(both.select("doc_id", "owner", "a", "xs", "ys", "wa", "wb"), k, similarity, min_words)
+    ids = found.select(F.col("doc_id").alias("id")).union(found.select("owner")).distinct()
+    some = having(docs, ids, "id")
+    if not docs.where("id < 0").isEmpty():  # rows that share an id have equal texts
+        some = some.where("id >= 0").union(some.where("id < 0").dropDuplicates(["id"]))
+    text = stored(word_table(some), "words")
+    own = found.join(text.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("wa", part("a", "na")).drop("words", "na")
+    owners = having(text, found.select(F.col("owner").alias("id")).distinct(), "id").withColumnRenamed("id", "owner")
+    both = own.join(owners, "owner").withColumn("wb", part("b", "nb")).drop("words", "nb")
+    spans = _aligned(both.select("doc_id", "owner", "a", "xs", "ys", "ns", "wa", "wb"), similarity, min_words)
     # a document's stretches in order; one that begins where those before it have ended, or nearly, goes on
     span = F.sort_array(F.collect_list(F.struct("start", "stop", "owner", "similarity")))
     empty = F.array().cast("array<struct<start:int,stop:int,owners:array<bigint>,similarity:double>>")
@@ -380,39 +562,56 @@ def passages(
     )
 
 
-def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the words at [start, stop), and without the separators before them."""
-    ends = [0]
-    ends += [m.end() for m in _WORD.finditer(text)]
-    out, at = [], 0
-    for start, stop in sorted(spans):
-        stop = min(stop, len(ends) - 1)
-        if start < stop:
-            out.append(text[at : max(at, ends[start])])
-            at = max(at, ends[stop])
-    out.append(text[at:])
-    return "".join(out)
-
-
-def remove_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the passages cut out of ``text``; documents that lose all their words go."""
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("spans_"))
-    cut = F.pandas_udf(_cut_series, "string")
-    both = docs.join(by_doc, "doc_id", "left").withColumn("text", cut("text", "spans_"))
-    both = both.where(F.col("spans_").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+def passages(
+    docs: DataFrame,
+    min_words: int = MIN_WORDS,
+    similarity: float = SIMILARITY,
+    k: int = K,
+    flush_seeds: int = FLUSH_SEEDS,
+    bucket_seeds: int = BUCKET_SEEDS,
+) -> DataFrame:
+    """One row per repeated passage: doc_id, id (see :func:`with_row_ids`), start and n_words (in words),
+    source_ids (ids of documents that have it, in part or whole, before this one), similarity (the least
+    of its stretches)."""
+    rows = with_row_ids(docs)
+    found = _passages(rows.select("id", F.col("row")["text"].alias("text")), min_words, similarity, k, flush_seeds, bucket_seeds)
+    found = found.withColumnRenamed("doc_id", "id")
+    shared = rows.where("id < 0").select("id", F.col("row")["doc_id"].cast("long").alias("of")).dropDuplicates(["id"])
+    shared = stored(shared, "ids-of-rows")
+    if shared.isEmpty():
+        return found.select(F.col("id").alias("doc_id"), "*")
+    of = F.when(F.col("id") < 0, F.col("of")).otherwise(F.col("id")).alias("doc_id")
+    return found.join(shared, "id", "left").select(of, *found.columns)
+
+
+#: A word with what separates it from the one before it, where that one ended.
+_PIECE = "\\G[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++"
+
+
+def cut_words(text: Column, spans: Column) -> Column:
+    """The text without the words at the spans (start, n_words), and without the separators before them."""
+    piece = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+    inside = lambda i: F.exists(spans, lambda s: (i >= s["start"]) & (i < s["start"] + s["n_words"]))
+    left = F.array_join(F.filter(piece, lambda p, i: ~inside(i)), "")
+    return F.concat(left, F.substr(text, F.length(F.array_join(piece, "")) + 1))
+
+
+def remove_passages(docs: DataFrame, found: DataFrame, most: int = 200_000) -> DataFrame:
+    """``docs`` with the passages cut out of ``text``; documents that lose all their words go. Each row is
+    cut by its own passages, whatever else has its doc_id. Up to ``most`` documents' passages are broadcast,
+    so texts stay where they are; beyond that both sides are shuffled."""
+    rows = with_row_ids(docs)
+    by_id = stored(found.groupBy("id").agg(F.collect_list(F.struct("start", "n_words")).alias("spans")), "spans")
+    by_id = F.broadcast(by_id) if by_id.limit(most + 1).count() <= most else by_id
+    both = rows.join(by_id, "id", "left")
+    text, hit = F.col("row")["text"], F.col("spans").isNotNull()
+    both = both.withColumn("cut", F.when(hit, cut_words(text, F.col("spans")))).where(~hit | F.col("cut").rlike("[^\\x20\\x09-\\x0D]"))
+    row = F.when(hit, F.col("row").withField("text", F.col("cut"))).otherwise(F.col("row"))
     if "n_chars" in docs.columns:
-        n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        both = both.withColumn("n_chars", F.when(F.col("spans_").isNull(), F.col("n_chars")).otherwise(n))
-    return both.select(*docs.columns)
-
-
-def _cut_series(text: pd.Series, spans: pd.Series) -> pd.Series:
-    cut = [
-        t if p is None or t is None else cut_words(t, [(s["start"], s["start"] + s["n_words"]) for s in p])
-        for t, p in zip(text, spans)
-    ]
-    return pd.Series(cut, dtype=object)
+        n = F.length("cut").cast(docs.schema["n_chars"].dataType)
+        row = F.when(hit, F.col("row").withField("text", F.col("cut")).withField("n_chars", n)).otherwise(F.col("row"))
+    return both.select(row.alias("row")).select("row.*")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return passages(table(spark, sf_dir, "documents"))
+    return passages(table(spark, sf_dir, "documents")).drop("id")

@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from ladderline.llm import ann, chat, langid, linear, mixing, near_dedup, packing, quality, substring_dedup, token_orc, toxicity
-from ladderline.llm.hashing import shingle_hashes
 from ladderline.llm.tokens import Encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,13 +103,99 @@ def test_passages_are_found_and_cut(docs, odd, none):
 
 
 def test_chains_are_best_and_alignment_counts():
-    i, j = np.array([0, 5, 10, 12, 15]), np.array([0, 5, 90, 10, 15])
-    best = substring_dedup.chains(i, j)[0]
+    i, j, n = np.array([0, 5, 10, 12, 15]), np.array([0, 5, 90, 10, 15]), np.ones(5, int)
+    best = substring_dedup.chains(i, j, n)[0]
     assert best.tolist() == [0, 1, 3, 4]
     a = list(range(100, 140))
     b = [*a[:20], 7, *a[21:]]
-    assert substring_dedup.align(a, b, [(5, 5), (30, 30)]) == (0, 40, 0, 40, 39)
-    assert substring_dedup.winnowed(shingle_hashes(np.arange(30, dtype=np.uint64), 5), 4).size
+    assert substring_dedup.align(a, b, [(5, 5, 5), (30, 30, 5)]) == (0, 40, 0, 40, 39)
+
+
+def test_chains_against_all_pairs():
+    rng = random.Random(12)
+    for _ in range(300):
+        at = sorted((rng.randrange(60), rng.randrange(60), rng.randint(1, 4)) for _ in range(rng.randint(1, 12)))
+        i, j, n = (np.array(x) for x in zip(*at))
+        score = []
+        for c, (x, y, m) in enumerate(at):
+            own = 5 * m - 0.2 * (m - 1)
+            before = [score[p] - 0.1 * (x - u - k + 1 + y - v - k + 1) for p, (u, v, k) in enumerate(at[:c]) if u + k <= x and v + k <= y]
+            score.append(own + max([0.0, *before]))
+        best = substring_dedup.chains(i, j, n)[0]
+        total = sum(5 * m - 0.2 * (m - 1) for m in n[best])
+        total -= sum(0.1 * (i[q] - i[p] - n[p] + 1 + j[q] - j[p] - n[p] + 1) for p, q in zip(best, best[1:]))
+        assert total == pytest.approx(max(score)) and sorted(x for c in substring_dedup.chains(i, j, n) for x in c) == list(range(len(at)))
+
+
+def test_runs_in_common_against_brute_force(spark):
+    rng = random.Random(13)
+    rows = []
+    for d in range(60):  # few words, so that seeds repeat within and between documents
+        rows.append((d * 7 % 61, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60)))))
+    first, want = {}, set()
+    for d, t in sorted(rows):
+        w = t.split()
+        for p in range(len(w) - 4):
+            first.setdefault(tuple(w[p : p + 5]), (d, p))
+    for d, t in rows:
+        w = t.split()
+        for p in range(len(w) - 4):
+            o, q = first[tuple(w[p : p + 5])]
+            if o != d:
+                want.add((d, o, p, q))
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    for flush, bucket in ((10**6, 10**6), (100, 40), (700, 300)):
+        got = set()
+        for r in substring_dedup.chained(df, flush_seeds=flush, bucket_seeds=bucket).collect():
+            for x, y, n in zip(r.xs, r.ys, r.ns):
+                got |= {(r.doc_id, r.owner, r.a + x + s, r.b + y + s) for s in range(n - 4)}
+        assert got == want
+
+
+def test_edit_matches_against_brute_force():
+    def brute(a, b):
+        best = {}
+        for x in range(len(a), -1, -1):
+            for y in range(len(b), -1, -1):
+                ways = [] if x < len(a) or y < len(b) else [(0, 0)]
+                if x < len(a):
+                    ways.append((best[x + 1, y][0] + 1, best[x + 1, y][1]))
+                if y < len(b):
+                    ways.append((best[x, y + 1][0] + 1, best[x, y + 1][1]))
+                if x < len(a) and y < len(b):
+                    e, m = best[x + 1, y + 1]
+                    ways.append((e, m - 1) if a[x] == b[y] else (e + 1, m))
+                best[x, y] = min(ways)
+        return -best[0, 0][1]
+
+    rng = random.Random(14)
+    for _ in range(200):
+        a, b = ([rng.randrange(4) for _ in range(rng.randint(1, 9))] for _ in range(2))
+        assert substring_dedup._edit_matches(a, b) == brute(a, b)
+
+
+def test_rows_that_share_an_id_are_cut_by_their_own_passages(spark):
+    rng = random.Random(15)
+    shared, own = prose(rng, 120), prose(rng, 130)
+    rows = [(1, f"{shared} \t\n", "a"), (2, shared, "b"), (2, own, "c"), (2, shared, "d"), (None, f"{own} x", "e"), (None, "lone", "f"), (3, f"head  {shared}\n tail  ", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `spans` string").withColumns({"row": F.lit(1), "id": F.lit(2), "cut": F.lit(3), "doc": F.lit("x")})
+    found = substring_dedup.passages(df)
+    left = sorted((r.spans, r.text) for r in substring_dedup.remove_passages(df, found).select("spans", "text").collect())
+    # hashed ids come before doc_ids; of rows c and e, which share a passage, the one with the smaller id keeps it
+    assert [x for x, _ in left] in (["b", "c", "d", "e", "f", "g"], ["b", "d", "e", "f", "g"])
+    texts = dict(left)
+    assert texts["g"] == "head\n tail  " and texts["f"] == "lone"
+
+
+def test_a_long_text_with_a_long_passage(spark):
+    rng = random.Random(16)
+    long = prose(rng, 200_000)  # over a megabyte
+    df = spark.createDataFrame([(1, long), (2, f"{prose(rng, 60)} {long}"), (3, " " * 1_000_000)], "doc_id long, text string")
+    found = substring_dedup.passages(df)
+    r = found.collect()
+    assert [(x.doc_id, x.start, x.n_words, x.source_ids) for x in r] == [(2, 60, 200_000, [1])]
+    left = {x.doc_id: x.text for x in substring_dedup.remove_passages(df, found).collect()}
+    assert len(WORD.findall(left[2])) == 60 and left[3] == " " * 1_000_000 and left[1] == long
 
 
 @pytest.mark.parametrize("passage,own", [(100, 100), (60, 40), (300, 100)])
@@ -142,10 +227,10 @@ def test_fuzzy_passages_are_found(spark, every):
 def test_stretches_of_a_chain():
     a = list(range(1000, 1100))
     b = [*a[:30], *range(12), *a[30:60], *range(50), *a[60:]]
-    at = [(i, i) for i in range(0, 26, 5)] + [(i, i + 12) for i in range(30, 56, 5)] + [(i, i + 62) for i in range(60, 96, 5)]
+    at = [(0, 0, 30), (30, 42, 30), (60, 122, 40)]
     # 30 + 30 words with 12 put in reach 0.8, all together don't
     assert substring_dedup.stretches(a, b, at) == [(0, 60, 0, 72, 60), (60, 100, 122, 162, 40)]
-    assert substring_dedup.stretches(a, a, [(i, i) for i in range(0, 96, 5)]) == [(0, 100, 0, 100, 100)]
+    assert substring_dedup.stretches(a, a, [(0, 0, 40), (45, 45, 10), (60, 60, 30)]) == [(0, 100, 0, 100, 100)]
 
 
 @pytest.mark.parametrize("name, space_prefix", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
