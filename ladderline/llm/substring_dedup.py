@@ -432,8 +432,14 @@ def _chained(k: int, flank: int):
     names = ["doc_id", "owner", "a", "na", "b", "nb", "xs", "ys", "ns"]
     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, *[pa.list_(pa.int32())] * 3]
 
-    def of(kinds_: list[int], parts: list[list]) -> Iterator[tuple]:
-        doc, owner, i, j, n = _matches(kinds_, parts)
+    def alone(doc, owner, i, j, n) -> pa.RecordBatch:  # chains of one run each
+        a, b, n = np.maximum(i - flank, 0), np.maximum(j - flank, 0), n + k - 1
+        one = pa.array(np.arange(len(doc) + 1, dtype=np.int32))
+        lists = [pa.ListArray.from_arrays(one, pa.array(x.astype(np.int32))) for x in (i - a, j - b, n)]
+        whole = [pa.array(x.astype(np.int32)) for x in (a, i + n + flank - a, b, j + n + flank - b)]
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(owner), *whole, *lists], names=names)
+
+    def of(doc, owner, i, j, n) -> Iterator[tuple]:
         starts = _runs(doc, owner)
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)]):
             for c in chains(i[s:e], j[s:e], n[s:e], k):
@@ -442,9 +448,15 @@ def _chained(k: int, flank: int):
                 na, nb = int(ci[-1] + cn[-1]) + flank - a, int(cj[-1] + cn[-1]) + flank - b
                 yield int(doc[s]), int(owner[s]), a, na, b, nb, (ci - a).tolist(), (cj - b).tolist(), cn.tolist()
 
-    def batch(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for r in rows:
+    def batch(kinds_: list[int], parts: list[list]) -> Iterator[pa.RecordBatch]:
+        runs = _matches(kinds_, parts)
+        starts = _runs(*runs[:2])
+        size = np.diff(np.append(starts, len(runs[0])))
+        lone = starts[size == 1]
+        for x in range(0, len(lone), 4096):
+            yield alone(*(r[lone[x : x + 4096]] for r in runs))
+        some, held = np.repeat(size > 1, size), []
+        for r in of(*(r[some] for r in runs)):
             held.append(r)
             if len(held) == 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), kinds)], names=names)
@@ -459,14 +471,14 @@ def _chained(k: int, flank: int):
             starts = _runs(ids)
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]):
                 if flush is not None and ids[s] != flush:
-                    yield from batch(of(kinds_, parts))
+                    yield from batch(kinds_, parts)
                     kinds_, parts = [], [[] for _ in range(_PARTS)]
                 flush = ids[s]
                 kinds_ += b.column(2).slice(s, e - s).to_pylist()
                 for i, p in enumerate(parts):
                     p += b.column(3 + i).slice(s, e - s).to_pylist()
         if kinds_:
-            yield from batch(of(kinds_, parts))
+            yield from batch(kinds_, parts)
 
     return run
 
@@ -500,39 +512,89 @@ def word_table(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, words binary")
 
 
+def _words_at(flat: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+    """The words at ``at`` of texts that lie one after another in ``flat``; ``none`` outside of a text."""
+    there = (at >= 0) & (at < length)
+    out = np.full(len(at), none, np.int64)
+    out[there] = flat[start[there] + at[there]]
+    return out
+
+
+#: How far from its ends the first step of an extension looks: an edit and three equal words.
+_STEP = 4
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains of one run, with a few words around them: does an end go on? The first step of
+    :func:`_extend`, for all rows at once."""
+    for b in batches:
+        x, y, n, a, c = (b.column(name).to_numpy().astype(np.int64) for name in ("x", "y", "n", "a", "b"))
+        sides = []
+        for name, none in (("wa", -1), ("wb", -2)):
+            w = b.column(name).cast(pa.large_binary())
+            ends = np.frombuffer(w.buffers()[1], np.int64)[w.offset : w.offset + len(w) + 1] // 4
+            flat = np.frombuffer(w.buffers()[2], "<u4") if w.buffers()[2] is not None else np.zeros(0, "<u4")
+            sides.append((flat, ends[:-1], np.diff(ends), none))
+        one, two = (lambda at, s=s: _words_at(s[0], s[1], s[2], at, s[3]) for s in sides)
+        more = np.zeros(len(n), bool)
+        for sign, u, v in ((1, x - a + n, y - c + n), (-1, x - a - 1, y - c - 1)):
+            more |= one(u) == two(v)
+            for p, q in ((1, 1), (1, 0), (0, 1)):
+                more |= np.all([one(u + sign * (p + z)) == two(v + sign * (q + z)) for z in range(_STEP - 1)], axis=0)
+        yield pa.RecordBatch.from_arrays([*(b.column(name) for name in ("doc_id", "owner", "x", "y", "n")), pa.array(more)], names=["doc_id", "owner", "x", "y", "n", "more"])
+
+
 def _aligned(rows: DataFrame, similarity: float, min_words: int) -> DataFrame:
-    schema = "doc_id long, owner long, start int, stop int, same int, similarity double"
+    schema = "doc_id long, owner long, start int, stop int, similarity double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
             for n in range(len(batch)):  # a row at a time: a long document's lists are large
                 doc, owner, a, xs, ys, ns, wa, wb = (batch.column(c)[n].as_py() for c in ("doc_id", "owner", "a", "xs", "ys", "ns", "wa", "wb"))
                 la, lb = np.frombuffer(wa, "<u4").tolist(), np.frombuffer(wb, "<u4").tolist()
                 for s in stretches(la, lb, list(zip(xs, ys, ns)), similarity, min_words):
-                    for c, v in zip(out, (doc, owner, a + s[0], a + s[1], s[4], _share(s))):
+                    for c, v in zip(out, (doc, owner, a + s[0], a + s[1], _share(s))):
                         c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(out, kinds)], names=["doc_id", "owner", "start", "stop", "same", "similarity"]
-            )
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["doc_id", "owner", "start", "stop", "similarity"])
 
     return rows.mapInArrow(run, schema)
 
 
+def _with_words(rows: DataFrame, text: DataFrame) -> DataFrame:
+    """``rows`` with ``wa``, the ``na`` words from ``a`` on of their documents, and ``wb`` of their owners."""
+    part = lambda at, n: F.expr(f"substring(words, 4 * {at} + 1, 4 * {n})")
+    own = rows.join(text.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("wa", part("a", "na")).drop("words", "na")
+    owners = having(text, rows.select(F.col("owner").alias("id")).distinct(), "id").withColumnRenamed("id", "owner")
+    return own.join(owners, "owner").withColumn("wb", part("b", "nb")).drop("words", "nb")
+
+
+def _chain_of(x: Column, y: Column, n: Column, flank: int) -> list[Column]:
+    """Columns a, na, b, nb of a chain of one run."""
+    a, b = F.greatest(x - flank, F.lit(0)), F.greatest(y - flank, F.lit(0))
+    return [a.alias("a"), (x + n + flank - a).alias("na"), b.alias("b"), (y + n + flank - b).alias("nb")]
+
+
 def _passages(docs: DataFrame, min_words: int, similarity: float, k: int, flush_seeds: int, bucket_seeds: int) -> DataFrame:
     """:func:`passages` of (id, text), by id."""
     found = stored(chained(docs, k, flush_seeds, bucket_seeds), "chains")
-    part = lambda at, n: F.expr(f"substring(words, 4 * {at} + 1, 4 * {n})")
     ids = found.select(F.col("doc_id").alias("id")).union(found.select("owner")).distinct()
     some = having(docs, ids, "id")
     if not docs.where("id < 0").isEmpty():  # rows that share an id have equal texts
         some = some.where("id >= 0").union(some.where("id < 0").dropDuplicates(["id"]))
     text = stored(word_table(some), "words")
-    own = found.join(text.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("wa", part("a", "na")).drop("words", "na")
-    owners = having(text, found.select(F.col("owner").alias("id")).distinct(), "id").withColumnRenamed("id", "owner")
-    both = own.join(owners, "owner").withColumn("wb", part("b", "nb")).drop("words", "nb")
-    spans = _aligned(both.select("doc_id", "owner", "a", "xs", "ys", "ns", "wa", "wb"), similarity, min_words)
+    # most chains are one run whose ends don't go on: a few words tell
+    x, y, n = F.col("x"), F.col("y"), F.col("n")
+    lone = found.where("size(ns) = 1").select("doc_id", "owner", (F.col("a") + F.col("xs")[0]).alias("x"), (F.col("b") + F.col("ys")[0]).alias("y"), F.col("ns")[0].alias("n"))
+    lone = _with_words(lone.select("*", *_chain_of(x, y, n, _STEP)), text).select("doc_id", "owner", "x", "y", "n", "a", "b", "wa", "wb")
+    lone = stored(lone.mapInArrow(_ends, "doc_id long, owner long, x int, y int, n int, more boolean"), "ends")
+    a, na, b, nb = _chain_of(x, y, n, FLANK)
+    lists = [F.array(x - a).alias("xs"), F.array(y - b).alias("ys"), F.array(n).alias("ns")]
+    chain = found.where("size(ns) > 1").unionByName(lone.where("more").select("doc_id", "owner", a, na, b, nb, *lists))
+    rows = _with_words(chain, text).select("doc_id", "owner", "a", "xs", "ys", "ns", "wa", "wb")
+    whole = lone.where("not more").select("doc_id", "owner", x.alias("start"), (x + n).alias("stop"), F.lit(1.0).alias("similarity"))
+    spans = _aligned(rows, similarity, min_words).unionByName(whole)
     # a document's stretches in order; one that begins where those before it have ended, or nearly, goes on
     span = F.sort_array(F.collect_list(F.struct("start", "stop", "owner", "similarity")))
     empty = F.array().cast("array<struct<start:int,stop:int,owners:array<bigint>,similarity:double>>")
