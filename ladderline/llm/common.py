@@ -88,16 +88,16 @@ def having(rows: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) ->
     return rows.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
-def with_row_ids(docs: DataFrame, id_: str = "doc_id") -> DataFrame:
+def with_row_ids(docs: DataFrame, also: tuple[str, ...] = (), id_: str = "doc_id") -> DataFrame:
     """(id, row): ``row`` is the whole row as a struct, whatever its columns are called; ``id`` is its
     ``doc_id`` where no other row has that. Rows without one, and rows that share one, get negative ids
-    by their doc_id and text, so that only equal ones are still alike.
+    by their doc_id and text (and ``also``), so that only rows equal in these are still alike.
     """
     rows = docs.select(F.struct("*").alias("row"))
     key = F.col("row")[id_].cast("long")
     again = rows.groupBy(key.alias("again")).agg(F.count("*").alias("n")).where("n > 1 or again is null").select("again")
     again = stored(again, "shared-ids")
-    own = -1 - F.shiftrightunsigned(F.xxhash64(key, F.col("row")["text"]), 2)
+    own = -1 - F.shiftrightunsigned(F.xxhash64(key, *[F.col("row")[c] for c in ("text", *also)]), 2)
     if again.isEmpty():
         return rows.select(key.alias("id"), "row")
     small = again.limit(1_000_001).count() <= 1_000_000
@@ -105,3 +105,10 @@ def with_row_ids(docs: DataFrame, id_: str = "doc_id") -> DataFrame:
         F.when(key.isNull() | F.col("again").isNotNull(), own).otherwise(key).alias("id"), "row"
     )
     return both
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """Of :func:`with_row_ids` one row for each id; only rows that may share one are shuffled."""
+    if rows.where("id < 0").isEmpty():
+        return rows
+    return rows.where("id >= 0").union(rows.where("id < 0").dropDuplicates(["id"]))

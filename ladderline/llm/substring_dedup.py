@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import having, in_small_batches, stored, table, with_row_ids
+from ladderline.llm.common import having, in_small_batches, one_of_each, stored, table, with_row_ids
 from ladderline.llm.hashing import shingle_hashes, slices, word_hashes
 
 K = 5
@@ -580,10 +580,7 @@ def _passages(docs: DataFrame, min_words: int, similarity: float, k: int, flush_
     """:func:`passages` of (id, text), by id."""
     found = stored(chained(docs, k, flush_seeds, bucket_seeds), "chains")
     ids = found.select(F.col("doc_id").alias("id")).union(found.select("owner")).distinct()
-    some = having(docs, ids, "id")
-    if not docs.where("id < 0").isEmpty():  # rows that share an id have equal texts
-        some = some.where("id >= 0").union(some.where("id < 0").dropDuplicates(["id"]))
-    text = stored(word_table(some), "words")
+    text = stored(word_table(one_of_each(having(docs, ids, "id"))), "words")
     # most chains are one run whose ends don't go on: a few words tell
     x, y, n = F.col("x"), F.col("y"), F.col("n")
     lone = found.where("size(ns) = 1").select("doc_id", "owner", (F.col("a") + F.col("xs")[0]).alias("x"), (F.col("b") + F.col("ys")[0]).alias("y"), F.col("ns")[0].alias("n"))
@@ -638,7 +635,7 @@ def passages(
     rows = with_row_ids(docs)
     found = _passages(rows.select("id", F.col("row")["text"].alias("text")), min_words, similarity, k, flush_seeds, bucket_seeds)
     found = found.withColumnRenamed("doc_id", "id")
-    shared = rows.where("id < 0").select("id", F.col("row")["doc_id"].cast("long").alias("of")).dropDuplicates(["id"])
+    shared = one_of_each(rows).where("id < 0").select("id", F.col("row")["doc_id"].cast("long").alias("of"))
     shared = stored(shared, "ids-of-rows")
     if shared.isEmpty():
         return found.select(F.col("id").alias("doc_id"), "*")

@@ -328,6 +328,32 @@ def test_mix_comes_near_its_targets(docs, odd, none):
     assert words == plan["taken"].sum()
 
 
+@pytest.mark.parametrize("sizes", [(1000, 10, 40), (200_000, 3, 900, 70), (50, 50)])
+def test_every_source_comes_near_its_target(spark, sizes):
+    rng = random.Random(17)
+    rows = []
+    for s, n in enumerate(sizes):
+        while n:
+            k = min(n, rng.randint(1, 400))
+            rows.append((len(rows), "w " * k, f"s{s}"))
+            n -= k
+    plan = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert (plan["taken"] <= 3 * plan["size"]).all()
+    for _, g in plan.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 0.005 * g["target"].iloc[0] + 1
+
+
+def test_shards_by_groups_and_shared_ids(spark, docs, odd):
+    few = mixing.mix(docs, shard_words=300, group_shards=3, fine_below=1).toPandas()
+    for _, g in few.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 0.05 * g["target"].iloc[0] + 64
+    both = odd.unionByName(odd.where("doc_id = 903")).withColumns({c: F.lit(1) for c in ("row", "times", "spans", "id", "taken", "times_", "spans_", "block")})
+    plan = mixing.mix(both)
+    got = mixing.mixed_documents(both, plan)
+    assert got.columns == both.columns
+    assert sum(len(WORD.findall(r.text)) for r in got.collect()) == plan.agg(F.sum("taken")).first()[0]
+
+
 def test_sainte_lague_and_targets():
     def brute(votes, seats):
         got = [0] * len(votes)
