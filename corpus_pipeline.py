@@ -1,7 +1,12 @@
 """A corpus from raw documents: quality rules, near-dedup, substring dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the
-last return the columns of ``documents``. Decisions go by doc_id: rows that share one share its fate.
+last return the columns of ``documents``. Every row is decided by itself: rows that share a doc_id, or
+have none, don't share a fate.
+
+Cases: null and empty texts fail the quality rules and go; of rows equal in doc_id and text near-dedup
+keeps one; ties go to the smaller id; a null lang or source is one of its own; texts of any length go
+through whole; an empty table gives empty results in all stages.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import stored
+from ladderline.llm.common import one_of_each, stored, with_row_ids
 from ladderline.llm.mixing import mix, mixed_documents
 from ladderline.llm.near_dedup import near_duplicates
 from ladderline.llm.packing import pack_documents
@@ -18,19 +23,26 @@ from ladderline.llm.quality import score_quality
 from ladderline.llm.substring_dedup import passages, remove_passages
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    ids = gone.select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone_"]), "left_anti")
+def _without(rows: DataFrame, gone: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows of (id, row) whose id isn't in ``gone``. Up to ``most`` ids are broadcast, so that texts
+    stay where they are; beyond that both sides are shuffled."""
+    gone = stored(gone.distinct(), "pipeline-gone")
+    small = gone.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(gone) if small else gone, "id", "left_anti").select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return _without(docs, score_quality(docs).where(~F.col("kept")))
+    rows, row = with_row_ids(docs, ("lang",)), F.col("row")
+    judged = score_quality(rows.select(F.col("id").alias("doc_id"), row["text"].alias("text"), row["lang"].alias("lang")))
+    return _without(rows, judged.where(~F.col("kept")).select(F.col("doc_id").alias("id")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
-    return _without(docs, near_duplicates(docs, percent=80).where(~F.col("kept")))
+    """One document of each group of near copies stays, the one with the smallest id."""
+    rows = one_of_each(with_row_ids(docs))
+    found = near_duplicates(rows.select(F.col("id").alias("doc_id"), F.col("row")["text"].alias("text")), percent=80)
+    return _without(rows, found.where(~F.col("kept")).select(F.col("doc_id").alias("id")))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
