@@ -505,16 +505,58 @@ def test_correlated_voters_count_less():
     assert model.weight[0] < 0.5 < model.weight[3] and ((q > 0.5) == y).mean() > 0.8
 
 
-def test_pipeline_stages_keep_the_columns(spark, docs):
-    import corpus_pipeline
-
-    d = docs.drop("extra")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        d = stage(spark, d, "")
-        assert d.columns == docs.drop("extra").columns, name
-    assert corpus_pipeline.STAGES[-1][1](spark, d, "").count() >= 0
+def test_pipeline_stages_against_brute_force(spark, docs, odd, none, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
+    import corpus_pipeline
 
+    columns = docs.drop("extra").columns
+    long = prose(random.Random(18), 30_000)
+    more = spark.createDataFrame([(950, long, None, None, 1), (None, texts[30][1], None, None, 1), (30, texts[31][1] * 3, "", "", 1)], docs.drop("extra").schema)
+    d = docs.unionByName(odd).drop("extra").unionByName(more).repartition(5)
+    stage = dict(corpus_pipeline.STAGES)
+
+    def rows(df):
+        assert df.columns == columns
+        return sorted(df.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text or ""))
+
+    good = stage["quality_rules"](spark, d, "").checkpoint()
+    rules = {(r.doc_id, r.n_words): r.kept for r in quality.score_quality(d).collect()}
+    assert [(r.doc_id, r.text) for r in rows(good)] == [(r.doc_id, r.text) for r in rows(d) if rules[r.doc_id, len(WORD.findall(r.text or ""))]]
+    assert 950 in {r.doc_id for r in rows(good)}
+    alone = stage["near_dedup"](spark, good, "").checkpoint()
+    left = rows(good)
+    sets = [shingles(r.text) for r in left]
+    group = list(range(len(left)))
+    for _ in left:
+        for x in range(len(left)):
+            for y in range(x):
+                if abs(len(sets[x]) - len(sets[y])) <= 0.2 * max(len(sets[x]), len(sets[y])) and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                    group[x] = group[y] = min(group[x], group[y])
+        if all(group[g] == g for g in group):
+            break
+    assert len(rows(alone)) == len(set(group))
+    cut = stage["substring_dedup"](spark, alone, "").checkpoint()
+    seen, before = {}, {(r.doc_id, r.text) for r in rows(alone)}
+    for n, r in enumerate(rows(cut)):
+        w = tuple(WORD.findall(r.text))
+        assert not any(seen.setdefault(w[p : p + 55], n) != n for p in range(len(w) - 54))
+        if r.doc_id is not None and r.doc_id < 60:  # texts of their own
+            assert (r.doc_id, r.text) in before
+    mixed = stage["mixing"](spark, cut, "").checkpoint()
+    size, taken = {}, {}
+    for x, df in ((size, cut), (taken, mixed)):
+        for r in rows(df):
+            x[r.source] = x.get(r.source, 0) + len(WORD.findall(r.text))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    for s, t in zip(order, mixing.capped_targets([size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], sum(size.values()), 3)):
+        assert abs(taken.get(s, 0) - t) <= 0.02 * t + 1
+    packed = stage["packing"](spark, mixed, "").collect()
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(r.length for r in packed) == sum(len(own.encode(r.text, add_special_tokens=False).ids) + 1 for r in rows(mixed))
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, none.drop("extra"), "").count() == 0, name
 
 
 @pytest.mark.parametrize("name", ["op5_chat_format", "op7_near_dedup", "op10_quality_rules"])
