@@ -48,7 +48,7 @@ GAP_COST = 0.1
 #: Words beyond a chain's ends that alignment may look at, and the longest gap that is bridged when
 #: stretches are put together.
 FLANK, BRIDGE = 32, 3
-FLUSH_SEEDS, BUCKET_SEEDS = 2_000_000, 1_500_000
+FLUSH_SEEDS, BUCKET_SEEDS = 1_000_000, 1_000_000
 #: Bytes of text that a worker hashes at once.
 _SLICE = 1 << 20
 #: What a row of seeds holds: the first occurrences of a flush for a bucket, the other occurrences of
