@@ -209,7 +209,9 @@ def mixed_documents(docs: DataFrame, plan: DataFrame) -> DataFrame:
     both = plan.where("taken > 0").select("id", "times", "spans").join(rows, "id")
     text = F.col("row")["text"]
     whole = F.when(F.col("times") > 0, F.array_repeat(text, F.col("times").cast("int"))).otherwise(F.array())
-    parts = F.flatten(F.transform("spans", lambda s: F.slice(words(text), s["start"] + 1, s["stop"] - s["start"])))
+    # the words once, not for every span
+    cut = lambda w: F.flatten(F.transform("spans", lambda s: F.slice(w, s["start"] + 1, s["stop"] - s["start"])))
+    parts = F.get(F.transform(F.array(words(text)), cut), F.lit(0))
     extra = F.when(F.size("spans") > 0, F.array(F.array_join(parts, " "))).otherwise(F.array())
     out = both.select("row", F.explode(F.concat(whole, extra)).alias("cut"))
     row = F.col("row").withField("text", F.col("cut"))
