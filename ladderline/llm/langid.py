@@ -29,6 +29,7 @@ from ladderline.llm.linear import Ftrl, softmax, temperature
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3)
 PER_LANGUAGE = 1500
+MOST_LANGUAGES = 1000
 SEED = 7
 
 
@@ -96,7 +97,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def _sample(docs: DataFrame, most: int) -> DataFrame:
     """At most about ``most`` documents per language, by a hash of doc_id; a row per language is collected."""
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, most / n))).otherwise(share)
@@ -105,18 +108,21 @@ def _sample(docs: DataFrame, most: int) -> DataFrame:
 
 def fit(docs: DataFrame, most: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """``docs``: those to learn from, with non-null lang. Languages, weights (with idf and temperature
-    put in), bias."""
+    put in), bias. The sample is put in order of a hash, so that it doesn't matter how rows are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, n = [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 u, k = np.unique(grams(code_points([t])[0]), return_counts=True)
                 at.append(u)
                 n.append(k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int64()))], names=["lang", "at", "n"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (at, n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["place", "lang", "at", "n"])
 
-    sample = _sample(docs, most).select("lang", "text").mapInArrow(run, "lang string, at array<long>, n array<long>").toPandas()
+    place = F.xxhash64(F.lit(SEED), "doc_id", "text", "lang").alias("place")
+    sample = _sample(docs, most).select(place, "lang", "text").mapInArrow(run, "place long, lang string, at array<long>, n array<long>").toPandas()
+    sample = sample.sort_values("place", kind="stable").reset_index(drop=True)
     df, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + df)) + 1
     sample = sample[sample["at"].map(len) > 0]

@@ -133,10 +133,12 @@ def _gathered(docs: DataFrame) -> DataFrame:
             for texts in slices(b.column(1)):
                 found = pa.array(list(features(texts)), pa.list_(pa.int64()))
                 votes = pa.array(shapes(texts).tolist(), pa.list_(pa.bool_()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), found, votes], names=["label", "at", "shape"])
+                own = [b.column(c).slice(at, len(texts)) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([own[0], found, votes, own[1]], names=["label", "at", "shape", "place"])
                 at += len(texts)
 
-    return docs.select("label", "text").mapInArrow(run, "label int, at array<long>, shape array<boolean>")
+    some = docs.select("label", "text", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("place"))
+    return some.mapInArrow(run, "label int, at array<long>, shape array<boolean>, place long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = SEED) -> Model | None:
@@ -152,10 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
         share = F.when(F.col("label") == x, F.lit(min(1.0, per_class / n))).otherwise(share)
     chosen = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000).distinct()
     rows = _gathered(docs.join(F.broadcast(chosen), "doc_id")).toArrow()  # at most 3 x per_class rows, or so
+    rows = rows.sort_by("place")  # however the rows were dealt
     y = rows["label"].to_numpy()
     if not ((y == 0).any() and (y == 1).any()):
         return None
-    lists = pa.concat_arrays(rows["at"].chunks)
+    lists = rows["at"].combine_chunks()
     shape = np.array(rows["shape"].to_pylist(), float)
     owner = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
     keys, which, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)

@@ -460,6 +460,8 @@ def test_languages_of_held_out_texts(spark, odd):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(df.where("doc_id < 90"))
     got = langid.predict(df.where("doc_id >= 90").unionByName(odd.select("doc_id", "text", "lang")), model).collect()
+    again = langid.fit(df.where("doc_id < 90").repartition(7))
+    assert np.array_equal(model[1], again[1]) and np.array_equal(model[2], again[2])
     lang = {r[0]: r[2] for r in rows}
     assert all(r.lang_pred == lang[r.doc_id] for r in got if r.doc_id in lang)
     assert all(r.lang_pred == "und" and r.score == 0 for r in got if r.doc_id in (900, 901, 902))
@@ -489,6 +491,8 @@ def test_toxic_texts_are_found(spark, odd, none):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame(labels + [(None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit(df.where("doc_id < 200"), marks)
+    again = toxicity.fit(df.where("doc_id < 200").repartition(7), marks)
+    assert np.array_equal(model[0], again[0]) and np.allclose(model[1], again[1]) and model[2] == pytest.approx(again[2])
     got = {r.doc_id: r.score for r in toxicity.score(df.where("doc_id >= 200"), model).collect()}
     assert all((s >= 0.3) == (i % 6 == 0) for i, s in got.items())
     assert all(0 <= r.score < 0.3 for r in toxicity.score(odd.select("doc_id", "text"), model).collect())
