@@ -436,7 +436,7 @@ def test_neighbours(spark):
     v = rng.normal(size=(600, 16))
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(600, v[3].tolist()), (601, None), (602, [0.0] * 16), (603, [None] * 16), (604, [float("nan")] * 16), (None, v[0].tolist()), (605, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = ann.search(df, F.col("id") % 20 == 0, block_rows=100).toPandas()
+    got = ann.search(df, F.col("id") % 20 == 0, group_rows=100, query_rows=10).toPandas()
     full = np.vstack([v, v[3]])
     hit = 0
     for q, g in got.groupby("query_id"):
@@ -450,6 +450,44 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_recall_through_the_codes(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(6000, 64))
+    v[2000:4000] = v[1]  # a third of all are alike
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("id") % 50 == 0, rerank=64, group_rows=700).toPandas().sort_values(["query_id", "rank"])
+    recall, alike = [], [1, *range(2000, 4000)]
+    for q, g in got.groupby("query_id"):
+        score = v @ v[q]
+        score[q] = -np.inf
+        assert np.allclose(g["score"], score[g["vec_id"]]) and len(g) == 20
+        order = list(zip(-g["score"].round(12), g["vec_id"]))
+        assert order == sorted(order)
+        if 2000 <= q < 4000:  # ties go to the smaller id
+            assert g["vec_id"].tolist() == [x for x in alike if x != q][:20]
+        else:
+            best = np.sort(score)[-20]
+            recall.append((score[g["vec_id"]] >= best - 1e-12).mean())
+    assert got["query_id"].nunique() == 120 and np.mean(recall) >= 0.9
+
+
+def test_codes_choose_what_is_scored():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(900, 16))
+    index = ann.train(v, 6, 4)
+    of = index.lists(v)
+    codes = index.encode(v - index.centroids[of])
+    probed = [np.array([0, 1, 2]), np.array([3, 5]), np.arange(6)]
+    a, b, c = ann.scan(index, v[:3], np.arange(3), probed, np.arange(900), of, codes, v, k=5, rerank=12)
+    books = np.split(v[:3], 4, axis=1)
+    for i in range(3):
+        near = [-np.inf if of[x] not in probed[i] or x == i else v[i] @ index.centroids[of[x]] + sum(books[p][i] @ index.codebooks[p][codes[x, p]] for p in range(4)) for x in range(900)]
+        some = np.argsort(-np.array(near, np.float32), kind="stable")[:12]
+        want = sorted(some, key=lambda x: (-(v[x] @ v[i]), x))[:5]
+        assert b[a == i].tolist() == want and np.allclose(c[a == i], v[want] @ v[i])
+
+
 def language(rng, letters, n):
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n))
 
