@@ -11,11 +11,12 @@ of that many, so a list that holds a third of all vectors is many tasks' work. Q
 of about ``query_rows``. A task holds one group and one part; a query is sent to a group once, however
 many of its lists it probes, and comes back with its best few, whose union is ranked.
 
-``probe_share`` is the share of lists that a query probes; it goes on to further lists until they hold
-more than ``k`` vectors. Vectors without clusters (as in the test tables: 64 nearly equal principal
-components) spread their neighbours over half of all lists, and 0.6 gives a recall of about 0.95 there;
-clustered vectors do with far less. For a query set that grows with the table the work grows with its
-square, at any fixed share.
+How many lists a query probes is learned: as many as hold the share ``recall`` of the neighbours that
+256 vectors of the sample have in the sample, and on to further lists until they hold more than ``k``
+vectors. Neighbours in a sample are farther away, so that is on the safe side. Vectors without clusters
+(as in the test tables: 64 nearly equal principal components) spread their neighbours over two thirds of
+all lists; clustered vectors do with few. For a query set that grows with the table the work grows with
+its square, at any share.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, neither as queries nor as candidates, nor do rows with a null id; equal
@@ -79,6 +80,21 @@ def train(v: np.ndarray, lists: int, parts: int, seed: int = SEED) -> Index:
     return Index(centroids, np.stack(books))
 
 
+def probes_for(index: Index, v: np.ndarray, k: int, recall: float) -> int:
+    """How many lists hold the share ``recall`` of the k nearest of some vectors among all of ``v``."""
+    if len(v) < 2:
+        return len(index.centroids)
+    at = np.unique(np.linspace(0, len(v) - 1, 256).astype(int))
+    near = v[at] @ v.T
+    near[np.arange(len(at)), at] = -np.inf
+    k = min(k, len(v) - 1)
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    order = np.argsort(-(v[at] @ index.centroids.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1, kind="stable")
+    reached = np.take_along_axis(place, index.lists(v)[best], axis=1).ravel()
+    return int(np.quantile(reached, recall, method="higher")) + 1
+
+
 def usable(rows: DataFrame, id_: str, vector: str) -> DataFrame:
     """Rows that take part: (id, v)."""
     v = F.col(vector)
@@ -144,7 +160,7 @@ def search(
     id_: str = "vec_id",
     vector: str = "embedding",
     k: int = 20,
-    probe_share: float = 0.6,
+    recall: float = 0.96,
     rerank: int = 128,
     group_rows: int = 4096,
     query_rows: int = 8192,
@@ -166,7 +182,9 @@ def search(
         sample = good.orderBy("id", "v").limit(1).select("v").toPandas()
     lists = max(1, min(round(n**0.5), train_most // 4))
     parts = max(1, d // 4)
-    index = train(np.array(sample["v"].tolist(), dtype=float), lists, parts)
+    vectors = np.array(sample["v"].tolist(), dtype=float)
+    index = train(vectors, lists, parts)
+    probes = probes_for(index, vectors, k, recall)
     shared = spark.sparkContext.broadcast(index)  # at most train_most / 4 lists x d numbers, and 256 x d
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +207,6 @@ def search(
     group = (F.col("at.first") + F.pmod(F.xxhash64("id"), F.col("at.blocks"))).alias("group")
     part = F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("part")
     members = indexed.join(table_, "list").select(group, part, "list", "id", "codes", "v")
-    probes = max(1, round(lists * probe_share))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
