@@ -107,7 +107,7 @@ def form_10_20(spark, d):
 
 
 @query(
-    f"""SELECT match_id, team_id, round(coalesce(list_reduce(list_prepend(0.5::DOUBLE, list(won::INT::DOUBLE) OVER ({BY_TEAM} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+    f"""SELECT match_id, team_id, round(coalesce(list_reduce(list_prepend(0.5::DOUBLE, list(won::INT::DOUBLE) OVER ({BY_TEAM} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  lambda a, x: 0.3 * x + 0.7 * a), 0.5), 6) ema FROM tc""",
     CONTESTS, TEAMS,
 )
@@ -182,23 +182,24 @@ def last_match_asof(spark, d):
     """SELECT match_id, unnest(x).field field, unnest(x).problem problem, unnest(x).severity severity FROM (SELECT match_id, list_filter([
  CASE WHEN radiant_win IS NULL THEN {'field': 'radiant_win', 'problem': 'missing', 'severity': 'error'} END,
  CASE WHEN radiant_team_id = dire_team_id THEN {'field': 'teams', 'problem': 'same team on both sides', 'severity': 'error'} END,
- CASE WHEN start_time < TIMESTAMP '2011-01-01' OR start_time > TIMESTAMP '2000-01-01' THEN {'field': 'start_time', 'problem': 'out of range', 'severity': 'error'} END,
+ CASE WHEN start_time < TIMESTAMP '2011-01-01' OR start_time > TIMESTAMP '2014-01-01' THEN {'field': 'start_time', 'problem': 'out of range', 'severity': 'error'} END,
  CASE WHEN duration <= 0 THEN {'field': 'duration', 'problem': 'not positive', 'severity': 'error'} END,
  CASE WHEN radiant_team_id IS NULL OR dire_team_id IS NULL THEN {'field': 'teams', 'problem': 'a team is missing', 'severity': 'warning'} END,
  CASE WHEN league_tier NOT IN ('premium', 'professional') THEN {'field': 'league_tier', 'problem': 'not professional', 'severity': 'warning'} END,
  CASE WHEN patch_id IS NULL THEN {'field': 'patch_id', 'problem': 'missing', 'severity': 'warning'} END], lambda z: z IS NOT NULL) x
- FROM (SELECT match_id, start_time, radiant_win, nullif(radiant_team_id, 7) radiant_team_id, CASE WHEN match_id % 50 = 0 THEN nullif(radiant_team_id, 7) ELSE dire_team_id END dire_team_id,
+ FROM (SELECT match_id, start_time + INTERVAL 5000 DAY start_time, radiant_win, nullif(radiant_team_id, 7) radiant_team_id, CASE WHEN match_id % 50 = 0 THEN nullif(radiant_team_id, 7) ELSE dire_team_id END dire_team_id,
  match_id % 100 - 3 duration, league_tier, CASE WHEN match_id % 9 <> 0 THEN patch_id END patch_id FROM versioned))""",
     CONTESTS, VERSIONS,
 )
 def validation_issues(spark, d):
-    return records.validation_issues(_with_faults(spark, d), F.lit("2000-01-01").cast("timestamp_ntz"))
+    return records.validation_issues(_with_faults(spark, d), F.lit("2014-01-01").cast("timestamp_ntz"))
 
 
 def _with_faults(spark, d):
     m, r = v.versioned(spark, d), F.nullif("radiant_team_id", F.lit(7))
     return m.withColumns(
         {
+            "start_time": F.col("start_time") + F.expr("INTERVAL 5000 DAY"),  # from 2005 on, across the floor
             "dire_team_id": F.when(F.col("match_id") % 50 == 0, r).otherwise(F.col("dire_team_id")),
             "radiant_team_id": r,
             "duration": F.col("match_id") % 100 - 3,
@@ -208,7 +209,7 @@ def _with_faults(spark, d):
 
 
 @query(
-    """SELECT match_id FROM (SELECT match_id, start_time, nullif(radiant_team_id, 7) r, CASE WHEN match_id % 50 = 0 THEN nullif(radiant_team_id, 7) ELSE dire_team_id END e, match_id % 100 - 3 n FROM versioned)
+    """SELECT match_id FROM (SELECT match_id, start_time + INTERVAL 5000 DAY start_time, nullif(radiant_team_id, 7) r, CASE WHEN match_id % 50 = 0 THEN nullif(radiant_team_id, 7) ELSE dire_team_id END e, match_id % 100 - 3 n FROM versioned)
  WHERE r = e OR start_time < TIMESTAMP '2011-01-01' OR start_time > TIMESTAMP '2030-01-01' OR n <= 0""",
     CONTESTS, VERSIONS,
 )
@@ -230,20 +231,24 @@ def clean_strings(spark, d):
     return c.select("c_custkey", clean(F.col("c_mktsegment")).alias("a"), clean(padded).alias("b"), clean(F.lit("  ")).alias("c"))
 
 
-@query("SELECT DISTINCT 'feed' source, event_type endpoint, sha256(props) content_hash FROM events")
+@query("SELECT DISTINCT 'feed' source, event_type endpoint, sha256(props) content_hash FROM events WHERE sha256(props) >= '8'")
 def raw_dedup(spark, d):
     batch = v.raw_records(spark, d)
-    return records.raw_appended(batch.limit(0), batch).select("source", "endpoint", "content_hash")
+    return records.raw_appended(batch.where("content_hash < '8'"), batch).select("source", "endpoint", "content_hash")
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, max_by(l_partkey, rn) l_partkey, max_by(l_quantity, rn) l_quantity FROM children GROUP BY 1, 2""",
+    """SELECT l_orderkey, l_linenumber, max_by(l_partkey, rn) l_partkey, max_by(l_quantity, rn) l_quantity FROM children GROUP BY 1, 2
+ UNION ALL SELECT DISTINCT l_orderkey, l_linenumber + 100, 0, -1 FROM children WHERE l_orderkey % 2 = 0""",
     CHILDREN,
 )
 def upsert_last_wins(spark, d):
     batch = v.children(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "rn")
     new = records.collapsed(batch, ["l_orderkey", "l_linenumber"], F.col("rn")).drop("rn")
-    return records.merged(new.limit(0), new, ["l_orderkey", "l_linenumber"])
+    # the table holds half of the keys with other values, and as many keys that the batch doesn't have
+    held = new.where("l_orderkey % 2 = 0").withColumns({"l_partkey": F.lit(0).cast(new.schema["l_partkey"].dataType), "l_quantity": F.lit(-1).cast(new.schema["l_quantity"].dataType)})
+    others = held.withColumn("l_linenumber", (F.col("l_linenumber") + 100).cast(new.schema["l_linenumber"].dataType))
+    return records.merged(held.unionByName(others), new, ["l_orderkey", "l_linenumber"])
 
 
 @query(
@@ -364,9 +369,11 @@ def roster_at_date(spark, d):
     return rosters.roster_at(rosters.roster_periods(v.players(spark, d)), at).groupBy("team_id").agg(F.count("*").alias("members"))
 
 
-@query("SELECT team_id, account_id, valid_from FROM (SELECT *, lag(coalesce(valid_to, TIMESTAMP '9999-12-31')) OVER (PARTITION BY team_id, account_id ORDER BY valid_from, valid_to NULLS LAST) b FROM roster) WHERE b > valid_from", CONTESTS, CHILDREN, PLAYERS, ROSTERS)
+@query("SELECT team_id, account_id, valid_from FROM (SELECT *, lag(coalesce(valid_to, TIMESTAMP '9999-12-31')) OVER (PARTITION BY team_id, account_id ORDER BY valid_from, valid_to NULLS LAST) b FROM (SELECT team_id, account_id, valid_from, valid_to FROM roster UNION ALL SELECT team_id, account_id, valid_from + INTERVAL 10 DAY, valid_to FROM roster WHERE account_id % 3 = 0)) WHERE b > valid_from", CONTESTS, CHILDREN, PLAYERS, ROSTERS)
 def period_overlap(spark, d):
-    return rosters.overlaps(rosters.roster_periods(v.players(spark, d))).select("team_id", "account_id", "valid_from")
+    own = rosters.roster_periods(v.players(spark, d)).select("team_id", "account_id", "valid_from", "valid_to")
+    late = own.where("account_id % 3 = 0").withColumn("valid_from", F.col("valid_from") + F.expr("INTERVAL 10 DAY"))
+    return rosters.overlaps(own.unionByName(late)).select("team_id", "account_id", "valid_from")
 
 
 @query(
@@ -603,7 +610,7 @@ def model_line_up(spark, d):
 
 @query()
 def rolling_retrain(spark, d):
-    return models.rolling_retrain(dataset.feature_set_0(v.pro_contests(spark, d)), every_days=730)
+    return models.rolling_retrain(dataset.feature_set_0(v.pro_contests(spark, d)), every_days=90)
 
 
 @query()

@@ -1,7 +1,8 @@
 """Command line: ``python -m ladderline.cli ingest|dataset|profile|check --store DIR ...``.
 
 ``ingest`` reads a feed laid out as JSON files under ``--feed`` (``leagues.json``, ``page*.json`` newest
-first, ``matches/<id>.json``, ``heroes.json``, ``patches.json``).
+first, ``matches/<id>.json``, ``heroes.json``, ``patches.json``); with ``--source live`` leagues, pages
+and details come from the service of the settings, and ``--feed`` holds only the two reference files.
 """
 
 from __future__ import annotations
@@ -40,6 +41,16 @@ def file_feed(folder: str):
     return get
 
 
+def _feed(a):
+    """What ``--source`` names: files under ``--feed``, or the service of the settings."""
+    if a.source == "files":
+        return file_feed(a.feed)
+    from ladderline.sources.http import live_feed
+    from ladderline.sources.settings import Settings
+
+    return live_feed(Settings.of(os.environ))
+
+
 def _utc(text: str) -> datetime:
     t = datetime.fromisoformat(text)
     return t if t.tzinfo is None else t.astimezone(UTC).replace(tzinfo=None)
@@ -50,6 +61,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("command", choices=["ingest", "dataset", "profile", "check"])
     p.add_argument("--store", default="store")
     p.add_argument("--feed")
+    p.add_argument("--source", choices=["files", "live"], default="files")
     p.add_argument("--limit", type=int, default=100)
     p.add_argument("--since", type=_utc)
     p.add_argument("--until", type=_utc)
@@ -57,7 +69,7 @@ def main(args: list[str] | None = None) -> int:
     a = p.parse_args(args)
 
     if a.command == "check":
-        rows = file_feed(a.feed)("proMatches", {})
+        rows = _feed(a)("proMatches", {})
         lost = REQUIRED - set(rows[0]) if rows else REQUIRED
         report = {"list": "FAILED" if lost else "VERIFIED", "missing": sorted(lost), "rows": len(rows)}
         print(json.dumps(report))
@@ -78,7 +90,8 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "ingest":
         ingest.sync_reference(store, feed.heroes(spark, f"{a.feed}/heroes.json"), feed.patches(spark, f"{a.feed}/patches.json"))
         start = since(a.since, ingest.checkpoint(store), settings.data_start_date, now)
-        done = ingest.run(store, file_feed(a.feed), start, a.until or now, now, a.limit)
+        clock = lambda: datetime.now(UTC).replace(tzinfo=None)
+        done = ingest.run(store, _feed(a), start, a.until or now, now, a.limit, clock)
         print(json.dumps(done.__dict__))
         return 0
     m = store.read("matches").join(F.broadcast(store.read("leagues").select("league_id", "tier")), "league_id", "left")

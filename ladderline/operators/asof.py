@@ -19,21 +19,19 @@ def holds(at, start="valid_from", end="valid_to"):
     return (start <= at) & (end.isNull() | (end > at))
 
 
-def version_of(matches: DataFrame, versions: DataFrame, most: int = 10_000) -> DataFrame:
+def version_of(matches: DataFrame, versions: DataFrame, most: int = 100_000) -> DataFrame:
     """Left as-of join with a calendar (patch_id, released_at): the latest released at or before the
-    start, else null. The calendar is broadcast if it has at most ``most`` rows; a larger one is
-    merged into one ordered sequence per day block instead."""
-    periods = as_periods(versions.select("patch_id", "released_at"), "released_at").select("patch_id", "valid_from", "valid_to")
-    if periods.limit(most + 1).count() <= most:
-        return matches.join(F.broadcast(periods), holds("start_time"), "left").drop("valid_to").withColumnRenamed("valid_from", "released_at")
-    return _blocked(matches, periods)
-
+    start, else null.
 
-def _blocked(matches: DataFrame, periods: DataFrame) -> DataFrame:
-    """Equi-join on days: each period is listed under every day it touches, a contest has one day."""
-    last = F.coalesce("valid_to", F.lit("2200-01-01").cast("timestamp"))
-    days = F.explode(F.sequence(F.to_date("valid_from"), F.to_date(last)))
-    listed = periods.withColumn("day_", days)
+    It is an equi-join on days: each period is listed under every day it touches (an open one until the
+    last contest's), a contest has one day. The list is broadcast if it has at most ``most`` rows.
+    """
+    periods = as_periods(versions.select("patch_id", "released_at"), "released_at").select("patch_id", "valid_from", "valid_to")
+    last = matches.agg(F.max(F.to_date("start_time"))).first()[0]
+    upto = F.coalesce(F.to_date("valid_to"), F.greatest(F.to_date("valid_from"), F.lit(last).cast("date")))
+    listed = periods.withColumn("day_", F.explode(F.sequence(F.to_date("valid_from"), upto)))
+    if listed.limit(most + 1).count() <= most:
+        listed = F.broadcast(listed)
     rows = matches.withColumn("day_", F.to_date("start_time"))
     joined = rows.join(listed, (rows["day_"] == listed["day_"]) & holds("start_time"), "left").drop("day_", "valid_to")
     return joined.withColumnRenamed("valid_from", "released_at")

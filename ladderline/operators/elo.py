@@ -1,13 +1,14 @@
 """Ratings that walk forward through contests in order (start_time, match_id).
 
 Each step depends on both teams' last steps, so a pool (teams that meet directly or through others) is
-one ordered stream. Pools are independent and run in parallel; within one, five narrow columns are
-folded in a grouped pandas function.
+one ordered stream. Pools are independent and run in parallel. A pool's five narrow columns are sorted
+by Spark and folded batch by batch: a task holds the teams' ratings and one batch, never the history.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,31 +25,78 @@ def elo_step(r: float, d: float, radiant_win: bool, k: float = K_FACTOR) -> tupl
     return r + k * (s - e), d + k * ((1.0 - s) - (1.0 - e))
 
 
-def _walk(k: float, base: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["start_time", "match_id"], kind="stable")
+def _in_order(matches: DataFrame, pool: str | None) -> DataFrame:
+    """Contests of each pool together and in order."""
+    rows = matches.select(
+        (F.col(pool) if pool else F.lit(0)).alias("pool_"), F.col("match_id").cast("long"), F.col("start_time").cast("timestamp_ntz"),
+        F.col("radiant_team_id").cast("long"), F.col("dire_team_id").cast("long"), "radiant_win",
+    )
+    return rows.repartition("pool_").sortWithinPartitions("pool_", "start_time", "match_id")
+
+
+def _folded(matches: DataFrame, pool: str | None, start: Callable[[], Callable], added: list[str], schema: str) -> DataFrame:
+    """``start()`` begins a pool and gives its step: (radiant, dire, radiant_win) -> the ``added`` columns."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step, current = None, None
+        for p in batches:
+            out = []
+            for pool_, r, d, won in zip(p["pool_"], p["radiant_team_id"], p["dire_team_id"], p["radiant_win"]):
+                if step is None or pool_ != current:
+                    step, current = start(), pool_
+                out.append(step(r, d, won))
+            p[added] = pd.DataFrame(out, index=p.index, columns=added)
+            yield p[[c.split()[0] for c in schema.split(", ")]]
+
+    return _in_order(matches, pool).mapInPandas(run, schema)
+
+
+def rated(matches: DataFrame, k: float = K_FACTOR, base: float = BASE, pool: str | None = None) -> DataFrame:
+    """Each contest with both ratings before and after it. ``pool``: column of independent pools."""
+
+    def start():
         now: dict[int, float] = {}
-        out = []
-        for r, d, won in zip(p["radiant_team_id"], p["dire_team_id"], p["radiant_win"]):
+
+        def step(r, d, won):
             a, b = now.get(r, base), now.get(d, base)
             x, y = elo_step(a, b, won, k)
             now[r] = x
             now[d] = y  # a team against itself: the dire side is written last
-            out.append((a, b, x, y))
-        p[["radiant_pre", "dire_pre", "radiant_post", "dire_post"]] = pd.DataFrame(out, index=p.index, dtype=float)
-        return p[[c.split()[0] for c in RATED.split(", ")]]
+            return a, b, x, y
 
-    return run
+        return step
 
+    return _folded(matches, pool, start, ["radiant_pre", "dire_pre", "radiant_post", "dire_post"], RATED)
 
-def rated(matches: DataFrame, k: float = K_FACTOR, base: float = BASE, pool: str | None = None) -> DataFrame:
-    """Each contest with both ratings before and after it. ``pool``: column of independent pools."""
-    names = ["match_id", "start_time", "radiant_team_id", "dire_team_id", "radiant_win"]
-    rows = matches.select(
-        F.col("match_id").cast("long"), F.col("start_time").cast("timestamp_ntz"), F.col("radiant_team_id").cast("long"),
-        F.col("dire_team_id").cast("long"), "radiant_win", (F.col(pool) if pool else F.lit(0)).alias("pool_"),
-    )
-    return rows.groupBy("pool_").applyInPandas(lambda p: _walk(k, base)(p[names]), RATED)
+
+def ranked(matches: DataFrame, k: float = K_FACTOR, base: float = BASE, pool: str | None = None) -> DataFrame:
+    """match_id, radiant_rank, dire_rank: each side's place by rating before the contest, among the teams
+    of its pool that had played by then (equal ratings share a place); null for a team that hadn't.
+
+    The fold keeps the ratings sorted, so a contest costs two searches, and no contest is held against
+    all teams.
+    """
+
+    def start():
+        now: dict[int, float] = {}
+        order: list[float] = []
+
+        def put(team, rating):
+            if team in now:
+                del order[bisect_left(order, now[team])]
+            insort(order, rating)
+            now[team] = rating
+
+        def step(r, d, won):
+            place = [len(order) - bisect_right(order, now[t]) + 1 if t in now else None for t in (r, d)]
+            x, y = elo_step(now.get(r, base), now.get(d, base), won, k)
+            put(r, x)
+            put(d, y)
+            return place
+
+        return step
+
+    return _folded(matches, pool, start, ["radiant_rank", "dire_rank"], "match_id long, radiant_rank long, dire_rank long")
 
 
 def rated_natively(matches: DataFrame, k: float = K_FACTOR, base: float = BASE) -> DataFrame:
@@ -91,7 +139,7 @@ def elo_trend(log: DataFrame, back: int = 5) -> DataFrame:
     return log.select("match_id", "team_id", (F.col("rating_before") - F.lag("rating_before", back).over(w)).alias("elo_delta"))
 
 
-def glicko2(matches: DataFrame, tau: float = 0.5) -> DataFrame:
+def glicko2(matches: DataFrame, tau: float = 0.5, pool: str | None = None) -> DataFrame:
     """Glicko-2 ratings and deviations before each contest, a rating period per contest."""
     import math
 
@@ -122,13 +170,14 @@ def glicko2(matches: DataFrame, tau: float = 0.5) -> DataFrame:
         new = 1 / math.sqrt(1 / star**2 + 1 / v)
         return mu + new**2 * g * (s - e), new, sigma
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
+    def start():
         now: dict[int, tuple[float, float, float]] = {}
-        out = []
-        for m, r, d, won in p.sort_values(["start_time", "match_id"])[["match_id", "radiant_team_id", "dire_team_id", "radiant_win"]].itertuples(index=False):
+
+        def step(r, d, won):
             a, b = now.get(r, (0.0, 350 / 173.7178, 0.06)), now.get(d, (0.0, 350 / 173.7178, 0.06))
-            out.append((m, 1500 + 173.7178 * a[0], 173.7178 * a[1], 1500 + 173.7178 * b[0], 173.7178 * b[1]))
             now[r], now[d] = update(*a, *b[:2], float(won)), update(*b, *a[:2], 1.0 - won)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            return 1500 + 173.7178 * a[0], 173.7178 * a[1], 1500 + 173.7178 * b[0], 173.7178 * b[1]
+
+        return step
 
-    return matches.withColumn("pool_", F.lit(0)).groupBy("pool_").applyInPandas(run, schema)
+    return _folded(matches, pool, start, ["radiant_rating", "radiant_rd", "dire_rating", "dire_rd"], schema)

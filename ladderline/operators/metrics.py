@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CLIP = 1e-15
+ROC_BINS = 10_000
 
 
 def _y() -> Column:
@@ -44,10 +45,15 @@ def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
-    """Rank-sum with mid-ranks for ties. Counts per distinct forecast come first, so the ordered step
-    runs over forecasts, not rows."""
+    """Rank-sum with mid-ranks for ties. Counts per distinct forecast come first. These are ordered
+    within each of ``ROC_BINS`` ranges of forecasts, and what lies below a range is a sum over ranges."""
     per = rows.groupBy("p").agg(F.sum(_y()).alias("pos"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("bin", F.floor(F.col("p") * ROC_BINS))
+    bins = per.groupBy("bin").agg(F.sum("n").alias("m"))  # at most ROC_BINS rows and one
+    base = F.coalesce(F.sum("m").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base")
+    per = per.join(F.broadcast(bins.select("bin", base)), "bin")
+    line = W.partitionBy("bin").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+    below = F.col("base") + F.coalesce(F.sum("n").over(line), F.lit(0))
     ranked = per.select("pos", "n", (below + (F.col("n") + 1) / 2).alias("rank"))
     t = ranked.agg(F.sum(F.col("pos") * F.col("rank")).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return t.select(((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("roc_auc"))

@@ -6,6 +6,8 @@ several of them shuffles once.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,9 +61,10 @@ def rest_days() -> Column:
     return days_between(F.col("start_time"), F.lag("start_time").over(by_team()))
 
 
-def ema_form(weight: float = 0.3, depth: int = 60) -> Column:
-    """Exponential mean of results from 0.5 on, ``weight`` on the newest. Results more than ``depth``
-    back weigh less than rounding shows, so the frame is bounded and the cost per row with it."""
+def ema_form(weight: float = 0.3) -> Column:
+    """Exponential mean of results from 0.5 on, ``weight`` on the newest (over 0, under 1). The frame goes
+    back to where a result weighs less than the last bit of a double, so it is bounded by the weight."""
+    depth = math.ceil(-53 * math.log(2) / math.log(1 - weight))
     past = F.collect_list(won()).over(by_team().rowsBetween(-depth, -1))
     return F.aggregate(past, F.lit(0.5), lambda a, x: weight * x + (1 - weight) * a)
 

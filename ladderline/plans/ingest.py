@@ -39,38 +39,48 @@ def sync_reference(store: Store, heroes: DataFrame, patches: DataFrame) -> tuple
     return heroes.count(), patches.count()
 
 
-def run(store: Store, get: Callable[[str, dict], object], since: datetime, until: datetime, now: datetime, limit: int | None = None) -> Result:
-    """Failures are written as a failed run and raised again."""
-    run_id = uuid.uuid4().hex
+def run(
+    store: Store, get: Callable[[str, dict], object], since: datetime, until: datetime, now: datetime, limit: int | None = None, clock: Callable[[], datetime] | None = None
+) -> Result:
+    """A run is written down as ``running`` first, then as what became of it; failures are raised again."""
+    run_id, clock = uuid.uuid4().hex, clock or (lambda: now)
+    began = clock()
+    _log(store, run_id, "running", 0, None, None, began, None)
     try:
         result, end = _run(store, get, since, until, now, limit)
-        _log(store, run_id, "success", result.upserted, end, None, now)
+        _log(store, run_id, "success", result.upserted, end, None, began, clock())
         return result
     except Exception as e:
-        _log(store, run_id, "failed", 0, None, str(e)[:500], now)
+        _log(store, run_id, "failed", 0, None, str(e)[:500], began, clock())
         raise
 
 
-def _log(store: Store, run_id: str, status: str, items: int, end, error, now: datetime) -> None:
+def _log(store: Store, run_id: str, status: str, items: int, end, error, began: datetime, ended: datetime | None) -> None:
+    """Puts the run's row in place of the one it has (one row per run: a small table)."""
     schema = "run_id string, source string, status string, items int, checkpoint timestamp, error string, started_at timestamp, finished_at timestamp"
-    store.append("ingestion_runs", store.spark.createDataFrame([(run_id, "feed", status, items, end, error, now, now)], schema))
+    row = store.spark.createDataFrame([(run_id, "feed", status, items, end, error, began, ended)], schema)
+    if ended is None:
+        store.append("ingestion_runs", row)
+    else:
+        store.write("ingestion_runs", store.read("ingestion_runs").where(F.col("run_id") != run_id).unionByName(row))
+
+
+def _landed(store: Store, fetched: list, now: datetime, out: Result) -> DataFrame:
+    """Responses as raw rows, of which the log gets those that it doesn't hold."""
+    batch = feed.raw_frame(store.spark, fetched, now).persist()
+    fresh = records.raw_appended(store.read("raw_responses"), batch).persist()
+    new, total = fresh.count(), batch.count()
+    out.raw_written, out.raw_seen_before = out.raw_written + new, out.raw_seen_before + total - new
+    if new:
+        store.append("raw_responses", fresh)
+    return batch
 
 
 def _run(store, get, since, until, now, limit):
     spark, out = store.spark, Result()
     fetched = [("leagues", {}, get("leagues", {}))]
-    listed = [r for params, rows in feed.pages(get, since) if fetched.append(("proMatches", params, rows)) or True for r in rows]
-    for match_id in sorted({r["match_id"] for r in listed}):
-        try:  # a contest without a detail is loaded without children
-            fetched.append((f"matches/{match_id}", {}, get(f"matches/{match_id}", {})))
-        except (PermanentHttpError, TransientHttpError):
-            pass
-    batch = feed.raw_frame(spark, fetched, now).persist()
-    fresh = records.raw_appended(store.read("raw_responses"), batch).persist()
-    out.raw_written, total = fresh.count(), batch.count()
-    out.raw_seen_before = total - out.raw_written
-    if out.raw_written:
-        store.append("raw_responses", fresh)
+    fetched += [("proMatches", params, rows) for params, rows in feed.pages(get, since)]
+    batch = _landed(store, fetched, now, out)
 
     leagues = feed.leagues(batch)
     rows = records.normalized(feed.matches(batch, leagues, since, until))
@@ -80,10 +90,18 @@ def _run(store, get, since, until, now, limit):
     rows = asof.version_of(rows, store.read("patches")).withColumns({"source": F.lit("feed"), "ingested_at": F.lit(now)}).persist()
     out.duplicates = records.repeats(rows, ["match_id"], ["position"]).count()
     good = records.accepted(rows.withColumn("start_time", F.col("start_time").cast("timestamp_ntz")), F.lit(now).cast("timestamp_ntz")).select("match_id")
-    out.skipped = rows.count() - rows.join(good.distinct(), "match_id", "left_semi").count()
-    rows = rows.join(good.distinct(), "match_id", "left_semi")
+    good = good.distinct().persist()
+    out.skipped = rows.count() - rows.join(good, "match_id", "left_semi").count()
+    rows = rows.join(good, "match_id", "left_semi")
 
-    detail = feed.details(batch).join(rows.select("match_id").distinct(), "match_id", "left_semi").persist()
+    # details of what is left only: a request each
+    found = []
+    for match_id in sorted(r["match_id"] for r in good.collect()):
+        try:  # a contest without a detail is loaded without children
+            found.append((f"matches/{match_id}", {}, get(f"matches/{match_id}", {})))
+        except (PermanentHttpError, TransientHttpError):
+            pass
+    detail = feed.details(_landed(store, found, now, out)).persist()
     # children take their teams from the list row, which wins over the detail
     sides = records.collapsed(rows.select("match_id", "radiant_team_id", "dire_team_id", "position"), ["match_id"], F.col("position"))
     detail = detail.drop("radiant_team_id", "dire_team_id").join(sides.drop("position"), "match_id")

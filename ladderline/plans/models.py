@@ -10,12 +10,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ladderline.functions import expected_score
 from ladderline.operators import metrics
-from ladderline.operators.elo import BASE, K_FACTOR, rated, rating_log
+from ladderline.operators.elo import BASE, K_FACTOR, ranked, rated, rating_log
 from ladderline.operators.teams import before, team_centric, won
 
 ELO = ("radiant_elo", "dire_elo", "elo_difference")
@@ -129,7 +128,7 @@ def sanity_fit(data: DataFrame) -> DataFrame:
 
 def line_up(data: DataFrame, validation: str = "1999-01-01") -> DataFrame:
     """Every model fitted before ``validation`` and scored from there on."""
-    cut = F.lit(validation).cast("timestamp_ntz")
+    cut, data = F.lit(validation).cast("timestamp_ntz"), data.persist()  # the ratings are walked once
     train, test = data.where(F.col("as_of_timestamp") < cut), data.where(F.col("as_of_timestamp") >= cut)
     models = {
         "random": RandomBaseline(),
@@ -144,6 +143,7 @@ def line_up(data: DataFrame, validation: str = "1999-01-01") -> DataFrame:
 
 def rolling_retrain(data: DataFrame, every_days: int = 90) -> DataFrame:
     """Refit on all data so far at each cutoff; score until the next. Cutoffs are a handful of dates."""
+    data = data.persist()  # the ratings are walked once, not for every fit
     first, last = data.agg(F.min("as_of_timestamp"), F.max("as_of_timestamp")).first()
     if first is None:
         return data.sparkSession.createDataFrame([], "cutoff timestamp_ntz, accuracy double, log_loss double, brier double, n long")
@@ -188,22 +188,12 @@ def against_top(matches: DataFrame, top: int = 20, least: int = 3) -> DataFrame:
     """Win rate before each contest over meetings with teams that ranked in the first ``top`` by rating
     then; null under ``least`` such meetings.
 
-    A team's rank at a contest counts the teams rated higher at that moment. Ratings change only at the
-    contests themselves, so ranks come from the running state of the walk, one row per contest and team.
+    A team's rank at a contest counts the teams rated higher at that moment; it comes from the ordered
+    fold that makes the ratings.
     """
-    log = rating_log(rated(matches))
-    seq = log.select("match_id", "start_time").distinct()
-    span = W.partitionBy("team_id").orderBy("start_time", "match_id")
-    key = F.struct("start_time", "match_id")
-    periods = log.select("team_id", "rating_after", key.alias("since"), F.lead(key).over(span).alias("until"))
-    # the state before each contest, per team that has played; rating periods are short, so the join
-    # gives one row per contest and team
-    at = seq.withColumn("key", key)
-    state = at.join(periods, (F.col("since") < F.col("key")) & (F.col("until").isNull() | (F.col("until") >= F.col("key"))))
-    ranked = state.withColumn("rank", F.rank().over(W.partitionBy("match_id").orderBy(F.desc("rating_after"))))
-    is_top = ranked.where(F.col("rank") <= top).select("match_id", F.col("team_id").alias("opponent_id"), F.lit(1.0).alias("top"))
-    rows = team_centric(matches).join(is_top, ["match_id", "opponent_id"], "left")
+    ranks = ranked(matches)
+    rows = team_centric(matches).join(ranks, "match_id")
+    place = F.when(F.col("is_radiant"), F.col("dire_rank")).otherwise(F.col("radiant_rank"))
+    rows = rows.withColumn("top", F.when(place <= top, 1.0))
     n, wins = F.count("top").over(before()), F.sum(F.when(F.col("top").isNotNull(), won())).over(before())
     return rows.select("match_id", "team_id", F.when(n >= least, wins / n).alias("vs_top_winrate"), n.alias("vs_top_meetings"))
-
-

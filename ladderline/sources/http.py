@@ -52,6 +52,29 @@ def retry_after(text: str | None) -> float | None:
             return None
 
 
+def urllib_transport(url: str, params: dict, timeout: float) -> tuple[int, dict, bytes]:
+    """(status, headers, body) of a GET by the standard library."""
+    from urllib.error import HTTPError
+    from urllib.parse import urlencode
+    from urllib.request import urlopen
+
+    try:
+        with urlopen(url + ("?" + urlencode(params) if params else ""), timeout=timeout) as r:
+            return r.status, dict(r.headers), r.read()
+    except HTTPError as e:
+        return e.code, dict(e.headers), b""
+
+
+def live_feed(settings, transport: Callable = urllib_transport, sleep=time.sleep) -> Callable[[str, dict], object]:
+    """A ``get(path, params)`` over the service that the settings name, within its rate."""
+    if not settings.feed_base_url:
+        raise ValueError("FEED_BASE_URL is not set")
+    limiter = RateLimiter(settings.rate_limit_per_min, sleep=sleep)
+    client = HttpClient(transport, limiter, settings.max_retries, timeout=settings.request_timeout, sleep=sleep)
+    key = {"api_key": settings.feed_api_key} if settings.feed_api_key else {}
+    return lambda path, params: client.get_json(f"{settings.feed_base_url.rstrip('/')}/{path}", {**params, **key})
+
+
 class HttpClient:
     def __init__(self, transport: Callable, limiter: RateLimiter | None = None, max_retries: int = 4, backoff: float = 1.0, timeout: float = 20.0, sleep=time.sleep):
         self.transport, self.limiter, self.max_retries = transport, limiter, max_retries

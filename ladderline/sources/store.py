@@ -1,4 +1,8 @@
-"""Tables as snapshots: a merge writes a new folder, then a manifest row points to it. One writer."""
+"""Tables as folders named by numbered manifests: a merge writes a new folder, an append adds one.
+
+A manifest is written beside its place and renamed into it, so a reader sees the one before or the new
+one, whole. The highest number counts; older ones stay. One writer: a second one fails at the rename.
+"""
 
 from __future__ import annotations
 
@@ -14,30 +18,55 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _manifest(self, table: str) -> str:
-        return f"{self.root}/{table}/_manifest"
-
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _manifests(self, table: str) -> tuple[list[int], bool]:
+        """The numbers of the manifests, and whether there is data."""
+        fs, p = self._fs(f"{self.root}/{table}")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n[9:]) for n in names if n.startswith("manifest-")), any(n.startswith("part-of-") for n in names)
+
+    def _folders(self, table: str) -> list[str]:
+        found, data = self._manifests(table)
+        if not found:
+            if data:  # a lost manifest, or a first load that died before it had one: not an empty table
+                raise RuntimeError(f"{self.root}/{table} holds data but no manifest: restore it, or remove the folder")
+            return []
+        path = f"{self.root}/{table}/manifest-{found[-1]:012d}"
+        return [r[0] for r in self.spark.read.text(path).collect() if r[0]]  # a row per append since the last merge
+
+    def _point_to(self, table: str, folders: list[str]) -> None:
+        found, _ = self._manifests(table)
+        fs, p = self._fs(f"{self.root}/{table}/_new-{uuid.uuid4().hex}")
+        out = fs.create(p)
+        out.write(bytearray("\n".join(folders).encode()))
+        out.close()
+        _, place = self._fs(f"{self.root}/{table}/manifest-{(found[-1] if found else 0) + 1:012d}")
+        if fs.exists(place) or not fs.rename(p, place):
+            raise RuntimeError(f"another writer moved {self.root}/{table} on")
+
+    def _folder(self, table: str, rows: DataFrame) -> str:
+        name = f"part-of-{uuid.uuid4().hex}"
+        want = self.spark.createDataFrame([], schemas.TABLES[table]).schema
+        rows.select(*[rows[f.name].cast(f.dataType) for f in want]).write.parquet(f"{self.root}/{table}/{name}")
+        return name
+
     def read(self, table: str) -> DataFrame:
-        fs, p = self._fs(self._manifest(table))
-        if not fs.exists(p):
+        folders = self._folders(table)
+        if not folders:
             return self.spark.createDataFrame([], schemas.TABLES[table])
-        current = self.spark.read.text(self._manifest(table)).first()[0]
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(f"{self.root}/{table}/{current}")
+        return self.spark.read.schema(schemas.TABLES[table]).parquet(*[f"{self.root}/{table}/{x}" for x in folders])
 
     def write(self, table: str, rows: DataFrame) -> None:
-        """The whole table anew; readers see the old snapshot until the manifest is moved."""
-        name = f"snapshot-{uuid.uuid4().hex}"
-        want = self.spark.createDataFrame([], schemas.TABLES[table]).schema
-        rows.select(*[rows[f.name].cast(f.dataType) for f in want]).write.parquet(f"{self.root}/{table}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(self._manifest(table))
+        """The whole table anew; readers see the old one until the manifest is there."""
+        self._point_to(table, [self._folder(table, rows)])
 
     def append(self, table: str, rows: DataFrame) -> None:
-        self.write(table, self.read(table).unionByName(rows.select(*self.read(table).columns)))
+        """Adds a folder; what is there stays untouched."""
+        before = self._folders(table)
+        self._point_to(table, [*before, self._folder(table, rows)])
 
     def merge(self, table: str, batch: DataFrame) -> None:
         """``batch``: one row per key, all columns of the table."""
