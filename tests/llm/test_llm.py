@@ -401,17 +401,25 @@ def test_quality_counts(odd, none, docs, texts):
     assert quality.score_quality(none).count() == 0 and len(got) == len(ODD) + len(texts)
 
 
-@pytest.mark.parametrize("lang", [None, "it"])
-def test_languages_without_a_list_have_a_word_check(spark, lang):
+@pytest.mark.parametrize("lang", [None, "it", ""])
+def test_each_half_of_the_rules_decides(spark, lang):
     rng = random.Random(6)
     common = "il che non per una del con sono alla dei nel gli questa anche come più".split()
     usual = [" ".join(rng.choice(common) if rng.random() < 0.5 else prose(rng, 1) for _ in range(120)) for _ in range(40)]
-    rows = [(i, t, lang) for i, t in enumerate([*usual, prose(rng, 120)])]
-    rows.append((41, f"the {usual[0]}", "en"))  # a listed language keeps its own words
-    got = {r.doc_id: r for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    shout = " ".join(rng.choice(common).upper() if rng.random() < 0.9 else rng.choice(common) for _ in range(120))
+    calls = " ".join(rng.choice(common) if rng.random() < 0.5 else str(rng.randrange(10**9, 10**12)) for _ in range(120))
+    rows = [(i, t, lang) for i, t in enumerate([*usual, prose(rng, 120), calls])]
+    # other languages have references of their own
+    rows += [(100 + i, f"the {t}", x) for i, t in enumerate(usual[:3]) for x in (None, "it", "", "en") if x != lang] + [(200, shout, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.score_quality(df).collect()}
+    assert len({r[0] for r in rows}) == len(got) and not any(r.base_failed for r in got.values())
     assert all(got[i].kept and got[i].word_distance < 0.3 for i in range(40))
-    assert not got[40].base_failed and got[40].word_distance > 0.45 and not got[40].kept
-    assert len(got) == 42 and got[41].word_distance == 0
+    assert not got[40].kept and got[40].word_distance > 0.45 and got[40].class_distance < 0.27
+    assert not got[41].kept and got[41].class_distance > 0.27 and got[41].word_distance < 0.45
+    without = lambda **x: {r.doc_id for r in quality.score_quality(df, quality.Rules(**x)).collect() if r.kept}
+    assert 40 in without(max_word_distance=1.0) and 41 in without(max_class_distance=1.0)
+    assert got[200].class_distance == 0 and got[200].word_distance == 0
 
 
 def test_repeats_against_brute_force(spark):
