@@ -334,7 +334,7 @@ def roster_key(spark, d):
 
 @query(
     f"""SELECT match_id, team_id, count(*) OVER (PARTITION BY team_id, lineup ORDER BY start_time, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) roster_matches,
- date_diff('day', last_value(c IGNORE NULLS) OVER ({BY_TEAM} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DATE, start_time::DATE)::INT days_since_change
+ date_diff('day', last_value(c IGNORE NULLS) OVER ({BY_TEAM} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DATE, start_time::DATE)::INT days_since_change, days_since_change <= 30 changed_recently
  FROM (SELECT *, CASE WHEN lag(lineup) OVER ({BY_TEAM}) = lineup THEN NULL ELSE start_time END c FROM sides)""",
     CONTESTS, CHILDREN, PLAYERS, SIDES,
 )
@@ -352,6 +352,25 @@ def stand_in(spark, d):
     return rosters.stand_ins(rosters.lineups(v.players(spark, d)))
 
 
+@query(
+    f"""SELECT match_id, team_id, CASE WHEN n > 0 THEN len(list_filter(lineup, lambda x: 2 * len(list_filter(past, lambda y: y = x)) <= n))::INT END stand_ins, stand_ins > 0 has_stand_in
+ FROM (SELECT *, flatten(list(lineup) OVER ({BY_TEAM} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) past, count(*) OVER ({BY_TEAM} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) n FROM sides)""",
+    CONTESTS, CHILDREN, PLAYERS, SIDES,
+)
+def majority_stand_in(spark, d):
+    return rosters.majority_stand_ins(rosters.lineups(v.players(spark, d)))
+
+
+@query(
+    "SELECT match_id, team_id, coalesce(1000 + n_regionkey, team_id) organization_id FROM tc LEFT JOIN nation ON n_nationkey = team_id AND n_regionkey < 2",
+    CONTESTS, TEAMS,
+)
+def organization_override(spark, d):
+    confirmed = F.lit("2020-01-01").cast("timestamp_ntz").alias("confirmed_at")
+    aliases = v.table(spark, d, "nation").where("n_regionkey < 2").select(F.col("n_nationkey").cast("long").alias("team_id"), (F.col("n_regionkey") + 1000).cast("long").alias("organization_id"), confirmed)
+    return rosters.with_organization(teams.team_centric(v.contests(spark, d)).select("match_id", "team_id"), aliases).select("match_id", "team_id", "organization_id")
+
+
 ROSTERS = f"""team AS (SELECT *, max(no) OVER (PARTITION BY team_id) last_no FROM (SELECT *, row_number() OVER ({BY_TEAM}) no FROM (SELECT DISTINCT match_id, start_time, team_id FROM players))),
  member AS (SELECT DISTINCT team_id, account_id, start_time, no, last_no FROM players JOIN team USING (match_id, start_time, team_id)),
  period AS (SELECT *, sum(o) OVER (PARTITION BY team_id, account_id ORDER BY no) g FROM (SELECT *, CASE WHEN no - lag(no) OVER (PARTITION BY team_id, account_id ORDER BY no) <= 4 THEN 0 ELSE 1 END o FROM member)),
@@ -396,6 +415,18 @@ def player_experience(spark, d):
     return rosters.player_experience(v.players(spark, d)).select("match_id", "team_id", F.round("mean_career", 6).alias("mean_career"))
 
 
+@query(
+    """SELECT match_id, team_id, round(avg(form), 6) individual_form FROM (SELECT DISTINCT match_id, team_id, account_id FROM players)
+ JOIN (SELECT match_id, account_id, avg(did) OVER (PARTITION BY account_id ORDER BY start_time, match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) form
+ FROM (SELECT match_id, start_time, account_id, avg(kills / mid) did FROM players LEFT JOIN (SELECT (rn + 1) // 2 part, date_trunc('quarter', start_time) + INTERVAL 3 MONTH q, median(kills) mid FROM players GROUP BY 1, 2)
+ ON part = (rn + 1) // 2 AND q = date_trunc('quarter', start_time) GROUP BY 1, 2, 3)) USING (match_id, account_id) GROUP BY 1, 2""",
+    CONTESTS, CHILDREN, PLAYERS,
+)
+def individual_form(spark, d):
+    players = v.players(spark, d).withColumn("role", F.floor((F.col("rn") + 1) / 2))
+    return rosters.individual_form(players, "kills").select("match_id", "team_id", F.round("individual_form", 6).alias("individual_form"))
+
+
 @query(
     f"""SELECT match_id, team_id, coalesce(len(list_distinct(flatten(list(heroes) OVER ({BY_TEAM} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)))), 0)::INT hero_pool
  FROM (SELECT match_id, start_time, team_id, list_distinct(list(hero_id)) heroes FROM picks WHERE is_pick GROUP BY ALL)""",
@@ -411,12 +442,35 @@ def hero_patch_winrate(spark, d):
 
 
 @query(
-    """SELECT match_id, team_id, round(avg(coalesce(r, 0.5)), 6) draft_strength FROM (SELECT match_id, team_id, avg(won::INT) OVER (PARTITION BY hero_id, patch_id
- ORDER BY date_diff('day', DATE '1970-01-01', start_time::DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) r FROM picks WHERE is_pick) GROUP BY 1, 2""",
+    """SELECT match_id, team_id, round(avg(coalesce(r, 0.5)) FILTER (is_pick), 6) draft_strength, round(avg(coalesce(r, 0.5)) FILTER (NOT is_pick), 6) ban_strength
+ FROM (SELECT match_id, team_id, is_pick, avg(CASE WHEN is_pick THEN won::INT END) OVER (PARTITION BY hero_id, patch_id
+ ORDER BY date_diff('day', DATE '1970-01-01', start_time::DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) r FROM picks) GROUP BY 1, 2""",
     CONTESTS, VERSIONS, CHILDREN, PICKS,
 )
 def draft_strength(spark, d):
-    return rosters.draft_strength(v.picks(spark, d)).select("match_id", "team_id", F.round("draft_strength", 6).alias("draft_strength"))
+    return rosters.draft_strength(v.picks(spark, d)).select("match_id", "team_id", *r6("draft_strength", "ban_strength"))
+
+
+@query(
+    """SELECT match_id, team_id, round(sum(coalesce(r - 0.5, 0)), 6) matchup_advantage FROM (SELECT a.match_id, a.team_id, avg(a.won::INT) OVER (PARTITION BY a.hero_id, b.hero_id
+ ORDER BY date_diff('day', DATE '1970-01-01', a.start_time::DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) r
+ FROM picks a JOIN picks b ON a.match_id = b.match_id AND a.team_id <> b.team_id WHERE a.is_pick AND b.is_pick) GROUP BY 1, 2""",
+    CONTESTS, VERSIONS, CHILDREN, PICKS,
+)
+def matchup_advantage(spark, d):
+    return rosters.matchup_advantage(v.picks(spark, d)).select("match_id", "team_id", *r6("matchup_advantage"))
+
+
+@query(
+    """SELECT match_id, team_id, round(avg(g), 6) comfort_games, round(avg(r), 6) comfort_winrate FROM (SELECT match_id, team_id, count(*) OVER w g, avg(won::INT) OVER w r
+ FROM picks JOIN (SELECT match_id, rn ord, account_id % 20 account_id FROM players) USING (match_id, ord) WHERE is_pick
+ WINDOW w AS (PARTITION BY account_id, hero_id % 10 ORDER BY date_diff('day', DATE '1970-01-01', start_time::DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY 1, 2""",
+    CONTESTS, VERSIONS, CHILDREN, PLAYERS, PICKS,
+)
+def hero_comfort(spark, d):
+    who = v.players(spark, d).select("match_id", F.col("rn").alias("ord"), (F.col("account_id") % 20).alias("account_id"))
+    picks = v.picks(spark, d).withColumn("hero_id", F.col("hero_id") % 10).join(who, ["match_id", "ord"])
+    return rosters.hero_comfort(picks).select("match_id", "team_id", *r6("comfort_games", "comfort_winrate"))
 
 
 @query(
@@ -496,6 +550,11 @@ def null_fractions(spark, d):
     return profile.null_fractions(rows).select("column", F.round("fraction", 6).alias("fraction"))
 
 
+@query("SELECT unnest(['match_id', 'team_id', 'won']) \"column\", unnest([count(*), count(*), count(*)]) \"rows\", unnest([count(DISTINCT match_id), count(DISTINCT team_id), count(DISTINCT won)]) \"distinct\" FROM tc", CONTESTS, TEAMS)
+def shape(spark, d):
+    return profile.shape(teams.team_centric(v.contests(spark, d)).select("match_id", "team_id", "won"))
+
+
 @query("SELECT radiant_win, count(*) n, round(count(*) / sum(count(*)) OVER (), 6) share FROM contests GROUP BY 1", CONTESTS)
 def class_balance(spark, d):
     return profile.class_balance(v.contests(spark, d), "radiant_win").withColumn("share", F.round("share", 6))

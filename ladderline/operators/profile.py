@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ def null_fractions(df: DataFrame) -> DataFrame:
     return sums.unpivot([], sums.columns, "column", "fraction")
 
 
+def shape(df: DataFrame) -> DataFrame:
+    """(column, rows, distinct) for every column: rows of the table and values of the column, null apart."""
+    def one(c: str) -> DataFrame:
+        values = df.groupBy(F.col(f"`{c}`").alias("value")).agg(F.count("*").alias("n"))
+        return values.agg(F.lit(c).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("value").alias("distinct"))
+
+    return reduce(DataFrame.union, map(one, df.columns)).select("column", "rows", "distinct")
+
+
 def class_balance(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))

@@ -22,16 +22,17 @@ def lineups(players: DataFrame) -> DataFrame:
     )
 
 
-def roster_tenure(sides: DataFrame) -> DataFrame:
-    """Contests before this one by the same lineup of the team, and days since the lineup last changed."""
+def roster_tenure(sides: DataFrame, within: int = 30) -> DataFrame:
+    """Contests before this one by the same lineup of the team, days since the lineup last changed, and
+    whether that is at most ``within`` days ago. A team's first lineup counts as a change."""
     same = W.partitionBy("team_id", "lineup").orderBy("start_time", "match_id").rowsBetween(W.unboundedPreceding, -1)
     changed = F.coalesce(F.lag("lineup").over(by_team()) != F.col("lineup"), F.lit(True))
     rows = sides.withColumn("changed_at", F.when(changed, F.col("start_time")))
     since = F.last("changed_at", ignorenulls=True).over(by_team())
+    days = F.date_diff(F.col("start_time").cast("date"), since.cast("date"))
     return rows.select(
         "match_id", "team_id",
-        F.count(F.lit(1)).over(same).alias("roster_matches"),
-        F.date_diff(F.col("start_time").cast("date"), since.cast("date")).alias("days_since_change"),
+        F.count(F.lit(1)).over(same).alias("roster_matches"), days.alias("days_since_change"), (days <= within).alias("changed_recently"),
     )
 
 
@@ -43,6 +44,16 @@ def stand_ins(sides: DataFrame, recent: int = 5) -> DataFrame:
     return sides.select("match_id", "team_id", n.alias("stand_ins"), (n > 0).alias("has_stand_in"))
 
 
+def majority_stand_ins(sides: DataFrame, recent: int = 10) -> DataFrame:
+    """Accounts of a side outside the team's majority lineup, which are those that played more than half of
+    its ``recent`` contests before; null without any. One recent contest doesn't make a member."""
+    frame = by_team().rowsBetween(-recent, -1)
+    rows = sides.withColumns({"past_": F.flatten(F.collect_list("lineup").over(frame)), "n_": F.count(F.lit(1)).over(frame)})
+    seldom = lambda x: 2 * F.size(F.filter("past_", lambda y: y == x)) <= F.col("n_")
+    n = F.when(F.col("n_") > 0, F.size(F.filter("lineup", seldom)))
+    return rows.select("match_id", "team_id", n.alias("stand_ins"), (n > 0).alias("has_stand_in"))
+
+
 def roster_periods(players: DataFrame, absent: int = 3) -> DataFrame:
     """Membership rebuilt from played lineups: (team_id, account_id, valid_from, valid_to, matches).
 
@@ -102,6 +113,29 @@ def player_experience(players: DataFrame) -> DataFrame:
     return players.select("match_id", "team_id").distinct().join(mean, ["match_id", "team_id"], "left")
 
 
+def individual_form(players: DataFrame, metric: str, recent: int = 10) -> DataFrame:
+    """Mean over a side's known accounts of how they did in their ``recent`` contests before, each as
+    ``metric`` over the median of its role in the quarter before that contest; null if nothing is known.
+
+    players: match_id, start_time, team_id, account_id, role and ``metric``. Medians come from counts by
+    value, so no group is larger than a metric has values.
+    """
+    quarter = F.date_trunc("quarter", F.col("start_time"))
+    rows = players.select("match_id", "start_time", "team_id", "account_id", "role", F.col(metric).cast("double").alias("value"), quarter.alias("quarter"))
+    counts = rows.where("value is not null").groupBy("role", "quarter", "value").agg(F.count("*").alias("n"))
+    medians = counts.groupBy("role", "quarter").agg(F.percentile("value", 0.5, F.col("n")).alias("median"))
+    medians = medians.select("role", (F.col("quarter") + F.expr("INTERVAL 3 MONTHS")).alias("quarter"), "median")
+    known = rows.where("account_id is not null").join(medians, ["role", "quarter"], "left")
+    known = known.groupBy("match_id", "start_time", "team_id", "account_id").agg(
+        F.sum(F.col("value") / F.nullif("median", F.lit(0.0))).alias("sum"), F.count(F.col("value") / F.nullif("median", F.lit(0.0))).alias("n")
+    )
+    one = known.groupBy("match_id", "start_time", "account_id").agg((F.sum("sum") / F.nullif(F.sum("n"), F.lit(0))).alias("did"))
+    w = W.partitionBy("account_id").orderBy("start_time", "match_id").rowsBetween(-recent, -1)
+    form = one.select("match_id", "account_id", F.avg("did").over(w).alias("form"))
+    mean = known.join(form, ["match_id", "account_id"]).groupBy("match_id", "team_id").agg(F.avg("form").alias("individual_form"))
+    return players.select("match_id", "team_id").distinct().join(mean, ["match_id", "team_id"], "left")
+
+
 def hero_pool(picks: DataFrame, recent: int = 10) -> DataFrame:
     """Distinct heroes that a team picked in its ``recent`` contests before."""
     per = picks.where("is_pick").groupBy("match_id", "start_time", "team_id").agg(F.collect_set("hero_id").alias("heroes"))
@@ -115,14 +149,45 @@ def hero_winrates(picks: DataFrame) -> DataFrame:
     return picks.where("is_pick").groupBy("hero_id", "patch_id").agg(F.count("*").alias("picks"), F.avg(won).alias("winrate"))
 
 
+def _days_before(*keys: str):
+    """Rows of the same keys on earlier days; needs the column ``day``."""
+    return W.partitionBy(*keys).orderBy("day").rangeBetween(W.unboundedPreceding, -1)
+
+
+def _day() -> Column:
+    return F.date_diff(F.col("start_time").cast("date"), F.lit("1970-01-01").cast("date"))
+
+
 def draft_strength(picks: DataFrame) -> DataFrame:
     """Draft stage only: mean over a side's picks of the hero's win rate within the version before this
-    contest (0.5 for a hero without one), per match and team."""
-    day = F.date_diff(F.col("start_time").cast("date"), F.lit("1970-01-01").cast("date"))
-    w = W.partitionBy("hero_id", "patch_id").orderBy("day").rangeBetween(W.unboundedPreceding, -1)
-    rows = picks.where("is_pick").withColumn("day", day)
-    rate = F.coalesce(F.avg(F.col("won").cast("int").cast("double")).over(w), F.lit(0.5))
-    return rows.withColumn("rate", rate).groupBy("match_id", "team_id").agg(F.avg("rate").alias("draft_strength"))
+    contest (0.5 for a hero without one), and the same over its bans (null without bans)."""
+    w = _days_before("hero_id", "patch_id")
+    did = F.when(F.col("is_pick"), F.col("won").cast("int").cast("double"))
+    rows = picks.withColumn("day", _day()).withColumn("rate", F.coalesce(F.avg(did).over(w), F.lit(0.5)))
+    mean = lambda which: F.avg(F.when(which, F.col("rate")))
+    return rows.groupBy("match_id", "team_id").agg(
+        mean(F.col("is_pick")).alias("draft_strength"), mean(~F.col("is_pick")).alias("ban_strength")
+    )
+
+
+def matchup_advantage(picks: DataFrame) -> DataFrame:
+    """Draft stage only: sum over a side's picks and the other's of how far above a half the hero won
+    against that hero on earlier days. Pairs are made within a contest, whose draft is short."""
+    mine = picks.where("is_pick").select("match_id", "start_time", "team_id", "hero_id", "won")
+    other = mine.select("match_id", F.col("team_id").alias("against"), F.col("hero_id").alias("other_hero"))
+    pairs = mine.join(other, "match_id").where("team_id <> against").withColumn("day", _day())
+    rate = F.avg(F.col("won").cast("int").cast("double")).over(_days_before("hero_id", "other_hero"))
+    gain = F.coalesce(rate - 0.5, F.lit(0.0))
+    return pairs.withColumn("gain", gain).groupBy("match_id", "team_id").agg(F.sum("gain").alias("matchup_advantage"))
+
+
+def hero_comfort(picks: DataFrame) -> DataFrame:
+    """Draft stage only: mean over a side's picks of how often their known accounts had that hero on earlier
+    days, and mean of their win rates with it (over those that had). picks with account_id."""
+    rows = picks.where("is_pick and account_id is not null").withColumn("day", _day())
+    w = _days_before("account_id", "hero_id")
+    rows = rows.withColumns({"games": F.count(F.lit(1)).over(w), "rate": F.avg(F.col("won").cast("int").cast("double")).over(w)})
+    return rows.groupBy("match_id", "team_id").agg(F.avg("games").alias("comfort_games"), F.avg("rate").alias("comfort_winrate"))
 
 
 def first_picks(picks: DataFrame) -> DataFrame:
@@ -131,3 +196,11 @@ def first_picks(picks: DataFrame) -> DataFrame:
     sides = picks.select("match_id", "start_time", "team_id").distinct().join(first, ["match_id", "start_time"])
     did = (F.col("team_id") == F.col("first_team")).cast("int").cast("double")
     return sides.select("match_id", "team_id", (F.col("team_id") == F.col("first_team")).alias("picks_first"), F.avg(did).over(by_team().rowsBetween(W.unboundedPreceding, -1)).alias("first_pick_share"))
+
+
+def with_organization(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``rows`` with organization_id: what a confirmed alias says of the team, else the team's own id.
+    aliases: team_id, organization_id, confirmed_at; the last confirmed one of a team counts."""
+    last = F.struct("confirmed_at", "organization_id")
+    said = aliases.where("confirmed_at is not null").groupBy("team_id").agg(F.max(last)["organization_id"].alias("organization_id"))
+    return rows.join(said, "team_id", "left").withColumn("organization_id", F.coalesce("organization_id", "team_id"))

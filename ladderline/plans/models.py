@@ -5,6 +5,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -103,7 +104,18 @@ class Learned(Model):
         return None if found is None else dict(zip(self.features, found.toArray().tolist()))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        """The features' names go with the fitted model."""
+        if not self.fitted:
+            raise RuntimeError("fit comes before save")
+        PipelineModel([VectorAssembler(inputCols=self.features, outputCol="features"), self.model]).write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> Learned:
+        """Fitted, ready to predict; it can't be fitted again."""
+        assembler, model = PipelineModel.load(path).stages
+        out = cls(None, tuple(assembler.getInputCols()))
+        out.model, out.fitted = model, True
+        return out
 
 
 def backtest(matches: DataFrame, k: float = K_FACTOR, base: float = BASE) -> DataFrame:

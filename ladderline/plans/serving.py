@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ladderline.functions import confidence, expected_score
 from ladderline.operators.elo import BASE, current_ratings, rated, rating_log
 from ladderline.operators.teams import recent_winrate, team_centric
+from ladderline.sources.store import Store
 
 
 class NotFound(LookupError):
@@ -47,6 +48,13 @@ def match(matches: DataFrame, match_id: int):
     return row
 
 
+def team(teams: DataFrame, team_id: int):
+    row = teams.where(F.col("team_id") == team_id).first()
+    if row is None:
+        raise NotFound(f"no team {team_id}")
+    return row
+
+
 def predict(matches: DataFrame, cutoff: str, model_version: str = "elo_rule/v0_baseline") -> DataFrame:
     """Forecasts of all contests from ``cutoff`` on with what was known before it, with the evidence and
     a confidence class; the shape of the prediction log."""
@@ -73,3 +81,34 @@ def active_model(registry: DataFrame):
     if len(rows) > 1:
         raise Conflict("more than one model is active")
     return rows[0]
+
+
+def log_ratings(store: Store, matches: DataFrame, now: str) -> None:
+    """What each contest made of its teams' ratings; the same contests again change nothing but the time."""
+    rows = rating_log(rated(matches)).drop("start_time").withColumn("calculated_at", F.lit(now).cast("timestamp"))
+    store.merge("team_ratings", rows.dropDuplicates(["team_id", "match_id"]))
+
+
+def log_predictions(store: Store, forecasts: DataFrame, model_id: int, now: str) -> None:
+    """Adds the rows of :func:`predict` to the log; a contest forecast again gets another row."""
+    rows = forecasts.select("match_id", "radiant_team_id", "dire_team_id", "probability", "explanation", F.col("data_cutoff").cast("timestamp").alias("data_cutoff"))
+    rows = rows.withColumns({"prediction_id": F.expr("uuid()"), "model_id": F.lit(model_id).cast("long"), "predicted_at": F.lit(now).cast("timestamp")})
+    store.append("predictions", rows)
+
+
+def register_model(store: Store, name: str, version: str, config: str, metrics: str, now: str, active: bool = False) -> int:
+    """A new row of the registry and its id. A name and version come once; with ``active`` this becomes
+    the one active model."""
+    known = store.read("models")  # a row per trained model
+    if not known.where((F.col("name") == name) & (F.col("version") == version)).isEmpty():
+        raise Conflict(f"{name} {version} is registered")
+    model_id = (known.agg(F.max("model_id")).first()[0] or 0) + 1
+    new = known.sparkSession.range(1).select(
+        F.lit(model_id).cast("long").alias("model_id"), F.lit(name).alias("name"), F.lit(version).alias("version"), F.lit(config).alias("config"),
+        F.lit(metrics).alias("metrics"), F.lit(active).alias("is_active"), F.lit(now).cast("timestamp").alias("created_at"),
+    )
+    if active:
+        store.write("models", known.withColumn("is_active", F.lit(False)).unionByName(new))
+    else:
+        store.append("models", new)
+    return model_id

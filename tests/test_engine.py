@@ -222,3 +222,59 @@ def test_the_live_feed_asks_the_service(spark):
     assert calls[-1] == ("https://example.org/api/proMatches", {"less_than_match_id": 5, "api_key": "k"}, 7.0) and 2.0 in pauses
     with pytest.raises(ValueError):
         http.live_feed(Settings())
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegression
+
+    rows = spark.createDataFrame([(float(x), 0.1 * x, x > 3) for x in range(8)], "elo_difference double, recent_winrate_difference double, radiant_win boolean")
+    model = models.Learned(LogisticRegression(regParam=0.1))
+    with pytest.raises(RuntimeError):
+        model.save(f"{tmp_path}/none")
+    model.fit(rows).save(f"{tmp_path}/m")
+    again = models.Learned.load(f"{tmp_path}/m")
+    assert again.features == model.features and again.fitted
+    assert [r.p for r in again.predict(rows).collect()] == [r.p for r in model.predict(rows).collect()]
+
+
+def test_logs_and_registry(spark, matches, history, tmp_path):
+    store = Store(spark, f"{tmp_path}/db")
+    for now in ("2021-01-01", "2021-01-02"):
+        serving.log_ratings(store, matches, now)
+    log = store.read("team_ratings").collect()
+    assert len(log) == 2 * len(history) and {r.calculated_at.day for r in log} == {2}
+    assert sum(r.rating_after - r.rating_before for r in log) == pytest.approx(0, abs=1e-6)
+    cutoff = str(history[120][1])
+    one = serving.register_model(store, "elo_rule", "v0", "{}", "{}", "2021-01-01", active=True)
+    serving.register_model(store, "elo_rule", "v1", "{}", "{}", "2021-01-02")
+    assert serving.active_model(store.read("models")).version == "v0"
+    two = serving.register_model(store, "elo_rule", "v2", "{}", "{}", "2021-01-03", active=True)
+    assert serving.active_model(store.read("models")).model_id == two == 3 and one == 1
+    with pytest.raises(serving.Conflict):
+        serving.register_model(store, "elo_rule", "v1", "{}", "{}", "2021-01-04")
+    for now in ("2021-01-01", "2021-01-02"):
+        serving.log_predictions(store, serving.predict(matches, cutoff), two, now)
+    said = store.read("predictions").collect()
+    assert len({r.prediction_id for r in said}) == len(said) == 2 * sum(h[1] >= history[120][1] for h in history)
+    assert all(0 < r.probability < 1 and r.data_cutoff == history[120][1] for r in said)
+    with pytest.raises(serving.NotFound):
+        serving.team(store.read("teams"), 1)
+
+
+def test_stand_ins_of_a_majority_lineup(spark):
+    from ladderline.operators import rosters
+
+    sides = [(i, START + dt.timedelta(days=i), 1, [1, 2, 3] if i != 4 else [1, 2, 9]) for i in range(6)] + [(6, START + dt.timedelta(days=6), 1, [1, 2, 9])]
+    df = spark.createDataFrame(sides, "match_id long, start_time timestamp_ntz, team_id long, lineup array<long>")
+    got = {r.match_id: r.stand_ins for r in rosters.majority_stand_ins(df).collect()}
+    assert got == {0: None, 1: 0, 2: 0, 3: 0, 4: 1, 5: 0, 6: 1}  # one recent contest makes no member
+    assert {r.match_id: r.stand_ins for r in rosters.stand_ins(df).collect()}[6] == 0
+
+
+def test_latest_confirmed_organisation_counts(spark):
+    from ladderline.operators import rosters
+
+    aliases = [(1, 50, START), (1, 60, START + dt.timedelta(days=1)), (2, 70, None)]
+    a = spark.createDataFrame(aliases, "team_id long, organization_id long, confirmed_at timestamp_ntz")
+    got = rosters.with_organization(spark.createDataFrame([(1,), (2,), (3,)], "team_id long"), a).collect()
+    assert {r.team_id: r.organization_id for r in got} == {1: 60, 2: 2, 3: 3}
