@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
-1. Voters. From a sample of labelled documents, words and word stems that are much likelier in toxic
-   ones become lexicon voters: each votes toxic where it comes, and abstains elsewhere. Pattern voters
-   look at shape: shouting, exclamation marks, symbol noise, and whether no lexicon voter spoke.
+1. Voters. From a sample of labelled documents, words and word stems that are much likelier in one
+   class become its lexicon voters: each votes where it comes, and abstains elsewhere. Pattern voters
+   look at shape: shouting, exclamation marks, symbol noise, and whether no toxic lexicon voter spoke.
 2. Label model. A generative model holds, for each voter, how likely it votes given either class.
-   Expectation maximisation fits it to the votes of labelled and unlabelled documents, labels being
-   one more voter. Voters that agree beyond what the classes explain are correlated, and each one's
+   Expectation maximisation fits it to the votes of labelled and unlabelled documents. A given label is
+   one more voter, silent where there is none, whose errors are estimated like the others'. In every
+   round, voters that agree beyond what the classes explain are found to be correlated, and each one's
    evidence is divided by how many such companions it has.
 3. Classifier. A logistic regression over hashed words and stems, fitted with an elastic net to the
    label model's posteriors, scores every document.
@@ -36,7 +37,8 @@ from ladderline.llm.linear import Ftrl
 
 STEMS = (4, 5, 6)
 PER_CLASS = 1000
-MOST_VOTERS = 200
+#: A given label is held at so small an error by as many documents as this for each class.
+LABEL_ERROR, LABEL_WEIGHT = 0.05, 10.0
 #: Least likelihood-ratio statistic of a feature that the classifier looks at.
 LEAST_G = 16.0
 #: Features (sorted hashes), their weights, bias.
@@ -84,45 +86,50 @@ def shapes(texts: pa.Array) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """P(vote | class) of each voter (rows: clean, toxic), and what part of its evidence counts."""
+    """P(vote | class) of each voter (rows: clean, toxic), what part of its evidence counts, and
+    P(label says toxic | class)."""
 
     prior: float
     rate: np.ndarray
     weight: np.ndarray
+    told: np.ndarray
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+        """P(toxic | votes, label); a label of -1, or none, says nothing."""
         on = np.log(self.rate[1] / self.rate[0]) * self.weight
         off = np.log((1 - self.rate[1]) / (1 - self.rate[0])) * self.weight
         z = np.log(self.prior / (1 - self.prior)) + votes @ on + (1 - votes) @ off
+        if label is not None:
+            yes, no = np.log(self.told[1] / self.told[0]), np.log((1 - self.told[1]) / (1 - self.told[0]))
+            z = z + np.where(label == 1, yes, np.where(label == 0, no, 0.0))
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 10) -> tuple[LabelModel, np.ndarray]:
-    """votes: documents x voters, 0 or 1. label: 0, 1, or -1 (unknown). The model and its posteriors.
+def _evidence(votes: np.ndarray, q: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """For each voter one over how many, itself included, it agrees with beyond what the classes explain."""
+    rest = votes - (1 - q)[:, None] * rate[0] - q[:, None] * rate[1]
+    spread = np.sqrt((rest**2).mean(0)) + 1e-9
+    alike = np.abs(rest.T @ rest) / len(votes) / np.outer(spread, spread)
+    return 1 / np.maximum((alike * (alike > 0.3)).sum(0), 1.0)
+
 
-    A known label is a voter that is wrong in 1 of 100 cases.
-    """
-    known = label >= 0
-    q = np.where(known, np.clip(label, 0.01, 0.99), label[known].mean())
-    votes = votes.astype(float)
+def fit_label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 10) -> tuple[LabelModel, np.ndarray]:
+    """votes: documents x voters, 0 or 1. label: 0, 1, or -1 (unknown). The model and its posteriors."""
+    known, votes = label >= 0, votes.astype(float)
+    q = np.where(known, np.clip(label, 0.1, 0.9), label[known].mean())
     weight = np.ones(votes.shape[1])
-    model = LabelModel(0.5, np.full((2, votes.shape[1]), 0.5), weight)
-    said = np.where(known, np.where(label == 1, 99.0, 1 / 99), 1.0)
     for r in range(rounds):
         mass = np.stack([1 - q, q])
         # rates are held a little away from 0 and 1, the clean ones the more
         rate = (mass @ votes + np.array([[0.01], [0.05]])) / (mass.sum(1, keepdims=True) + 0.1)
-        model = LabelModel(float(np.clip(q.mean(), 1e-3, 0.999)), np.clip(rate, 1e-5, 1 - 1e-5), weight)
-        if r == rounds // 2:
-            # what two voters share beyond the classes
-            rest = votes - (1 - q)[:, None] * rate[0] - q[:, None] * rate[1]
-            spread = np.sqrt((rest**2).mean(0)) + 1e-9
-            alike = np.abs(rest.T @ rest) / len(votes) / np.outer(spread, spread)
-            weight = 1 / np.maximum((alike * (alike > 0.3)).sum(0), 1.0)
-            model.weight = weight
-        p = model.posterior(votes)
-        odds = p / (1 - p + 1e-12) * said
-        q = odds / (1 + odds)
+        rate = np.clip(rate, 1e-5, 1 - 1e-5)
+        of = mass[:, known]
+        told = of @ label[known] + LABEL_WEIGHT * np.array([LABEL_ERROR, 1 - LABEL_ERROR])
+        told = np.clip(told / (of.sum(1) + LABEL_WEIGHT), 1e-3, 1 - 1e-3)
+        if r:  # the first round has no classes but the labels'
+            weight = _evidence(votes, q, rate)
+        model = LabelModel(float(np.clip(q.mean(), 1e-3, 0.999)), rate, weight, told)
+        q = model.posterior(votes, label)
     return model, q
 
 
@@ -166,21 +173,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
     keys, which, owner = keys[often], (np.cumsum(often) - 1)[which][often[which]], owner[often[which]]
     df = [np.bincount(which[y[owner] == c], minlength=len(keys)) for c in (0, 1)]
     n = [(y == c).sum() for c in (0, 1)]
-    # lexicon voters: much likelier in toxic documents, and hardly ever in clean ones
+    # lexicon voters: much likelier in documents of one class than in the other's
     p1, p0 = (df[1] + 0.1) / (n[1] + 0.2), (df[0] + 0.1) / (n[0] + 0.2)
-    gain = df[1] * np.log(p1 / p0)
     # "g": the shares in both classes differ by more than chance makes of that many features
     mean = np.maximum((df[0] + df[1]) / (n[0] + n[1]), 1e-12)
     g = sum(2 * d * np.log(np.maximum(d, 1e-9) / (m * mean)) for d, m in zip(df, n) if m)
-    able = np.flatnonzero((g > LEAST_G) & (p1 > 8 * p0))
-    voters = able[np.argsort(-gain[able], kind="stable")][:MOST_VOTERS]
+    toxic = np.flatnonzero((g > LEAST_G) & (p1 > 8 * p0))
+    voters = np.append(toxic, np.flatnonzero((g > LEAST_G) & (p0 > 8 * p1)))  # no more than the sample has features
     place = np.full(len(keys), -1)
     place[voters] = np.arange(len(voters))
     votes = np.zeros((len(y), len(voters) + 4))
     hit = place[which] >= 0
     votes[owner[hit], place[which][hit]] = 1
     votes[:, len(voters) : len(voters) + 3] = shape
-    votes[:, -1] = ~votes[:, : len(voters)].any(axis=1)
+    votes[:, -1] = ~votes[:, : len(toxic)].any(axis=1)
     _, posterior = fit_label_model(votes, y)
     useful = np.flatnonzero(g > LEAST_G)
     slot = np.full(len(keys), -1)

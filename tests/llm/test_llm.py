@@ -555,6 +555,30 @@ def test_correlated_voters_count_less():
     assert model.weight[0] < 0.5 < model.weight[3] and ((q > 0.5) == y).mean() > 0.8
 
 
+def test_label_model_against_brute_force():
+    """Independent voters: the posterior is Bayes' rule over both classes, votes and label taken one by one."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(4000) < 0.4).astype(int)
+    right = [(0.05, 0.8), (0.1, 0.6), (0.7, 0.1)]  # the last one votes clean
+    votes = np.stack([rng.random(4000) < np.where(y == 1, b, a) for a, b in right], 1).astype(float)
+    label = np.where(rng.random(4000) < 0.5, np.where(rng.random(4000) < 0.1, 1 - y, y), -1)
+    model, q = toxicity.fit_label_model(votes, label)
+    assert (model.weight == 1).all() and np.abs(model.rate - np.array(right).T).max() < 0.06
+    assert np.abs(model.told - [0.1, 0.9]).max() < 0.05  # a tenth of the labels is wrong, and that is found
+    for v, said, got in list(zip(votes, label, q))[:300]:
+        both = []
+        for c, p in ((0, 1 - model.prior), (1, model.prior)):
+            for j in range(3):
+                p *= model.rate[c, j] if v[j] else 1 - model.rate[c, j]
+            both.append(p * {1: model.told[c], 0: 1 - model.told[c], -1: 1.0}[said])
+        assert got == pytest.approx(both[1] / sum(both), rel=1e-6)
+    wrong = (label >= 0) & (label != y)
+    assert ((q > 0.5) == y)[wrong].mean() > 0.15  # voters outvote some wrong labels
+    silent = toxicity.fit_label_model(np.zeros((4000, 1)), label)[1]  # without them no label is doubted
+    assert ((silent > 0.5) == y)[wrong].mean() == 0
+    assert ((q > 0.5) == y)[label < 0].mean() > 0.85 > ((silent > 0.5) == y)[label < 0].mean()
+
+
 def test_pipeline_stages_against_brute_force(spark, docs, odd, none, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
