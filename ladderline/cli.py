@@ -14,10 +14,9 @@ import os
 import sys
 from datetime import UTC, datetime
 
+from ladderline.sources.health import source_report
 from ladderline.sources.http import PermanentHttpError
 
-REQUIRED = {"match_id", "start_time", "duration", "radiant_team_id", "dire_team_id", "radiant_win"}
-
 
 def file_feed(folder: str):
     """A ``get(path, params)`` over files: pages by cursor, details by id, else 404."""
@@ -65,15 +64,14 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--limit", type=int, default=100)
     p.add_argument("--since", type=_utc)
     p.add_argument("--until", type=_utc)
+    p.add_argument("--sample", type=int, help="contest whose draft check looks at")
     p.add_argument("--no-persist", action="store_true")
     a = p.parse_args(args)
 
     if a.command == "check":
-        rows = _feed(a)("proMatches", {})
-        lost = REQUIRED - set(rows[0]) if rows else REQUIRED
-        report = {"list": "FAILED" if lost else "VERIFIED", "missing": sorted(lost), "rows": len(rows)}
-        print(json.dumps(report))
-        return int(bool(lost))
+        report = source_report(_feed(a), a.sample)
+        print(json.dumps({"checks": report}))
+        return int(any(c["status"] == "FAILED" for c in report))
 
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
@@ -94,7 +92,7 @@ def main(args: list[str] | None = None) -> int:
         done = ingest.run(store, _feed(a), start, a.until or now, now, a.limit, clock)
         print(json.dumps(done.__dict__))
         return 0
-    m = store.read("matches").join(F.broadcast(store.read("leagues").select("league_id", "tier")), "league_id", "left")
+    m = store.read("matches").join(store.read("leagues").select("league_id", "tier"), "league_id", "left")
     m = m.where(F.col("tier").isin("premium", "professional") & F.col("radiant_team_id").isNotNull() & F.col("dire_team_id").isNotNull())
     data = dataset.feature_set_0(dataset.bounded(m, settings.min_match_date, settings.data_end_date))
     if a.command == "dataset":

@@ -44,7 +44,7 @@ def matches(raw: DataFrame, leagues: DataFrame, since: datetime, until: datetime
     rows = rows.where((F.col("start_time") >= F.lit(since)) & (F.col("start_time") < F.lit(until)))
     position = F.struct(-F.col("page"), F.col("pos"))
     rows = rows.withColumn("position", position).drop("page", "pos")
-    return rows.join(F.broadcast(leagues.select("league_id", F.col("tier").alias("league_tier"))), "league_id", "left")
+    return rows.join(leagues.select("league_id", F.col("tier").alias("league_tier")), "league_id", "left")
 
 
 def leagues(raw: DataFrame) -> DataFrame:
@@ -94,11 +94,6 @@ def patches(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").alias("patch_id"), "name", F.to_timestamp("date").alias("released_at")).orderBy("released_at")
 
 
-def shape_faults(rows: DataFrame, required: set[str]) -> set[str]:
-    """Fields that are asked for and not there."""
-    return required - set(rows.columns)
-
-
 def _fields(ddl: str) -> str:
     return ", ".join(": ".join(x.split(" ", 1)) for x in _split(ddl))
 

@@ -163,5 +163,32 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["ingest", *store, "--since", "2024-01-01", "--until", "2024-03-01"]) == 0
     assert cli.main(["dataset", *store]) == 0
     out = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
-    assert out[0]["list"] == "VERIFIED" and out[1]["upserted"] == 14 and out[2]["rows"] == 12
+    assert [c["status"] for c in out[0]["checks"]] == ["VERIFIED", "VERIFIED", "SKIPPED"] and out[1]["upserted"] == 14 and out[2]["rows"] == 12
     assert Store(spark, str(tmp_path / "store")).read("match_features").count() == 24
+
+
+def test_source_report():
+    from ladderline.sources.health import source_report
+
+    row = dict.fromkeys(["match_id", "start_time", "duration", "radiant_team_id", "dire_team_id", "radiant_win"], 1)
+    pages = {None: [row | {"match_id": 9}, row | {"match_id": 7}], 7: [row | {"match_id": 3}]}
+    draft = {"picks_bans": [{"is_pick": True, "hero_id": 1, "team": 0, "order": 0, "more": 1}]}
+
+    def get(path, params):
+        return draft if path == "matches/9" else pages[params.get("less_than_match_id")]
+
+    status = lambda r: [c["status"] for c in r]
+    report = source_report(get, 9)
+    assert status(report) == ["VERIFIED"] * 3 and (report[0]["least_id"], report[0]["greatest_id"]) == (7, 9)
+    assert status(source_report(get)) == ["VERIFIED", "VERIFIED", "SKIPPED"]
+    del draft["picks_bans"][0]["team"]
+    assert source_report(get, 9)[2]["missing"] == ["team"]
+    pages[7][0]["match_id"] = 8  # a page that isn't older
+    assert status(source_report(get)) == ["VERIFIED", "FAILED", "SKIPPED"]
+    pages[None] = []
+    assert status(source_report(get)) == ["FAILED", "SKIPPED", "SKIPPED"]
+
+    def broken(path, params):
+        raise OSError("gone")
+
+    assert source_report(broken)[0] == {"check": "list", "status": "FAILED", "error": "OSError: gone"}
