@@ -312,6 +312,18 @@ def test_packed_and_written_ids_of_odd_rows(spark, odd, none, tmp_path):
     assert got[1].ids_crc32 == zlib.crc32(np.array([1], "<u4").tobytes()) and got[-1].start == sum(r.n_tokens for r in got[:-1])
     one = token_orc.read_tokens(spark, f"{tmp_path}/orc").where("doc_id = 901")
     assert one.count() == 1 and "isnotnull(doc_id" in one._jdf.queryExecution().executedPlan().toString()
+    many = spark.range(45_000).select((2 * F.col("id")).alias("doc_id"), F.lit("word").alias("text")).repartition(1)
+    token_orc.write_tokens(many, f"{tmp_path}/many", path, True)
+
+    def rows_read(doc_id):
+        df = spark.read.schema(token_orc.SCHEMA).orc(f"{tmp_path}/many").where(F.col("doc_id") == doc_id)
+        found, plan = len(df.collect()), df._jdf.queryExecution().executedPlan()
+        assert f"EqualTo(doc_id,{doc_id})" in plan.toString()
+        return found, sum(plan.collectLeaves().apply(i).metrics().apply("numOutputRows").value() for i in range(plan.collectLeaves().size()))
+
+    found, read = rows_read(40_000)
+    assert found == 1 and read <= 10_000  # one row group by its index
+    assert rows_read(40_001) == (0, 0)  # within every range of values: the Bloom filter tells
     token_orc.write_tokens(none, f"{tmp_path}/empty", path, True)
     assert token_orc.read_tokens(spark, f"{tmp_path}/empty").count() == 0
 
