@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ladderline.llm import chat, near_dedup
+from ladderline.llm import chat, fill_in_middle, near_dedup
 from ladderline.llm.ann import op4_ann
 from ladderline.llm.chat import op5_chat_format
+from ladderline.llm.fill_in_middle import op12_fill_in_middle
 from ladderline.llm.langid import op6_language_id
 from ladderline.llm.mixing import op8_mixing
 from ladderline.llm.near_dedup import op7_near_dedup
@@ -28,10 +29,12 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 #: The others are beyond SQL; tests/llm hold them against brute force, round trips and held-out rows.
 ORACLES: dict[str, str] = {
     "op5_chat_format": chat.ORACLE,
     "op7_near_dedup": near_dedup.ORACLE,
     "op10_quality_rules": quality_oracle(),
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
 }
