@@ -58,6 +58,20 @@ def string_automaton(strings: list[bytes]) -> Automaton:
     return Automaton(step, (mark,))
 
 
+def minimal(a: Automaton) -> Automaton:
+    """The same with states merged that nothing to come can tell apart (the number of the first stays 0)."""
+    table = np.hstack([*a.marks])
+    group = np.zeros(len(a.step), np.int64)
+    while True:
+        _, first, nxt = np.unique(np.hstack([group[:, None], table, group[a.step]]), axis=0, return_index=True, return_inverse=True)
+        order = np.argsort(first)  # numbered by the first state of each group
+        nxt = np.argsort(order)[nxt.ravel()]
+        if (nxt == group).all():
+            keep = first[order]
+            return Automaton(group[a.step[keep]].astype(np.uint8), tuple(m[keep] for m in a.marks))
+        group = nxt
+
+
 def product(a: Automaton, b: Automaton) -> Automaton:
     """Both at once; only pairs of states that can be reached from the first ones are kept."""
     number, todo = {(0, 0): 0}, [(0, 0)]
@@ -71,33 +85,25 @@ def product(a: Automaton, b: Automaton) -> Automaton:
     return Automaton(step, (*(m[left] for m in a.marks), *(m[right] for m in b.marks)))
 
 
-def _lanes(symbols: np.ndarray) -> tuple[np.ndarray, int]:
-    """Symbols as a matrix whose columns are runs of about as many as there are columns; the rest is
-    filled with a symbol of its own, 257, that changes nothing."""
+def _lanes(symbols: np.ndarray) -> np.ndarray:
+    """Symbols as a matrix whose columns, the lanes, are runs of about as many symbols as there are lanes;
+    the rest is filled with a symbol of its own, 257, that changes nothing."""
     width = max(16, int(len(symbols) ** 0.5))
     n = -(-len(symbols) // width)
-    full = np.full(n * width, 257, np.int32)
+    full = np.full(n * width, 257, np.int64)
     full[: len(symbols)] = symbols
-    return np.ascontiguousarray(full.reshape(n, width).T), n
+    return np.ascontiguousarray(full.reshape(n, width).T)
 
 
 def _widened(a: Automaton) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Flat tables with the symbol 257."""
-    idle = np.arange(len(a.step), dtype=np.uint8)[:, None]
-    return np.hstack([a.step, idle]).ravel(), [np.hstack([m, 0 * idle]).ravel() for m in a.marks]
+    """Flat tables with the symbol 257, looked up at row + symbol; a state is the row it begins at."""
+    idle = np.arange(len(a.step), dtype=np.int64)[:, None]
+    return 258 * np.hstack([a.step, idle]).ravel().astype(np.int64), [np.hstack([m, 0 * idle]).ravel() for m in a.marks]
 
 
-def _summed(a: Automaton, lanes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each lane, from every state: the state at its end and the marks of each kind."""
-    step, marks = _widened(a)
-    state = np.tile(np.arange(len(a.step), dtype=np.int32), (n, 1))
-    count = np.zeros((len(marks), n, len(a.step)), np.int64)
-    for column in lanes:
-        at = state * 258 + column[:, None]
-        for total, m in zip(count, marks):
-            total += m[at]
-        state = step[at].astype(np.int32)
-    return state, count
+def _rows(a: Automaton, n: int) -> np.ndarray:
+    """Every state for each of n lanes, as rows of the tables."""
+    return np.repeat(258 * np.arange(len(a.step), dtype=np.int64), n).reshape(-1, n)
 
 
 def summary(a: Automaton, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,32 +111,43 @@ def summary(a: Automaton, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     states = np.arange(len(a.step))
     if not len(symbols):
         return states, np.zeros((len(a.marks), len(states)), np.int64)
-    lanes, n = _lanes(symbols)
-    end, count = _summed(a, lanes, n)
+    lanes = _lanes(symbols)
+    step, marks = _widened(a)
+    end = _rows(a, lanes.shape[1])
+    count = np.zeros((len(marks), *end.shape), np.int64)
+    for column in lanes:
+        end += column
+        for total, m in zip(count, marks):
+            total += m.take(end)
+        end = step.take(end)
+    end, count = (end // 258).T, count.transpose(0, 2, 1)
     while len(end) > 1:  # neighbours are composed two by two
         odd_end, odd_count = (end[-1:], count[:, -1:]) if len(end) % 2 else (end[:0], count[:, :0])
         half = len(end) // 2 * 2
         first, second, c1, c2 = end[0:half:2], end[1:half:2], count[:, 0:half:2], count[:, 1:half:2]
         end = np.concatenate([np.take_along_axis(second, first, 1), odd_end])
         count = np.concatenate([c1 + np.take_along_axis(c2, np.broadcast_to(first, c1.shape), 2), odd_count], 1)
-    return end[0].astype(np.int64), count[:, 0]
+    return end[0], count[:, 0]
 
 
 def marked(a: Automaton, symbols: np.ndarray, entry: int = 0) -> list[np.ndarray]:
-    """Positions of the marks of each kind, for a run entered in state ``entry``."""
+    """Positions of the marks of each kind, for a run entered in state ``entry``: lanes are scanned from
+    every state, their functions composed, and then once more from the state that each is entered in."""
     if not len(symbols):
         return [np.zeros(0, np.int64) for _ in a.marks]
-    lanes, n = _lanes(symbols)
-    end, _ = _summed(a, lanes, n)
-    state = np.empty(n, np.int32)  # the state that each lane is entered in
-    for i, lane in enumerate(end):
-        state[i] = entry
-        entry = int(lane[entry])
+    lanes = _lanes(symbols)
     step, marks = _widened(a)
-    found = [np.zeros(lanes.shape, bool) for _ in marks]
-    for i, column in enumerate(lanes):
-        at = state * 258 + column
-        for f, m in zip(found, marks):
-            f[i] = m[at]
-        state = step[at].astype(np.int32)
-    return [np.flatnonzero(f.T.ravel()) for f in found]
+    state = _rows(a, lanes.shape[1])
+    for column in lanes:
+        state += column
+        state = step.take(state)
+    entered = []
+    for lane in (state // 258).T.tolist():
+        entered.append(entry)
+        entry = lane[entry]
+    at = 258 * np.array(entered, np.int64)
+    for column in lanes:
+        column += at  # where the tables are looked up takes the symbol's place
+        at = step.take(column)
+    seen = lanes.T.ravel()
+    return [np.flatnonzero(m.take(seen)) for m in marks]

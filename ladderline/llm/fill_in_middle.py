@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.automaton import RESET, Automaton, marked, product, string_automaton, summary, unit_automaton
+from ladderline.llm.automaton import RESET, Automaton, marked, minimal, product, string_automaton, summary, unit_automaton
 from ladderline.llm.common import in_small_batches, stored, table
 from ladderline.llm.hashing import slices
 
@@ -48,7 +48,7 @@ def _draws(doc_id: Column, seed: int) -> list[Column]:
 
 def scanner(units: str) -> Automaton:
     """Marks of kind 0: units begin; of kind 1: control strings end."""
-    return product(unit_automaton(units), string_automaton([s.encode() for s in CONTROL]))
+    return minimal(product(unit_automaton(units), string_automaton([s.encode() for s in CONTROL])))
 
 
 def _characters(data: np.ndarray) -> int:
@@ -188,6 +188,14 @@ def _dealt(docs: DataFrame, a: Automaton, rate: int, spm: int, chunk_bytes: int)
     return texts.unionByName(signs)
 
 
+def transformed(docs: DataFrame, seed: int, rate: int, spm: int, units: str, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Results of documents of up to ``chunk_bytes``, and of the longer ones."""
+    a = scanner(units)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *_draws(F.col("doc_id"), seed))
+    big = F.octet_length("text") > chunk_bytes
+    return _whole(rows.where(~big), a, rate, spm), _dealt(rows.where(big), a, rate, spm, chunk_bytes)
+
+
 def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 50, units: str = "lines", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n (units), form (plain, psm or spm), prefix_chars, middle_chars, row, piece, output.
 
@@ -195,18 +203,17 @@ def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 5
     up to ``chunk_bytes`` is one row with ``row`` null and its whole output; of a longer one the rows that
     share a ``row``, in order of ``piece``, are its output, and no control string crosses two of them.
     """
-    a = scanner(units)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *_draws(F.col("doc_id"), seed))
-    big = F.octet_length("text") > chunk_bytes
-    return _whole(rows.where(~big), a, rate, spm).unionByName(_dealt(rows.where(big), a, rate, spm, chunk_bytes))
+    whole, dealt = transformed(docs, seed, rate, spm, units, chunk_bytes)
+    return whole.unionByName(dealt)
 
 
 def restored(output: Column, form: Column) -> Column:
     """The text of a whole output: what stands behind each control string, in the order of the text."""
     text = output.cast("string")
-    parts = F.split(text, "<[PSM]>", 4)
-    back = {f: F.concat(*[F.get(parts, o.index(p) + 1) for p in range(3)]) for f, o in ORDERS.items()}
-    return F.when(form == "psm", back["psm"]).when(form == "spm", back["spm"]).otherwise(text)
+    place = {f: [o.index(p) + 1 for p in range(3)] for f, o in ORDERS.items()}
+    order = F.when(form == "psm", F.array(*map(F.lit, place["psm"]))).when(form == "spm", F.array(*map(F.lit, place["spm"])))
+    joined = lambda parts: F.array_join(F.transform(order, lambda i: F.get(parts, i)), "")
+    return F.when(form == "plain", text).otherwise(F.get(F.transform(F.array(F.split(text, "<[PSM]>", 4)), joined), 0))
 
 
 def restored_pieces(pieces: DataFrame) -> DataFrame:
@@ -242,17 +249,21 @@ def _digests(pieces: DataFrame, at: str, data: str, name: str) -> DataFrame:
     return ordered.mapInArrow(run, f"row long, {name} string")
 
 
-def op12_fill_in_middle(spark, sf_dir: str) -> DataFrame:
-    made = fill_in_middle(table(spark, sf_dir, "documents"))
+def digests(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 50, units: str = "lines", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Per document its figures and the sha256 of its output and of the text restored from that."""
     columns = ["doc_id", "n", "form", "prefix_chars", "middle_chars"]
+    whole, pieces = transformed(docs, seed, rate, spm, units, chunk_bytes)
     back = restored(F.col("output"), F.col("form")).cast("binary")
-    whole = made.where("row is null").select(*columns, F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
-    pieces = made.where("row is not null")
+    whole = whole.select(*columns, F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
     heads = pieces.groupBy("row").agg(*[F.first(c).alias(c) for c in columns])
     dealt = heads.join(_digests(pieces, "piece", "output", "output_sha256"), "row").join(_digests(restored_pieces(pieces), "at", "data", "restored_sha256"), "row")
     return whole.unionByName(dealt.select(*whole.columns))
 
 
+def op12_fill_in_middle(spark, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
+
+
 #: DuckDB SQL with the same result as :func:`op12_fill_in_middle`.
 ORACLE = r"""WITH d AS (SELECT doc_id, coalesce(text, '') t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) h FROM documents),
  u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') l, [('0x' || h[8 * i + 1 : 8 * i + 8])::BIGINT for i in range(4)] x FROM d),

@@ -60,12 +60,9 @@ def test_equals_the_plain_version(spark, rows, chunk, rate):
 
 
 @pytest.mark.parametrize("chunk", [1 << 20, 20])
-def test_output_restores_every_text(spark, rows, chunk, monkeypatch):
+def test_output_restores_every_text(spark, rows, chunk):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = fim.fill_in_middle
-    monkeypatch.setattr(fim, "fill_in_middle", lambda d: whole(d, chunk_bytes=chunk))
-    monkeypatch.setattr(fim, "table", lambda *_: docs)
-    got = sorted((r.doc_id, r.output_sha256, r.restored_sha256) for r in fim.op12_fill_in_middle(spark, "").where("doc_id is not null").collect())
+    got = sorted((r.doc_id, r.output_sha256, r.restored_sha256) for r in fim.digests(docs, chunk_bytes=chunk).where("doc_id is not null").collect())
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == sorted((i, sha(plain(i, t)[5]), sha(t or "")) for i, t in rows if i is not None)
 
