@@ -6,11 +6,13 @@ a stretch is all neighbouring windows of one gram.
 
 1. One scan gives (gram, doc_id); a gram that one document alone has can't hold a repeat. The counts
    combine before the shuffle.
-2. The stretches of the other grams, some 90 bytes each, are fetched. Equal ones are one class, with the
-   smallest document that has it.
-3. Classes of a gram come together, and their suffixes are put in order by deep-shallow sorting. Where
-   neighbours agree for 50 bytes, the windows are equal; the smallest document of such a group owns it.
-   A gram with very many classes isn't sorted in one task: its windows are grouped by their bytes.
+2. A second scan gives the stretches of the other grams, each with a hash of its bytes. Stretches equal
+   in gram and hash (two times 64 bits) are one class, with the smallest document that has it.
+3. A gram with one class needs no text: its windows belong to that document. Of the other classes one
+   stretch each is fetched, some 90 bytes. Classes of a gram come together, and their suffixes are put
+   in order by deep-shallow sorting. Where neighbours agree for 50 bytes, the windows are equal; the
+   smallest document of such a group owns it. A gram with very many classes isn't sorted in one task:
+   its windows are grouped by their bytes.
 4. A window goes where its owner has a smaller doc_id. Windows are merged into spans, spans cut out.
 
 A document's text is only ever held by the task that reads it; pieces of a megabyte travel.
@@ -24,6 +26,7 @@ length are read in pieces; an empty table gives an empty result; further columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import having, in_small_batches, one_of_each, stored, table, with_row_ids
+from ladderline.llm.common import discarded, having, in_small_batches, one_of_each, stored, table, with_row_ids
 from ladderline.llm.deep_shallow import sorted_suffixes
 from ladderline.llm.hashing import mixed
 
@@ -39,46 +42,65 @@ WIDTH = 50
 GRAM = 16
 PIECE_BYTES = 1 << 20
 #: Bytes of text hashed at once.
-STRETCH_BYTES = 4 << 20
+STRETCH_BYTES = 1 << 18
 #: Suffixes sorted at once, unless one gram alone has more.
 SORT_MOST = 1 << 20
 #: Classes of a gram beyond which its windows are grouped by their bytes instead of sorted in one task.
 CLASSES_MOST = 2000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _doubled(x: np.ndarray, n: int, joined) -> np.ndarray:
+    """``joined`` over each n neighbours of x: from pairs, pairs of pairs, ..., and the rest."""
+    size, out, have, m = 1, None, 0, len(x) - n + 1
+    while True:
+        if n & size:
+            out = x if out is None else joined(out[: len(x) - have], x[have:], size)
+            have += size
+        if size * 2 > n:
+            return out[:m]
+        x = joined(x[:-size], x[size:], size)
+        size *= 2
+
+
+def _appended(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    m = min(len(a), len(b))
+    return a[:m] * np.uint64(pow(int(_BASE), size, 1 << 64)) + b[:m]
+
+
+def _smaller(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    m = min(len(a), len(b))
+    return np.minimum(a[:m], b[:m])
+
+
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each run of ``gram`` bytes."""
+    return mixed(_doubled(data.astype(np.uint64) + np.uint64(1), gram, _appended))
 
 
 def _smallest_grams(data: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """For each window the smallest hash of the runs of ``gram`` bytes in it. Both the hash and the
-    minimum are built by doubling."""
-    if len(data) < width:
-        return np.zeros(0, np.uint64)
-
-    def doubled(x, n, joined):
-        """``joined`` over n neighbours of x, from pairs, pairs of pairs, ..., and the rest."""
-        size, out, have = 1, None, 0
-        while True:
-            if n & size:
-                out = x if out is None else joined(out[: len(x) - have], x[have:], size)
-                have += size
-            if size * 2 > n:
-                return out[: len(data) - n + 1]
-            x = joined(x[:-size], x[size:], size)
-            size *= 2
-
-    def appended(a, b, size):
-        m = min(len(a), len(b))
-        power = np.uint64(pow(int(_BASE), size, 1 << 64))
-        return a[:m] * power + b[:m]
-
-    def smaller(a, b, size):
-        m = min(len(a), len(b))
-        return np.minimum(a[:m], b[:m])
-
-    with np.errstate(over="ignore"):
-        h = mixed(doubled(data.astype(np.uint64) + np.uint64(1), gram, appended))
-    n = width - gram + 1
-    return doubled(h, n, smaller)[: len(data) - width + 1] if n > 1 else h
+    """For each window the smallest hash of the runs of ``gram`` bytes in it."""
+    return _doubled(_grams(data, gram), width - gram + 1, _smaller)
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base, and of its inverse modulo 2 ** 64."""
+    out = []
+    for base in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _run_hashes(grams: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of the n consecutive grams from each ``first`` on, from prefix sums: the same wherever they stand."""
+    up, down = _powers(1 << max(16, int(len(grams) + 1).bit_length()))
+    before = np.zeros(len(grams) + 1, np.uint64)
+    np.cumsum(grams * up[: len(grams)], out=before[1:])
+    return mixed((before[first + n] - before[first]) * down[first] ^ n.astype(np.uint64) * _STEP)
 
 
 def _pieces(b: pa.RecordBatch, width: int, size: int) -> Iterator[tuple[int, int, int, memoryview]]:
@@ -89,14 +111,16 @@ def _pieces(b: pa.RecordBatch, width: int, size: int) -> Iterator[tuple[int, int
             yield id_, doc, at, data[at : at + size + width - 1]
 
 
-def stretches(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, piece_bytes: int = PIECE_BYTES, most: int = STRETCH_BYTES) -> DataFrame:
-    """gram, id, doc, at (of the first window), n (windows), of ``texts`` (id, doc, text as binary)."""
+def stretches(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, piece_bytes: int = PIECE_BYTES, most: int = STRETCH_BYTES, keyed: bool = True) -> DataFrame:
+    """gram, key (hash of all its bytes, 0 unless ``keyed``), id, doc, at (of the first window), n (windows),
+    of ``texts`` (id, doc, text as binary)."""
 
     def together(some: list) -> pa.RecordBatch:
         size = np.array([len(p[3]) for p in some])
         ends = np.cumsum(size)
         data = np.frombuffer(b"".join(p[3] for p in some), np.uint8)
-        least = _smallest_grams(data, width, gram)
+        grams = _grams(data, gram)
+        least = _doubled(grams, width - gram + 1, _smaller)
         begin, last = ends - size, ends - width + 1  # windows of a piece begin in [begin, last)
         change = np.append(True, least[1:] != least[:-1])
         change[begin] = True
@@ -104,11 +128,11 @@ def stretches(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, piece_byte
         of = np.searchsorted(begin, first, "right") - 1
         inside = first < last[of]
         first, of = first[inside], of[inside]
-        after = np.append(first[1:], len(data))
-        n = np.minimum(after, last[of]) - first
+        n = np.minimum(np.append(first[1:], len(data)), last[of]) - first
+        key = _run_hashes(grams, first, n + width - gram) if keyed else np.zeros(len(first), np.uint64)
         ids, docs, at = (np.array([p[c] for p in some], np.int64) for c in (0, 1, 2))
-        columns = [least[first].view(np.int64), ids[of], docs[of], at[of] + first - begin[of], n.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "id", "doc", "at", "n"])
+        columns = [least[first].view(np.int64), key.view(np.int64), ids[of], docs[of], at[of] + first - begin[of], n.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "key", "id", "doc", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, size = [], 0
@@ -122,90 +146,88 @@ def stretches(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, piece_byte
         if some:
             yield together(some)
 
-    return in_small_batches(texts).mapInArrow(run, "gram long, id long, doc long, at long, n int")
+    return in_small_batches(texts).mapInArrow(run, "gram long, key long, id long, doc long, at long, n int")
 
 
-def _fetched(texts: DataFrame, marks: DataFrame, width: int, piece_bytes: int) -> DataFrame:
-    """gram, id, doc, at, string: the bytes of the stretches ``marks`` (gram, id, at, n)."""
+def _fetched(texts: DataFrame, wanted: DataFrame, width: int, piece_bytes: int) -> DataFrame:
+    """gram, key, lo, hi, string: the bytes of the stretches ``wanted`` (gram, key, lo, hi, id, at, n)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for id_, doc, at, data in _pieces(b, width, piece_bytes):
-                yield pa.RecordBatch.from_arrays([pa.array([id_]), pa.array([doc]), pa.array([at // piece_bytes]), pa.array([bytes(data)], pa.binary())], names=["id", "doc", "piece", "data"])
+            for id_, _, at, data in _pieces(b, width, piece_bytes):
+                yield pa.RecordBatch.from_arrays([pa.array([id_]), pa.array([at // piece_bytes]), pa.array([bytes(data)], pa.binary())], names=["id", "piece", "data"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for id_, doc, piece, data, all_ in zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3), b.column(4)):
+            for piece, data, all_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 raw, base = memoryview(data.as_buffer()), piece * piece_bytes
-                gram, at, n = (all_.values.field(c).to_numpy() for c in range(3))
-                strings = [bytes(raw[a - base : a - base + m + width - 1]) for a, m in zip(at.tolist(), n.tolist())]
-                same = [pa.array(np.full(len(at), v)) for v in (id_, doc)]
-                yield pa.RecordBatch.from_arrays([pa.array(gram), *same, pa.array(at), pa.array(strings, pa.binary())], names=["gram", "id", "doc", "at", "string"])
+                gram, key, lo, hi, at, n = (all_.values.field(c) for c in range(6))
+                strings = [bytes(raw[a - base : a - base + m + width - 1]) for a, m in zip(at.to_pylist(), n.to_pylist())]
+                yield pa.RecordBatch.from_arrays([gram, key, lo, hi, pa.array(strings, pa.binary())], names=["gram", "key", "lo", "hi", "string"])
 
-    some = having(texts, stored(marks.select("id").distinct(), "ids-with-repeats"), "id").select("id", "doc", "text")
-    data = in_small_batches(some).mapInArrow(cut, "id long, doc long, piece long, data binary")
+    some = having(texts, stored(wanted.select("id").distinct(), "ids-with-repeats"), "id").select("id", "doc", "text")
+    data = in_small_batches(some).mapInArrow(cut, "id long, piece long, data binary")
     piece = F.floor(F.col("at") / piece_bytes).cast("long")
-    wanted = marks.groupBy("id", piece.alias("piece")).agg(F.collect_list(F.struct("gram", "at", "n")).alias("all"))
-    both = data.join(wanted, ["id", "piece"]).select("id", "doc", "piece", "data", "all")
-    return both.mapInArrow(fetch, "gram long, id long, doc long, at long, string binary")
+    of_piece = wanted.groupBy("id", piece.alias("piece")).agg(F.collect_list(F.struct("gram", "key", "lo", "hi", "at", "n")).alias("all"))
+    both = data.join(of_piece, ["id", "piece"]).select("piece", "data", "all")
+    return both.mapInArrow(fetch, "gram long, key long, lo long, hi long, string binary")
+
+
+OWNED = "gram long, key long, offset int, n int, owner long"
 
 
 def _sorted_owners(classes: DataFrame, width: int, shallow: int, most: int) -> DataFrame:
-    """string, offset, n, owner: runs of windows of a class and the smallest document that has them.
-    ``classes``: gram, string, lo and hi (smallest and largest document that have it)."""
+    """Runs of windows of a class and the smallest document that has them, where that isn't the only one.
+    ``classes``: gram, key, lo and hi (smallest and largest document that have it), string."""
 
-    def owned(strings: list[bytes], lo: np.ndarray, hi: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
+    def owned(gram: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, strings: list[bytes]) -> pa.RecordBatch:
         size = np.array([len(s) for s in strings])
         n = size - width + 1
         of = np.repeat(np.arange(len(strings)), n)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        owner = lo[of]
-        change = np.append(True, gram[1:] != gram[:-1])
-        number = np.cumsum(change) - 1
-        several = (np.bincount(number)[number] > 1)[of]  # one class alone needs no sorting
-        if several.any():
-            at = (np.cumsum(size) - size)[of[several]] + offset[several]
-            order, fresh = sorted_suffixes(np.frombuffer(b"".join(strings), np.uint8), at, width, shallow)
-            first = np.flatnonzero(fresh)
-            least = np.minimum.reduceat(owner[several][order], first)
-            mine = np.empty(len(at), np.int64)
-            mine[order] = np.repeat(least, np.diff(np.append(first, len(at))))
-            owner[several] = mine
+        order, fresh = sorted_suffixes(np.frombuffer(b"".join(strings), np.uint8), (np.cumsum(size) - size)[of] + offset, width, shallow)
+        first = np.flatnonzero(fresh)
+        least = np.minimum.reduceat(lo[of][order], first)
+        owner = np.empty(len(of), np.int64)
+        owner[order] = np.repeat(least, np.diff(np.append(first, len(of))))
         begin = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (of[1:] != of[:-1])))
         runs = np.diff(np.append(begin, len(of)))
         use = owner[begin] < hi[of[begin]]
         begin, runs = begin[use], runs[use]
-        columns = [pa.array(strings, pa.binary()).take(pa.array(of[begin])), pa.array(offset[begin].astype(np.int32)), pa.array(runs.astype(np.int32)), pa.array(owner[begin])]
-        return pa.RecordBatch.from_arrays(columns, names=["string", "offset", "n", "owner"])
+        columns = [gram[of[begin]], key[of[begin]], offset[begin].astype(np.int32), runs.astype(np.int32), owner[begin]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "key", "offset", "n", "owner"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings, lo, hi, gram, suffixes = [], [], [], [], 0
+        numbers, strings, suffixes = [], [], 0
         for b in batches:
-            for g, s, x, y in zip(*(c.to_pylist() for c in b.columns)):
-                if suffixes >= most and g != gram[-1]:
-                    yield owned(strings, np.array(lo), np.array(hi), np.array(gram))
-                    strings, lo, hi, gram, suffixes = [], [], [], [], 0
+            for g, k, x, y, s in zip(*(c.to_pylist() for c in b.columns)):
+                if suffixes >= most and g != numbers[-1][0]:
+                    yield owned(*np.array(numbers, np.int64).T, strings)
+                    numbers, strings, suffixes = [], [], 0
+                numbers.append((g, k, x, y))
                 strings.append(s)
-                lo.append(x)
-                hi.append(y)
-                gram.append(g)
                 suffixes += len(s) - width + 1
         if strings:
-            yield owned(strings, np.array(lo), np.array(hi), np.array(gram))
+            yield owned(*np.array(numbers, np.int64).T, strings)
 
-    together = classes.select("gram", "string", "lo", "hi").repartition("gram").sortWithinPartitions("gram")
-    return together.mapInArrow(run, "string binary, offset int, n int, owner long")
+    together = classes.select("gram", "key", "lo", "hi", "string").repartition("gram").sortWithinPartitions("gram")
+    return together.mapInArrow(run, OWNED)
 
 
 def _grouped_owners(classes: DataFrame, width: int) -> DataFrame:
     """The same for classes of crowded grams: windows are grouped by their bytes, which combine before
     the shuffle, and joined back."""
-    offsets = F.sequence(F.lit(0), F.octet_length("string") - width)
-    each = classes.select("string", "lo", "hi", F.explode(offsets).alias("offset"))
-    each = each.select("string", "lo", "hi", "offset", F.expr(f"substring(string, offset + 1, {width})").alias("window"))
+    each = classes.select("gram", "key", "lo", "hi", "string", F.explode(F.sequence(F.lit(0), F.octet_length("string") - width)).alias("offset"))
+    each = each.select("gram", "key", "lo", "hi", "offset", F.expr(f"substring(string, offset + 1, {width})").alias("window"))
     owner = each.groupBy("window").agg(F.min("lo").alias("owner"))
     owned = each.join(owner, "window").where("owner < hi")
-    return owned.select("string", F.col("offset").cast("int"), F.lit(1).alias("n"), "owner")
+    return owned.select("gram", "key", F.col("offset").cast("int"), F.lit(1).alias("n"), "owner")
+
+
+def _without(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` isn't in ``some``; up to a million of these are broadcast."""
+    small = some.limit(1_000_001).count() <= 1_000_000
+    return rows.join(F.broadcast(some) if small else some, key, "left_anti")
 
 
 def duplicate_spans(
@@ -215,20 +237,25 @@ def duplicate_spans(
     """id, start, end: maximal runs of bytes of ``rows`` (id, doc, text as binary; ids are distinct) that
     are covered by windows which a row with a smaller doc has too."""
     texts = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= width)).select("id", "doc", "text")
-    each = stretches(texts, width, gram, piece_bytes, stretch_bytes)
-    shared = each.groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("gram")
-    shared = stored(shared, "shared-grams")
-    marks = stored(each.drop("doc").join(shared, "gram", "left_semi"), "shared-stretches")
-    found = stored(_fetched(texts, marks, width, piece_bytes), "strings")
-    classes = stored(found.groupBy("gram", "string").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")), "classes")
-    crowded = stored(classes.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > classes_most).select("gram"), "crowded-grams")
+    bare = stretches(texts, width, gram, piece_bytes, stretch_bytes, keyed=False)
+    shared = stored(bare.groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("gram"), "shared-grams")
+    marks = stored(stretches(texts, width, gram, piece_bytes, stretch_bytes).join(shared, "gram", "left_semi"), "shared-stretches")
+    discarded(shared)
+    one = F.min(F.struct("id", "at", "n"))
+    classes = stored(marks.groupBy("gram", "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), one.alias("one")).select("gram", "key", "lo", "hi", "one.*"), "classes")
+    count = classes.groupBy("gram").agg(F.count("*").alias("c"))
+    several = stored(classes.join(count.where("c > 1"), "gram"), "several-classes")
+    alone = classes.join(count.where("c = 1"), "gram", "left_semi").select("gram", "key", F.lit(0).alias("offset"), "n", F.col("lo").alias("owner"))
+    strings = stored(_fetched(texts, several, width, piece_bytes), "strings")
+    crowded = stored(several.where(F.col("c") > classes_most).select("gram").distinct(), "crowded-grams")
     if crowded.isEmpty():
-        owners = _sorted_owners(classes, width, shallow, sort_most)
+        owners = _sorted_owners(strings, width, shallow, sort_most)
     else:
-        small = crowded.limit(1_000_001).count() <= 1_000_000
-        rest = classes.join(F.broadcast(crowded) if small else crowded, "gram", "left_anti")
-        owners = _sorted_owners(rest, width, shallow, sort_most).unionByName(_grouped_owners(having(classes, crowded, "gram"), width))
-    gone = found.join(stored(owners, "owners"), "string").where("owner < doc")
+        sorted_ = _sorted_owners(_without(strings, crowded, "gram"), width, shallow, sort_most)
+        owners = sorted_.unionByName(_grouped_owners(having(strings, crowded, "gram"), width))
+    owners = stored(owners.unionByName(alone), "owners")
+    discarded(strings, classes, several, crowded)
+    gone = marks.select("gram", "key", "id", "doc", "at").join(owners, ["gram", "key"]).where("owner < doc")
     start = F.col("at") + F.col("offset")
     gone = gone.select("id", start.alias("start"), (start + F.col("n") - 1 + width).alias("end"))
     w = W.partitionBy("id").orderBy("start", "end")
@@ -245,7 +272,8 @@ def with_ids(docs: DataFrame) -> DataFrame:
 
 
 def without_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc, n_bytes, n_removed, n_spans, kept (binary): ``rows`` (id, doc, text) without their spans."""
+    """Rows without a span stay where they are; of the others up to a million ids are broadcast. Gives
+    doc, n_bytes, n_removed, n_spans, kept (binary): ``rows`` (id, doc, text) without their spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,8 +291,11 @@ def without_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
     of_row = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    both = in_small_batches(rows.join(of_row, "id", "left").select("doc", "text", "spans"))
-    return both.mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    ids = stored(spans.select("id").distinct(), "ids-with-spans")
+    cut = in_small_batches(having(rows, ids, "id").join(of_row, "id").select("doc", "text", "spans"))
+    size, none = F.octet_length("text").cast("long"), F.lit(0).cast("long")
+    whole = _without(rows, ids, "id").select("doc", size.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").alias("kept"))
+    return cut.mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary").unionByName(whole)
 
 
 def op13_suffix_dedup(spark, sf_dir: str) -> DataFrame:
