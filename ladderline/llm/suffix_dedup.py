@@ -40,6 +40,8 @@ from ladderline.llm.hashing import mixed
 
 WIDTH = 50
 GRAM = 16
+#: Bytes that multikey quicksort looks at before blind tries take over.
+SHALLOW = 32
 PIECE_BYTES = 1 << 20
 #: Bytes of text hashed at once.
 STRETCH_BYTES = 1 << 18
@@ -112,8 +114,9 @@ def _pieces(b: pa.RecordBatch, width: int, size: int) -> Iterator[tuple[int, int
 
 
 def stretches(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, piece_bytes: int = PIECE_BYTES, most: int = STRETCH_BYTES, keyed: bool = True) -> DataFrame:
-    """gram, key (hash of all its bytes, 0 unless ``keyed``), id, doc, at (of the first window), n (windows),
+    """gram, doc, and if ``keyed`` also key (hash of all its bytes), id, at (of the first window), n (windows),
     of ``texts`` (id, doc, text as binary)."""
+    schema = "gram long, doc long, key long, id long, at long, n int" if keyed else "gram long, doc long"
 
     def together(some: list) -> pa.RecordBatch:
         size = np.array([len(p[3]) for p in some])
@@ -128,11 +131,13 @@ def stretches(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, piece_byte
         of = np.searchsorted(begin, first, "right") - 1
         inside = first < last[of]
         first, of = first[inside], of[inside]
-        n = np.minimum(np.append(first[1:], len(data)), last[of]) - first
-        key = _run_hashes(grams, first, n + width - gram) if keyed else np.zeros(len(first), np.uint64)
         ids, docs, at = (np.array([p[c] for p in some], np.int64) for c in (0, 1, 2))
-        columns = [least[first].view(np.int64), key.view(np.int64), ids[of], docs[of], at[of] + first - begin[of], n.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "key", "id", "doc", "at", "n"])
+        columns = [least[first].view(np.int64), docs[of]]
+        if keyed:
+            n = np.minimum(np.append(first[1:], len(data)), last[of]) - first
+            key = _run_hashes(grams, first, n + width - gram)
+            columns += [key.view(np.int64), ids[of], at[of] + first - begin[of], n.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, size = [], 0
@@ -146,7 +151,7 @@ def stretches(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, piece_byte
         if some:
             yield together(some)
 
-    return in_small_batches(texts).mapInArrow(run, "gram long, key long, id long, doc long, at long, n int")
+    return in_small_batches(texts).mapInArrow(run, schema)
 
 
 def _fetched(texts: DataFrame, wanted: DataFrame, width: int, piece_bytes: int) -> DataFrame:
@@ -231,7 +236,7 @@ def _without(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
 
 
 def duplicate_spans(
-    rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shallow: int = 16, classes_most: int = CLASSES_MOST, piece_bytes: int = PIECE_BYTES,
+    rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shallow: int = SHALLOW, classes_most: int = CLASSES_MOST, piece_bytes: int = PIECE_BYTES,
     stretch_bytes: int = STRETCH_BYTES, sort_most: int = SORT_MOST,
 ) -> DataFrame:
     """id, start, end: maximal runs of bytes of ``rows`` (id, doc, text as binary; ids are distinct) that
