@@ -41,7 +41,7 @@ from ladderline.llm.hashing import mixed
 WIDTH = 50
 GRAM = 16
 #: Bytes that multikey quicksort looks at before blind tries take over.
-SHALLOW = 32
+SHALLOW = 40
 PIECE_BYTES = 1 << 20
 #: Bytes of text hashed at once.
 STRETCH_BYTES = 1 << 18
@@ -158,17 +158,32 @@ def _fetched(texts: DataFrame, wanted: DataFrame, width: int, piece_bytes: int)
     """gram, key, lo, hi, string: the bytes of the stretches ``wanted`` (gram, key, lo, hi, id, at, n)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(some: list) -> pa.RecordBatch:
+            ids, pieces, data = zip(*some)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pieces), pa.array(data, pa.binary())], names=["id", "piece", "data"])
+
+        some, size = [], 0
         for b in batches:
             for id_, _, at, data in _pieces(b, width, piece_bytes):
-                yield pa.RecordBatch.from_arrays([pa.array([id_]), pa.array([at // piece_bytes]), pa.array([bytes(data)], pa.binary())], names=["id", "piece", "data"])
+                some.append((id_, at // piece_bytes, bytes(data)))
+                size += len(data)
+                if size >= STRETCH_BYTES:
+                    yield told(some)
+                    some, size = [], 0
+        if some:
+            yield told(some)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece, data, all_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                raw, base = memoryview(data.as_buffer()), piece * piece_bytes
-                gram, key, lo, hi, at, n = (all_.values.field(c) for c in range(6))
-                strings = [bytes(raw[a - base : a - base + m + width - 1]) for a, m in zip(at.to_pylist(), n.to_pylist())]
-                yield pa.RecordBatch.from_arrays([gram, key, lo, hi, pa.array(strings, pa.binary())], names=["gram", "key", "lo", "hi", "string"])
+            all_ = b.column(2)
+            of = all_.flatten()  # the wanted stretches of all pieces of the batch
+            at, n = of.field(4).to_pylist(), of.field(5).to_pylist()
+            ends = (all_.offsets.to_numpy() - all_.offsets[0].as_py()).tolist()
+            strings = []
+            for piece, data, lo, hi in zip(b.column(0).to_pylist(), b.column(1), ends, ends[1:]):
+                raw, base = data.as_py(), piece * piece_bytes
+                strings += [raw[a - base : a - base + m + width - 1] for a, m in zip(at[lo:hi], n[lo:hi])]
+            yield pa.RecordBatch.from_arrays([*(of.field(c) for c in range(4)), pa.array(strings, pa.binary())], names=["gram", "key", "lo", "hi", "string"])
 
     some = having(texts, stored(wanted.select("id").distinct(), "ids-with-repeats"), "id").select("id", "doc", "text")
     data = in_small_batches(some).mapInArrow(cut, "id long, piece long, data binary")
