@@ -1,6 +1,7 @@
 """The contest queries by name, and the SQL that each must agree with.
 
-Queries without SQL (walks through ratings, models, streams) are tested against brute force.
+A walk through ratings is a fold over the ordered list of contests in SQL. Queries without SQL (models,
+bootstrap, volatility) are tested against brute force.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ladderline.functions import clean, confidence, is_pro
-from ladderline.operators import asof, elo, metrics, profile, records, rosters, teams
+from ladderline.operators import asof, elo, metrics, pools, profile, records, rosters, teams
 from ladderline.plans import dataset, models, serving
 from ladderline.plans import views as v
 from ladderline.streaming import streams
@@ -37,6 +38,27 @@ PICKS = """picks AS (SELECT match_id, start_time, patch_id, CASE WHEN rn % 2 = 1
 SIDES = """sides AS (SELECT match_id, start_time, team_id, list_sort(list_distinct(list(account_id))) lineup FROM players GROUP BY ALL)"""
 FORECASTS = """f AS (SELECT match_id, start_time, league_tier, 0.5::DOUBLE + (radiant_team_id - dire_team_id) / 60::DOUBLE p, radiant_win won FROM contests)"""
 BY_TEAM = "PARTITION BY team_id ORDER BY start_time, match_id"
+
+
+def elo_sql(contests: str, teams: int = 25) -> str:
+    """Views ``elo`` (each of ``contests``, numbered, with both ratings before and after) and ``log`` (a row
+    per team): a fold whose state is the list of all ratings."""
+    gain = "32 * (x.s - 1 / (1 + pow(10, (acc.e[x.d] - acc.e[x.r]) / 400)))"
+    loss = "32 * ((1 - x.s) - (1 - 1 / (1 + pow(10, (acc.e[x.d] - acc.e[x.r]) / 400))))"
+    return f"""ordered AS (SELECT *, row_number() OVER (ORDER BY start_time, match_id) n FROM {contests}),
+ fold AS (SELECT list_reduce(list({{'r': radiant_team_id + 1, 'd': dire_team_id + 1, 's': radiant_win::INT::DOUBLE, 'e': []::DOUBLE[], 'o': []::DOUBLE[]}} ORDER BY n),
+  lambda acc, x: {{'r': x.r, 'd': x.d, 's': x.s, 'e': list_transform(acc.e, lambda v, i: CASE WHEN i = x.r THEN v + {gain} WHEN i = x.d THEN v + {loss} ELSE v END),
+  'o': list_concat(acc.o, [acc.e[x.r], acc.e[x.d]])}},
+  {{'r': 0, 'd': 0, 's': 0.0, 'e': list_transform(range({teams}), lambda v: 1000.0::DOUBLE), 'o': []::DOUBLE[]}}) f FROM ordered),
+ pre AS (SELECT ordered.*, f.o[2 * n - 1] radiant_pre, f.o[2 * n] dire_pre FROM ordered, fold),
+ elo AS (SELECT *, 1 / (1 + pow(10, (dire_pre - radiant_pre) / 400)) p, radiant_pre + 32 * (radiant_win::INT - 1 / (1 + pow(10, (dire_pre - radiant_pre) / 400))) radiant_post,
+  dire_pre + 32 * ((1 - radiant_win::INT) - (1 - 1 / (1 + pow(10, (dire_pre - radiant_pre) / 400)))) dire_post FROM pre),
+ log AS (SELECT match_id, start_time, n, radiant_team_id team_id, dire_team_id opponent_id, true is_radiant, radiant_win won, radiant_pre rating_before, radiant_post rating_after, dire_pre opponent_elo FROM elo
+  UNION ALL SELECT match_id, start_time, n, dire_team_id, radiant_team_id, false, NOT radiant_win, dire_pre, dire_post, radiant_pre FROM elo)"""
+
+
+PRO = "pro AS (SELECT * FROM contests WHERE league_tier IN ('premium', 'professional'))"
+ELO = f"{PRO}, {elo_sql('pro')}"
 LOSS = """avg(CASE WHEN (p >= 0.5) = won THEN 1.0 ELSE 0.0 END)::DOUBLE"""
 LOG = """avg(-(CASE WHEN won THEN ln(p) ELSE ln(1 - p) END))"""
 BRIER = """avg(pow(p - (CASE WHEN won THEN 1 ELSE 0 END), 2))"""
@@ -582,16 +604,20 @@ def context_and_missing(spark, d):
     return rows.select("match_id", "team_id", *missing_flags("recent_winrate", "days_since_last_match"), F.coalesce("league_tier", F.lit("unknown")).alias("league_tier"), bo.alias("bo_type"))
 
 
-# Ratings and what is built on them: each step depends on the last, which SQL can't tell in reasonable time
+# Ratings and what is built on them
 
 
 def _pro_ratings(spark, d):
     return elo.rated(v.pro_contests(spark, d))
 
 
-@query()
+RATINGS = ("radiant_pre", "dire_pre", "radiant_post", "dire_post")
+BY_N = "PARTITION BY team_id ORDER BY n"
+
+
+@query(f"SELECT match_id, start_time, radiant_team_id, dire_team_id, radiant_win, {', '.join(f'round({c}, 6) {c}' for c in RATINGS)} FROM elo", CONTESTS, ELO)
 def elo_fold(spark, d):
-    return _pro_ratings(spark, d)
+    return _pro_ratings(spark, d).select("match_id", "start_time", "radiant_team_id", "dire_team_id", "radiant_win", *r6(*RATINGS))
 
 
 @query("SELECT count(DISTINCT t) teams, (count(DISTINCT t) * 1000)::DOUBLE total FROM (SELECT unnest([radiant_team_id, dire_team_id]) t FROM contests WHERE league_tier IN ('premium', 'professional'))", CONTESTS)
@@ -600,14 +626,39 @@ def elo_conservation(spark, d):
     return now.agg(F.count("*").alias("teams"), F.round(F.sum("rating"), 3).alias("total"))
 
 
-@query()
+@query("SELECT team_id, round(max_by(rating_after, n), 6) rating FROM log GROUP BY 1", CONTESTS, ELO)
 def current_ratings(spark, d):
-    return elo.current_ratings(elo.rating_log(_pro_ratings(spark, d)))
+    return elo.current_ratings(elo.rating_log(_pro_ratings(spark, d))).select("team_id", *r6("rating"))
 
 
-@query()
+@query(f"SELECT match_id, team_id, round(rating_before - lag(rating_before, 5) OVER ({BY_N}), 6) elo_delta FROM log", CONTESTS, ELO)
 def elo_delta5(spark, d):
-    return elo.elo_trend(elo.rating_log(_pro_ratings(spark, d)))
+    return elo.elo_trend(elo.rating_log(_pro_ratings(spark, d))).select("match_id", "team_id", *r6("elo_delta"))
+
+
+#: Contests within 125 worlds of eight teams, a world for each nation and market segment.
+WORLDS = """worlds AS (SELECT o_orderkey match_id, o_orderdate start_time, w * 8 + o_custkey % 8 radiant_team_id, w * 8 + (o_custkey % 8 + 1 + o_orderkey % 7) % 8 dire_team_id, o_totalprice > 200000 radiant_win, w world
+ FROM (SELECT *, c_nationkey * 5 + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END w FROM orders JOIN customer ON o_custkey = c_custkey))"""
+WORLD_ELO = """seq AS (SELECT *, row_number() OVER (PARTITION BY world ORDER BY start_time, match_id) n FROM worlds),
+ walk AS (SELECT DISTINCT world, 0::BIGINT n, list_transform(range(8), lambda v: 1000.0::DOUBLE) e, NULL::BIGINT match_id, NULL::DOUBLE a, NULL::DOUBLE b FROM worlds
+ UNION ALL SELECT world, s.n, list_transform(w.e, lambda v, i: CASE i WHEN s.radiant_team_id % 8 + 1 THEN v + 32 * (s.radiant_win::INT - 1 / (1 + pow(10, (w.e[s.dire_team_id % 8 + 1] - w.e[s.radiant_team_id % 8 + 1]) / 400)))
+ WHEN s.dire_team_id % 8 + 1 THEN v + 32 * ((1 - s.radiant_win::INT) - (1 - 1 / (1 + pow(10, (w.e[s.dire_team_id % 8 + 1] - w.e[s.radiant_team_id % 8 + 1]) / 400)))) ELSE v END),
+ s.match_id, w.e[s.radiant_team_id % 8 + 1], w.e[s.dire_team_id % 8 + 1] FROM walk w JOIN seq s USING (world) WHERE s.n = w.n + 1)"""
+
+
+@query(
+    """SELECT a team_id, min(b) pool FROM reach GROUP BY 1""",
+    "RECURSIVE " + WORLDS,
+    "met AS (SELECT DISTINCT radiant_team_id a, dire_team_id b FROM worlds UNION SELECT dire_team_id, radiant_team_id FROM worlds)",
+    "reach AS (SELECT DISTINCT a, a b FROM met UNION SELECT r.a, m.b FROM reach r JOIN met m ON r.b = m.a)",
+)
+def team_pools(spark, d):
+    return pools.team_pools(v.worlds(spark, d))
+
+
+@query("SELECT match_id, round(a, 6) radiant_pre, round(b, 6) dire_pre FROM walk WHERE match_id IS NOT NULL", "RECURSIVE " + WORLDS, WORLD_ELO)
+def elo_by_pool(spark, d):
+    return elo.rated(v.worlds(spark, d)).select("match_id", *r6("radiant_pre", "dire_pre"))
 
 
 @query()
@@ -615,9 +666,17 @@ def glicko2(spark, d):
     return elo.glicko2(v.pro_contests(spark, d))
 
 
-@query()
+@query(
+    """SELECT e.match_id, e.start_time as_of_timestamp, e.radiant_team_id, e.dire_team_id, round(radiant_pre, 6) radiant_elo, round(dire_pre, 6) dire_elo, round(radiant_pre - dire_pre, 6) elo_difference,
+ round(a.w, 6) radiant_recent_winrate, round(b.w, 6) dire_recent_winrate, round(a.w - b.w, 6) recent_winrate_difference, round(a.rest, 6) radiant_days_since_last_match, round(b.rest, 6) dire_days_since_last_match,
+ a.k radiant_matches_played_before, b.k dire_matches_played_before, e.radiant_win FROM elo e JOIN form a ON a.match_id = e.match_id AND a.is_radiant JOIN form b ON b.match_id = e.match_id AND NOT b.is_radiant""",
+    CONTESTS, ELO,
+    f"""form AS (SELECT match_id, is_radiant, avg(won::INT) OVER ({BY_N} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) w, date_diff('microsecond', lag(start_time) OVER ({BY_N}), start_time) / 86400000000::DOUBLE rest,
+ count(*) OVER ({BY_N} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) k FROM log)""",
+)
 def feature_set_0(spark, d):
-    return dataset.feature_set_0(v.pro_contests(spark, d))
+    rows = dataset.feature_set_0(v.pro_contests(spark, d))
+    return rows.withColumns({c: F.round(c, 6) for c, t in rows.dtypes if t == "double"})
 
 
 @query()
@@ -625,14 +684,14 @@ def match_features_long(spark, d):
     return dataset.long_features(dataset.feature_set_0(v.pro_contests(spark, d)))
 
 
-@query()
+@query("SELECT match_id, start_time, round(radiant_pre, 6) radiant_pre, round(dire_pre, 6) dire_pre, round(p, 6) p, radiant_win won FROM elo", CONTESTS, ELO)
 def backtest_records(spark, d):
-    return models.backtest(v.pro_contests(spark, d))
+    return models.backtest(v.pro_contests(spark, d)).select("match_id", "start_time", *r6("radiant_pre", "dire_pre", "p"), "won")
 
 
-@query()
+@query(f"SELECT round({LOSS}, 6) accuracy, round({LOG}, 6) log_loss, round({BRIER}, 6) brier, count(*) n FROM (SELECT p, radiant_win won FROM elo)", CONTESTS, ELO)
 def backtest_metrics(spark, d):
-    return metrics.summary(models.backtest(v.pro_contests(spark, d)))
+    return metrics.summary(models.backtest(v.pro_contests(spark, d))).select(*r6("accuracy", "log_loss", "brier"), "n")
 
 
 @query()
@@ -640,21 +699,35 @@ def metric_bootstrap(spark, d):
     return metrics.bootstrap(v.forecasts(spark, d))
 
 
-@query()
+@query(
+    f"SELECT match_id, team_id, round(sum(won::INT * opponent_elo) OVER ({BY_N} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / sum(opponent_elo) OVER ({BY_N} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) adjusted_winrate FROM log",
+    CONTESTS, ELO,
+)
 def opp_adjusted(spark, d):
-    return models.opponent_adjusted(v.pro_contests(spark, d))
+    return models.opponent_adjusted(v.pro_contests(spark, d)).select("match_id", "team_id", *r6("adjusted_winrate"))
 
 
-@query()
+@query(
+    f"""SELECT match_id, team_id, round(CASE WHEN k >= 3 THEN w / k END, 6) vs_top_winrate, coalesce(k, 0) vs_top_meetings FROM (SELECT match_id, team_id,
+ count(CASE WHEN place <= 20 THEN 1 END) OVER ({BY_N} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) k, sum(CASE WHEN place <= 20 THEN won::INT END) OVER ({BY_N} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) w
+ FROM log LEFT JOIN places USING (match_id, opponent_id))""",
+    CONTESTS, ELO,
+    """each AS (SELECT e.match_id, e.n, t.team_id FROM elo e, (SELECT DISTINCT team_id FROM log) t),
+ held AS (SELECT each.match_id, each.team_id, l.rating_after rating FROM each ASOF JOIN log l ON l.team_id = each.team_id AND l.n < each.n),
+ places AS (SELECT a.match_id, a.team_id opponent_id, 1 + (SELECT count(*) FROM held b WHERE b.match_id = a.match_id AND b.rating > a.rating) place FROM held a JOIN log l ON l.match_id = a.match_id AND l.team_id = a.team_id)""",
+)
 def vs_top20(spark, d):
-    return models.against_top(v.pro_contests(spark, d))
+    return models.against_top(v.pro_contests(spark, d)).select("match_id", "team_id", *r6("vs_top_winrate"), "vs_top_meetings")
 
 
-@query()
+@query(
+    "SELECT tc.match_id, tc.team_id, tc.start_time, round(r.rating, 6) rating FROM tc ASOF LEFT JOIN (SELECT team_id, start_time, max_by(rating_after, match_id) rating FROM log GROUP BY ALL) r ON r.team_id = tc.team_id AND r.start_time < tc.start_time",
+    CONTESTS, TEAMS, ELO,
+)
 def rating_asof(spark, d):
     log = elo.rating_log(_pro_ratings(spark, d)).groupBy("team_id", "start_time").agg(F.max_by("rating_after", "match_id").alias("rating"))
     long = teams.team_centric(v.contests(spark, d)).select("match_id", "team_id", "start_time")
-    return asof.last_before(long, log, "team_id", "start_time", "start_time", "rating")
+    return asof.last_before(long, log, "team_id", "start_time", "start_time", "rating").select("match_id", "team_id", "start_time", *r6("rating"))
 
 
 @query()
@@ -677,9 +750,12 @@ def calibrated_forecasts(spark, d):
     return models.calibrated(models.backtest(v.pro_contests(spark, d)), "1998-01-01", "2000-01-01")
 
 
-@query()
+@query(
+    f"SELECT match_id, start_time, elo_after, recent_winrate_10 FROM (SELECT match_id, start_time, team_id, round(rating_after, 6) elo_after, round(avg(won::INT) OVER ({BY_N} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) recent_winrate_10 FROM log) WHERE team_id = 3",
+    CONTESTS, ELO,
+)
 def form_series(spark, d):
-    return serving.form_series(v.pro_contests(spark, d), 3)
+    return serving.form_series(v.pro_contests(spark, d), 3).select("match_id", "start_time", *r6("elo_after", "recent_winrate_10"))
 
 
 @query()
@@ -700,6 +776,6 @@ def stream_merge(spark, d):
     return streams.merged_stream(spark, f"{d}/events.parquet")
 
 
-@query()
+@query(f"SELECT match_id, start_time, radiant_team_id, dire_team_id, radiant_win, {', '.join(f'round({c}, 6) {c}' for c in RATINGS)} FROM elo", CONTESTS, elo_sql("contests"))
 def stream_elo(spark, d):
-    return streams.rated_stream(spark, f"{d}/orders.parquet")
+    return streams.rated_stream(spark, f"{d}/orders.parquet").select("match_id", "start_time", "radiant_team_id", "dire_team_id", "radiant_win", *r6(*RATINGS))

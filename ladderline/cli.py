@@ -8,36 +8,13 @@ and details come from the service of the settings, and ``--feed`` holds only the
 from __future__ import annotations
 
 import argparse
-import glob
 import json
 import os
 import sys
 from datetime import UTC, datetime
 
+from ladderline.sources.feed import file_feed
 from ladderline.sources.health import source_report
-from ladderline.sources.http import PermanentHttpError
-
-
-def file_feed(folder: str):
-    """A ``get(path, params)`` over files: pages by cursor, details by id, else 404."""
-
-    def load(path: str):
-        if not os.path.exists(path):
-            raise PermanentHttpError(404)
-        with open(path) as f:
-            return json.load(f)
-
-    pages = [load(p) for p in sorted(glob.glob(f"{folder}/page*.json"))]
-
-    def get(path: str, params: dict):
-        if path == "proMatches":
-            less = params.get("less_than_match_id")
-            if less is None:
-                return pages[0] if pages else []
-            return next((b for a, b in zip(pages, pages[1:]) if a and min(r["match_id"] for r in a) == less), [])
-        return load(f"{folder}/{path}.json")
-
-    return get
 
 
 def _feed(a):

@@ -1,8 +1,10 @@
 """Ratings that walk forward through contests in order (start_time, match_id).
 
 Each step depends on both teams' last steps, so a pool (teams that meet directly or through others) is
-one ordered stream. Pools are independent and run in parallel. A pool's five narrow columns are sorted
-by Spark and folded batch by batch: a task holds the teams' ratings and one batch, never the history.
+one ordered stream. Pools are independent and run in parallel; unless a column names them, they are
+found. A pool's narrow columns are sorted by Spark and folded batch by batch: a task holds the teams'
+ratings and one batch, never the history. Contests without an outcome, or without both teams, are not
+rated.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ladderline.operators.pools import with_pools
+
 K_FACTOR, BASE = 32.0, 1000.0
 RATED = "match_id long, start_time timestamp_ntz, radiant_team_id long, dire_team_id long, radiant_win boolean, radiant_pre double, dire_pre double, radiant_post double, dire_post double"
 
@@ -25,39 +29,61 @@ def elo_step(r: float, d: float, radiant_win: bool, k: float = K_FACTOR) -> tupl
     return r + k * (s - e), d + k * ((1.0 - s) - (1.0 - e))
 
 
-def _in_order(matches: DataFrame, pool: str | None) -> DataFrame:
-    """Contests of each pool together and in order."""
-    rows = matches.select(
+FOUND = "pools that are found"
+
+
+def _in_order(matches: DataFrame, pool: str | None, initial: DataFrame | None) -> DataFrame:
+    """Contests of each pool together and in order, behind the ratings that its teams begin with."""
+    ready = matches.where("radiant_win is not null and radiant_team_id is not null and dire_team_id is not null")
+    if pool == FOUND:
+        ready, pool = with_pools(ready, "pool_"), "pool_"
+    rows = ready.select(
         (F.col(pool) if pool else F.lit(0)).alias("pool_"), F.col("match_id").cast("long"), F.col("start_time").cast("timestamp_ntz"),
-        F.col("radiant_team_id").cast("long"), F.col("dire_team_id").cast("long"), "radiant_win",
+        F.col("radiant_team_id").cast("long"), F.col("dire_team_id").cast("long"), "radiant_win", F.lit(None).cast("double").alias("begins_at"),
     )
-    return rows.repartition("pool_").sortWithinPartitions("pool_", "start_time", "match_id")
+    if initial is not None:
+        none = lambda kind: F.lit(None).cast(kind)
+        rows = rows.unionByName(initial.select(
+            (F.col(pool) if pool else F.lit(0)).alias("pool_"), none("long").alias("match_id"), none("timestamp_ntz").alias("start_time"),
+            F.col("team_id").cast("long").alias("radiant_team_id"), none("long").alias("dire_team_id"), none("boolean").alias("radiant_win"), F.col("rating").alias("begins_at"),
+        ))
+    return rows.repartition("pool_").sortWithinPartitions("pool_", F.asc_nulls_first("start_time"), "match_id")
 
 
-def _folded(matches: DataFrame, pool: str | None, start: Callable[[], Callable], added: list[str], schema: str) -> DataFrame:
-    """``start()`` begins a pool and gives its step: (radiant, dire, radiant_win) -> the ``added`` columns."""
+def _folded(matches: DataFrame, pool: str | None, start: Callable[[], Callable], added: list[str], schema: str, initial: DataFrame | None = None) -> DataFrame:
+    """``start()`` begins a pool and gives its step: (radiant, dire, radiant_win) -> the ``added`` columns.
+    With ``initial`` ratings (team_id, rating and the pool's column) the step is called with these first,
+    as (team, rating)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step, current = None, None
         for p in batches:
-            out = []
-            for pool_, r, d, won in zip(p["pool_"], p["radiant_team_id"], p["dire_team_id"], p["radiant_win"]):
+            out, begins = [], p["begins_at"].notna().to_numpy()
+            for pool_, r, d, won, begin, at in zip(p["pool_"], p["radiant_team_id"], p["dire_team_id"], p["radiant_win"], begins, p["begins_at"]):
                 if step is None or pool_ != current:
                     step, current = start(), pool_
-                out.append(step(r, d, won))
+                if begin:
+                    step(r, at)
+                else:
+                    out.append(step(r, int(d), won))
+            p = p[~begins].copy()
             p[added] = pd.DataFrame(out, index=p.index, columns=added)
             yield p[[c.split()[0] for c in schema.split(", ")]]
 
-    return _in_order(matches, pool).mapInPandas(run, schema)
+    return _in_order(matches, pool, initial).mapInPandas(run, schema)
 
 
-def rated(matches: DataFrame, k: float = K_FACTOR, base: float = BASE, pool: str | None = None) -> DataFrame:
-    """Each contest with both ratings before and after it. ``pool``: column of independent pools."""
+def rated(matches: DataFrame, k: float = K_FACTOR, base: float = BASE, pool: str | None = FOUND, initial: DataFrame | None = None) -> DataFrame:
+    """Each contest with both ratings before and after it. ``pool``: column of independent pools (FOUND:
+    they are found, None: all is one); ``initial``: ratings (team_id, rating, pool) that teams begin with."""
 
     def start():
         now: dict[int, float] = {}
 
-        def step(r, d, won):
+        def step(r, d, won=None):
+            if won is None:
+                now[r] = d
+                return None
             a, b = now.get(r, base), now.get(d, base)
             x, y = elo_step(a, b, won, k)
             now[r] = x
@@ -66,10 +92,10 @@ def rated(matches: DataFrame, k: float = K_FACTOR, base: float = BASE, pool: str
 
         return step
 
-    return _folded(matches, pool, start, ["radiant_pre", "dire_pre", "radiant_post", "dire_post"], RATED)
+    return _folded(matches, pool, start, ["radiant_pre", "dire_pre", "radiant_post", "dire_post"], RATED, initial)
 
 
-def ranked(matches: DataFrame, k: float = K_FACTOR, base: float = BASE, pool: str | None = None) -> DataFrame:
+def ranked(matches: DataFrame, k: float = K_FACTOR, base: float = BASE, pool: str | None = FOUND) -> DataFrame:
     """match_id, radiant_rank, dire_rank: each side's place by rating before the contest, among the teams
     of its pool that had played by then (equal ratings share a place); null for a team that hadn't.
 
@@ -99,27 +125,6 @@ def ranked(matches: DataFrame, k: float = K_FACTOR, base: float = BASE, pool: st
     return _folded(matches, pool, start, ["radiant_rank", "dire_rank"], "match_id long, radiant_rank long, dire_rank long")
 
 
-def rated_natively(matches: DataFrame, k: float = K_FACTOR, base: float = BASE) -> DataFrame:
-    """The same for a small pool without Python: a fold that carries a map of ratings."""
-    m = F.struct("start_time", "match_id", "radiant_team_id", "dire_team_id", "radiant_win")
-    rows = matches.agg(F.sort_array(F.collect_list(m)).alias("rows"))
-    empty = F.struct(
-        F.create_map().cast("map<bigint,double>").alias("now"),
-        F.array().cast("array<struct<match_id:bigint,radiant_pre:double,dire_pre:double>>").alias("out"),
-    )
-
-    def step(acc, x):
-        r, d = x["radiant_team_id"].cast("long"), x["dire_team_id"].cast("long")
-        a, b = F.coalesce(acc["now"][r], F.lit(base)), F.coalesce(acc["now"][d], F.lit(base))
-        gain = k * (x["radiant_win"].cast("int") - 1 / (1 + F.pow(F.lit(10.0), (b - a) / 400)))
-        kept = F.map_filter(acc["now"], lambda key, _: (key != r) & (key != d))
-        now = F.map_concat(kept, F.create_map(r, a + gain, d, b - gain))
-        row = F.struct(x["match_id"].cast("long").alias("match_id"), a.alias("radiant_pre"), b.alias("dire_pre"))
-        return F.struct(now.alias("now"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return rows.select(F.inline(F.aggregate("rows", empty, step)["out"]))
-
-
 def rating_log(ratings: DataFrame, k: float = K_FACTOR, version: str = "elo_k32_base1000") -> DataFrame:
     """One row per team and contest: rating before and after."""
     sides = F.array(
@@ -139,7 +144,7 @@ def elo_trend(log: DataFrame, back: int = 5) -> DataFrame:
     return log.select("match_id", "team_id", (F.col("rating_before") - F.lag("rating_before", back).over(w)).alias("elo_delta"))
 
 
-def glicko2(matches: DataFrame, tau: float = 0.5, pool: str | None = None) -> DataFrame:
+def glicko2(matches: DataFrame, tau: float = 0.5, pool: str | None = FOUND) -> DataFrame:
     """Glicko-2 ratings and deviations before each contest, a rating period per contest."""
     import math
 
@@ -175,7 +180,7 @@ def glicko2(matches: DataFrame, tau: float = 0.5, pool: str | None = None) -> Da
 
         def step(r, d, won):
             a, b = now.get(r, (0.0, 350 / 173.7178, 0.06)), now.get(d, (0.0, 350 / 173.7178, 0.06))
-            now[r], now[d] = update(*a, *b[:2], float(won)), update(*b, *a[:2], 1.0 - won)
+            now[r], now[d] = update(*a, *b[:2], float(won)), update(*b, *a[:2], 1.0 - float(won))
             return 1500 + 173.7178 * a[0], 173.7178 * a[1], 1500 + 173.7178 * b[0], 173.7178 * b[1]
 
         return step

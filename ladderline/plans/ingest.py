@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 from datetime import datetime
+from itertools import batched, chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ class Result:
     raw_written: int = 0
     raw_seen_before: int = 0
     rejected: int = 0
+    details_asked: int = 0
+    issues: list[str] = field(default_factory=list)
 
 
 def checkpoint(store: Store):
@@ -40,14 +43,16 @@ def sync_reference(store: Store, heroes: DataFrame, patches: DataFrame) -> tuple
 
 
 def run(
-    store: Store, get: Callable[[str, dict], object], since: datetime, until: datetime, now: datetime, limit: int | None = None, clock: Callable[[], datetime] | None = None
-) -> Result:
-    """A run is written down as ``running`` first, then as what became of it; failures are raised again."""
+    store: Store, get: Callable[[str, dict], object], since: datetime, until: datetime, now: datetime, limit: int | None = None, clock: Callable[[], datetime] | None = None,
+    every: int = 100,
+) -> Result:
+    """A run is written down as ``running`` first, then as what became of it; failures are raised again.
+    Responses are landed ``every`` at a time."""
     run_id, clock = uuid.uuid4().hex, clock or (lambda: now)
     began = clock()
     _log(store, run_id, "running", 0, None, None, began, None)
     try:
-        result, end = _run(store, get, since, until, now, limit)
+        result, end = _run(store, get, since, until, now, limit, every)
         _log(store, run_id, "success", result.upserted, end, None, began, clock())
         return result
     except Exception as e:
@@ -65,22 +70,38 @@ def _log(store: Store, run_id: str, status: str, items: int, end, error, began:
         store.write("ingestion_runs", store.read("ingestion_runs").where(F.col("run_id") != run_id).unionByName(row))
 
 
-def _landed(store: Store, fetched: list, now: datetime, out: Result) -> DataFrame:
-    """Responses as raw rows, of which the log gets those that it doesn't hold."""
-    batch = feed.raw_frame(store.spark, fetched, now).persist()
-    fresh = records.raw_appended(store.read("raw_responses"), batch).persist()
-    new, total = fresh.count(), batch.count()
-    out.raw_written, out.raw_seen_before = out.raw_written + new, out.raw_seen_before + total - new
-    if new:
-        store.append("raw_responses", fresh)
-    return batch
-
-
-def _run(store, get, since, until, now, limit):
-    spark, out = store.spark, Result()
-    fetched = [("leagues", {}, get("leagues", {}))]
-    fetched += [("proMatches", params, rows) for params, rows in feed.pages(get, since)]
-    batch = _landed(store, fetched, now, out)
+def _landed(store: Store, responses: Iterable[tuple[str, dict, object]], now: datetime, out: Result, every: int) -> DataFrame:
+    """Raw rows of ``responses``. They are landed as they come, ``every`` at a time, so a run that dies keeps
+    what it was given; of each one only its hash stays here, the bodies are read back from the log."""
+    asked = []
+    for some in batched(responses, every):
+        batch = feed.raw_frame(store.spark, list(some), now).persist()
+        fresh = records.raw_appended(store.read("raw_responses"), batch).persist()
+        new = fresh.count()
+        out.raw_written, out.raw_seen_before = out.raw_written + new, out.raw_seen_before + len(some) - new
+        if new:
+            store.append("raw_responses", fresh)
+        asked += batch.select("endpoint", "content_hash", "request_params").collect()
+        fresh.unpersist()
+        batch.unpersist()
+    known = store.spark.createDataFrame(asked, "endpoint string, content_hash string, request_params map<string,string>")
+    return known.join(store.read("raw_responses").drop("request_params"), ["endpoint", "content_hash"])
+
+
+def _details(get: Callable[[str, dict], object], ids: Iterable[int], out: Result):
+    """A request each; a contest without a detail is loaded without children, and that is said."""
+    for match_id in ids:
+        out.details_asked += 1
+        try:
+            yield f"matches/{match_id}", {}, get(f"matches/{match_id}", {})
+        except (PermanentHttpError, TransientHttpError, ValueError) as e:
+            out.issues.append(f"contest {match_id} has no detail: {e}")
+
+
+def _run(store, get, since, until, now, limit, every):
+    out = Result()
+    listed = [("leagues", {}, get("leagues", {}))]
+    batch = _landed(store, chain(listed, (("proMatches", params, rows) for params, rows in feed.pages(get, since))), now, out, every).persist()
 
     leagues = feed.leagues(batch)
     rows = records.normalized(feed.matches(batch, leagues, since, until))
@@ -94,14 +115,14 @@ def _run(store, get, since, until, now, limit):
     out.skipped = rows.count() - rows.join(good, "match_id", "left_semi").count()
     rows = rows.join(good, "match_id", "left_semi")
 
-    # details of what is left only: a request each
-    found = []
-    for match_id in sorted(r["match_id"] for r in good.collect()):
-        try:  # a contest without a detail is loaded without children
-            found.append((f"matches/{match_id}", {}, get(f"matches/{match_id}", {})))
-        except (PermanentHttpError, TransientHttpError):
-            pass
-    detail = feed.details(_landed(store, found, now, out)).persist()
+    # details of what is left only; those that a run landed since the last good one, and then died, are there
+    wanted = good.select("match_id", F.concat(F.lit("matches/"), "match_id").alias("endpoint"))
+    last_good = store.read("ingestion_runs").where("status = 'success'").agg(F.max("started_at").alias("t")).first()["t"] or datetime(1970, 1, 1)
+    landed = store.read("raw_responses").where(F.col("fetched_at") > F.lit(last_good)).join(wanted.join(store.read("matches").select("match_id"), "match_id", "left_anti"), "endpoint", "left_semi")
+    landed = landed.groupBy("endpoint").agg(F.max_by("response_body", "fetched_at").alias("response_body")).persist()
+    ask = wanted.join(landed, "endpoint", "left_anti").select("match_id").orderBy("match_id").toLocalIterator()
+    found = _landed(store, _details(get, (r["match_id"] for r in ask), out), now, out, every)
+    detail = feed.details(landed.unionByName(found.select("endpoint", "response_body"))).persist()
     # children take their teams from the list row, which wins over the detail
     sides = records.collapsed(rows.select("match_id", "radiant_team_id", "dire_team_id", "position"), ["match_id"], F.col("position"))
     detail = detail.drop("radiant_team_id", "dire_team_id").join(sides.drop("position"), "match_id")
@@ -127,4 +148,6 @@ def _run(store, get, since, until, now, limit):
     store.merge("picks_bans", picks)
     out.upserted = rows.count()
     last = rows.agg(F.max("start_time") + F.expr("interval 1 microsecond")).first()[0]
+    for held in (batch, good, landed, detail, bad, rows):
+        held.unpersist()
     return out, last

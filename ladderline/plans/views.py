@@ -26,6 +26,20 @@ def contests(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def worlds(spark: SparkSession, d: str) -> DataFrame:
+    """Contests within 125 worlds of eight teams that never meet another world's: a world for each nation
+    and market segment of the customer."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    key, cust, s = F.col("o_orderkey"), F.col("o_custkey"), F.col("c_mktsegment")
+    segment = F.when(s == "AUTOMOBILE", 0).when(s == "BUILDING", 1).when(s == "FURNITURE", 2).when(s == "HOUSEHOLD", 3).otherwise(4)
+    world = (F.col("c_nationkey") * 5 + segment).cast("long")
+    rows = o.join(c.select(F.col("c_custkey").alias("o_custkey"), world.alias("world")), "o_custkey")
+    return rows.select(
+        key.alias("match_id"), F.col("o_orderdate").alias("start_time"), (F.col("world") * 8 + cust % 8).alias("radiant_team_id"),
+        (F.col("world") * 8 + (cust % 8 + 1 + key % 7) % 8).alias("dire_team_id"), (F.col("o_totalprice") > 200000).alias("radiant_win"),
+    )
+
+
 def pro_contests(spark: SparkSession, d: str) -> DataFrame:
     """Left join with the tiers and a filter on them, which Catalyst turns into an inner join."""
     m = contests(spark, d).drop("league_tier")

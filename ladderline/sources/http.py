@@ -9,6 +9,7 @@ import time
 from collections.abc import Callable
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
+from http.client import HTTPException
 
 
 class TransientHttpError(RuntimeError):
@@ -87,7 +88,7 @@ class HttpClient:
             pause = self.backoff * 2 ** (attempt - 1)
             try:
                 status, headers, body = self.transport(url, params or {}, self.timeout)
-            except OSError:
+            except (OSError, HTTPException):  # no connection, or a body that ends too early
                 status = None
             if status is not None and status < 400:
                 try:

@@ -1,24 +1,17 @@
 """The incremental forms of the batch operators, as file streams that drain what is there and stop.
 
-State and output live under the session's shared folder; a memory of what was seen is the stream's
-checkpoint. Batch results are the truth: each stream must give the same rows.
+A stream keeps its state, its checkpoint and its output under one root; called again with the same root
+it goes on where it ended. Batch results are the truth: each stream must give the same rows.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladderline.operators import records
-from ladderline.operators.elo import rated
-
-
-def _root(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(shared or tempfile.mkdtemp(prefix='streams-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ladderline.sources.shared import scratch
+from ladderline.streaming import ratings
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
@@ -33,53 +26,45 @@ def _drained(rows: DataFrame, root: str, each=None) -> None:
     w.start().awaitTermination()
 
 
-def deduplicated(spark: SparkSession, path: str) -> DataFrame:
-    """Raw records, each (source, endpoint, content_hash) once."""
-    root = _root(spark)
-    rows = _read(spark, path).select(F.lit("feed").alias("source"), F.col("event_type").alias("endpoint"), F.sha2("props", 256).alias("content_hash"))
-    _drained(rows.dropDuplicates(["source", "endpoint", "content_hash"]), root)
+def deduplicated(spark: SparkSession, path: str, root: str | None = None, delay: str | None = None) -> DataFrame:
+    """Raw records, each (source, endpoint, content_hash) once. With ``delay`` a record is remembered only
+    until the watermark is that far behind it: state stays bounded, a later repeat comes through."""
+    root, key = root or scratch(spark, "stream"), ["source", "endpoint", "content_hash"]
+    rows = _read(spark, path).select(F.lit("feed").alias("source"), F.col("event_type").alias("endpoint"), F.sha2("props", 256).alias("content_hash"), F.col("ts").cast("timestamp").alias("ts"))
+    once = rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key) if delay else rows.dropDuplicates(key)
+    _drained(once.select(*key), root)
     return spark.read.parquet(f"{root}/out")
 
 
-def deduplicated_within(rows: DataFrame, time: str, delay: str, *key: str) -> DataFrame:
-    """The variant with bounded state: repeats that come within ``delay`` are dropped."""
-    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
+def _snapshots(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the snapshots that were written to their end."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/table-*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(int(s.getPath().getParent().getName()[6:]) for s in found or [])
 
 
-def merged_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Keyed upserts by micro-batch: last row wins, the first time a key is seen stays. Snapshots are
-    new folders; the newest complete one is the table."""
-    root = _root(spark)
-    at: dict[str, str] = {}
+def merged_stream(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """Keyed upserts by micro-batch: last row wins, the first time a key is seen stays. A snapshot is a new
+    folder, numbered as its batch; a batch that is done again begins from the snapshot before it."""
+    root = root or scratch(spark, "stream")
 
     def upsert(batch: DataFrame, number: int) -> None:
         rows = batch.select("user_id", "event_type", "value", F.col("ts").alias("first_seen"), "event_id")
         new = records.collapsed(rows, ["user_id"], F.col("event_id"), keep_first=["first_seen"]).drop("event_id")
-        old = batch.sparkSession.read.parquet(at["now"]) if at else new.limit(0)
-        target = f"{root}/table-{number}"
-        records.merged(old, new, ["user_id"], keep_first=["first_seen"]).write.mode("overwrite").parquet(target)
-        at["now"] = target
+        before = [n for n in _snapshots(spark, root) if n < number]
+        old = batch.sparkSession.read.parquet(f"{root}/table-{before[-1]}") if before else new.limit(0)
+        records.merged(old, new, ["user_id"], keep_first=["first_seen"]).write.mode("overwrite").parquet(f"{root}/table-{number}")
 
     _drained(_read(spark, path), root, upsert)
-    return spark.read.parquet(at["now"])
-
-
-def rated_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Ratings after each micro-batch of contests. A late contest changes all that follow it, so the pool
-    is walked again from the stored contests: the stream says when, the batch operator says what."""
-    root = _root(spark)
-    at: dict[str, str] = {}
-
-    def walk(batch: DataFrame, number: int) -> None:
-        new = batch.select(
-            F.col("o_orderkey").alias("match_id"), F.col("o_orderdate").alias("start_time"), (F.col("o_custkey") % 25).alias("radiant_team_id"),
-            ((F.col("o_custkey") % 25 + 1 + F.col("o_orderkey") % 24) % 25).alias("dire_team_id"), (F.col("o_totalprice") > 200000).alias("radiant_win"),
-        )
-        new.write.mode("overwrite").parquet(f"{root}/contests/batch={number}")
-        stored = batch.sparkSession.read.parquet(f"{root}/contests").drop("batch")
-        target = f"{root}/ratings-{number}"
-        rated(stored).write.mode("overwrite").parquet(target)
-        at["now"] = target
-
-    _drained(_read(spark, path), root, walk)
-    return spark.read.parquet(at["now"])
+    return spark.read.parquet(f"{root}/table-{_snapshots(spark, root)[-1]}")
+
+
+def rated_stream(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """Ratings of all contests so far, by :func:`ladderline.streaming.ratings.rate_stream`."""
+    root = root or scratch(spark, "stream")
+    contests = _read(spark, path).select(
+        F.col("o_orderkey").alias("match_id"), F.col("o_orderdate").alias("start_time"), (F.col("o_custkey") % 25).alias("radiant_team_id"),
+        ((F.col("o_custkey") % 25 + 1 + F.col("o_orderkey") % 24) % 25).alias("dire_team_id"), (F.col("o_totalprice") > 200000).alias("radiant_win"),
+    )
+    ratings.rate_stream(contests, root)
+    return ratings.ratings(spark, root)

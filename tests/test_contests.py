@@ -53,17 +53,15 @@ def test_backtest_metrics_and_final_ratings(golden):
     assert now == {100: pytest.approx(1029.194367), 200: pytest.approx(1023.925489), 300: pytest.approx(976.074511), 400: pytest.approx(970.805633)}
 
 
-def test_both_folds_agree(golden):
-    a = {r.match_id: (r.radiant_pre, r.dire_pre) for r in elo.rated(golden).collect()}
-    b = {r.match_id: (r.radiant_pre, r.dire_pre) for r in elo.rated_natively(golden).collect()}
-    assert {k: pytest.approx(v) for k, v in a.items()} == b
+def test_pools_that_are_found_change_nothing(golden):
+    assert sorted(map(repr, elo.rated(golden).collect())) == sorted(map(repr, elo.rated(golden, pool=None).collect()))
 
 
 def rows_by_id(df):
     return {r.match_id: r for r in df.collect()}
 
 
-@pytest.mark.parametrize("k", range(0, 12, 3))
+@pytest.mark.parametrize("k", range(12))
 def test_an_outcome_changes_later_rows_only(spark, golden, k):
     base = rows_by_id(dataset.feature_set_0(golden))
     flipped = [(*r[:4], r[4] != (i == k)) for i, r in enumerate(GOLDEN)]
