@@ -7,10 +7,10 @@
 3. Matches on one diagonal in a row are runs. A document's runs with one owner are chained: ordered in
    both, for the best sum of run weights less gap costs. A Fenwick tree over owner positions holds
    prefix maxima, so chaining n runs takes n log n.
-4. Chains are aligned word by word: gaps between runs by edit distance, ends by extension. A chain
-   below ``similarity`` is cut into its longest stretches that reach it. These count, and a document's
-   stretches that count, from any owners, are put together; those of ``min_words`` or more are its
-   passages.
+4. Chains are aligned word by word: gaps between runs by edit distance, ends by extension until the
+   score falls; where it comes near the last word fetched, more are. A chain below ``similarity``
+   is cut into its longest stretches that reach it. A stretch of ``min_words`` or more counts: so many
+   words of one earlier document, in one piece. Those that meet are one passage, whatever their owners.
 
 The first document with a passage keeps it. Passages repeated within one document are left alone.
 
@@ -45,9 +45,11 @@ MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Cost of a word between two seeds of a chain, on either side; a seed weighs K.
 GAP_COST = 0.1
-#: Words beyond a chain's ends that alignment may look at, and the longest gap that is bridged when
-#: stretches are put together.
-FLANK, BRIDGE = 32, 3
+#: Words beyond a chain's ends that alignment looks at first, how many times more where these don't
+#: suffice, and the longest gap that is bridged when passages are put together.
+FLANK, WIDER, BRIDGE = 32, 8, 3
+#: How far an extension's score may fall before it ends.
+DROP = 12
 FLUSH_SEEDS, BUCKET_SEEDS = 1_000_000, 1_000_000
 #: Bytes of text that a worker hashes at once.
 _SLICE = 1 << 20
@@ -319,9 +321,9 @@ def _edit_matches(a: list[int], b: list[int]) -> int:
     return int(-row[-1] % edit)
 
 
-def _extend(a: list[int], b: list[int]) -> tuple[int, int, int]:
-    """From the start of both: words taken of a and of b, and how many are equal. One-word edits are
-    crossed where the three words after them agree."""
+def _extend(a: list[int], b: list[int], spare: float = 0.0, cost: float = 4.0) -> tuple[int, int, int]:
+    """From the start of both: words taken of a and of b, and how many are equal. Equal words run on; one
+    edit is crossed where the three words after it agree; else a banded alignment looks further."""
     x = y = same = 0
     while True:
         while x < len(a) and y < len(b) and a[x] == b[y]:
@@ -331,7 +333,39 @@ def _extend(a: list[int], b: list[int]) -> tuple[int, int, int]:
                 x, y = x + p, y + q
                 break
         else:
-            return x, y, same
+            p, q, more = _beyond(a[x:], b[y:], spare + same - cost * (max(x, y) - same), cost)
+            if not p:
+                return x, y, same
+            x, y, same = x + p, y + q, same + more
+
+
+def _beyond(a: list[int], b: list[int], spare: float, cost: float) -> tuple[int, int, int]:
+    """The furthest place, behind two equal words, where equal words less ``cost`` an edit and ``spare`` from
+    what lies before still make up for each other. A path that falls ``DROP`` below the best one ends,
+    so unlike text is left after a few words."""
+    best, furthest = 0.0, (0, 0, 0)
+    row = {j: (-cost * j, 0, 0) for j in range(int(min(DROP / cost, len(b))) + 1)}  # b's words taken: score, equal, equal in a row
+    for i, w in enumerate(a):
+        new: dict[int, tuple[float, int, int]] = {}
+        for j, (s, m, run) in row.items():
+            if s - cost > new.get(j, (-DROP * 2,))[0]:
+                new[j] = (s - cost, m, 0)
+            if j < len(b):
+                step = (s + 1, m + 1, run + 1) if b[j] == w else (s - cost, m, 0)
+                if step[0] > new.get(j + 1, (-DROP * 2,))[0]:
+                    new[j + 1] = step
+        for j in sorted(new):
+            s, m, _ = new[j]
+            if j < len(b) and s - cost > new.get(j + 1, (-DROP * 2,))[0]:
+                new[j + 1] = (s - cost, m, 0)
+        best = max([best, *(v[0] for v in new.values())])
+        row = {j: v for j, v in new.items() if v[0] >= best - DROP}
+        if not row:
+            break
+        j, (s, m, run) = max(row.items(), key=lambda r: (r[1][0], r[0]))
+        if run >= 2 and s + spare >= 0:
+            furthest = (i + 1, j, m)
+    return furthest
 
 
 def pieces(a: list[int], b: list[int], at: list[tuple[int, int, int]]) -> tuple[list[list[int]], list[int]]:
@@ -359,14 +393,18 @@ def pieces(a: list[int], b: list[int], at: list[tuple[int, int, int]]) -> tuple[
     return blocks, inside
 
 
-def _whole(blocks: list[list[int]], inside: list[int], a: list[int], b: list[int], low=(0, 0), high=None) -> tuple[int, int, int, int, int]:
-    """The blocks and gaps as one stretch, extended at both ends within ``low`` and ``high``."""
+def _whole(blocks: list[list[int]], inside: list[int], a: list[int], b: list[int], low=(0, 0), high=None, similarity: float = SIMILARITY) -> tuple[int, int, int, int, int]:
+    """The blocks and gaps as one stretch, extended at both ends within ``low`` and ``high``. What its words
+    have over ``similarity`` may make up for an end below it."""
     (x0, _, y0, _), (_, x1, _, y1) = blocks[0], blocks[-1]
     high = high or (len(a), len(b))
-    back = _extend(a[low[0] : x0][::-1], b[low[1] : y0][::-1])
-    on = _extend(a[x1 : high[0]], b[y1 : high[1]])
-    same = sum(min(x[1] - x[0], x[3] - x[2]) for x in blocks) + sum(inside) + back[2] + on[2]
-    return x0 - back[0], x1 + on[0], y0 - back[1], y1 + on[1], same
+    cost = similarity / (1 - similarity) if similarity < 1 else 1e9
+    same = sum(min(x[1] - x[0], x[3] - x[2]) for x in blocks) + sum(inside)
+    spare = max(same - cost * (max(x1 - x0, y1 - y0) - same), 0.0)
+    back = _extend(a[low[0] : x0][::-1], b[low[1] : y0][::-1], spare, cost)
+    spare = max(spare + back[2] - cost * (max(back[:2]) - back[2]), 0.0)
+    on = _extend(a[x1 : high[0]], b[y1 : high[1]], spare, cost)
+    return x0 - back[0], x1 + on[0], y0 - back[1], y1 + on[1], same + back[2] + on[2]
 
 
 def align(a: list[int], b: list[int], at: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
@@ -404,7 +442,7 @@ def stretches(
         # ends stay between the blocks before and after
         low = (blocks[p - 1][1], blocks[p - 1][3]) if p else (0, 0)
         high = (blocks[q + 1][0], blocks[q + 1][2]) if q + 1 < len(blocks) else (len(a), len(b))
-        whole = _whole(blocks[p : q + 1], inside[p:q], a, b, low, high)
+        whole = _whole(blocks[p : q + 1], inside[p:q], a, b, low, high, similarity)
         if _share(whole) < similarity:
             f, g = _longest(blocks[p : q + 1], inside[p:q], similarity)
             f, g = f + p, g + p
@@ -412,12 +450,12 @@ def stretches(
                 todo += [(x, y) for x, y in ((p, f - 1), (f, g), (g + 1, q)) if x <= y]
                 continue
             low, high = (blocks[p][0], blocks[p][2]), (blocks[q][1], blocks[q][3])  # only its ends are unlike
-            out.append(_whole(blocks[p : q + 1], inside[p:q], a, b, low, high))
+            out.append(_whole(blocks[p : q + 1], inside[p:q], a, b, low, high, similarity))
             continue
         own = lambda c: max(blocks[c + 1][0] - blocks[c][1], blocks[c + 1][2] - blocks[c][3]) - inside[c]
         for c in sorted((c for c in range(p, q) if own(c) > (1 - similarity) * min_words), key=own, reverse=True):
-            left = _whole(blocks[p : c + 1], inside[p:c], a, b, low, (blocks[c + 1][0], blocks[c + 1][2]))
-            right = _whole(blocks[c + 1 : q + 1], inside[c + 1 : q], a, b, (blocks[c][1], blocks[c][3]), high)
+            left = _whole(blocks[p : c + 1], inside[p:c], a, b, low, (blocks[c + 1][0], blocks[c + 1][2]), similarity)
+            right = _whole(blocks[c + 1 : q + 1], inside[c + 1 : q], a, b, (blocks[c][1], blocks[c][3]), high, similarity)
             if all(s[1] - s[0] >= min_words and _share(s) >= similarity for s in (left, right)):
                 todo += [(p, c), (c + 1, q)]
                 break
@@ -544,30 +582,53 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(name) for name in ("doc_id", "owner", "x", "y", "n")), pa.array(more)], names=["doc_id", "owner", "x", "y", "n", "more"])
 
 
+_CHAIN = "a int, na int, b int, nb int, xs array<int>, ys array<int>, ns array<int>"
+
+
 def _aligned(rows: DataFrame, similarity: float, min_words: int) -> DataFrame:
-    schema = "doc_id long, owner long, start int, stop int, similarity double"
+    """Stretches of the chains ``rows`` (with their words); or the chain again where an extension came near
+    the last word that was fetched, which isn't the last there is."""
+    schema = f"doc_id long, owner long, start int, stop int, similarity double, {_CHAIN}"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.int32()] * 4, *[pa.list_(pa.int32())] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[tuple] = []
             for n in range(len(batch)):  # a row at a time: a long document's lists are large
-                doc, owner, a, xs, ys, ns, wa, wb = (batch.column(c)[n].as_py() for c in ("doc_id", "owner", "a", "xs", "ys", "ns", "wa", "wb"))
+                doc, owner, a, na, b, nb, xs, ys, ns, wa, wb = (batch.column(c)[n].as_py() for c in ("doc_id", "owner", "a", "na", "b", "nb", "xs", "ys", "ns", "wa", "wb"))
                 la, lb = np.frombuffer(wa, "<u4").tolist(), np.frombuffer(wb, "<u4").tolist()
-                for s in stretches(la, lb, list(zip(xs, ys, ns)), similarity, min_words):
-                    for c, v in zip(out, (doc, owner, a + s[0], a + s[1], _share(s))):
-                        c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["doc_id", "owner", "start", "stop", "similarity"])
+                found = stretches(la, lb, list(zip(xs, ys, ns)), similarity, min_words)
+                # an end in the outer half of the words fetched beyond the runs may go on where there are more
+                left = (a and xs[0] / 2, b and ys[0] / 2)
+                right = [(n + last) / 2 if len(got) == n else n for n, last, got in ((na, xs[-1] + ns[-1], la), (nb, ys[-1] + ns[-1], lb))]
+                if any(s[0] < left[0] or s[2] < left[1] or s[1] > right[0] or s[3] > right[1] for s in found):
+                    out.append((doc, owner, None, None, None, a, na, b, nb, xs, ys, ns))
+                else:
+                    out += [(doc, owner, a + s[0], a + s[1], _share(s), *[None] * 7) for s in found]
+            columns = zip(*out) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
+def _widened(chains: DataFrame, more: int) -> DataFrame:
+    """The chains with ``more`` words fetched on either side."""
+    by = chains.withColumns({f"by_{c}": F.least(F.col(c), F.lit(more)) for c in ("a", "b")})  # words before those there are
+    moved = lambda places, by: F.transform(places, lambda x: x + F.col(by)).alias(places)
+    size = lambda n, by: (F.col(n) + F.col(by) + more).alias(n)
+    return by.select(
+        "doc_id", "owner", (F.col("a") - F.col("by_a")).alias("a"), size("na", "by_a"), (F.col("b") - F.col("by_b")).alias("b"), size("nb", "by_b"),
+        moved("xs", "by_a"), moved("ys", "by_b"), "ns",
+    )
+
+
 def _with_words(rows: DataFrame, text: DataFrame) -> DataFrame:
     """``rows`` with ``wa``, the ``na`` words from ``a`` on of their documents, and ``wb`` of their owners."""
     part = lambda at, n: F.expr(f"substring(words, 4 * {at} + 1, 4 * {n})")
-    own = rows.join(text.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("wa", part("a", "na")).drop("words", "na")
+    own = rows.join(text.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("wa", part("a", "na")).drop("words")
     owners = having(text, rows.select(F.col("owner").alias("id")).distinct(), "id").withColumnRenamed("id", "owner")
-    return own.join(owners, "owner").withColumn("wb", part("b", "nb")).drop("words", "nb")
+    return own.join(owners, "owner").withColumn("wb", part("b", "nb")).drop("words")
 
 
 def _chain_of(x: Column, y: Column, n: Column, flank: int) -> list[Column]:
@@ -589,10 +650,16 @@ def _passages(docs: DataFrame, min_words: int, similarity: float, k: int, flush_
     a, na, b, nb = _chain_of(x, y, n, FLANK)
     lists = [F.array(x - a).alias("xs"), F.array(y - b).alias("ys"), F.array(n).alias("ns")]
     chain = found.where("size(ns) > 1").unionByName(lone.where("more").select("doc_id", "owner", a, na, b, nb, *lists))
-    rows = _with_words(chain, text).select("doc_id", "owner", "a", "xs", "ys", "ns", "wa", "wb")
-    whole = lone.where("not more").select("doc_id", "owner", x.alias("start"), (x + n).alias("stop"), F.lit(1.0).alias("similarity"))
-    spans = _aligned(rows, similarity, min_words).unionByName(whole)
-    # a document's stretches in order; one that begins where those before it have ended, or nearly, goes on
+    one = lone.where("not more").select("doc_id", "owner", x.alias("start"), (x + n).alias("stop"), F.lit(1.0).alias("similarity"))
+    spans, more = one.where(F.col("stop") - F.col("start") >= min_words), FLANK
+    while chain is not None:
+        columns = ["doc_id", "owner", *[c.split()[0] for c in _CHAIN.split(", ")]]
+        found = stored(_aligned(_with_words(chain.select(*columns), text), similarity, min_words), "stretches")
+        spans = spans.unionByName(found.where(F.col("stop") - F.col("start") >= min_words).select("doc_id", "owner", "start", "stop", "similarity"))
+        more *= WIDER
+        again = found.where("start is null")
+        chain = None if again.isEmpty() else _widened(again, more)
+    # a document's stretches that count, in order; one that begins where those before it have ended, or nearly, goes on
     span = F.sort_array(F.collect_list(F.struct("start", "stop", "owner", "similarity")))
     empty = F.array().cast("array<struct<start:int,stop:int,owners:array<bigint>,similarity:double>>")
     made = lambda start, stop, owners, share: F.array(
@@ -612,7 +679,7 @@ def _passages(docs: DataFrame, min_words: int, similarity: float, k: int, flush_
         return F.when(goes_on, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), longer)).otherwise(F.concat(acc, fresh))
 
     merged = spans.groupBy("doc_id").agg(span.alias("s")).select("doc_id", F.explode(F.aggregate("s", empty, step)).alias("m"))
-    return merged.where(F.col("m.stop") - F.col("m.start") >= min_words).select(
+    return merged.select(
         "doc_id",
         F.col("m.start").alias("start"),
         (F.col("m.stop") - F.col("m.start")).alias("n_words"),
@@ -630,8 +697,8 @@ def passages(
     bucket_seeds: int = BUCKET_SEEDS,
 ) -> DataFrame:
     """One row per repeated passage: doc_id, id (see :func:`with_row_ids`), start and n_words (in words),
-    source_ids (ids of documents that have it, in part or whole, before this one), similarity (the least
-    of its stretches)."""
+    source_ids (ids of documents that have it, or ``min_words`` of it, before this one), similarity (the
+    least of its stretches)."""
     rows = with_row_ids(docs)
     found = _passages(rows.select("id", F.col("row")["text"].alias("text")), min_words, similarity, k, flush_seeds, bucket_seeds)
     found = found.withColumnRenamed("doc_id", "id")
