@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ladderline.llm.common import having, in_small_batches, one_of_each, stored, table, with_row_ids
@@ -333,38 +334,43 @@ def _extend(a: list[int], b: list[int], spare: float = 0.0, cost: float = 4.0) -
                 x, y = x + p, y + q
                 break
         else:
-            p, q, more = _beyond(a[x:], b[y:], spare + same - cost * (max(x, y) - same), cost)
-            if not p:
+            p, q, more = _beyond(a, b, x, y, spare + same - cost * (max(x, y) - same), cost)
+            if p == x:
                 return x, y, same
-            x, y, same = x + p, y + q, same + more
-
-
-def _beyond(a: list[int], b: list[int], spare: float, cost: float) -> tuple[int, int, int]:
-    """The furthest place, behind two equal words, where equal words less ``cost`` an edit and ``spare`` from
-    what lies before still make up for each other. A path that falls ``DROP`` below the best one ends,
-    so unlike text is left after a few words."""
-    best, furthest = 0.0, (0, 0, 0)
-    row = {j: (-cost * j, 0, 0) for j in range(int(min(DROP / cost, len(b))) + 1)}  # b's words taken: score, equal, equal in a row
-    for i, w in enumerate(a):
-        new: dict[int, tuple[float, int, int]] = {}
+            x, y, same = p, q, same + more
+
+
+def _beyond(a: list[int], b: list[int], x: int, y: int, spare: float, cost: float) -> tuple[int, int, int]:
+    """The furthest place from (x, y) on, behind two equal words, where equal words less ``cost`` an edit and
+    ``spare`` from what lies before still make up for each other. A path that falls ``DROP`` below the best
+    one ends, so unlike text is left after a few words."""
+    furthest, edits = (x, y, 0), int(DROP / cost)
+    if not set(a[x : x + edits + 1]) & set(b[y : y + edits + 1]):  # no path lives to see an equal word
+        return furthest
+    best, dead = 0.0, -2.0 * DROP
+    row = {y + j: (-cost * j, 0, 0) for j in range(min(edits, len(b) - y) + 1)}  # b's words taken: score, equal, equal in a row
+    for i in range(x, len(a)):
+        w, new = a[i], {}
         for j, (s, m, run) in row.items():
-            if s - cost > new.get(j, (-DROP * 2,))[0]:
+            if s - cost > (new[j][0] if j in new else dead):
                 new[j] = (s - cost, m, 0)
             if j < len(b):
                 step = (s + 1, m + 1, run + 1) if b[j] == w else (s - cost, m, 0)
-                if step[0] > new.get(j + 1, (-DROP * 2,))[0]:
+                if step[0] > (new[j + 1][0] if j + 1 in new else dead):
                     new[j + 1] = step
         for j in sorted(new):
             s, m, _ = new[j]
-            if j < len(b) and s - cost > new.get(j + 1, (-DROP * 2,))[0]:
+            if j < len(b) and s - cost > (new[j + 1][0] if j + 1 in new else dead):
                 new[j + 1] = (s - cost, m, 0)
-        best = max([best, *(v[0] for v in new.values())])
+        best = max(best, *(v[0] for v in new.values())) if new else best
         row = {j: v for j, v in new.items() if v[0] >= best - DROP}
         if not row:
             break
         j, (s, m, run) = max(row.items(), key=lambda r: (r[1][0], r[0]))
         if run >= 2 and s + spare >= 0:
             furthest = (i + 1, j, m)
+            if run >= 8 and len(row) > 1:  # the way is clear: equal words run on without a search
+                break
     return furthest
 
 
@@ -435,6 +441,10 @@ def stretches(
     """What reaches ``similarity`` along the runs ``at``, as :func:`align` tells it: the whole chain, or
     else its longest such stretch and what is found so on both sides of it. Where a gap holds more words
     of its own than a passage of ``min_words`` may and both sides are passages by themselves, it is cut."""
+    if len(at) == 1:
+        x, y, n = at[0]
+        whole = _whole([[x, x + n, y, y + n]], [], a, b, similarity=similarity)
+        return [whole if _share(whole) >= similarity else (x, x + n, y, y + n, n)]
     blocks, inside = pieces(a, b, at)
     out, todo = [], [(0, len(blocks) - 1)]
     while todo:
@@ -586,32 +596,72 @@ _CHAIN = "a int, na int, b int, nb int, xs array<int>, ys array<int>, ns array<i
 
 
 def _aligned(rows: DataFrame, similarity: float, min_words: int) -> DataFrame:
-    """Stretches of the chains ``rows`` (with their words); or the chain again where an extension came near
-    the last word that was fetched, which isn't the last there is."""
-    schema = f"doc_id long, owner long, start int, stop int, similarity double, {_CHAIN}"
+    """Stretches of the chains ``rows`` (with their words); and the chain again where an extension came near the
+    last word that was fetched, which isn't the last there is: ``before`` and ``after`` are the
+    places of the document where it may go on."""
+    schema = f"doc_id long, owner long, start int, stop int, similarity double, {_CHAIN}, before int, after int, low int, high int"
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.int32()] * 4, *[pa.list_(pa.int32())] * 3]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.int32()] * 4, *[pa.list_(pa.int32())] * 3, *[pa.int32()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for n in range(len(batch)):  # a row at a time: a long document's lists are large
-                doc, owner, a, na, b, nb, xs, ys, ns, wa, wb = (batch.column(c)[n].as_py() for c in ("doc_id", "owner", "a", "na", "b", "nb", "xs", "ys", "ns", "wa", "wb"))
+            plain = (batch.column(c).to_pylist() for c in ("doc_id", "owner", "a", "na", "b", "nb"))
+            large = [batch.column(c) for c in ("xs", "ys", "ns", "wa", "wb")]
+            for n, (doc, owner, a, na, b, nb) in enumerate(zip(*plain)):  # a row's lists at a time: a long document's are large
+                xs, ys, ns, wa, wb = (c[n].as_py() for c in large)
                 la, lb = np.frombuffer(wa, "<u4").tolist(), np.frombuffer(wb, "<u4").tolist()
                 found = stretches(la, lb, list(zip(xs, ys, ns)), similarity, min_words)
+                out += [(doc, owner, a + s[0], a + s[1], _share(s), *[None] * 11) for s in found]
                 # an end in the outer half of the words fetched beyond the runs may go on where there are more
                 left = (a and xs[0] / 2, b and ys[0] / 2)
-                right = [(n + last) / 2 if len(got) == n else n for n, last, got in ((na, xs[-1] + ns[-1], la), (nb, ys[-1] + ns[-1], lb))]
-                if any(s[0] < left[0] or s[2] < left[1] or s[1] > right[0] or s[3] > right[1] for s in found):
-                    out.append((doc, owner, None, None, None, a, na, b, nb, xs, ys, ns))
-                else:
-                    out += [(doc, owner, a + s[0], a + s[1], _share(s), *[None] * 7) for s in found]
+                right = [(size + last) / 2 if len(got) == size else size for size, last, got in ((na, xs[-1] + ns[-1], la), (nb, ys[-1] + ns[-1], lb))]
+                before = after = low = high = None
+                for s in found:
+                    back, on = s[0] < left[0] or s[2] < left[1], s[1] > right[0] or s[3] > right[1]
+                    if (back or on) and s[1] - s[0] < min_words:
+                        low, high = a + s[0], a + s[1]
+                    else:
+                        before, after = a + s[0] if back else before, a + s[1] if on else after
+                if (before, after, low) != (None, None, None):
+                    out.append((doc, owner, None, None, None, a, na, b, nb, xs, ys, ns, before, after, low, high))
             columns = zip(*out) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
+def _islands(spans: DataFrame, min_words: int) -> DataFrame:
+    """Where a document's stretches, counting or not, meet over ``min_words`` or more: doc_id, start, stop."""
+    w = W.partitionBy("doc_id").orderBy("start", "stop")
+    upto = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("start") > upto + BRIDGE, F.lit(True)).cast("int")
+    runs = spans.select("doc_id", "start", "stop", fresh.alias("fresh")).withColumn("run", F.sum("fresh").over(w))
+    found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return found.where(F.col("stop") - F.col("start") >= min_words).drop("run")
+
+
+def _uncovered(chains: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
+    """The chains that go on where no span that counts holds their document's words already: these are taken
+    anyway, by whose chain doesn't matter. A stretch that doesn't count yet (``low`` to ``high``) goes on
+    only within an island, for what it would come to is shared by someone and so in the island too, and
+    unless a span holds all of it but less than a seed at its ends. Of such that begin at one place of the
+    owner and at places of the document less than a seed apart, which is a word said again and again, the
+    first goes on."""
+    listed = lambda rows, name: rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias(name))
+    both = chains.join(listed(spans, "held"), "doc_id", "left").join(listed(islands, "wide"), "doc_id", "left")
+    any_ = lambda name, test: F.exists(F.coalesce(name, F.array().cast("array<struct<start:int,stop:int>>")), test)
+    there = lambda place: any_("held", lambda s: (s["start"] <= place) & (place < s["stop"]))
+    open_ = (F.col("before").isNotNull() & ~there(F.col("before") - 1)) | (F.col("after").isNotNull() & ~there(F.col("after")))
+    short = any_("wide", lambda s: (s["start"] <= F.col("low")) & (s["stop"] >= F.col("high")))
+    short = F.col("low").isNotNull() & short & ~any_("held", lambda s: (s["start"] < F.col("low") + K) & (s["stop"] > F.col("high") - K))
+    x, y = F.col("a") + F.col("xs")[0], F.col("b") + F.col("ys")[0]
+    again = W.partitionBy("doc_id", "owner", y).orderBy(x)
+    some = both.select("*", open_.alias("open_"), short.alias("short_")).where("open_ or short_").drop("held", "wide")
+    some = some.withColumn("first_", F.coalesce(x - F.lag(x).over(again) >= K, F.lit(True)))
+    return some.where("open_ or first_").drop("open_", "short_", "first_")
+
+
 def _widened(chains: DataFrame, more: int) -> DataFrame:
     """The chains with ``more`` words fetched on either side."""
     by = chains.withColumns({f"by_{c}": F.least(F.col(c), F.lit(more)) for c in ("a", "b")})  # words before those there are
@@ -651,13 +701,14 @@ def _passages(docs: DataFrame, min_words: int, similarity: float, k: int, flush_
     lists = [F.array(x - a).alias("xs"), F.array(y - b).alias("ys"), F.array(n).alias("ns")]
     chain = found.where("size(ns) > 1").unionByName(lone.where("more").select("doc_id", "owner", a, na, b, nb, *lists))
     one = lone.where("not more").select("doc_id", "owner", x.alias("start"), (x + n).alias("stop"), F.lit(1.0).alias("similarity"))
-    spans, more = one.where(F.col("stop") - F.col("start") >= min_words), FLANK
+    spans, every, more = one.where(F.col("stop") - F.col("start") >= min_words), one.select("doc_id", "start", "stop"), FLANK
     while chain is not None:
         columns = ["doc_id", "owner", *[c.split()[0] for c in _CHAIN.split(", ")]]
         found = stored(_aligned(_with_words(chain.select(*columns), text), similarity, min_words), "stretches")
         spans = spans.unionByName(found.where(F.col("stop") - F.col("start") >= min_words).select("doc_id", "owner", "start", "stop", "similarity"))
         more *= WIDER
-        again = found.where("start is null")
+        every = every.unionByName(found.where("start is not null").select("doc_id", "start", "stop"))
+        again = stored(_uncovered(found.where("start is null"), spans, _islands(every, min_words)), "chains-that-go-on")
         chain = None if again.isEmpty() else _widened(again, more)
     # a document's stretches that count, in order; one that begins where those before it have ended, or nearly, goes on
     span = F.sort_array(F.collect_list(F.struct("start", "stop", "owner", "similarity")))
