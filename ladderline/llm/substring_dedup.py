@@ -592,7 +592,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(name) for name in ("doc_id", "owner", "x", "y", "n")), pa.array(more)], names=["doc_id", "owner", "x", "y", "n", "more"])
 
 
-_CHAIN = "a int, na int, b int, nb int, xs array<int>, ys array<int>, ns array<int>"
+_CHAIN = "a int, na int, b int, nb int, xs array<int>, ys array<int>, ns array<int>, reach int"
 
 
 def _aligned(rows: DataFrame, similarity: float, min_words: int) -> DataFrame:
@@ -601,18 +601,20 @@ def _aligned(rows: DataFrame, similarity: float, min_words: int) -> DataFrame:
     places of the document where it may go on."""
     schema = f"doc_id long, owner long, start int, stop int, similarity double, {_CHAIN}, before int, after int, low int, high int"
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.int32()] * 4, *[pa.list_(pa.int32())] * 3, *[pa.int32()] * 4]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.int32()] * 4, *[pa.list_(pa.int32())] * 3, *[pa.int32()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            plain = (batch.column(c).to_pylist() for c in ("doc_id", "owner", "a", "na", "b", "nb"))
+            plain = (batch.column(c).to_pylist() for c in ("doc_id", "owner", "a", "na", "b", "nb", "reach"))
             large = [batch.column(c) for c in ("xs", "ys", "ns", "wa", "wb")]
-            for n, (doc, owner, a, na, b, nb) in enumerate(zip(*plain)):  # a row's lists at a time: a long document's are large
+            for n, (doc, owner, a, na, b, nb, reach) in enumerate(zip(*plain)):  # a row's lists at a time: a long document's are large
                 xs, ys, ns, wa, wb = (c[n].as_py() for c in large)
                 la, lb = np.frombuffer(wa, "<u4").tolist(), np.frombuffer(wb, "<u4").tolist()
                 found = stretches(la, lb, list(zip(xs, ys, ns)), similarity, min_words)
-                out += [(doc, owner, a + s[0], a + s[1], _share(s), *[None] * 11) for s in found]
+                # what counts for the first of a word said again and again counts up to the last
+                last = [max(s[1], xs[0] + reach) if reach and s[1] - s[0] >= min_words else s[1] for s in found]
+                out += [(doc, owner, a + s[0], a + e, _share(s), *[None] * 12) for s, e in zip(found, last)]
                 # an end in the outer half of the words fetched beyond the runs may go on where there are more
                 left = (a and xs[0] / 2, b and ys[0] / 2)
                 right = [(size + last) / 2 if len(got) == size else size for size, last, got in ((na, xs[-1] + ns[-1], la), (nb, ys[-1] + ns[-1], lb))]
@@ -624,42 +626,34 @@ def _aligned(rows: DataFrame, similarity: float, min_words: int) -> DataFrame:
                     else:
                         before, after = a + s[0] if back else before, a + s[1] if on else after
                 if (before, after, low) != (None, None, None):
-                    out.append((doc, owner, None, None, None, a, na, b, nb, xs, ys, ns, before, after, low, high))
+                    out.append((doc, owner, None, None, None, a, na, b, nb, xs, ys, ns, reach, before, after, low, high))
             columns = zip(*out) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _islands(spans: DataFrame, min_words: int) -> DataFrame:
-    """Where a document's stretches, counting or not, meet over ``min_words`` or more: doc_id, start, stop."""
-    w = W.partitionBy("doc_id").orderBy("start", "stop")
-    upto = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.coalesce(F.col("start") > upto + BRIDGE, F.lit(True)).cast("int")
-    runs = spans.select("doc_id", "start", "stop", fresh.alias("fresh")).withColumn("run", F.sum("fresh").over(w))
-    found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    return found.where(F.col("stop") - F.col("start") >= min_words).drop("run")
-
-
-def _uncovered(chains: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
+def _uncovered(chains: DataFrame, spans: DataFrame) -> DataFrame:
     """The chains that go on where no span that counts holds their document's words already: these are taken
     anyway, by whose chain doesn't matter. A stretch that doesn't count yet (``low`` to ``high``) goes on
-    only within an island, for what it would come to is shared by someone and so in the island too, and
-    unless a span holds all of it but less than a seed at its ends. Of such that begin at one place of the
-    owner and at places of the document less than a seed apart, which is a word said again and again, the
-    first goes on."""
-    listed = lambda rows, name: rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias(name))
-    both = chains.join(listed(spans, "held"), "doc_id", "left").join(listed(islands, "wide"), "doc_id", "left")
-    any_ = lambda name, test: F.exists(F.coalesce(name, F.array().cast("array<struct<start:int,stop:int>>")), test)
-    there = lambda place: any_("held", lambda s: (s["start"] <= place) & (place < s["stop"]))
+    unless a span holds all of it but less than a seed at its ends."""
+    held = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("held"))
+    any_ = lambda test: F.exists(F.coalesce("held", F.array().cast("array<struct<start:int,stop:int>>")), test)
+    there = lambda place: any_(lambda s: (s["start"] <= place) & (place < s["stop"]))
     open_ = (F.col("before").isNotNull() & ~there(F.col("before") - 1)) | (F.col("after").isNotNull() & ~there(F.col("after")))
-    short = any_("wide", lambda s: (s["start"] <= F.col("low")) & (s["stop"] >= F.col("high")))
-    short = F.col("low").isNotNull() & short & ~any_("held", lambda s: (s["start"] < F.col("low") + K) & (s["stop"] > F.col("high") - K))
-    x, y = F.col("a") + F.col("xs")[0], F.col("b") + F.col("ys")[0]
-    again = W.partitionBy("doc_id", "owner", y).orderBy(x)
-    some = both.select("*", open_.alias("open_"), short.alias("short_")).where("open_ or short_").drop("held", "wide")
-    some = some.withColumn("first_", F.coalesce(x - F.lag(x).over(again) >= K, F.lit(True)))
-    return some.where("open_ or first_").drop("open_", "short_", "first_")
+    short = F.col("low").isNotNull() & ~any_(lambda s: (s["start"] < F.col("low") + K) & (s["stop"] > F.col("high") - K))
+    return chains.join(held, "doc_id", "left").where(open_ | short).drop("held")
+
+
+def _once(lone: DataFrame) -> DataFrame:
+    """Chains of one run with ``reach``. Runs of a document that are matched with one place of the owner and
+    begin less than a seed apart are a word, or a few, said again and again. The first stands for them
+    all; ``reach`` is how far from its place the last one ends."""
+    again = W.partitionBy("doc_id", "owner", "y").orderBy("x")
+    rows = lone.withColumn("new", F.coalesce(F.col("x") - F.lag("x").over(again) >= K, F.lit(True)).cast("int"))
+    rows = rows.withColumn("no", F.sum("new").over(again))
+    first = rows.groupBy("doc_id", "owner", "y", "no").agg(F.min("x").alias("x"), F.min_by("n", "x").alias("n"), F.max(F.col("x") + F.col("n")).alias("end"))
+    return first.select("doc_id", "owner", "x", "y", "n", (F.col("end") - F.col("x")).alias("reach"))
 
 
 def _widened(chains: DataFrame, more: int) -> DataFrame:
@@ -669,7 +663,7 @@ def _widened(chains: DataFrame, more: int) -> DataFrame:
     size = lambda n, by: (F.col(n) + F.col(by) + more).alias(n)
     return by.select(
         "doc_id", "owner", (F.col("a") - F.col("by_a")).alias("a"), size("na", "by_a"), (F.col("b") - F.col("by_b")).alias("b"), size("nb", "by_b"),
-        moved("xs", "by_a"), moved("ys", "by_b"), "ns",
+        moved("xs", "by_a"), moved("ys", "by_b"), "ns", "reach",
     )
 
 
@@ -699,16 +693,16 @@ def _passages(docs: DataFrame, min_words: int, similarity: float, k: int, flush_
     lone = stored(lone.mapInArrow(_ends, "doc_id long, owner long, x int, y int, n int, more boolean"), "ends")
     a, na, b, nb = _chain_of(x, y, n, FLANK)
     lists = [F.array(x - a).alias("xs"), F.array(y - b).alias("ys"), F.array(n).alias("ns")]
-    chain = found.where("size(ns) > 1").unionByName(lone.where("more").select("doc_id", "owner", a, na, b, nb, *lists))
+    several = _once(lone.where("more")).select("doc_id", "owner", a, na, b, nb, *lists, "reach")
+    chain = found.where("size(ns) > 1").withColumn("reach", F.lit(0)).unionByName(several)
     one = lone.where("not more").select("doc_id", "owner", x.alias("start"), (x + n).alias("stop"), F.lit(1.0).alias("similarity"))
-    spans, every, more = one.where(F.col("stop") - F.col("start") >= min_words), one.select("doc_id", "start", "stop"), FLANK
+    spans, more = one.where(F.col("stop") - F.col("start") >= min_words), FLANK
     while chain is not None:
         columns = ["doc_id", "owner", *[c.split()[0] for c in _CHAIN.split(", ")]]
         found = stored(_aligned(_with_words(chain.select(*columns), text), similarity, min_words), "stretches")
         spans = spans.unionByName(found.where(F.col("stop") - F.col("start") >= min_words).select("doc_id", "owner", "start", "stop", "similarity"))
         more *= WIDER
-        every = every.unionByName(found.where("start is not null").select("doc_id", "start", "stop"))
-        again = stored(_uncovered(found.where("start is null"), spans, _islands(every, min_words)), "chains-that-go-on")
+        again = stored(_uncovered(found.where("start is null"), spans), "chains-that-go-on")
         chain = None if again.isEmpty() else _widened(again, more)
     # a document's stretches that count, in order; one that begins where those before it have ended, or nearly, goes on
     span = F.sort_array(F.collect_list(F.struct("start", "stop", "owner", "similarity")))
