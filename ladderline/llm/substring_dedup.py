@@ -670,7 +670,8 @@ def _widened(chains: DataFrame, more: int) -> DataFrame:
 def _with_words(rows: DataFrame, text: DataFrame) -> DataFrame:
     """``rows`` with ``wa``, the ``na`` words from ``a`` on of their documents, and ``wb`` of their owners."""
     part = lambda at, n: F.expr(f"substring(words, 4 * {at} + 1, 4 * {n})")
-    own = rows.join(text.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("wa", part("a", "na")).drop("words")
+    own_text = having(text, rows.select(F.col("doc_id").alias("id")).distinct(), "id").withColumnRenamed("id", "doc_id")
+    own = rows.join(own_text, "doc_id").withColumn("wa", part("a", "na")).drop("words")
     owners = having(text, rows.select(F.col("owner").alias("id")).distinct(), "id").withColumnRenamed("id", "owner")
     return own.join(owners, "owner").withColumn("wb", part("b", "nb")).drop("words")
 
