@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ladderline.functions import clean, confidence, is_pro
 from ladderline.operators import asof, elo, metrics, pools, profile, records, rosters, teams
-from ladderline.plans import dataset, models, serving
+from ladderline.plans import dataset, models, replay, serving
 from ladderline.plans import views as v
 from ladderline.streaming import streams
 
@@ -404,6 +404,40 @@ def roster_periods(spark, d):
     return rosters.roster_periods(v.players(spark, d))
 
 
+TOLD = """told AS (SELECT team_id, account_id, min(valid_from) - INTERVAL 10 DAY changed_at, 'joined' change_type FROM roster WHERE account_id % 3 < 2 GROUP BY ALL
+ UNION ALL SELECT team_id, account_id, min(valid_from) + INTERVAL 200 DAY, 'left' FROM roster WHERE account_id % 3 = 0 GROUP BY ALL)"""
+
+
+def _told(spark, d):
+    """Roster events made from the played lineups: an account in three joins and leaves, one joins, one is never told of."""
+    first = rosters.roster_periods(v.players(spark, d)).groupBy("team_id", "account_id").agg(F.min("valid_from").alias("f"))
+    event = lambda at, kind: F.struct((F.col("f") + F.expr(at)).alias("changed_at"), F.lit(kind).alias("change_type"))
+    joined, left = event("interval -10 days", "joined"), event("interval 200 days", "left")
+    all_ = F.when(F.col("account_id") % 3 == 0, F.array(joined, left)).when(F.col("account_id") % 3 == 1, F.array(joined))
+    return first.select("team_id", "account_id", F.inline(all_))
+
+
+@query(
+    """SELECT team_id, account_id, min(at) valid_from, nullif(max(until), TIMESTAMP '9999-12-31') valid_to, first(source) source, CASE first(source) WHEN 'both' THEN 1.0 WHEN 'events' THEN 0.8 ELSE 0.6 END::DOUBLE confidence
+ FROM (SELECT *, sum(fresh) OVER (PARTITION BY team_id, account_id ORDER BY at) run FROM (SELECT *, (source IS DISTINCT FROM lag(source) OVER (PARTITION BY team_id, account_id ORDER BY at) OR row_number() OVER (PARTITION BY team_id, account_id ORDER BY at) = 1)::INT fresh FROM state)) WHERE source IS NOT NULL GROUP BY team_id, account_id, run""",
+    CONTESTS, CHILDREN, PLAYERS, ROSTERS, TOLD,
+    """spans AS (SELECT j.team_id, j.account_id, j.changed_at f, coalesce(l.changed_at, TIMESTAMP '9999-12-31') t, 1 told, 0 seen FROM told j LEFT JOIN told l ON l.team_id = j.team_id AND l.account_id = j.account_id AND l.change_type = 'left' WHERE j.change_type = 'joined'
+ UNION ALL SELECT team_id, account_id, valid_from, greatest(coalesce(valid_to, TIMESTAMP '9999-12-31'), valid_from + INTERVAL 1 MICROSECOND), 0, 1 FROM roster)""",
+    "marks AS (SELECT team_id, account_id, at, sum(told) told, sum(seen) seen FROM (SELECT team_id, account_id, f at, told, seen FROM spans UNION ALL SELECT team_id, account_id, t, -told, -seen FROM spans) GROUP BY ALL)",
+    """state AS (SELECT team_id, account_id, at, until, CASE WHEN a > 0 AND b > 0 THEN 'both' WHEN a > 0 THEN 'events' WHEN b > 0 THEN 'lineups' END source FROM (SELECT *, lead(at) OVER w until, sum(told) OVER w a, sum(seen) OVER w b FROM marks WINDOW w AS (PARTITION BY team_id, account_id ORDER BY at)) WHERE until IS NOT NULL)""",
+)
+def roster_merged(spark, d):
+    return rosters.merged_periods(_told(spark, d), rosters.roster_periods(v.players(spark, d)))
+
+
+@query(
+    "SELECT DISTINCT p.team_id, p.account_id, p.start_time at, 'played after leaving' problem FROM players p JOIN told l ON l.team_id = p.team_id AND l.account_id = p.account_id AND l.change_type = 'left' AND p.start_time >= l.changed_at",
+    CONTESTS, CHILDREN, PLAYERS, ROSTERS, TOLD,
+)
+def roster_contradictions(spark, d):
+    return rosters.roster_contradictions(_told(spark, d), v.players(spark, d))
+
+
 @query("SELECT team_id, count(*) members FROM roster WHERE valid_from <= TIMESTAMP '1998-06-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1998-06-01') GROUP BY 1", CONTESTS, CHILDREN, PLAYERS, ROSTERS)
 def roster_at_date(spark, d):
     at = F.lit("1998-06-01").cast("timestamp_ntz")
@@ -532,6 +566,31 @@ def roc_auc(spark, d):
     return metrics.roc_auc(v.forecasts(spark, d)).select(*r6("roc_auc"))
 
 
+def _two_forecasts(spark, d):
+    """The ratings' forecasts p and the stand-in's q of the same contests."""
+    q = v.forecasts(spark, d).select("match_id", F.col("p").alias("q"))
+    return models.backtest(v.pro_contests(spark, d)).select("match_id", "p", "won").join(q, "match_id")
+
+
+_PLACE = "CASE WHEN won THEN (sum((NOT won)::INT) OVER (ORDER BY {0} RANGE UNBOUNDED PRECEDING) - sum((NOT won)::INT) OVER (PARTITION BY {0}) / 2.0) / n ELSE (m - sum(won::INT) OVER (ORDER BY {0} RANGE UNBOUNDED PRECEDING) + sum(won::INT) OVER (PARTITION BY {0}) / 2.0) / m END v{0}"
+
+
+@query(
+    """SELECT round(a, 6) auc_p, round(b, 6) auc_q, round(a - b, 6) difference, round(s, 9) variance, round((a - b) / sqrt(s), 4) z, round(a - b - 1.959963984540054 * sqrt(s), 6) low, round(a - b + 1.959963984540054 * sqrt(s), 6) high
+ FROM (SELECT avg(vp) FILTER (won) a, avg(vq) FILTER (won) b, var_samp(vp - vq) FILTER (won) / count(*) FILTER (won) + var_samp(vp - vq) FILTER (NOT won) / count(*) FILTER (NOT won) s FROM placed)""",
+    CONTESTS, ELO, "two AS (SELECT p, 0.5 + (radiant_team_id - dire_team_id) / 60 q, radiant_win won FROM elo)",
+    "sizes AS (SELECT count(*) FILTER (won) m, count(*) FILTER (NOT won) n FROM two)",
+    f"placed AS (SELECT won, {_PLACE.format('p')}, {_PLACE.format('q')} FROM two, sizes)",
+)
+def model_comparison(spark, d):
+    return metrics.delong(_two_forecasts(spark, d)).select(*r6("auc_p", "auc_q", "difference"), F.round("variance", 9).alias("variance"), F.round("z", 4).alias("z"), *r6("low", "high"))
+
+
+@query()
+def model_bootstrap(spark, d):
+    return metrics.paired_bootstrap(_two_forecasts(spark, d))
+
+
 @query("SELECT round(t / (t + f)::DOUBLE, 6) \"precision\", round(t / (t + n)::DOUBLE, 6) recall, round(2 * t / (2 * t + f + n)::DOUBLE, 6) f1 FROM (SELECT sum((p >= 0.5 AND won)::INT) t, sum((p >= 0.5 AND NOT won)::INT) f, sum((p < 0.5 AND won)::INT) n FROM f)", CONTESTS, FORECASTS)
 def precision_recall(spark, d):
     return metrics.confusion(v.forecasts(spark, d)).select(*r6("precision", "recall", "f1"))
@@ -661,6 +720,18 @@ def elo_by_pool(spark, d):
     return elo.rated(v.worlds(spark, d)).select("match_id", *r6("radiant_pre", "dire_pre"))
 
 
+@query(
+    """SELECT t.team_id, round(elo, 6) elo, round(w, 6) recent_winrate, k matches_played_before, last_match, array_to_string(lineup, '-') lineup
+ FROM (SELECT team_id, max_by(rating_after, n) elo, count(*) k, max(start_time) last_match, avg(won::INT) FILTER (back <= 5) w FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY n DESC) back FROM log WHERE start_time < TIMESTAMP '1999-01-01') GROUP BY 1) t
+ LEFT JOIN (SELECT team_id, lineup FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY start_time DESC, match_id DESC) r FROM sides WHERE start_time < TIMESTAMP '1999-01-01') WHERE r = 1) l ON l.team_id = t.team_id""",
+    CONTESTS, CHILDREN, PLAYERS, SIDES, elo_sql("contests"),
+)
+def state_asof(spark, d):
+    out = replay.replayed(v.contests(spark, d), v.players(spark, d), "1999-01-01")
+    lineup = F.array_join(F.col("lineup").cast("array<string>"), "-").alias("lineup")
+    return out.select("team_id", *r6("elo", "recent_winrate"), "matches_played_before", "last_match", lineup)
+
+
 @query()
 def glicko2(spark, d):
     return elo.glicko2(v.pro_contests(spark, d))
@@ -758,9 +829,16 @@ def form_series(spark, d):
     return serving.form_series(v.pro_contests(spark, d), 3).select("match_id", "start_time", *r6("elo_after", "recent_winrate_10"))
 
 
-@query()
+@query(
+    """SELECT e.match_id, e.start_time, e.radiant_team_id, e.dire_team_id, round(1 / (1 + pow(10, (coalesce(b.r, 1000) - coalesce(a.r, 1000)) / 400)), 6) probability,
+ CASE WHEN abs(1 / (1 + pow(10, (coalesce(b.r, 1000) - coalesce(a.r, 1000)) / 400)) - 0.5) < 0.07 THEN 'low' WHEN abs(1 / (1 + pow(10, (coalesce(b.r, 1000) - coalesce(a.r, 1000)) / 400)) - 0.5) < 0.20 THEN 'medium' ELSE 'high' END confidence,
+ round(coalesce(a.r, 1000) - coalesce(b.r, 1000), 4) elo_difference FROM elo e LEFT JOIN known a ON a.team_id = e.radiant_team_id LEFT JOIN known b ON b.team_id = e.dire_team_id WHERE e.start_time >= TIMESTAMP '2000-01-01'""",
+    CONTESTS, ELO, "known AS (SELECT team_id, max_by(rating_after, n) r FROM log WHERE start_time < TIMESTAMP '2000-01-01' GROUP BY 1)",
+)
 def predictions(spark, d):
-    return serving.predict(v.pro_contests(spark, d), "2000-01-01")
+    out = serving.predict(v.pro_contests(spark, d), "2000-01-01")
+    why = F.get_json_object("explanation", "$.contribution.elo_difference").cast("double")
+    return out.select("match_id", "start_time", "radiant_team_id", "dire_team_id", *r6("probability"), "confidence", F.round(why, 4).alias("elo_difference"))
 
 
 # Streams: the same results from micro-batches

@@ -14,7 +14,7 @@ import sys
 from datetime import UTC, datetime
 
 from ladderline.sources.feed import file_feed
-from ladderline.sources.health import source_report
+from ladderline.sources.health import service_report, source_report
 
 
 def _feed(a):
@@ -46,7 +46,8 @@ def main(args: list[str] | None = None) -> int:
     a = p.parse_args(args)
 
     if a.command == "check":
-        report = source_report(_feed(a), a.sample)
+        get = _feed(a)
+        report = source_report(get, a.sample) + (service_report(get) if a.source == "live" else [])
         print(json.dumps({"checks": report}))
         return int(any(c["status"] == "FAILED" for c in report))
 

@@ -66,16 +66,63 @@ def confusion(rows: DataFrame) -> DataFrame:
     return t.select(precision.alias("precision"), recall.alias("recall"), (2 * precision * recall / (precision + recall)).alias("f1"))
 
 
-def bootstrap(rows: DataFrame, key: str = "match_id", times: int = 50) -> DataFrame:
-    """Brier score of ``times`` Poisson bootstrap replicates; weights come from hashes, so it is one pass."""
-    u = F.pmod(F.xxhash64(key, F.col("replicate")), F.lit(1_000_000)) / 1_000_000
-    weight = F.lit(0)
-    total = 0.0
-    term = 2.718281828459045**-1
+def _placed(rows: DataFrame, p: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the share of the other class that a row's forecast is right of (ties half).
+    Counts per distinct forecast are ordered within ranges, as for :func:`roc_auc`; no row meets another."""
+    per = rows.groupBy(p).agg(F.sum(_y()).alias("pos_"), F.sum(1 - _y()).alias("neg_")).withColumn("bin_", F.floor(F.col(p) * ROC_BINS))
+    bins = per.groupBy("bin_").agg(F.sum("pos_").alias("p_"), F.sum("neg_").alias("n_"))  # at most ROC_BINS rows and one
+    before, all_ = W.orderBy("bin_").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}base") for c in ("p_", "n_")]
+    per = per.join(F.broadcast(bins.select("bin_", *sums, *[F.sum(c).over(all_).alias(f"{c}all") for c in ("p_", "n_")])), "bin_")
+    line = W.partitionBy("bin_").orderBy(p).rowsBetween(W.unboundedPreceding, -1)
+    below = lambda c, base: F.col(base) + F.coalesce(F.sum(c).over(line), F.lit(0.0)) + F.col(c) / 2
+    per = per.select(p, (below("neg_", "n_base") / F.col("n_all")).alias("over_"), (1 - below("pos_", "p_base") / F.col("p_all")).alias("under_"))
+    return rows.join(per, p).withColumn(name, F.when(F.col("won"), F.col("over_")).otherwise(F.col("under_"))).drop("over_", "under_")
+
+
+def delong(rows: DataFrame) -> DataFrame:
+    """Of rows (p, q, won) one row: both AUCs, their difference, its variance by DeLong's placements, z and
+    the 95 % interval. The two AUCs are of the same rows, so their covariance is in the variance; z is null
+    where that is zero."""
+    both = _placed(_placed(rows, "p", "vp"), "q", "vq").withColumn("d", F.col("vp") - F.col("vq"))
+    won, lost = F.col("won"), ~F.col("won")
+    of = lambda c, when: F.when(when, F.col(c))
+    t = both.agg(
+        F.avg(of("vp", won)).alias("auc_p"), F.avg(of("vq", won)).alias("auc_q"),
+        (F.try_divide(F.var_samp(of("d", won)), F.count_if(won)) + F.try_divide(F.var_samp(of("d", lost)), F.count_if(lost))).alias("variance"),
+    )
+    gap, sd = F.col("auc_p") - F.col("auc_q"), F.sqrt("variance")
+    return t.select("auc_p", "auc_q", gap.alias("difference"), "variance", F.try_divide(gap, sd).alias("z"), (gap - 1.959963984540054 * sd).alias("low"), (gap + 1.959963984540054 * sd).alias("high"))
+
+
+def poisson_weight(key: str, replicate: Column) -> Column:
+    """How often a row is in a replicate: Poisson of mean one, by a hash, so a rerun agrees."""
+    u = F.pmod(F.xxhash64(key, replicate), F.lit(1_000_000)) / 1_000_000
+    weight, total, term = F.lit(0), 0.0, 2.718281828459045**-1
     for k in range(1, 8):
         total += term
         weight = weight + (u > total).cast("int")
         term /= k
-    each = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("w", weight)
+    return weight
+
+
+def _replicated(rows: DataFrame, key: str, times: int) -> DataFrame:
+    each = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    return each.withColumn("w", poisson_weight(key, F.col("replicate"))).where("w > 0")
+
+
+def bootstrap(rows: DataFrame, key: str = "match_id", times: int = 50) -> DataFrame:
+    """Brier score of ``times`` Poisson bootstrap replicates; weights come from hashes, so it is one pass."""
     loss = F.pow(F.col("p") - _y(), F.lit(2.0))
-    return each.groupBy("replicate").agg((F.sum(F.col("w") * loss) / F.sum("w")).alias("brier"))
+    return _replicated(rows, key, times).groupBy("replicate").agg((F.sum(F.col("w") * loss) / F.sum("w")).alias("brier"))
+
+
+def paired_bootstrap(rows: DataFrame, key: str = "match_id", times: int = 200, level: float = 0.95) -> DataFrame:
+    """Of rows (key, p, q, won) one row: the Brier score of p less that of q, its percentile interval over
+    replicates that weigh both forecasts of a row alike, and the share of replicates where p is better.
+    The interval is of ``times`` numbers."""
+    gap = F.pow(F.col("p") - _y(), F.lit(2.0)) - F.pow(F.col("q") - _y(), F.lit(2.0))
+    per = _replicated(rows, key, times).groupBy("replicate").agg((F.sum(F.col("w") * gap) / F.sum("w")).alias("gap"))
+    tail = (1 - level) / 2
+    spread = per.agg(F.percentile("gap", [tail, 1 - tail]).alias("q"), F.avg((F.col("gap") < 0).cast("int")).alias("better"), F.count("*").alias("replicates"))
+    return rows.agg(F.avg(gap).alias("difference")).crossJoin(F.broadcast(spread)).select("difference", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "better", "replicates")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -15,12 +14,14 @@ def null_fractions(df: DataFrame) -> DataFrame:
 
 
 def shape(df: DataFrame) -> DataFrame:
-    """(column, rows, distinct) for every column: rows of the table and values of the column, null apart."""
-    def one(c: str) -> DataFrame:
-        values = df.groupBy(F.col(f"`{c}`").alias("value")).agg(F.count("*").alias("n"))
-        return values.agg(F.lit(c).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("value").alias("distinct"))
-
-    return reduce(DataFrame.union, map(one, df.columns)).select("column", "rows", "distinct")
+    """(column, rows, distinct) for every column: rows of the table and values of the column, null apart.
+    One scan and one shuffle for all columns; values are told apart by their text."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])
+    values = df.select(F.inline(cells)).groupBy("column", "value").agg(F.count("*").alias("n"))
+    found = values.groupBy("column").agg(F.sum("n").alias("rows"), F.count("value").alias("distinct"))
+    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")  # an empty table has its columns all the same
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return names.join(found, "column", "left").select("column", zero("rows"), zero("distinct"))
 
 
 def class_balance(df: DataFrame, column: str) -> DataFrame:
@@ -29,15 +30,60 @@ def class_balance(df: DataFrame, column: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(column, "n", (F.col("n") / F.col("total")).alias("share"))  # one row
 
 
-def describe(df: DataFrame, *columns: str) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each column."""
-    out = None
+#: Ranks that a bracket may lie beside a quantile: rows / ACCURACY.
+ACCURACY = 10_000
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float], accuracy: int = ACCURACY) -> tuple[DataFrame, dict]:
+    """Exact interpolated quantiles: (column, share, value), and the first scan's figures of each column.
+
+    The first scan brackets each quantile of all columns by Spark's quantile sketch, whose rank error is
+    known. The second counts what lies below a bracket and the values inside, a few in ``accuracy`` of the
+    rows, and selects among these.
+    """
+    near = sorted({min(max(p + by, 0.0), 1.0) for p in shares for by in (-2 / accuracy, 2 / accuracy)})
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    figures = lambda c: F.struct(
+        F.count(value(c)).alias("n"), F.avg(value(c)).alias("mean"), F.stddev_samp(value(c)).alias("std"), F.min(value(c)).alias("min"), F.max(value(c)).alias("max"),
+        F.percentile_approx(value(c), near, accuracy).alias("near"),
+    )
+    first = df.agg(*[figures(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    seen = {c: first[f"c{i}"] for i, c in enumerate(columns)}
+    cells, asked = [], []
     for c in columns:
-        q = F.percentile(c, [0.25, 0.5, 0.75])
-        row = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q.alias("q"), F.max(c).alias("max"))
-        row = row.select(F.lit(c).alias("column"), "n", "mean", "std", "min", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "max")
-        out = row if out is None else out.unionByName(row)
-    return out
+        if not seen[c]["n"]:
+            continue
+        at = dict(zip(near, seen[c]["near"]))
+        for p in shares:
+            lo, hi = (at[min(max(p + by, 0.0), 1.0)] for by in (-2 / accuracy, 2 / accuracy))
+            v = value(c)
+            side = F.when(v < lo, -1).when(v > hi, 1).when(v.isNotNull(), 0)
+            inside = F.when((v >= lo) & (v <= hi), v)
+            cells.append(F.struct(F.lit(c).alias("column"), F.lit(p).alias("share"), side.alias("side"), inside.alias("inside"), v.alias("v")))
+            asked.append((c, p, float(p * (seen[c]["n"] - 1))))
+    spark = df.sparkSession
+    if not cells:
+        return spark.createDataFrame([], "column string, share double, value double"), seen
+    counts = df.select(F.inline(F.array(*cells))).where("side is not null").groupBy("column", "share", "side", "inside")
+    counts = counts.agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    w = W.partitionBy("column", "share").orderBy("side", "inside")  # the values inside a bracket
+    upto = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))
+    ranked = counts.withColumn("last", upto - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+    both = ranked.join(F.broadcast(spark.createDataFrame(asked, "column string, share double, at double")), ["column", "share"])
+    # what lies beside a bracket is known by its nearest value: the greatest below, the least above
+    held = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least"))))
+    low, high = held(F.floor("at")), held(F.ceil("at"))
+    part = F.first("at") - F.floor(F.first("at"))
+    return both.groupBy("column", "share").agg((low + (high - low) * part).alias("value")), seen
+
+
+def describe(df: DataFrame, *columns: str) -> DataFrame:
+    """count, mean, std, min, quartiles and max of each column: two scans, however many columns."""
+    found, seen = quantiles(df, list(columns), [0.25, 0.5, 0.75])
+    rows = [(c, s["n"], s["mean"], s["std"], s["min"], s["max"]) for c, s in seen.items()]
+    base = df.sparkSession.createDataFrame(rows, "column string, n long, mean double, std double, min double, max double")
+    wide = found.groupBy("column").agg(*[F.max(F.when(F.col("share") == p, F.col("value"))).alias(f"p{int(100 * p)}") for p in (0.25, 0.5, 0.75)])
+    return base.join(wide, "column", "left").select("column", "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def coverage(matches: DataFrame, key, name: str) -> DataFrame:

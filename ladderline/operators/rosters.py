@@ -84,6 +84,62 @@ def overlaps(periods: DataFrame) -> DataFrame:
     return periods.withColumn("before_", before).where("before_ > valid_from").drop("before_")
 
 
+#: How far a period is trusted by what tells of it.
+CONFIDENCE = {"both": 1.0, "events": 0.8, "lineups": 0.6}
+
+
+def _event_periods(events: DataFrame) -> DataFrame:
+    """(team_id, account_id, valid_from, valid_to) between joining and leaving. Told twice counts once; who
+    leaves without having joined has no period."""
+    w = W.partitionBy("team_id", "account_id").orderBy("changed_at", "change_type")
+    turns = events.where(F.col("change_type").isin("joined", "left")).withColumn("last_", F.lag("change_type").over(w))
+    turns = turns.where("last_ is null or last_ <> change_type").withColumn("valid_to", F.lead("changed_at").over(w))
+    return turns.where("change_type = 'joined'").select("team_id", "account_id", F.col("changed_at").alias("valid_from"), "valid_to")
+
+
+def merged_periods(events: DataFrame, observed: DataFrame) -> DataFrame:
+    """Membership told by roster ``events`` (team_id, account_id, changed_at, change_type) and seen in played
+    lineups (:func:`roster_periods`): team_id, account_id, valid_from, valid_to (null: open), source (both,
+    events or lineups), confidence. Periods of an account in a team don't overlap.
+
+    A sweep: both kinds begin and end at points; between two of an account's points in order, running sums
+    say which kinds hold. Neighbours that say the same are one period. One partitioning, no range join.
+    """
+    open_ = F.lit("9999-12-31").cast("timestamp_ntz")
+
+    def points(periods: DataFrame, kind: str) -> DataFrame:
+        # a contest alone is a period without length: it holds for the microsecond it is seen at
+        end = F.greatest(F.coalesce("valid_to", open_), F.col("valid_from") + F.expr(f"interval {int(kind == 'seen')} microsecond"))
+        ends = F.array(F.struct(F.col("valid_from").alias("at"), F.lit(1).alias("step")), F.struct(end.alias("at"), F.lit(-1).alias("step")))
+        steps = [(F.col("step") if k == kind else F.lit(0)).alias(k) for k in ("told", "seen")]
+        return periods.select("team_id", "account_id", F.inline(ends)).select("team_id", "account_id", "at", *steps)
+
+    both = points(_event_periods(events), "told").unionByName(points(observed.select("team_id", "account_id", "valid_from", "valid_to"), "seen"))
+    both = both.groupBy("team_id", "account_id", "at").agg(F.sum("told").alias("told"), F.sum("seen").alias("seen"))
+    w = W.partitionBy("team_id", "account_id").orderBy("at")
+    held = both.select("team_id", "account_id", "at", F.lead("at").over(w).alias("until"), (F.sum("told").over(w) > 0).alias("told"), (F.sum("seen").over(w) > 0).alias("seen"))
+    held = held.where("until is not null").withColumn("source", F.when(F.col("told") & F.col("seen"), "both").when(F.col("told"), "events").when(F.col("seen"), "lineups"))
+    held = held.withColumn("fresh", F.coalesce(~F.col("source").eqNullSafe(F.lag("source").over(w)), F.lit(True)).cast("int"))
+    runs = held.withColumn("run", F.sum("fresh").over(w)).where("source is not null")
+    out = runs.groupBy("team_id", "account_id", "run").agg(F.min("at").alias("valid_from"), F.max("until").alias("until"), F.first("source").alias("source"))
+    trust = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
+    return out.select("team_id", "account_id", "valid_from", F.nullif("until", open_).alias("valid_to"), "source", trust[F.col("source")].alias("confidence"))
+
+
+def roster_contradictions(events: DataFrame, players: DataFrame) -> DataFrame:
+    """team_id, account_id, at, problem: contests played after leaving (a stand-in may), and accounts that
+    leave what they haven't joined."""
+    w = W.partitionBy("team_id", "account_id").orderBy("changed_at", "change_type")
+    turns = events.where(F.col("change_type").isin("joined", "left"))
+    lost = turns.withColumn("last_", F.lag("change_type").over(w)).where("last_ is null and change_type = 'left'")
+    lost = lost.select("team_id", "account_id", F.col("changed_at").alias("at"), F.lit("left without having joined").alias("problem"))
+    told = events.select("team_id", "account_id", F.col("changed_at").alias("at"), F.col("change_type").alias("last_"), F.lit(0).alias("played"))
+    seen = players.where("account_id is not null").select("team_id", "account_id", F.col("start_time").alias("at"), F.lit(None).cast("string").alias("last_"), F.lit(1).alias("played")).distinct()
+    line = W.partitionBy("team_id", "account_id").orderBy("at", "played").rowsBetween(W.unboundedPreceding, 0)
+    both = told.unionByName(seen).withColumn("state", F.last("last_", ignorenulls=True).over(line)).where("played = 1 and state = 'left'")
+    return lost.unionByName(both.select("team_id", "account_id", "at", F.lit("played after leaving").alias("problem")))
+
+
 def roster_at(periods: DataFrame, at: Column) -> DataFrame:
     """Members at a time: valid_from <= at < valid_to, or open."""
     return periods.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladderline.operators.elo import rated
-from ladderline.operators.teams import FORM_WINDOW, form_features, paired
+from ladderline.operators.teams import FORM_WINDOW, paired, team_centric
+from ladderline.plans.features import team_features
 
 VERSION = "v0_baseline"
 CONFIG = {"rating_engine": "elo_k32_base1000", "recent_form_window": FORM_WINDOW}
@@ -19,7 +20,8 @@ COLUMNS = [
 
 
 def feature_set_0(matches: DataFrame, k: float = 32.0, base: float = 1000.0, window: int = FORM_WINDOW) -> DataFrame:
-    form = paired(form_features(matches, window), "recent_winrate", "days_since_last_match", "matches_played_before")
+    names = ("recent_winrate", "days_since_last_match", "matches_played_before")
+    form = paired(team_features(window).computed(team_centric(matches), names), *names)
     rows = rated(matches, k, base).join(form, "match_id")
     rows = rows.withColumns(
         {

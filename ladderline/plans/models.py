@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -10,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladderline.functions import expected_score
@@ -118,6 +119,55 @@ class Learned(Model):
         return out
 
 
+def _tree_paths(node, values: Callable, features: list[str]) -> tuple[float, dict[str, Column]]:
+    """The node's value, and per feature what the splits on it add on a row's way down from here."""
+    value = values(node)
+    if "InternalNode" not in node.getClass().getName():
+        return value, {}
+    left, right = (_tree_paths(n, values, features) for n in (node.leftChild(), node.rightChild()))
+    by = features[node.split().featureIndex()]
+    goes_left = F.col(by) <= node.split().threshold()
+    none = F.lit(0.0)
+    out = {f: F.when(goes_left, left[1].get(f, none)).otherwise(right[1].get(f, none)) for f in {*left[1], *right[1]}}
+    step = F.when(goes_left, left[0] - value).otherwise(right[0] - value)
+    out[by] = out[by] + step if by in out else step
+    return value, out
+
+
+def attributed(model: Model, rows: DataFrame, means: dict[str, float] | None = None) -> DataFrame:
+    """``rows`` with p, ``scale`` (logit or probability), ``baseline`` and ``contributions``, a map from
+    feature to its share of the score; baseline and contributions sum to the score on that scale.
+
+    Linear models: coefficient times deviation from ``means`` (of the training rows; 0 where not given).
+    Trees: the change of the node's value along each row's path, credited to the feature split on. The
+    Elo rule's logit is the rating difference on its scale.
+    """
+    if isinstance(model, EloRule):
+        score = (F.col("radiant_elo") - F.col("dire_elo")) * (2.302585092994046 / 400)
+        parts, baseline, scale = {"elo_difference": score}, F.lit(0.0), "logit"
+        scored = model.predict(rows)
+    else:
+        scored, kind, names = model.predict(rows).na.fill(0, subset=model.features), type(model.model).__name__, model.features
+        if hasattr(model.model, "coefficients"):
+            weights, mean = model.model.coefficients.toArray().tolist(), means or {}
+            parts = {f: w * (F.col(f) - mean.get(f, 0.0)) for f, w in zip(names, weights)}
+            baseline, scale = F.lit(float(model.model.intercept) + sum(w * mean.get(f, 0.0) for f, w in zip(names, weights))), "logit"
+        else:
+            share = lambda node: (lambda s: s[1] / (s[0] + s[1]))(list(node.impurityStats().stats()))
+            forest = "RandomForest" in kind
+            trees = [(1 / len(model.model.trees) if forest else 2.0 * w, t) for t, w in zip(model.model.trees, model.model.treeWeights)]
+            total, sums = 0.0, {}
+            for weight, tree in trees:
+                value, found = _tree_paths(tree._java_obj.rootNode(), share if forest else (lambda node: node.prediction()), names)
+                total += weight * value
+                for f, c in found.items():
+                    sums[f] = sums[f] + weight * c if f in sums else weight * c
+            parts, baseline, scale = sums, F.lit(total), "probability" if forest else "logit"
+    cells = [x for f, c in sorted(parts.items()) for x in (F.lit(f), c.cast("double"))]
+    told = F.create_map(*cells) if cells else F.create_map().cast("map<string,double>")
+    return scored.withColumns({"scale": F.lit(scale), "baseline": baseline, "contributions": told})
+
+
 def backtest(matches: DataFrame, k: float = K_FACTOR, base: float = BASE) -> DataFrame:
     """Walk forward: each contest is forecast from the ratings before it, then they are updated."""
     p = expected_score(F.col("radiant_pre"), F.col("dire_pre"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ladderline.functions import confidence, expected_score
+from ladderline.functions import confidence, days_between, expected_score
 from ladderline.operators.elo import BASE, current_ratings, rated, rating_log
-from ladderline.operators.teams import recent_winrate, team_centric
+from ladderline.operators.teams import FORM_WINDOW, recent_winrate, team_centric
+from ladderline.plans.dataset import COLUMNS
+from ladderline.plans.models import EloRule, Learned, Model, attributed
 from ladderline.sources.store import Store
 
 
@@ -70,6 +75,62 @@ def predict(matches: DataFrame, cutoff: str, model_version: str = "elo_rule/v0_b
     return out.select("match_id", "start_time", "radiant_team_id", "dire_team_id", "probability", confidence(F.col("probability")).alias("confidence"), why.alias("explanation"), at.alias("data_cutoff"), F.lit(model_version).alias("model"))
 
 
+def standing(matches: DataFrame, cutoff: str, window: int = FORM_WINDOW) -> DataFrame:
+    """What is known of each team before ``cutoff``: rating, form over its last contests, how many, the last one."""
+    past = matches.where((F.col("start_time") < F.lit(cutoff).cast("timestamp_ntz")) & F.col("radiant_win").isNotNull())
+    now = current_ratings(rating_log(rated(past)))
+    newest = W.partitionBy("team_id").orderBy(F.desc("start_time"), F.desc("match_id"))
+    rows = team_centric(past).withColumn("back", F.row_number().over(newest))
+    form = rows.groupBy("team_id").agg(
+        F.avg(F.when(F.col("back") <= window, F.col("won").cast("int").cast("double"))).alias("recent_winrate"),
+        F.count("*").alias("matches_played_before"), F.max("start_time").alias("last_match"),
+    )
+    return form.join(now, "team_id").withColumnRenamed("rating", "elo")
+
+
+def upcoming_features(matches: DataFrame, cutoff: str) -> DataFrame:
+    """The dataset's columns for contests from ``cutoff`` on, as of then; a team not seen before has the base
+    rating and nulls."""
+    rows = matches.where(F.col("start_time") >= F.lit(cutoff).cast("timestamp_ntz")).select("match_id", F.col("start_time").alias("as_of_timestamp"), "radiant_team_id", "dire_team_id", "radiant_win")
+    now = standing(matches, cutoff)
+    for s in ("radiant", "dire"):
+        one = now.select(F.col("team_id").alias(f"{s}_team_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("elo", "recent_winrate", "matches_played_before", "last_match")])
+        rows = rows.join(one, f"{s}_team_id", "left").withColumns({
+            f"{s}_elo": F.coalesce(f"{s}_elo", F.lit(BASE)), f"{s}_matches_played_before": F.coalesce(f"{s}_matches_played_before", F.lit(0)),
+            f"{s}_days_since_last_match": days_between(F.col("as_of_timestamp"), F.col(f"{s}_last_match")),
+        })
+    rows = rows.withColumns({"elo_difference": F.col("radiant_elo") - F.col("dire_elo"), "recent_winrate_difference": F.col("radiant_recent_winrate") - F.col("dire_recent_winrate")})
+    return rows.select(*COLUMNS)
+
+
+def register_fitted(store: Store, model: Model, name: str, version: str, path: str, train: DataFrame, now: str, active: bool = True) -> int:
+    """Saves a fitted model under ``path`` and registers it with the means of its training rows."""
+    if isinstance(model, EloRule):
+        model.save(store.spark, path)
+        config = {"kind": "elo_rule", "path": path}
+    else:
+        model.save(path)
+        means = train.na.fill(0, subset=model.features).agg(*[F.avg(f).alias(f) for f in model.features]).first().asDict()
+        config = {"kind": "learned", "path": path, "means": means}
+    return register_model(store, name, version, json.dumps(config), json.dumps(model.evaluate(train)), now, active)
+
+
+def forecast(store: Store, matches: DataFrame, cutoff: str) -> DataFrame:
+    """Forecasts of all contests from ``cutoff`` on by the registry's active model, whichever that is, from
+    what was known before, with the parts that each feature has in the score; the shape of the log."""
+    row = active_model(store.read("models"))
+    config = json.loads(row.config)
+    if config["kind"] not in ("elo_rule", "learned"):
+        raise Unavailable(f"no model of the kind {config['kind']}")
+    model = EloRule.load(store.spark, config["path"]) if config["kind"] == "elo_rule" else Learned.load(config["path"])
+    out = attributed(model, upcoming_features(matches, cutoff), config.get("means"))
+    why = F.to_json(F.struct("scale", "baseline", "contributions"))
+    return out.select(
+        "match_id", F.col("as_of_timestamp").alias("start_time"), "radiant_team_id", "dire_team_id", F.col("p").alias("probability"), confidence(F.col("p")).alias("confidence"),
+        why.alias("explanation"), F.lit(cutoff).cast("timestamp_ntz").alias("data_cutoff"), F.lit(f"{row.name}/{row.version}").alias("model"), F.lit(row.model_id).alias("model_id"),
+    )
+
+
 def active_model(registry: DataFrame):
     """The one active row of a model registry (name, version, is_active)."""
     twice = registry.groupBy("name", "version").count().where("count > 1")
@@ -90,9 +151,11 @@ def log_ratings(store: Store, matches: DataFrame, now: str) -> None:
 
 
 def log_predictions(store: Store, forecasts: DataFrame, model_id: int, now: str) -> None:
-    """Adds the rows of :func:`predict` to the log; a contest forecast again gets another row."""
+    """Adds the rows of :func:`predict` or :func:`forecast` to the log; a contest forecast again at another
+    time gets another row. Ids follow from contest, model and time, so a write that is tried again makes the
+    same rows."""
     rows = forecasts.select("match_id", "radiant_team_id", "dire_team_id", "probability", "explanation", F.col("data_cutoff").cast("timestamp").alias("data_cutoff"))
-    rows = rows.withColumns({"prediction_id": F.expr("uuid()"), "model_id": F.lit(model_id).cast("long"), "predicted_at": F.lit(now).cast("timestamp")})
+    rows = rows.withColumns({"prediction_id": F.sha2(F.concat_ws("/", "match_id", F.lit(str(model_id)), F.lit(now)), 256), "model_id": F.lit(model_id).cast("long"), "predicted_at": F.lit(now).cast("timestamp")})
     store.append("predictions", rows)
 
 

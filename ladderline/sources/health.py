@@ -5,7 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-LIST_FIELDS = {"match_id", "start_time", "duration", "radiant_team_id", "dire_team_id", "radiant_win"}
+#: What a list row and a draft row must hold.
+LIST_FIELDS = {"match_id", "duration", "start_time", "radiant_team_id", "radiant_name", "dire_team_id", "dire_name", "leagueid", "league_name", "radiant_win"}
 DRAFT_FIELDS = {"is_pick", "hero_id", "team", "order"}
 
 
@@ -22,6 +23,27 @@ def _checked(name: str, look: Callable[[], dict | None]) -> dict:
     return {"check": name, "status": "FAILED" if seen.get("missing") else "VERIFIED", "latency_ms": took, **seen}
 
 
+#: Professional contests a year, as the service is asked for them: one request instead of all pages.
+HISTORY = """SELECT date_trunc('year', to_timestamp(m.start_time)) AS year, count(*) AS match_count FROM matches m JOIN leagues l ON l.leagueid = m.leagueid
+ WHERE l.tier IN ('premium', 'professional') GROUP BY 1 ORDER BY 1"""
+
+
+def service_report(get: Callable[[str, dict], object]) -> list[dict]:
+    """Checks that only a service can answer: that it is up, and how far its history goes."""
+
+    def up() -> dict:
+        return {"fields": sorted(get("status", {}))}
+
+    def history() -> dict:
+        told = get("explorer", {"sql": HISTORY})
+        if told.get("err"):
+            raise ValueError(told["err"])
+        rows = told.get("rows") or []
+        return {"missing": [] if rows else ["rows"], "years": len(rows), "first_year": min((str(r["year"])[:4] for r in rows), default=None), "contests": sum(int(r["match_count"]) for r in rows)}
+
+    return [_checked("status", up), _checked("history", history)]
+
+
 def source_report(get: Callable[[str, dict], object], sample: int | None = None) -> list[dict]:
     """Checks of the list, of its paging by id, and of the draft of the contest ``sample`` (skipped without)."""
     first: list[dict] = []

@@ -9,6 +9,7 @@ import time
 from collections.abc import Callable
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
+from functools import partial
 from http.client import HTTPException
 
 
@@ -53,14 +54,15 @@ def retry_after(text: str | None) -> float | None:
             return None
 
 
-def urllib_transport(url: str, params: dict, timeout: float) -> tuple[int, dict, bytes]:
-    """(status, headers, body) of a GET by the standard library."""
+def urllib_transport(url: str, params: dict, timeout: float, contact: str = "") -> tuple[int, dict, bytes]:
+    """(status, headers, body) of a GET by the standard library; it says who asks."""
     from urllib.error import HTTPError
     from urllib.parse import urlencode
-    from urllib.request import urlopen
+    from urllib.request import Request, urlopen
 
+    agent = {"User-Agent": f"ladderline ({contact})" if contact else "ladderline"}
     try:
-        with urlopen(url + ("?" + urlencode(params) if params else ""), timeout=timeout) as r:
+        with urlopen(Request(url + ("?" + urlencode(params) if params else ""), headers=agent), timeout=timeout) as r:
             return r.status, dict(r.headers), r.read()
     except HTTPError as e:
         return e.code, dict(e.headers), b""
@@ -70,6 +72,8 @@ def live_feed(settings, transport: Callable = urllib_transport, sleep=time.sleep
     """A ``get(path, params)`` over the service that the settings name, within its rate."""
     if not settings.feed_base_url:
         raise ValueError("FEED_BASE_URL is not set")
+    if transport is urllib_transport:
+        transport = partial(urllib_transport, contact=settings.contact_email)
     limiter = RateLimiter(settings.rate_limit_per_min, sleep=sleep)
     client = HttpClient(transport, limiter, settings.max_retries, timeout=settings.request_timeout, sleep=sleep)
     key = {"api_key": settings.feed_api_key} if settings.feed_api_key else {}

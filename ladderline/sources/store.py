@@ -1,6 +1,6 @@
 """Tables as partitions of Spark's own making, named by numbered manifests.
 
-A change writes the partitions that it touches under a new ``version=`` folder; a manifest lists the
+A change writes the partitions that it touches under a new ``written_=`` folder; a manifest lists the
 partitions that make up the table from then on, those of older versions among them. What isn't touched
 isn't rewritten. An append adds to partitions without reading any.
 
@@ -41,7 +41,7 @@ class Store:
     def _manifests(self, table: str) -> tuple[list[int], bool]:
         """The numbers of the manifests, and whether there is data."""
         names = self._names(f"{self.root}/{table}")
-        return sorted(int(n[9:]) for n in names if n.startswith("manifest-")), any(n.startswith("version=") for n in names)
+        return sorted(int(n[9:]) for n in names if n.startswith("manifest-")), any(n.startswith("written_=") for n in names)
 
     def _place(self, table: str, number: int) -> str:
         return f"{self.root}/{table}/manifest-{number:012d}"
@@ -96,7 +96,7 @@ class Store:
     def _publish(self, table: str, rows: DataFrame, replaced: set[str] | None) -> None:
         """Writes ``rows`` (with part_) and puts them in place of the partitions ``replaced`` (None: of all)."""
         base, paths = self._newest(table)
-        folder = f"version={uuid.uuid4().int >> 66}"
+        folder = f"written_={uuid.uuid4().int >> 66}"
         rows.hint("rebalance", "part_").write.partitionBy("part_").parquet(f"{self.root}/{table}/{folder}")
         new = [f"{folder}/{n}" for n in self._names(f"{self.root}/{table}/{folder}") if n.startswith("part_=")]
         kept = [p for p in paths if replaced is not None and p.rpartition("part_=")[2] not in replaced]
@@ -109,7 +109,7 @@ class Store:
         if not paths:
             return self.spark.createDataFrame([], schema)
         top = f"{self.root}/{table}"
-        return self.spark.read.schema(f"{schemas.TABLES[table]}, version long, part_ string").option("basePath", top).parquet(*[f"{top}/{x}" for x in paths]).drop("version")
+        return self.spark.read.schema(f"{schemas.TABLES[table]}, written_ long, part_ string").option("basePath", top).parquet(*[f"{top}/{x}" for x in paths]).drop("written_")
 
     def read(self, table: str, at: datetime | None = None) -> DataFrame:
         """The table as it is, or as it was known at a time."""

@@ -187,7 +187,7 @@ def test_appends_leave_what_is_there(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     for n in "abc":
         store.append("leagues", leagues(spark, n))
-        before = {p: p.stat().st_mtime_ns for p in (tmp_path / "leagues").glob("version=*/part_=*/*.parquet")}
+        before = {p: p.stat().st_mtime_ns for p in (tmp_path / "leagues").glob("written_=*/part_=*/*.parquet")}
     store.append("leagues", leagues(spark, "d"))
     assert len(before) == 3
     assert store.read("leagues").count() == 4 and all(p.stat().st_mtime_ns == t for p, t in before.items())

@@ -125,11 +125,11 @@ def test_a_change_a_loss_and_pools_that_meet(spark, tmp_path):
     store, rows = Store(spark, str(tmp_path)), season(60, seed=5, worlds=3, days=9)
     book.update(store, spark.createDataFrame(rows, SCHEMA))
     assert book.update(store, spark.createDataFrame(rows, SCHEMA)) == 0
-    before = {p.name for p in (tmp_path / "contest_ratings").glob("version=*")}
+    before = {p.name for p in (tmp_path / "contest_ratings").glob("written_=*")}
     rows[40] = (*rows[40][:4], not rows[40][4])
     book.update(store, spark.createDataFrame(rows, SCHEMA))
     assert got(store.read("contest_ratings")) == walked(rows)
-    new = {p.name for p in (tmp_path / "contest_ratings").glob("version=*")} - before
+    new = {p.name for p in (tmp_path / "contest_ratings").glob("written_=*")} - before
     months = {p.name[6:] for v in new for p in (tmp_path / "contest_ratings" / v).glob("part_=*")}
     assert min(months) == rows[40][1].strftime("%Y-%m")
     del rows[20]

@@ -72,7 +72,7 @@ def feed():
     for i in range(14):
         r, d = teams[i % 4], teams[(i + 1 + i % 2) % 4]
         day = dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(days=3 * i)
-        rows.append({"match_id": 7001 + i, "duration": 1800, "start_time": int(day.timestamp()), "radiant_team_id": r, "radiant_name": f" T{r} ", "dire_team_id": d, "dire_name": f"T{d}", "leagueid": 5001 if i > 11 else 5000, "radiant_win": i % 2 == 0})
+        rows.append({"match_id": 7001 + i, "duration": 1800, "start_time": int(day.timestamp()), "radiant_team_id": r, "radiant_name": f" T{r} ", "dire_team_id": d, "dire_name": f"T{d}", "leagueid": 5001 if i > 11 else 5000, "league_name": "L", "radiant_win": i % 2 == 0})
     newest = rows[::-1]
 
     def detail(m):
@@ -170,7 +170,7 @@ def test_command_line(spark, tmp_path, capsys):
 def test_source_report():
     from ladderline.sources.health import source_report
 
-    row = dict.fromkeys(["match_id", "start_time", "duration", "radiant_team_id", "dire_team_id", "radiant_win"], 1)
+    row = dict.fromkeys(["match_id", "start_time", "duration", "radiant_team_id", "radiant_name", "dire_team_id", "dire_name", "leagueid", "league_name", "radiant_win"], 1)
     pages = {None: [row | {"match_id": 9}, row | {"match_id": 7}], 7: [row | {"match_id": 3}]}
     draft = {"picks_bans": [{"is_pick": True, "hero_id": 1, "team": 0, "order": 0, "more": 1}]}
 
@@ -192,3 +192,29 @@ def test_source_report():
         raise OSError("gone")
 
     assert source_report(broken)[0] == {"check": "list", "status": "FAILED", "error": "OSError: gone"}
+
+
+def test_service_report():
+    from ladderline.sources.health import service_report
+
+    told = {"status": {"ok": 1}, "explorer": {"rows": [{"year": "2021-01-01T00:00:00Z", "match_count": "5"}, {"year": "2019-01-01T00:00:00Z", "match_count": 7}]}}
+    up, history = service_report(lambda path, params: told[path])
+    assert up["status"] == history["status"] == "VERIFIED" and (history["first_year"], history["years"], history["contests"]) == ("2019", 2, 12)
+    told["explorer"] = {"rows": []}
+    assert [c["status"] for c in service_report(lambda path, params: told[path])] == ["VERIFIED", "FAILED"]
+    told["explorer"] = {"err": "syntax"}
+    assert service_report(lambda path, params: told[path])[1]["error"] == "ValueError: syntax"
+
+
+def test_requests_say_who_asks(monkeypatch):
+    import io
+    import urllib.request
+
+    asked = []
+
+    class Answer(io.BytesIO):
+        status, headers = 200, {}
+
+    monkeypatch.setattr(urllib.request, "urlopen", lambda r, timeout: asked.append(r) or Answer(b"[]"))
+    get = http.live_feed(Settings(feed_base_url="https://example.org", contact_email="a@b.org"))
+    assert get("leagues", {}) == [] and asked[0].get_header("User-agent") == "ladderline (a@b.org)"

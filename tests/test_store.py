@@ -36,7 +36,7 @@ def picks(spark, *ids):
 
 
 def files(store, table):
-    return {str(p): p.stat().st_mtime_ns for p in __import__("pathlib").Path(store.root, table).glob("version=*/part_=*/*.parquet")}
+    return {str(p): p.stat().st_mtime_ns for p in __import__("pathlib").Path(store.root, table).glob("written_=*/part_=*/*.parquet")}
 
 
 def test_a_merge_rewrites_only_the_partitions_of_its_keys(store, spark):
