@@ -7,8 +7,8 @@ may be learned from. The model is fitted with FTRL-proximal and an elastic net o
 temperature on documents of the sample that were held back.
 
 Cases: a null text, and one without a letter, is ``und`` with score 0; rows with a null ``lang`` or
-doc_id are not learned from; repeated rows are scored one by one; with nothing to learn from every
-text is ``und``; an empty table gives an empty result; further columns are ignored.
+doc_id are not learned from, nor are values of ``lang`` beyond the ``MOST_LANGUAGES`` most frequent;
+repeated rows are learned from once and scored one by one; with nothing to learn from every text is ``und``; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from ladderline.llm.linear import Ftrl, softmax, temperature
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3)
 PER_LANGUAGE = 1500
-MOST_LANGUAGES = 1000
+#: Languages that are learned, the most frequent ones: bounds the weights, which every task holds.
+MOST_LANGUAGES = 200
 SEED = 7
 
 
@@ -89,21 +90,21 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.append(np.flatnonzero(df), BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(df[df > 0], n))], names=["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = in_small_batches(docs.select("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS + 1, np.int64)
     df[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return df[:-1], int(df[-1])
 
 
-def _sample(docs: DataFrame, most: int) -> DataFrame:
-    """At most about ``most`` documents per language, by a hash of doc_id; a row per language is collected."""
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, most / n))).otherwise(share)
-    return docs.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < share * 1_000_000)
+def _sample(docs: DataFrame, most: int, languages: int = MOST_LANGUAGES) -> DataFrame:
+    """At most about ``most`` rows of each of the ``languages`` most frequent values of lang, by a hash of the
+    row, repeated rows once; so an id or a text that a third of all rows share takes no more room than
+    others. A row per language is collected."""
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["n"])) for r in counts], "lang string, share double")
+    place = F.xxhash64(F.lit(SEED), "doc_id", "text", "lang")
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").withColumn("place", place)
+    return rows.where(F.pmod("place", F.lit(1_000_000)) < F.col("share") * 1_000_000).dropDuplicates(["place"])
 
 
 def fit(docs: DataFrame, most: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -120,8 +121,7 @@ def fit(docs: DataFrame, most: int = PER_LANGUAGE) -> tuple[list[str], np.ndarra
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (at, n)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["place", "lang", "at", "n"])
 
-    place = F.xxhash64(F.lit(SEED), "doc_id", "text", "lang").alias("place")
-    sample = _sample(docs, most).select(place, "lang", "text").mapInArrow(run, "place long, lang string, at array<long>, n array<long>").toPandas()
+    sample = in_small_batches(_sample(docs, most).select("place", "lang", "text")).mapInArrow(run, "place long, lang string, at array<long>, n array<long>").toPandas()
     sample = sample.sort_values("place", kind="stable").reset_index(drop=True)
     df, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + df)) + 1
