@@ -418,20 +418,20 @@ def _told(spark, d):
 
 
 @query(
-    """SELECT team_id, account_id, min(at) valid_from, nullif(max(until), TIMESTAMP '9999-12-31') valid_to, first(source) source, CASE first(source) WHEN 'both' THEN 1.0 WHEN 'events' THEN 0.8 ELSE 0.6 END::DOUBLE confidence
- FROM (SELECT *, sum(fresh) OVER (PARTITION BY team_id, account_id ORDER BY at) run FROM (SELECT *, (source IS DISTINCT FROM lag(source) OVER (PARTITION BY team_id, account_id ORDER BY at) OR row_number() OVER (PARTITION BY team_id, account_id ORDER BY at) = 1)::INT fresh FROM state)) WHERE source IS NOT NULL GROUP BY team_id, account_id, run""",
+    """SELECT team_id, account_id, min(pt) valid_from, nullif(max(until), TIMESTAMP '9999-12-31') valid_to, first(source) source, CASE first(source) WHEN 'both' THEN 1.0 WHEN 'events' THEN 0.8 ELSE 0.6 END::DOUBLE confidence
+ FROM (SELECT *, sum(fresh) OVER (PARTITION BY team_id, account_id ORDER BY pt) run FROM (SELECT *, (source IS DISTINCT FROM lag(source) OVER (PARTITION BY team_id, account_id ORDER BY pt) OR row_number() OVER (PARTITION BY team_id, account_id ORDER BY pt) = 1)::INT fresh FROM state)) WHERE source IS NOT NULL GROUP BY team_id, account_id, run""",
     CONTESTS, CHILDREN, PLAYERS, ROSTERS, TOLD,
     """spans AS (SELECT j.team_id, j.account_id, j.changed_at f, coalesce(l.changed_at, TIMESTAMP '9999-12-31') t, 1 told, 0 seen FROM told j LEFT JOIN told l ON l.team_id = j.team_id AND l.account_id = j.account_id AND l.change_type = 'left' WHERE j.change_type = 'joined'
  UNION ALL SELECT team_id, account_id, valid_from, greatest(coalesce(valid_to, TIMESTAMP '9999-12-31'), valid_from + INTERVAL 1 MICROSECOND), 0, 1 FROM roster)""",
-    "marks AS (SELECT team_id, account_id, at, sum(told) told, sum(seen) seen FROM (SELECT team_id, account_id, f at, told, seen FROM spans UNION ALL SELECT team_id, account_id, t, -told, -seen FROM spans) GROUP BY ALL)",
-    """state AS (SELECT team_id, account_id, at, until, CASE WHEN a > 0 AND b > 0 THEN 'both' WHEN a > 0 THEN 'events' WHEN b > 0 THEN 'lineups' END source FROM (SELECT *, lead(at) OVER w until, sum(told) OVER w a, sum(seen) OVER w b FROM marks WINDOW w AS (PARTITION BY team_id, account_id ORDER BY at)) WHERE until IS NOT NULL)""",
+    "marks AS (SELECT team_id, account_id, pt, sum(told) told, sum(seen) seen FROM (SELECT team_id, account_id, f pt, told, seen FROM spans UNION ALL SELECT team_id, account_id, t, -told, -seen FROM spans) GROUP BY ALL)",
+    """state AS (SELECT team_id, account_id, pt, until, CASE WHEN a > 0 AND b > 0 THEN 'both' WHEN a > 0 THEN 'events' WHEN b > 0 THEN 'lineups' END source FROM (SELECT *, lead(pt) OVER w until, sum(told) OVER w a, sum(seen) OVER w b FROM marks WINDOW w AS (PARTITION BY team_id, account_id ORDER BY pt)) WHERE until IS NOT NULL)""",
 )
 def roster_merged(spark, d):
     return rosters.merged_periods(_told(spark, d), rosters.roster_periods(v.players(spark, d)))
 
 
 @query(
-    "SELECT DISTINCT p.team_id, p.account_id, p.start_time at, 'played after leaving' problem FROM players p JOIN told l ON l.team_id = p.team_id AND l.account_id = p.account_id AND l.change_type = 'left' AND p.start_time >= l.changed_at",
+    "SELECT DISTINCT p.team_id, p.account_id, p.start_time \"at\", 'played after leaving' problem FROM players p JOIN told l ON l.team_id = p.team_id AND l.account_id = p.account_id AND l.change_type = 'left' AND p.start_time >= l.changed_at",
     CONTESTS, CHILDREN, PLAYERS, ROSTERS, TOLD,
 )
 def roster_contradictions(spark, d):
