@@ -9,6 +9,7 @@ rated.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
@@ -144,43 +145,61 @@ def elo_trend(log: DataFrame, back: int = 5) -> DataFrame:
     return log.select("match_id", "team_id", (F.col("rating_before") - F.lag("rating_before", back).over(w)).alias("elo_delta"))
 
 
-def glicko2(matches: DataFrame, tau: float = 0.5, pool: str | None = FOUND) -> DataFrame:
-    """Glicko-2 ratings and deviations before each contest, a rating period per contest."""
-    import math
+#: Deviation (over 173.7178) of a team that hasn't played; none is above it, as in Glickman's rules.
+UNRATED = 350 / 173.7178
 
-    schema = "match_id long, radiant_rating double, radiant_rd double, dire_rating double, dire_rd double"
 
-    def update(mu, phi, sigma, mu2, phi2, s):
-        g = 1 / math.sqrt(1 + 3 * phi2**2 / math.pi**2)
-        e = 1 / (1 + math.exp(-g * (mu - mu2)))
-        v = 1 / (g * g * e * (1 - e))
-        delta = v * g * (s - e)
-        a = math.log(sigma**2)
-        f = lambda x: math.exp(x) * (delta**2 - phi**2 - v - math.exp(x)) / (2 * (phi**2 + v + math.exp(x)) ** 2) - (x - a) / tau**2
-        lo = a
-        hi = math.log(delta**2 - phi**2 - v) if delta**2 > phi**2 + v else a - tau
+def glicko2_step(mu: float, phi: float, sigma: float, mu2: float, phi2: float, won: bool, tau: float = 0.5) -> tuple[float, float, float]:
+    """A team's rating, deviation and volatility after a contest with (mu2, phi2).
+
+    Whatever the ratings, no number overflows: variances are held over e ** |x|, and an expectation that
+    rounds to 0 or 1 is never divided by. |x| counts up to 300 (some 52,000 points).
+    """
+    g = 1 / math.sqrt(1 + 3 * phi2**2 / math.pi**2)
+    x = max(-300.0, min(300.0, g * (mu - mu2)))
+    far, a = abs(x), 2 * math.log(sigma)
+    small = math.exp(-far)  # the smaller of the two odds
+    upset = (x < 0) == won
+    miss = (1.0 if upset else small) / (1 + small)  # by how much the expectation was off
+    v = ((1 + small) / g) ** 2  # this, phi ** 2, delta ** 2 and e ** y are held over e ** far
+    q, delta = v + phi**2 * small, v / small if upset else v * small
+
+    def f(y: float) -> float:
+        e = math.exp(y - far)
+        return e / (q + e) * (delta / (q + e) - 1) / 2 - (y - a) / tau**2
+
+    lo, steps = a, 0
+    if delta > q:
+        hi = math.log(delta - q) + far
+    else:
+        hi = a - tau
         while f(hi) < 0:
             hi -= tau
-        flo, fhi = f(lo), f(hi)
-        while abs(hi - lo) > 1e-6:
-            c = lo + (lo - hi) * flo / (fhi - flo)
-            fc = f(c)
-            if fc * fhi <= 0:
-                lo, flo = hi, fhi
-            else:
-                flo /= 2
-            hi, fhi = c, fc
-        sigma = math.exp(lo / 2)
-        star = math.sqrt(phi**2 + sigma**2)
-        new = 1 / math.sqrt(1 / star**2 + 1 / v)
-        return mu + new**2 * g * (s - e), new, sigma
+    flo, fhi = f(lo), f(hi)
+    while abs(hi - lo) > 1e-6:
+        c = lo + (lo - hi) * flo / (fhi - flo) if steps < 200 else (lo + hi) / 2  # where f is too steep, halves
+        fc = f(c)
+        if fc * fhi <= 0:
+            lo, flo = hi, fhi
+        elif steps < 200:
+            flo /= 2
+        hi, fhi = c, fc
+        steps += 1
+    sigma = math.exp(lo / 2)
+    new = min(1 / math.sqrt((1 / math.hypot(phi, sigma)) ** 2 + small / v), UNRATED)
+    return mu + new**2 * g * (miss if won else -miss), new, sigma
+
+
+def glicko2(matches: DataFrame, tau: float = 0.5, pool: str | None = FOUND) -> DataFrame:
+    """Glicko-2 ratings and deviations before each contest, a rating period per contest."""
+    schema = "match_id long, radiant_rating double, radiant_rd double, dire_rating double, dire_rd double"
 
     def start():
         now: dict[int, tuple[float, float, float]] = {}
 
         def step(r, d, won):
-            a, b = now.get(r, (0.0, 350 / 173.7178, 0.06)), now.get(d, (0.0, 350 / 173.7178, 0.06))
-            now[r], now[d] = update(*a, *b[:2], float(won)), update(*b, *a[:2], 1.0 - float(won))
+            a, b = now.get(r, (0.0, UNRATED, 0.06)), now.get(d, (0.0, UNRATED, 0.06))
+            now[r], now[d] = glicko2_step(*a, *b[:2], bool(won), tau), glicko2_step(*b, *a[:2], not won, tau)
             return 1500 + 173.7178 * a[0], 173.7178 * a[1], 1500 + 173.7178 * b[0], 173.7178 * b[1]
 
         return step

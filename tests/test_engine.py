@@ -105,6 +105,29 @@ def test_glicko_by_the_published_example(spark):
     assert b.radiant_rating == pytest.approx(1500 + 173.7178 * new**2 * g / 2, abs=0.1) and b.radiant_rd == pytest.approx(173.7178 * new, abs=0.1)
 
 
+def test_glicko_with_certain_and_upset_contests():
+    """States in which 9 million orders stopped the fold (no expectation, then no exponent left), and others far off."""
+    for us, them, won in [
+        ((0.020889237843491393, 0.9523855960987926, 0.38988224718761455), (49.06788751044777, 10.020051565494505), False),
+        ((-34.50774718526327, 7.432595570993623, 3.1429340299093367), (-0.9059864282762327, 1.105977537668029), True),
+        ((900.0, 2.0, 0.06), (-900.0, 1.0), True), ((900.0, 2.0, 0.06), (-900.0, 1.0), False), ((1e9, 2.0, 1e100), (-1e9, 1.0), False),
+    ]:
+        mu, phi, sigma = elo.glicko2_step(*us, *them, won)
+        assert all(math.isfinite(x) for x in (mu, phi, sigma)) and 0 < phi <= elo.UNRATED and sigma > 0
+        assert (mu >= us[0]) if won else (mu <= us[0])
+    rng = random.Random(2)
+    for _ in range(500):
+        (mu, phi, sigma), (mu2, phi2), won = (rng.gauss(0, 2), rng.uniform(0.2, 1.5), rng.uniform(0.03, 0.1)), (rng.gauss(0, 2), rng.uniform(0.2, 2)), rng.random() < 0.5
+        g = 1 / math.sqrt(1 + 3 * phi2**2 / math.pi**2)
+        e = 1 / (1 + math.exp(-g * (mu - mu2)))
+        v = 1 / (g * g * e * (1 - e))
+        new, deviation, volatility = elo.glicko2_step(mu, phi, sigma, mu2, phi2, won)
+        y, t = 2 * math.log(volatility), phi**2 + v + volatility**2
+        root = volatility**2 * ((v * g * (won - e)) ** 2 - t) / (2 * t * t) - (y - 2 * math.log(sigma)) / 0.25
+        assert abs(root) < 1e-5  # the volatility is the root it is meant to be
+        assert deviation == pytest.approx(1 / math.sqrt(1 / (phi**2 + volatility**2) + 1 / v)) and new == pytest.approx(mu + deviation**2 * g * (won - e))
+
+
 def test_roc_auc_and_bootstrap(spark):
     rng = random.Random(5)
     rows = [(i, round(rng.random(), 3), rng.random() < 0.4) for i in range(500)] + [(500, 1.0, True), (501, 0.0, False)]
