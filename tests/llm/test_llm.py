@@ -492,6 +492,20 @@ def test_recall_through_the_codes(spark):
     assert got["query_id"].nunique() == 120 and np.mean(recall) >= 0.9
 
 
+def test_ann_where_all_vectors_point_one_way(spark):
+    """Unit vectors about one direction, and on a circle: nearer ones differ by less than the codes' error along it."""
+    rng = np.random.default_rng(5)
+    t = rng.random(3000) * 2 * np.pi
+    cone = 1 + 0.05 * rng.normal(size=(3000, 64))
+    for v in (cone / np.linalg.norm(cone, axis=1, keepdims=True), np.stack([np.cos(t), np.sin(t)], 1)):
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        got = ann.search(df, F.col("id") % 50 == 0).toPandas()
+        near = v[::50] @ v.T
+        near[np.arange(60), np.arange(0, 3000, 50)] = -np.inf
+        want = {(50 * q, x) for q in range(60) for x in np.argsort(-near[q], kind="stable")[:20]}
+        assert len(got) == 1200 and len(want & set(zip(got["query_id"], got["vec_id"]))) >= 0.9 * 1200
+
+
 def test_codes_choose_what_is_scored():
     rng = np.random.default_rng(4)
     v = rng.normal(size=(900, 16))
