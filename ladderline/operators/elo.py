@@ -74,9 +74,10 @@ def _folded(matches: DataFrame, pool: str | None, start: Callable[[], Callable],
     return _in_order(matches, pool, initial).mapInPandas(run, schema)
 
 
-def rated(matches: DataFrame, k: float = K_FACTOR, base: float = BASE, pool: str | None = FOUND, initial: DataFrame | None = None) -> DataFrame:
+def rated(matches: DataFrame, k: float = K_FACTOR, base: float = BASE, pool: str | None = FOUND, initial: DataFrame | None = None, named: bool = False) -> DataFrame:
     """Each contest with both ratings before and after it. ``pool``: column of independent pools (FOUND:
-    they are found, None: all is one); ``initial``: ratings (team_id, rating, pool) that teams begin with."""
+    they are found, None: all is one); ``initial``: ratings (team_id, rating, pool) that teams begin with;
+    ``named``: also the pool, as a number pool_."""
 
     def start():
         now: dict[int, float] = {}
@@ -93,7 +94,7 @@ def rated(matches: DataFrame, k: float = K_FACTOR, base: float = BASE, pool: str
 
         return step
 
-    return _folded(matches, pool, start, ["radiant_pre", "dire_pre", "radiant_post", "dire_post"], RATED, initial)
+    return _folded(matches, pool, start, ["radiant_pre", "dire_pre", "radiant_post", "dire_post"], RATED + ", pool_ long" * named, initial)
 
 
 def ranked(matches: DataFrame, k: float = K_FACTOR, base: float = BASE, pool: str | None = FOUND) -> DataFrame:

@@ -1,95 +1,67 @@
 """Ratings of a stream of contests that may come late, resumed where the last run ended.
 
-State per pool: the ratings of its teams up to the watermark, and the contests that are still open,
-those that came in since and could yet be preceded by a late one. Every batch rates a pool's open
-contests in order, on top of the closed ratings, and says so provisionally; so a late contest changes
-what follows it. When the watermark passes, a timer closes contests for good. Spark keeps one that is
-later still from the state; it is landed all the same, :func:`missed` names it, and
-:func:`ladderline.plans.ratings.update` over the landed contests rates it.
-
-The checkpoints, the landed contests and the output lie under a fixed root; every batch is a folder of
-its own that a repeated batch writes again, and the last word on a contest counts.
+State, a snapshot per batch: the ratings of each pool's teams up to the watermark, and the contests that
+are still open, those that came in since and could yet be preceded by a late one. Every batch is put
+together with the open contests, sorted by Spark and folded on top of the closed ratings, so no task
+holds a pool's contests. What the batch's own watermark has passed is closed for good, for every
+later batch drops what is older; the rest is rated provisionally, so a late contest changes what follows
+it. One that is later still is landed all the same, :func:`missed` names it, and
+:func:`ladderline.plans.ratings.update` over the landed contests rates it. A contest without a time has
+no place in the order and is landed only.
+
+The checkpoint, the landed contests, the snapshots and the output lie under a fixed root; every batch is
+a folder of its own that a repeated batch writes again from the snapshot before it, and the last word on
+a contest counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import datetime, timedelta
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ladderline.operators.elo import BASE, K_FACTOR, RATED, elo_step
+from ladderline.operators.elo import BASE, K_FACTOR, RATED, rated
 
 OUT = RATED.replace("timestamp_ntz", "timestamp") + ", closed boolean"
 OPEN = "match_id long, start_time timestamp, radiant_team_id long, dire_team_id long, radiant_win boolean"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class PoolRatings(StatefulProcessor):
-    def __init__(self, k: float = K_FACTOR, base: float = BASE):
-        self.k, self.base = k, base
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.ratings = handle.getMapState("ratings", "team long", "rating double")
-        self.open = handle.getListState("open", OPEN)
-
-    def _frame(self, rows: list) -> Iterator[pd.DataFrame]:
-        if rows:
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    def _walk(self, contests: list, closed: bool) -> tuple[dict, list]:
-        """Ratings of the teams met, and a row per contest; nothing is put into the state."""
-        now, out = {}, []
-        for m, t, r, d, won in contests:
-            for team in (r, d):
-                if team not in now:
-                    known = self.ratings.getValue((team,)) if self.ratings.containsKey((team,)) else None
-                    now[team] = self.base if known is None else known[0]
-            a, b = now[r], now[d]
-            x, y = elo_step(a, b, won, self.k)
-            now[r] = x
-            now[d] = y
-            out.append((m, t, r, d, won, a, b, x, y, closed))
-        return now, out
-
-    def _opened(self) -> list:
-        rows = [(r[0], pd.Timestamp(r[1]).to_pydatetime().replace(tzinfo=None), r[2], r[3], r[4]) for r in self.open.get()] if self.open.exists() else []
-        return sorted(rows, key=lambda r: (r[1], r[0]))
-
-    def _keep(self, rows: list) -> None:
-        self.open.clear()
-        if rows:
-            self.open.put([tuple(r) for r in rows])
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(_millis(rows[0][1]) + 1)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = {r[0]: r for r in self._opened()}
-        for p in rows:
-            for m, t, r, d, won in zip(p["match_id"], p["start_time"], p["radiant_team_id"], p["dire_team_id"], p["radiant_win"]):
-                known[int(m)] = (int(m), t.to_pydatetime().replace(tzinfo=None), int(r), int(d), bool(won))  # told again: the last word counts
-        contests = sorted(known.values(), key=lambda r: (r[1], r[0]))
-        self._keep(contests)
-        yield from self._frame(self._walk(contests, False)[1])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        contests = self._opened()
-        ended = [r for r in contests if _millis(r[1]) < mark]
-        now, out = self._walk(ended, True)
-        for team, rating in now.items():
-            self.ratings.updateValue((team,), (rating,))
-        self._keep(contests[len(ended) :])
-        yield from self._frame(out)
-
-
-def _millis(t: datetime) -> int:
-    return (t - datetime(1970, 1, 1)) // timedelta(milliseconds=1)
+SNAPSHOT = "team_id long, rating double, pool long"
+
+
+def _batches(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Numbers of the batches of a table that were written to their end."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/batch=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(int(s.getPath().getParent().getName()[6:]) for s in found or [])
+
+
+def _rate_batch(spark: SparkSession, root: str, number: int, lateness: str, k: float, base: float) -> None:
+    """Batch ``number`` of the landed contests on top of the last snapshot: its words and its snapshot."""
+    before = [n for n in _batches(spark, root, "marks") if n < number][-1:]
+
+    def last(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{root}/{name}/batch={before[0]}") if before else spark.createDataFrame([], schema)
+
+    def put(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/{name}/batch={number}")
+
+    landed = spark.read.schema(f"{OPEN}, pool long").parquet(f"{root}/contests/batch={number}").where("start_time is not null")
+    passed = last("marks", "mark timestamp").agg(F.max("mark").alias("mark"))  # a row, null at first
+    newest = landed.agg((F.max("start_time") - F.expr(f"interval {lateness}")).alias("newest"))
+    mark = put(newest.crossJoin(passed).select(F.greatest("newest", "mark").alias("mark")), "marks-ahead")
+    fresh = landed.crossJoin(F.broadcast(passed)).where("mark is null or start_time > mark").drop("mark")
+    kept = [c.split()[0] for c in OPEN.split(", ")] + ["pool"]
+    known = fresh.withColumn("now", F.lit(1)).unionByName(last("open", f"{OPEN}, pool long").withColumn("now", F.lit(0)))
+    known = known.groupBy("match_id").agg(F.max_by(F.struct(*kept[1:]), "now").alias("r")).select("match_id", "r.*")  # told again: the last word counts
+    began = last("ratings", SNAPSHOT)
+    walked = rated(known, k, base, "pool", began, named=True).withColumn("start_time", F.col("start_time").cast("timestamp"))
+    closed = F.coalesce(F.col("start_time") < F.col("mark"), F.lit(False)).alias("closed")
+    words = put(walked.crossJoin(F.broadcast(mark)).select(*[c.split()[0] for c in RATED.split(", ")], closed, F.col("pool_").alias("pool")), "told")
+    put(words.where("not closed").select(*kept), "open")
+    sides = F.array(*[F.struct(F.col(f"{s}_team_id").alias("team_id"), F.col(f"{s}_post").alias("rating"), F.lit(i).alias("side")) for i, s in enumerate(("radiant", "dire"))])
+    ended = words.where("closed").select("pool", "start_time", "match_id", F.inline(sides))
+    new = ended.groupBy("pool", "team_id").agg(F.max_by("rating", F.struct("start_time", "match_id", "side")).alias("rating")).select("team_id", "rating", "pool")
+    put(new.unionByName(began.join(new, ["pool", "team_id"], "left_anti").select("team_id", "rating", "pool")), "ratings")
+    put(mark, "marks")  # the last: a batch that has it is done
 
 
 def rate_stream(contests: DataFrame, root: str, lateness: str = "30 days", pool: str | None = None, k: float = K_FACTOR, base: float = BASE) -> None:
@@ -100,21 +72,12 @@ def rate_stream(contests: DataFrame, root: str, lateness: str = "30 days", pool:
         F.col("match_id").cast("long"), F.col("start_time").cast("timestamp"), F.col("radiant_team_id").cast("long"), F.col("dire_team_id").cast("long"),
         "radiant_win", (F.col(pool).cast("long") if pool else F.lit(0).cast("long")).alias("pool"),
     )
-    told = rows.withWatermark("start_time", lateness).groupBy("pool").transformWithStateInPandas(PoolRatings(k, base), OUT, "Update", "EventTime")
-
-    def drained(query: DataFrame, name: str) -> None:
-        land = lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
-        writer = query.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint-{name}")
-        writer.trigger(availableNow=True).foreachBatch(land).start().awaitTermination()
-
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKS)
-    try:
-        drained(rows, "contests")
-        drained(told, "told")
-    finally:
-        spark.conf.set(provider, before)
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/contests/batch={number}")
+        _rate_batch(spark, root, number, lateness, k, base)
+
+    rows.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
 def contests(spark: SparkSession, root: str) -> DataFrame:

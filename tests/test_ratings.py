@@ -197,6 +197,19 @@ def test_a_stream_goes_on_after_each_restart(spark, tmp_path):
     assert got(store.read("contest_ratings")) == walked(rows)
 
 
+def test_a_batch_closes_what_it_has_passed(spark, tmp_path):
+    """No later batch can precede these, so they are neither told twice nor kept as open."""
+    rows = season(80, seed=9, worlds=2)
+    last = max(r[1] for r in rows)
+    df = spark.createDataFrame([(*r, r[2] // 10) for r in rows], SCHEMA + ", pool long")
+    df.withColumn("start_time", df.start_time.cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA.replace("timestamp_ntz", "timestamp") + ", pool long").parquet(f"{tmp_path}/in")
+    live.rate_stream(stream, f"{tmp_path}/out", "20 days", "pool")
+    told = spark.read.parquet(f"{tmp_path}/out/told")
+    assert got(live.ratings(spark, f"{tmp_path}/out")) == walked(rows) and told.count() == 80
+    assert {r.match_id for r in told.where("not closed").collect()} == {r[0] for r in rows if r[1] >= last - dt.timedelta(days=20)}
+
+
 def test_streams_take_files_one_after_the_other(spark, tmp_path):
     from pyspark.sql import functions as F
 
