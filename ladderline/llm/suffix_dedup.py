@@ -1,19 +1,22 @@
 """Exact repeats of ``width`` bytes across documents, found by sorting suffixes.
 
-Every window of 50 bytes belongs to the smallest hash among the runs of 16 bytes that it holds (its
+Every window of 50 bytes belongs to the smallest hash among the runs of 20 bytes that it holds (its
 gram), so equal windows belong to equal grams wherever they stand, and neighbours mostly share theirs:
 a stretch is all neighbouring windows of one gram.
 
 1. One scan gives (gram, doc_id); a gram that one document alone has can't hold a repeat. The counts
    combine before the shuffle.
-2. A second scan gives the stretches of the other grams, each with a hash of its bytes. Stretches equal
+   Steps 2 to 4 then take the other grams in slices by their hash, so that the disk holds one slice at a
+   time; there are more slices where more of the text is shared. Only places to cut are kept of a slice.
+2. A scan for each slice gives the stretches of its grams, each with a hash of its bytes. Stretches equal
    in gram and hash (two times 64 bits) are one class, with the smallest document that has it.
 3. A gram with one class needs no text: its windows belong to that document. Of the other classes one
    stretch each is fetched, some 90 bytes. Classes of a gram come together, and their suffixes are put
    in order by deep-shallow sorting. Where neighbours agree for 50 bytes, the windows are equal; the
    smallest document of such a group owns it. A gram with very many classes isn't sorted in one task:
    its windows are grouped by their bytes.
-4. A window goes where its owner has a smaller doc_id. Windows are merged into spans, spans cut out.
+4. A window goes where its owner has a smaller doc_id. Windows of all slices are merged into spans, spans
+   cut out.
 
 A document's text is only ever held by the task that reads it; pieces of a megabyte travel.
 
@@ -25,12 +28,13 @@ length are read in pieces; an empty table gives an empty result; further columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,7 +43,8 @@ from ladderline.llm.deep_shallow import sorted_suffixes
 from ladderline.llm.hashing import mixed
 
 WIDTH = 50
-GRAM = 16
+#: Runs of 16 bytes are shared by chance ever more often as the text grows, and each that is costs a fetch.
+GRAM = 20
 #: Bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 40
 PIECE_BYTES = 1 << 20
@@ -49,6 +54,13 @@ STRETCH_BYTES = 1 << 18
 SORT_MOST = 1 << 20
 #: Classes of a gram beyond which its windows are grouped by their bytes instead of sorted in one task.
 CLASSES_MOST = 2000
+#: Bytes of text from which on grams are taken in slices.
+SLICED_FROM = 64 << 20
+#: Bytes of disk that a slice may take for each byte of text, and what a stretch takes: shuffled, and if
+#: its gram is shared (at most: as a class of its own, with its string stored and shuffled).
+SLICE_SHARE, SHUFFLED_BYTES, SHARED_BYTES = 3, 31, 200
+#: A gram is the smallest of some hashes, so only its low bits are evenly spread.
+_LOW = (1 << 31) - 1
 
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -113,9 +125,24 @@ def _pieces(b: pa.RecordBatch, width: int, size: int) -> Iterator[tuple[int, int
             yield id_, doc, at, data[at : at + size + width - 1]
 
 
-def stretches(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, piece_bytes: int = PIECE_BYTES, most: int = STRETCH_BYTES, keyed: bool = True) -> DataFrame:
+def slices_for(text_bytes: int, shared: int, width: int = WIDTH, gram: int = GRAM, sliced_from: int = SLICED_FROM) -> int:
+    """Into how many slices grams go if ``shared`` stretches of a text have a gram that several documents have."""
+    if text_bytes < sliced_from:
+        return 1
+    all_ = text_bytes / ((width - gram) / 2 + 1)  # expected, as a smallest hash stands for so many windows
+    return max(1, math.ceil((all_ * SHUFFLED_BYTES + shared * SHARED_BYTES) / (text_bytes * SLICE_SHARE)))
+
+
+def _in_slice(gram: Column, number: int, slices: int) -> Column:
+    return gram.bitwiseAND(F.lit(_LOW)) % slices == number
+
+
+def stretches(
+    texts: DataFrame, width: int = WIDTH, gram: int = GRAM, piece_bytes: int = PIECE_BYTES, most: int = STRETCH_BYTES, keyed: bool = True,
+    number: int = 0, slices: int = 1,
+) -> DataFrame:
     """gram, doc, and if ``keyed`` also key (hash of all its bytes), id, at (of the first window), n (windows),
-    of ``texts`` (id, doc, text as binary)."""
+    of ``texts`` (id, doc, text as binary), for the grams of slice ``number``."""
     schema = "gram long, doc long, key long, id long, at long, n int" if keyed else "gram long, doc long"
 
     def together(some: list) -> pa.RecordBatch:
@@ -131,10 +158,13 @@ def stretches(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, piece_byte
         of = np.searchsorted(begin, first, "right") - 1
         inside = first < last[of]
         first, of = first[inside], of[inside]
+        n = np.minimum(np.append(first[1:], len(data)), last[of]) - first
+        if slices > 1:
+            mine = (least[first] & np.uint64(_LOW)) % np.uint64(slices) == number
+            first, of, n = first[mine], of[mine], n[mine]
         ids, docs, at = (np.array([p[c] for p in some], np.int64) for c in (0, 1, 2))
         columns = [least[first].view(np.int64), docs[of]]
         if keyed:
-            n = np.minimum(np.append(first[1:], len(data)), last[of]) - first
             key = _run_hashes(grams, first, n + width - gram)
             columns += [key.view(np.int64), ids[of], at[of] + first - begin[of], n.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in schema.split(", ")])
@@ -250,22 +280,19 @@ def _without(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(some) if small else some, key, "left_anti")
 
 
-def duplicate_spans(
-    rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shallow: int = SHALLOW, classes_most: int = CLASSES_MOST, piece_bytes: int = PIECE_BYTES,
-    stretch_bytes: int = STRETCH_BYTES, sort_most: int = SORT_MOST,
+def _gone(
+    texts: DataFrame, shared: DataFrame, number: int, slices: int, width: int, gram: int, shallow: int, classes_most: int, piece_bytes: int, stretch_bytes: int,
+    sort_most: int,
 ) -> DataFrame:
-    """id, start, end: maximal runs of bytes of ``rows`` (id, doc, text as binary; ids are distinct) that
-    are covered by windows which a row with a smaller doc has too."""
-    texts = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= width)).select("id", "doc", "text")
-    bare = stretches(texts, width, gram, piece_bytes, stretch_bytes, keyed=False)
-    shared = stored(bare.groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("gram"), "shared-grams")
-    marks = stored(stretches(texts, width, gram, piece_bytes, stretch_bytes).join(shared, "gram", "left_semi"), "shared-stretches")
-    discarded(shared)
+    """id, start, end: runs of windows of a slice of the ``shared`` grams that a row with a smaller doc has too, stored."""
+    marks = stretches(texts, width, gram, piece_bytes, stretch_bytes, number=number, slices=slices)
+    marks = stored(marks.join(shared.where(_in_slice(F.col("gram"), number, slices)), "gram", "left_semi"), "shared-stretches")
     one = F.min(F.struct("id", "at", "n"))
-    classes = stored(marks.groupBy("gram", "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), one.alias("one")).select("gram", "key", "lo", "hi", "one.*"), "classes")
-    count = classes.groupBy("gram").agg(F.count("*").alias("c"))
-    several = stored(classes.join(count.where("c > 1"), "gram"), "several-classes")
-    alone = classes.join(count.where("c = 1"), "gram", "left_semi").select("gram", "key", F.lit(0).alias("offset"), "n", F.col("lo").alias("owner"))
+    each = stored(marks.groupBy("gram", "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), one.alias("one")).select("gram", "key", "lo", "hi", "one.*"), "each-class")
+    classes = stored(each.join(each.groupBy("gram").agg(F.count("*").alias("c")), "gram"), "classes")
+    discarded(each)
+    several = classes.where("c > 1")
+    alone = classes.where("c = 1").select("gram", "key", F.lit(0).alias("offset"), "n", F.col("lo").alias("owner"))
     strings = stored(_fetched(texts, several, width, piece_bytes), "strings")
     crowded = stored(several.where(F.col("c") > classes_most).select("gram").distinct(), "crowded-grams")
     if crowded.isEmpty():
@@ -274,15 +301,36 @@ def duplicate_spans(
         sorted_ = _sorted_owners(_without(strings, crowded, "gram"), width, shallow, sort_most)
         owners = sorted_.unionByName(_grouped_owners(having(strings, crowded, "gram"), width))
     owners = stored(owners.unionByName(alone), "owners")
-    discarded(strings, classes, several, crowded)
+    discarded(strings, classes, crowded)
     gone = marks.select("gram", "key", "id", "doc", "at").join(owners, ["gram", "key"]).where("owner < doc")
     start = F.col("at") + F.col("offset")
-    gone = gone.select("id", start.alias("start"), (start + F.col("n") - 1 + width).alias("end"))
+    gone = stored(gone.select("id", start.alias("start"), (start + F.col("n") - 1 + width).alias("end")), "gone")
+    discarded(marks, owners)
+    return gone
+
+
+def duplicate_spans(
+    rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shallow: int = SHALLOW, classes_most: int = CLASSES_MOST, piece_bytes: int = PIECE_BYTES,
+    stretch_bytes: int = STRETCH_BYTES, sort_most: int = SORT_MOST, sliced_from: int = SLICED_FROM,
+) -> DataFrame:
+    """id, start, end: maximal runs of bytes of ``rows`` (id, doc, text as binary; ids are distinct) that
+    are covered by windows which a row with a smaller doc has too; stored."""
+    texts = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= width)).select("id", "doc", "text")
+    bare = stretches(texts, width, gram, piece_bytes, stretch_bytes, keyed=False)
+    counted = bare.groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("c"))
+    shared = stored(counted.where("lo < hi").select("gram", "c"), "shared-grams")
+    text_bytes, repeats = (df.agg(F.sum(c)).first()[0] or 0 for df, c in ((texts, F.octet_length("text")), (shared, "c")))
+    slices, grams = slices_for(text_bytes, repeats, width, gram, sliced_from), shared.select("gram")
+    parts = [_gone(texts, grams, k, slices, width, gram, shallow, classes_most, piece_bytes, stretch_bytes, sort_most) for k in range(slices)]
+    discarded(shared)
+    gone = reduce(DataFrame.unionByName, parts)
     w = W.partitionBy("id").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))
     runs = gone.withColumn("before", before).withColumn("run", island)
-    return runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+    spans = stored(runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run"), "spans")
+    discarded(*parts)
+    return spans
 
 
 def with_ids(docs: DataFrame) -> DataFrame:
@@ -320,8 +368,7 @@ def without_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
 
 def op13_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     rows = with_ids(table(spark, sf_dir, "documents"))
-    spans = stored(duplicate_spans(one_of_each(rows)), "spans")
-    return without_spans(rows, spans).select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return without_spans(rows, duplicate_spans(one_of_each(rows))).select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 #: DuckDB SQL with the same result as :func:`op13_suffix_dedup`: all windows, as hexadecimal digits.

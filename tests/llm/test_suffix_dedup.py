@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from ladderline.llm import deep_shallow, suffix_dedup
+from ladderline.llm import common, deep_shallow, suffix_dedup
 from ladderline.llm.common import one_of_each
 
 DOCS = "doc_id long, text string, id long, start long, kept string"  # with names that the operator uses itself
@@ -64,6 +64,38 @@ def test_other_widths_and_no_rows(spark, corpus):
     assert suffix_dedup.without_spans(none, suffix_dedup.duplicate_spans(none)).collect() == []
 
 
+def test_the_disk_holds_one_slice_of_grams(spark, corpus, monkeypatch):
+    made, gone = [], []
+
+    def stored(df, name):
+        out = common.stored(df, name)
+        if name == "shared-stretches":
+            assert len(made) == sum(n == name for n, _ in gone)  # the slice before went with all that was made for it
+            made.append(out.count())
+        names[tuple(out.inputFiles())] = name
+        return out
+
+    def discarded(*tables):
+        gone.extend((names[tuple(df.inputFiles())], df) for df in tables)
+        common.discarded(*tables)
+
+    names = {}
+    monkeypatch.setattr(suffix_dedup, "stored", stored)
+    monkeypatch.setattr(suffix_dedup, "discarded", discarded)
+    rows = suffix_dedup.with_ids(spark.createDataFrame(corpus, "doc_id long, text string"))
+    spans = suffix_dedup.duplicate_spans(one_of_each(rows), sliced_from=1)
+    got = sorted(((r.doc, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.without_spans(rows, spans).collect()), key=repr)
+    assert got == plain(corpus)
+    assert len(made) > 1 and max(made) < 0.75 * sum(made)
+    assert {"shared-stretches", "each-class", "classes", "strings", "owners", "gone", "shared-grams"} <= {n for n, _ in gone}
+
+
+def test_more_slices_where_more_is_shared():
+    of = [suffix_dedup.slices_for(10**10, n) for n in (0, 10**8, 3 * 10**8, 6 * 10**8)]
+    assert of == sorted(of) and of[0] == 1 and of[-1] > 3
+    assert suffix_dedup.slices_for(1000, 60) == 1
+
+
 @pytest.mark.parametrize(("seed", "depth", "shallow"), [(s, d, w) for s in range(4) for d, w in ((50, 16), (50, 24), (9, 16), (13, 5), (30, 0))])
 def test_suffixes_are_in_order(seed, depth, shallow):
     rng = np.random.default_rng(seed)
