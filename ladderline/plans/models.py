@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import math
 from abc import ABC, abstractmethod
 from collections.abc import Callable
+from datetime import timedelta
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -18,6 +22,7 @@ from ladderline.functions import expected_score
 from ladderline.operators import metrics
 from ladderline.operators.elo import BASE, K_FACTOR, ranked, rated, rating_log
 from ladderline.operators.teams import before, team_centric, won
+from ladderline.sources.shared import stored
 
 ELO = ("radiant_elo", "dire_elo", "elo_difference")
 
@@ -85,10 +90,13 @@ class Learned(Model):
     def __init__(self, classifier, features: tuple[str, ...] = ("elo_difference", "recent_winrate_difference")):
         self.classifier, self.features = classifier, list(features)
 
+    def ready(self, rows: DataFrame) -> DataFrame:
+        """The rows that are used, without nulls in the features, and ``label``."""
+        used = rows.na.drop(subset=[c for c in ELO if c in rows.columns]).na.fill(0, subset=self.features)
+        return used.withColumn("label", F.col("radiant_win").cast("double"))
+
     def _vectors(self, rows: DataFrame) -> DataFrame:
-        ready = rows.na.drop(subset=[c for c in ELO if c in rows.columns]).na.fill(0, subset=self.features)
-        ready = ready.withColumn("label", F.col("radiant_win").cast("double"))
-        return VectorAssembler(inputCols=self.features, outputCol="features").transform(ready)
+        return VectorAssembler(inputCols=self.features, outputCol="features").transform(self.ready(rows))
 
     def fit(self, rows: DataFrame) -> Learned:
         self.model, self.fitted = self.classifier.fit(self._vectors(rows)), True
@@ -203,26 +211,91 @@ def line_up(data: DataFrame, validation: str = "1999-01-01") -> DataFrame:
     return metrics.summary(reduce(DataFrame.unionByName, scored), "model")
 
 
+def _on_scale(fit: Column, features: list[str]) -> list[Column]:
+    """1 for the intercept, then each feature less its mean over its deviation, as ``fit`` has them."""
+    return [F.lit(1.0), *[(F.col(f) - fit[f"mean{i}"]) * fit[f"per{i}"] for i, f in enumerate(features, 1)]]
+
+
+def _told(fits: list[dict]) -> Column:
+    """Fits as one constant array of structs, in their order."""
+    kinds = ", ".join(f"{k}: {'long' if k == 'm' else 'double'}" for k in fits[0])
+    return F.from_json(F.lit(json.dumps(fits)), f"array<struct<{kinds}>>")
+
+
+def growing_fits(rows: DataFrame, features: list[str], last: int, close: float = 1e-10, most: int = 60) -> list[dict]:
+    """Logistic regressions of ``label`` on ``features``, without penalty: for each m up to ``last`` on the
+    rows with ``period`` < m. Returned from the first m whose rows have both classes on (then all later
+    ones have); each as m, means and inverse deviations of its rows and its coefficients on that scale.
+
+    All are fitted at once: a Newton step of every fit is one aggregate over the rows, of which only sums
+    per fit come to the driver, so the number of jobs doesn't grow with the number of fits. A step that
+    doesn't lower the loss is halved. A fit ends with the step that promises under ``close`` of loss per
+    row, so also where the classes can be parted and no optimum exists. A constant feature weighs 0.
+    """
+    names = list(range(len(features) + 1))
+    each = rows.where(F.col("period") < last).withColumn("m", F.explode(F.sequence(F.col("period") + 1, F.lit(last).cast("long"))))
+    spread = [c for i, f in enumerate(features, 1) for c in (F.avg(f).alias(f"mean{i}"), F.stddev_pop(f).alias(f"sd{i}"))]
+    known = each.groupBy("m").agg(F.count("*").alias("n"), F.sum("label").alias("won"), *spread).orderBy("m").collect()
+    todo = []
+    for r in known:
+        if 0 < r["won"] < r["n"]:
+            scale = {k: v for i in names[1:] for k, v in ((f"mean{i}", r[f"mean{i}"]), (f"per{i}", 1 / r[f"sd{i}"] if r[f"sd{i}"] > 0 else 0.0))}
+            todo.append({"m": r["m"], "n": r["n"], "scale": scale, "at": np.zeros(len(names)), "from": None, "loss": math.inf, "done": False})
+    fit, pairs = F.col("fit"), [(i, j) for i in names for j in names[: i + 1]]
+    as_row = lambda t: {"m": t["m"], **t["scale"], **{f"b{i}": float(b) for i, b in enumerate(t["at"])}}
+    for _ in range(most):
+        if all(t["done"] for t in todo):
+            break
+        live = todo[: 1 + max(i for i, t in enumerate(todo) if not t["done"])]
+        start = F.greatest(F.col("period") + 2 - live[0]["m"], F.lit(1)).cast("int")
+        seen = rows.where(F.col("period") < live[-1]["m"])
+        seen = seen.select("label", *features, F.explode(F.slice(_told([as_row(t) for t in live]), start, len(live))).alias("fit"))
+        seen = seen.select("label", fit["m"].alias("m"), *[x.alias(f"x{i}") for i, x in enumerate(_on_scale(fit, features))], *[fit[f"b{i}"].alias(f"b{i}") for i in names])
+        seen = seen.withColumn("z", reduce(Column.__add__, [F.col(f"b{i}") * F.col(f"x{i}") for i in names])).withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
+        z, miss, weight = F.col("z"), F.col("label") - F.col("p"), F.col("p") * (1 - F.col("p"))
+        sums = [F.sum(F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - F.col("label") * z).alias("loss")]
+        sums += [F.sum(miss * F.col(f"x{i}")).alias(f"g{i}") for i in names] + [F.sum(weight * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i, j in pairs]
+        found = {r["m"]: r for r in seen.groupBy("m").agg(*sums).collect()}  # a row of sums per fit
+        for t in live:
+            if t["done"]:
+                continue
+            r = found[t["m"]]
+            if r["loss"] > t["loss"] + 1e-12 * t["n"]:
+                t["at"] = (t["at"] + t["from"]) / 2
+                continue
+            slope, bend = np.array([r[f"g{i}"] for i in names]), np.zeros((len(names), len(names)))
+            for i, j in pairs:
+                bend[i, j] = bend[j, i] = r[f"h{i}_{j}"]
+            step = np.linalg.lstsq(bend, slope, rcond=1e-12)[0]
+            t["from"], t["at"], t["loss"], t["done"] = t["at"], t["at"] + step, r["loss"], bool(slope @ step <= close * t["n"])
+    for t in todo:
+        if not t["done"]:
+            t["at"] = t["from"]  # the last one whose loss is known
+    return [as_row(t) for t in todo]
+
+
 def rolling_retrain(data: DataFrame, every_days: int = 90) -> DataFrame:
-    """Refit on all data so far at each cutoff; score until the next. Cutoffs are a handful of dates."""
-    data = data.persist()  # the ratings are walked once, not for every fit
-    first, last = data.agg(F.min("as_of_timestamp"), F.max("as_of_timestamp")).first()
+    """Refit on all data so far at each cutoff; score until the next. A cutoff whose contests so far have
+    one outcome only has no fit, and its contests until the next no score."""
+    at, model = F.col("as_of_timestamp").cast("timestamp_ntz"), Learned(None)
+    # what the fits need of the data is written once, so the ratings are walked once
+    rows = data.select("as_of_timestamp", "radiant_win", *dict.fromkeys([*model.features, *[c for c in ELO if c in data.columns]]))
+    rows = stored(rows.withColumn("as_of_timestamp", at), "retrain")
+    first, last = rows.agg(F.min("as_of_timestamp"), F.max("as_of_timestamp")).first()
+    none = data.sparkSession.createDataFrame([], "cutoff timestamp_ntz, accuracy double, log_loss double, brier double, n long")
     if first is None:
-        return data.sparkSession.createDataFrame([], "cutoff timestamp_ntz, accuracy double, log_loss double, brier double, n long")
-    from datetime import timedelta
-
-    out, cut = [], first + timedelta(days=every_days)
-    while cut <= last:
-        end = cut + timedelta(days=every_days)
-        at = F.col("as_of_timestamp")
-        train, test = data.where(at < F.lit(cut)), data.where((at >= F.lit(cut)) & (at < F.lit(end)))
-        if train.select("radiant_win").distinct().count() == 2:
-            p = Learned(LogisticRegression(maxIter=20)).fit(train).predict(test)
-            out.append(p.select(F.lit(cut).cast("timestamp_ntz").alias("cutoff"), "p", F.col("radiant_win").alias("won")))
-        cut = end
-    if not out:
-        return data.sparkSession.createDataFrame([], "cutoff timestamp_ntz, accuracy double, log_loss double, brier double, n long")
-    return metrics.summary(reduce(DataFrame.unionByName, out), "cutoff")
+        return none
+    begin = F.lit(first).cast("timestamp_ntz")
+    period = F.floor(F.timestamp_diff("DAY", begin, F.col("as_of_timestamp")) / every_days)
+    rows = model.ready(rows).where("label is not null").select("label", period.alias("period"), *[F.col(f).cast("double") for f in model.features])
+    fits = growing_fits(rows, model.features, (last - first) // timedelta(days=every_days))
+    if not fits:
+        return none
+    fit = F.get(_told(fits), (F.col("period") - fits[0]["m"]).cast("int"))
+    scored = rows.where(F.col("period") >= fits[0]["m"]).withColumn("fit", fit)
+    z = reduce(Column.__add__, [F.col("fit")[f"b{i}"] * x for i, x in enumerate(_on_scale(F.col("fit"), model.features))])
+    cutoff = F.timestamp_add("DAY", (F.col("period") * every_days).cast("int"), begin)
+    return metrics.summary(scored.select(cutoff.alias("cutoff"), (1 / (1 + F.exp(-z))).alias("p"), (F.col("label") == 1).alias("won")), "cutoff")
 
 
 def calibrated(forecasts: DataFrame, validation: str, test: str) -> DataFrame:
